@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, licenses, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -20,6 +20,19 @@ def vocabulary_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -43,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_toxicity, op5_bpe, op6_exact_dedup, op9_sharding, op10_quality]
+    own = [op1_decontaminate, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op9_sharding, op10_quality]
     return {f.__name__: f for f in own}
 
 
@@ -54,4 +67,4 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6}
+    return {"op1_decontaminate": decontaminate.SQL.format(docs="documents"), "op3_licenses": licenses.SQL, "op6_exact_dedup": OP6}
