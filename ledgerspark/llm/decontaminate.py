@@ -6,7 +6,8 @@ fingerprints are about 2 / (SPAN - K + 2) of its words. Documents and benchmark
 extended to the document's windows that carry the fingerprint, and these are compared with the item's windows as text, so that
 hash collisions count for nothing. Every shared window is found, as both sides choose the same gram of it.
 
-Windows of items shorter than SPAN have the hash of the whole window as fingerprint; there are SPAN - 1 such lengths at most.
+The windows of a row are compared inside the stage that reads it, and its line at place -1 carries the number of words along, so
+that every text is split once. Windows of items shorter than SPAN have the hash of the whole window as fingerprint; there are SPAN - 1 such lengths at most.
 
 Benchmark windows are broadcast while there are no more than BROADCAST_WINDOWS; a larger benchmark is joined by shuffling fingerprints, and
 only documents with a hit are read again for their windows.
@@ -32,78 +33,77 @@ def grams(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnow(h: Column) -> Column:
-    """Least hash among the SPAN - K + 1 grams of each window of SPAN words."""
-    n = SPAN - K + 1
-    each = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.array_min(F.slice(h, i + 1, n)))
-    return F.when(F.size(h) >= n, each).otherwise(F.array().cast("array<bigint>"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and the words of every row."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
 
 
-def with_fingerprints(rows: DataFrame, span: int) -> DataFrame:
-    """Adds marks: the fingerprint of the window of `span` words at each place of w."""
-    if span < SPAN:
-        return rows.withColumn("marks", grams(F.col("w"), span))
-    return rows.withColumn("h", grams(F.col("w"), K)).withColumn("marks", winnow(F.col("h"))).drop("h")
+def marked(rows: DataFrame, span: int) -> DataFrame:
+    """A row for each place `first` where a window of `span` words starts, with its fingerprint, and one at place -1 without.
 
+    rows has w; its other columns stay. The fingerprint of a shorter span is its own hash.
+    """
+    k = K if span == SPAN else span
+    n = span - k + 1
+    hashed = rows.withColumn("h", grams(F.col("w"), k))
+    placed = hashed.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("h") - n))).alias("first"))
+    own = [F.get("h", F.col("first") + j) for j in range(n)]
+    return placed.withColumn("mark", F.when(F.col("first") >= 0, F.least(*own) if n > 1 else own[0])).drop("h")
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and the words of every row."""
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
+
+def window_text(span: int) -> Column:
+    return F.array_join(F.slice("w", F.greatest(F.col("first") + 1, F.lit(1)), span), " ")
 
 
 def item_windows(benchmark: DataFrame, span: int) -> DataFrame:
     """item_id, mark, window of the items that have windows of this length."""
     items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"))
     items = items.filter(F.size("w") >= span) if span == SPAN else items.filter(F.size("w") == span)
-    # the outer form: the inner one puts a filter on the marks below their own computation, which then runs for every word
-    placed = with_fingerprints(items, span).select("item_id", "w", F.posexplode_outer("marks").alias("at", "mark")).filter("mark IS NOT NULL")
-    return placed.select("item_id", "mark", F.array_join(F.slice("w", F.col("at") + 1, span), " ").alias("window")).distinct()
+    return marked(items, span).filter("first >= 0").select("item_id", "mark", window_text(span).alias("window")).distinct()
 
 
 def hits(docs: DataFrame, windows: DataFrame, span: int, small: bool) -> DataFrame:
-    """doc_id, text_key, first, last, item_id of every occurrence of a window in a document."""
-    marks = windows.select("mark").distinct()
-    rows = with_fingerprints(keyed(docs), span)
-    if small:
-        found = rows.select("doc_id", "text_key", "w", "marks", F.explode(F.array_distinct("marks")).alias("mark")).join(F.broadcast(marks), "mark")
-        found = found.withColumn("wanted", F.array("mark"))
-    else:
-        met = rows.select("doc_id", "text_key", F.explode(F.array_distinct("marks")).alias("mark")).join(marks, "mark")
-        met = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("mark").alias("wanted"))
-        found = rows.join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
-    places = F.filter(F.sequence(F.lit(0), F.size("marks") - 1), lambda i: F.array_contains(F.col("wanted"), F.get(F.col("marks"), i)))
-    placed = found.select("doc_id", "text_key", "w", F.explode(places).alias("first"))
-    shown = placed.select("doc_id", "text_key", "first", F.array_join(F.slice("w", F.col("first") + 1, span), " ").alias("window"))
-    known = windows.select("window", "item_id").distinct()
-    return shown.join(F.broadcast(known) if small else known, "window").select("doc_id", "text_key", "first", (F.col("first") + span - 1).alias("last"), "item_id")
+    """doc_id, text_key, n_words, first, last, item_id of every occurrence of a window, and for every row of docs one line at place -1."""
+    rows = keyed(docs).withColumn("n_words", F.size("w").cast("long"))
+    line = ["doc_id", "text_key", "n_words", "first", (F.col("first") + span - 1).alias("last"), "item_id"]
+    if small:  # words stay beside their places in one stage and never move
+        known = F.broadcast(windows.withColumnRenamed("mark", "own"))
+        met = marked(rows, span).join(known, F.col("mark") == F.col("own"), "left")  # texts are compared after, where marks met
+        return met.filter((F.col("first") < 0) | (F.col("item_id").isNotNull() & (window_text(span) == F.col("window")))).select(*line)
+    # fingerprints move alone, each where it changes; then the rows that met one are read again
+    change = marked(rows, span).select("doc_id", "text_key", "first", "mark").filter("first >= 0").select("doc_id", "text_key", "mark").distinct()
+    met = change.join(windows.select("mark").distinct(), "mark", "left_semi")
+    met = met.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    again = rows.join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
+    shown = marked(again, span).filter("first >= 0").select("doc_id", "text_key", "n_words", "first", "mark", window_text(span).alias("window"))
+    found = shown.join(windows, ["mark", "window"]).select(*line)
+    return found.unionByName(rows.select("doc_id", "text_key", "n_words", F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(None).cast(windows.schema["item_id"].dataType).alias("item_id")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and spans (first and last word of each hit window) of every row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (first and last word of each hit window) and text_key of every row."""
     sizes = benchmark.filter(F.col("item_id").isNotNull()).select(F.size(words(F.col("text"))).alias("n")).filter("n > 0")
     short = [r[0] for r in sizes.filter(F.col("n") < SPAN).distinct().collect()]  # SPAN - 1 numbers at most
     total = sizes.agg(F.sum(F.greatest(F.lit(1), F.col("n") - SPAN + 1))).first()[0] or 0
     small = total <= BROADCAST_WINDOWS
     found = hits(docs, item_windows(benchmark, SPAN), SPAN, small)
     for n in sorted(short):
-        found = found.unionByName(hits(docs, item_windows(benchmark, n), n, small))
-    per_doc = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.collect_set("item_id").alias("items")
+        found = found.unionByName(hits(docs, item_windows(benchmark, n), n, small).filter("first >= 0"))
+    hit = F.col("first") >= 0
+    per_doc = found.groupBy("doc_id", "text_key", "n_words").agg(
+        F.array_sort(F.collect_set(F.when(hit, F.struct("first", "last")))).alias("spans"), F.collect_set("item_id").alias("items"), F.count_if(~hit).cast("int").alias("rows")
     )
     start = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(
+    n_hit = F.aggregate(
         "spans",
         start,
         lambda a, x: F.struct(F.greatest(a["end"], x["last"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(a["end"], x["first"] - 1))).cast("long").alias("n")),
         lambda a: a["n"],
     )
-    per_doc = per_doc.select("__id", "__key", covered.alias("__hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"), "spans")
-    base = keyed(docs).select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
-    joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    n_hit = F.coalesce("__hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), items.alias("items"), "spans", "text_key"
+    items = F.sort_array(F.transform("items", lambda x: x.cast("string")))
+    out = per_doc.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), items.alias("items"), "spans", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("nth"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), "items", "spans", "text_key"
     )
 
 

@@ -58,39 +58,42 @@ def template_grams(spark) -> DataFrame:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, tid, label, base, n_grams, diagonal, places: the template places that vote for a diagonal."""
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
-    starts = F.when(F.size("w") > 1, F.sequence(F.lit(0), F.size("w") - 2)).otherwise(F.array().cast("array<int>"))
-    placed = rows.select("doc_id", "text_key", "w", F.explode(starts).alias("p"))
+    """doc_id, text_key, n_words, tid, label, base, n_grams, diagonal, places: the template places that vote for a diagonal.
+
+    Every row of docs adds one line without template; rows is the number of such lines.
+    """
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    placed = rows.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("w") - 2))).alias("p"))
     word = lambda j: F.get("w", F.col("p") + j)
-    hashed = placed.select("*", F.explode(F.array(F.xxhash64(word(0), word(1), F.lit("")), F.xxhash64(word(0), word(1), F.coalesce(word(2), F.lit(""))))).alias("gram"))
-    found = hashed.join(F.broadcast(template_grams(docs.sparkSession)), "gram")
-    found = found.filter((word(0) == F.col("g0")) & (word(1) == F.col("g1")) & (F.col("g2").isNull() | (word(2) == F.col("g2"))))
-    return found.groupBy("doc_id", "text_key", "tid", "label", "base", "n_grams", (F.col("p") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("places"))
+    pair = F.when(F.col("p") >= 0, F.xxhash64(word(0), word(1), F.lit("")))
+    triple = F.when(F.col("p") >= 0, F.xxhash64(word(0), word(1), F.coalesce(word(2), F.lit(""))))
+    hashed = placed.select("*", F.explode(F.array(pair, triple)).alias("own"))
+    same = F.col("tid").isNotNull() & (word(0) == F.col("g0")) & (word(1) == F.col("g1")) & (F.col("g2").isNull() | (word(2) == F.col("g2")))
+    found = hashed.join(F.broadcast(template_grams(docs.sparkSession)), F.col("own") == F.col("gram"), "left").filter((F.col("p") < 0) | same)
+    keys = ["doc_id", "text_key", "n_words", "tid", "label", "base", "n_grams", (F.col("p") - F.col("tpos")).alias("diagonal")]
+    return found.groupBy(*keys).agg(F.collect_set("tpos").alias("places"), F.count_if(F.col("p") < 0).alias("rows"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
-    found = votes(docs)
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     own = Window.partitionBy("doc_id", "text_key", "tid").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(own) > F.when(F.col("base"), 0).otherwise(GAP)) | F.lag("diagonal").over(own).isNull()
-    grouped = found.withColumn("part", F.sum(apart.cast("int")).over(own)).groupBy("doc_id", "text_key", "tid", "label", "base", "n_grams", "part")
-    spans = grouped.agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"))
+    before = F.lag("diagonal").over(own)
+    apart = F.coalesce(F.col("diagonal") - before > F.when(F.col("base"), 0).otherwise(GAP), F.lit(True))
+    grouped = votes(docs).withColumn("part", F.sum(apart.cast("int")).over(own)).groupBy("doc_id", "text_key", "n_words", "tid", "label", "base", "n_grams", "part")
+    spans = grouped.agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.sum("rows").alias("rows"))
     spans = spans.withColumn("share", F.col("held") / F.col("n_grams"))
-    place = F.col("base") & (F.col("held") == F.col("n_grams"))
-    labelled = place | (~F.col("base") & (F.col("share") >= SHARE))
-    per_doc = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+    place = F.coalesce(F.col("base") & (F.col("held") == F.col("n_grams")), F.lit(False))
+    labelled = place | F.coalesce(~F.col("base") & (F.col("share") >= SHARE), F.lit(False))
+    per_doc = spans.groupBy("doc_id", "text_key", "n_words").agg(
         F.count_if(place).alias("n_base"),
         F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(place, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(labelled, F.col("label")))), ",").alias("labels"),
-        F.max(F.when(labelled | ~F.col("base"), F.col("share"))).alias("score"),
+        F.coalesce(F.max(F.when(labelled | ~F.col("base"), F.col("share"))), F.lit(0.0)).alias("score"),
+        (F.sum("rows") / 2).cast("int").alias("rows"),  # a line for the pair and one for the triple
     )
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    zero, none = F.lit(0).cast("long"), F.lit("")
-    return joined.select("doc_id", "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return per_doc.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("nth")).drop("nth")
 
 
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
