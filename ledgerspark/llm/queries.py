@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, pii, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op9_sharding, op10_quality]
+    own = [op1_decontaminate, op2_near_dedup, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op9_sharding, op10_quality]
     return {f.__name__: f for f in own}
 
 
