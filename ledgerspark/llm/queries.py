@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, sharding, substring_dedup, toxicity
 from .common import documents
 
 
@@ -50,6 +50,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -60,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_near_dedup, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op9_sharding, op10_quality]
+    own = [op1_decontaminate, op2_near_dedup, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op8_substring_dedup, op9_sharding, op10_quality]
     return {f.__name__: f for f in own}
 
 
