@@ -23,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEAST, GRAM, FEW = 200, 50, 256
+LEAST, GRAM, FEW = 200, 50, 4096  # FEW segments are about 1.4 MB of text, what a task works on at once
 CHUNK = 1 << 20
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 _rng = np.random.default_rng(20240603)
 _ODD = lambda: np.uint64(int(_rng.integers(0, 1 << 62)) * 2 + 1)
@@ -98,54 +99,78 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+PACK = 7  # symbols of nine bits in the first key
+
+
 def repeats(strings: list[bytes]) -> list[np.ndarray]:
     """For each string, whether the LEAST bytes from each place on occur elsewhere among the strings (or in the same one)."""
     total = sum(map(len, strings)) + len(strings)
-    text, at = np.empty(total, np.int64), 0
-    for k, s in enumerate(strings):
-        text[at : at + len(s)] = np.frombuffer(s, np.uint8)
-        text[at + len(s)] = 256 + k  # each separator is a symbol of its own
-        at += len(s) + 1
-    # suffixes in the order of their first 2 * LEAST symbols, by doubling
-    _, rank = np.unique(text, return_inverse=True)
-    size = 1
-    while size < LEAST:
+    lengths = np.array([len(s) + 1 for s in strings])
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+    ends = np.cumsum(lengths) - 1
+    text[ends] = 0
+    # suffixes in the order of their first symbols, by doubling; one that meets a separator first is like no other
+    depth = min(PACK, LEAST)
+    padded = np.concatenate([text, np.zeros(depth, np.int64)])
+    key, alive = np.zeros(total, np.int64), np.ones(total, bool)
+    for i in range(depth):
+        key = (key << 9) | np.where(alive, padded[i : i + total], 0)
+        alive &= padded[i : i + total] > 0
+    order = np.argsort(key)
+    apart = np.ones(total, bool)
+    apart[1:] = (key[order[1:]] != key[order[:-1]]) | ~alive[order[1:]]
+    starts = np.flatnonzero(apart)  # of the intervals of equal first symbols
+    rank = np.empty(total, np.int64)
+    rank[order] = np.cumsum(apart) - 1
+    size = depth
+    while size < LEAST and int(rank[order[-1]]) < total - 1:
         after = np.zeros(total, np.int64)
         after[:-size] = rank[size:] + 1
         key = rank * (total + 1) + after
-        order = np.argsort(key, kind="stable")
-        apart = np.concatenate([[False], key[order[1:]] != key[order[:-1]]])
-        rank = np.empty(total, np.int64)
-        rank[order] = np.cumsum(apart)
+        order = np.argsort(key)
+        fresh = np.ones(total, bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        rank[order] = np.cumsum(fresh) - 1
         size *= 2
-    order = np.argsort(rank, kind="stable")
     before = text[order - 1]  # the transform
-    step = np.empty(total, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(total)  # where the suffix one symbol longer stands
-    known = np.zeros(total + 1, bool)
-    known[[0, total]] = True
-    low, high = np.zeros(1, np.int64), np.full(1, total)
-    for _ in range(LEAST):  # common prefixes of this length get known
-        if not len(low):
+    step = np.empty(total, np.int32)
+    step[np.argsort(before.astype(np.uint16), kind="stable")] = np.arange(total, dtype=np.int32)  # where the suffix one symbol longer stands
+    known = np.zeros(total + 1, bool)  # whether the common prefix of a suffix and the one before has been found
+    known[starts] = known[total] = True
+    low, high = starts.astype(np.int32), np.append(starts[1:], total).astype(np.int32)
+    many = high - low > 1
+    single = low[~many]  # intervals of one suffix keep to themselves and are followed apart
+    low, high = low[many], high[many]
+    for _ in range(depth, LEAST):  # common prefixes of this length get known
+        if not len(low) and not len(single):
             break
         sizes = high - low
-        owner = np.repeat(np.arange(len(low)), sizes)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner]
-        _, first, count = np.unique(owner * (256 + len(strings)) + before[inside], return_index=True, return_counts=True)
-        low = step[inside[first]]
-        high = low + count
+        owner = np.repeat(np.arange(len(low), dtype=np.int64), sizes)
+        inside = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes - low).astype(np.int32), sizes)
+        # a separator before splits an interval into suffixes of their own
+        symbol = before[inside]
+        to = step[inside]
+        group = (owner << 41) | (symbol << 32) | to
+        group.sort()
+        to = (group & 0xFFFFFFFF).astype(np.int32)
+        head = group >> 32
+        first = np.ones(len(head), bool)
+        first[1:] = (head[1:] != head[:-1]) | ((head[1:] & 511) == 0)
+        at = np.flatnonzero(first)
+        count = np.diff(np.append(at, len(head))).astype(np.int32)
+        low = np.concatenate([to[at], step[single]])
+        high = low + np.concatenate([count, np.ones(len(single), np.int32)])
         fresh = ~known[high]
         low, high = low[fresh], high[fresh]
         known[high] = True
+        many = high - low > 1
+        single = low[~many]
+        low, high = low[many], high[many]
     pair = np.flatnonzero(~known)
     shared = np.zeros(total, bool)
     shared[order[pair]] = True
     shared[order[pair - 1]] = True
-    out, at = [], 0
-    for s in strings:
-        out.append(shared[at : at + len(s)])
-        at += len(s) + 1
-    return out
+    return [shared[e - n + 1 : e] for e, n in zip(ends, lengths, strict=True)]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,21 +219,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted segments of each text."""
     z = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows, size = [], 0
-        for packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        wanted = batch.column(1)
+        flat = wanted.flatten()
+        start, windows = (flat.field(i).to_pylist() for i in (0, 1))
+        at, done, size, pieces = 0, 0, 0, []
+        for packed, n in zip(batch.column(0).to_pylist(), pa.compute.list_value_length(wanted).to_pylist(), strict=True):
             data = z.decompress(packed)
-            for w in wanted:
-                piece = data[w["start"] : w["start"] + w["windows"] + LEAST - 1]
-                rows.append((w["anchor"], w["digest"], w["few"], piece))
-                size += len(piece)
+            for i in range(at, at + n):
+                pieces.append(data[start[i] : start[i] + windows[i] + LEAST - 1])
+                size += len(pieces[-1])
+            at += n
             if size > 4 * BATCH:
-                yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "digest", "few", "piece"), r, strict=True)) for r in rows], SEGMENT)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "digest", "few", "piece"), r, strict=True)) for r in rows], SEGMENT)
+                yield pa.RecordBatch.from_arrays([*[flat.field(i)[done:at] for i in (2, 3, 4)], pa.array(pieces, pa.binary())], ["anchor", "digest", "few", "piece"])
+                done, size, pieces = at, 0, []
+        if pieces:
+            yield pa.RecordBatch.from_arrays([*[flat.field(i)[done:at] for i in (2, 3, 4)], pa.array(pieces, pa.binary())], ["anchor", "digest", "few", "piece"])
 
 
-SEGMENT = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("few", pa.bool_()), ("piece", pa.binary())])
 RUN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
 
@@ -248,27 +275,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
     for batch in batches:
+        spans = batch.column(3)
+        flat = spans.flatten()
+        first, last, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(spans), 0))
+        ends = np.cumsum(sizes)
         rows = []
-        for key, text_key, packed, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for i, packed in enumerate(batch.column(2).to_pylist()):
             data = z.decompress(packed)
-            depth = np.zeros(len(data) + 1, np.int32)
-            first, count, anchor, digest = segments(data)
-            _, place, times = np.unique(anchor ^ (digest << np.uint64(1)), return_inverse=True, return_counts=True)
-            twice = times[place] > 1 if len(first) else np.zeros(0, bool)
-            np.add.at(depth, first[twice], 1)
-            np.add.at(depth, first[twice] + count[twice] + LEAST - 1, -1)
-            for s in spans or ():
-                depth[s["first"]] += 1
-                depth[s["last"]] -= 1
-            gone = np.cumsum(depth[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            n = len(data)
+            own = slice(ends[i] - sizes[i], ends[i])
+            opens, closes = first[own], last[own]
+            if sizes[i] and times[own].max() > 1:  # segments that a text repeats itself: all their places
+                start, count, anchor, digest = segments(data)
+                _, place, number = np.unique(anchor ^ (digest << np.uint64(1)), return_inverse=True, return_counts=True)
+                twice = number[place] > 1
+                opens = np.concatenate([opens, start[twice]])
+                closes = np.concatenate([closes, start[twice] + count[twice] + LEAST - 1])
+            gone = np.zeros(n, bool)
+            if len(opens):
+                gone = np.cumsum(np.bincount(opens, minlength=n + 1) - np.bincount(closes, minlength=n + 1))[:n] > 0
+            kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if len(opens) else data
             low, high = runs(gone)
-            rows.append((key, text_key, len(data), int(gone.sum()), len(low), hashlib.sha256(kept).hexdigest(), [{"first": int(a), "last": int(b)} for a, b in zip(low, high, strict=True)]))
-        names = ["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], RESULT)
-
-
-RESULT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+            rows.append((n, int(gone.sum()), len(low), hashlib.sha256(kept).hexdigest(), low, high))
+        found = pa.StructArray.from_arrays([pa.array(np.concatenate([r[k] for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)) for k in (4, 5)], ["first", "last"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int32))
+        columns = [batch.column(0), batch.column(1), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], pa.ListArray.from_arrays(offsets, found)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -281,7 +314,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kinds = places.groupBy("anchor", "digest").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one"))
     kinds = materialize(kinds, "repeat-kinds")
     copied = materialize(kinds.filter("copies > 1").select("anchor", "digest"), "repeat-copied")
-    whole = places.join(copied.hint("merge"), ["anchor", "digest"]).select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LEAST - 1).alias("last"))
+    whole = places.join(copied.hint("merge"), ["anchor", "digest"]).select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LEAST - 1).alias("last"), "times")
 
     mixed = materialize(kinds.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") <= FEW).alias("few")), "repeat-mixed")
     open_kinds = kinds.join(mixed.hint("merge"), "anchor").select("anchor", "digest", "few", "copies", "one.*")
@@ -295,9 +328,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = materialize(windows.groupBy("one", "two").count().filter("count > 1").select("one", "two"), "repeat-twice")
     many = windows.join(twice, ["one", "two"]).select("anchor", "digest", "low", (F.col("low") + 1).alias("high"))
     shared = few.unionByName(many).join(open_kinds.filter("copies = 1"), ["anchor", "digest"])
-    parts = shared.select("doc_id", "text_key", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high") + LEAST - 1).alias("last"))
+    parts = shared.select("doc_id", "text_key", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high") + LEAST - 1).alias("last"), F.lit(1).cast("long").alias("times"))
 
-    spans = whole.unionByName(parts).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = whole.unionByName(parts).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("first", "last", "times")).alias("spans"))
     spans = materialize(spans, "repeat-spans")
     joined = packed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
     return joined.select("doc_id", "text_key", "packed", "spans").mapInArrow(_finish, "doc_id long, text_key int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>")
