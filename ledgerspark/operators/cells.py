@@ -81,7 +81,9 @@ def score_claims(ledger: DataFrame) -> DataFrame:
     )
 
 
-RANKING = [F.desc("actionability_score"), F.desc(F.col("type_final") == "SFO"), F.desc("verified_cell_count"), F.desc("urgency_tier_rank"), F.desc("discovery_class_count"), F.asc("entity_id")]
+def ranking() -> list[Column]:
+    """Order of candidates, entity_id last so that it is total."""
+    return [F.desc("actionability_score"), F.desc(F.col("type_final") == "SFO"), F.desc("verified_cell_count"), F.desc("urgency_tier_rank"), F.desc("discovery_class_count"), F.asc("entity_id")]
 
 
 def select_quota(cands: DataFrame, n: int = 50, cap: int = 15) -> DataFrame:
@@ -89,10 +91,10 @@ def select_quota(cands: DataFrame, n: int = 50, cap: int = 15) -> DataFrame:
 
     Only the first n + cap of every class can matter to the running count, and those are cut before the one ordered pass.
     """
-    own = Window.partitionBy(F.coalesce("discovery_class_primary", F.lit("unknown"))).orderBy(*RANKING)
+    own = Window.partitionBy(F.coalesce("discovery_class_primary", F.lit("unknown"))).orderBy(*ranking())
     ranked = cands.withColumn("class_rank", F.row_number().over(own))
     inside = ranked.filter(F.col("class_rank") <= cap)  # cap rows a class
-    admitted = inside.withColumn("rank", F.row_number().over(Window.orderBy(*RANKING))).filter(F.col("rank") <= n)
+    admitted = inside.withColumn("rank", F.row_number().over(Window.orderBy(*ranking()))).filter(F.col("rank") <= n)
     keys = ["actionability_score", "type_final", "verified_cell_count", "urgency_tier_rank", "discovery_class_count", "entity_id"]
     code = lambda: F.struct(F.col("actionability_score"), (F.col("type_final") == "SFO").cast("int").alias("s"), F.col("verified_cell_count"), F.col("urgency_tier_rank"), F.col("discovery_class_count"), (-F.col("entity_id")).alias("e"))
     last = admitted.agg(F.min(code()).alias("last"), F.count(F.lit(1)).alias("taken"))

@@ -11,7 +11,6 @@ from .resolve import holdings_quarter
 
 SETTLED_CLASSES = ["13f_filing", "5500_filing", "adv_index", "conference_sighting", "domain_check"]
 REGISTRY = ["adv_index", "13f_filing", "5500_filing", "conference_sighting", "domain_check", "adv_name", "fec_employer"]
-LATEST = F.struct("retrieved_at", "seq")
 TRIGGER_PERCENT = 25.0
 ALIVE = ["could_not_verify", "removed_failed_validation", "superseded"]
 
@@ -45,7 +44,7 @@ def facts_conference(sources: DataFrame) -> DataFrame:
 def facts_adv_name(sources: DataFrame) -> DataFrame:
     """FX-05: latest value and first known state of the adviser rows."""
     rows = sources.filter("source_class = 'adv_name'")
-    return rows.groupBy("entity_id").agg(F.max_by("value_usd", LATEST).alias("latest_value"), F.min_by("state", F.when(F.col("state").isNotNull(), F.col("seq"))).alias("first_state"))
+    return rows.groupBy("entity_id").agg(F.max_by("value_usd", F.struct("retrieved_at", "seq")).alias("latest_value"), F.min_by("state", F.when(F.col("state").isNotNull(), F.col("seq"))).alias("first_state"))
 
 
 def facts_fec(sources: DataFrame) -> DataFrame:
