@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import clean_cell, list_cell, money_cell
 from .ledger import latest
 
 DATE_FIELDS = ["important_insight", "recent_investments", "recent_fund_commitments", "recent_key_hires", "recent_news"]
@@ -141,3 +142,48 @@ def provenance_table(ledger: DataFrame) -> DataFrame:
 def citable_facts(prov: DataFrame) -> DataFrame:
     """GND-01: the last fact of a record and field among the reliable ones."""
     return latest(prov.filter(~F.col("status").isin(UNSETTLED)), ["entity_id", "field_name"])
+
+
+CSV_SOURCE = "csv_import"
+CSV_FACTS = ["aum_usd", "aum_basis", "aum_as_of", "investing_mandates", "sector_focus", "direct_vs_fund", "recent_investments", "why_now_trigger_concentration", "why_now_trigger_liquidity", "why_now_trigger_access_window", "principal_name", "principal_title", "headcount", "discovery_class", "public_list_overlap", "verdict"]
+CSV_TRIGGERS = {"why_now_trigger_concentration": "Concentration", "why_now_trigger_liquidity": "Liquidity", "why_now_trigger_access_window": "Access-window"}
+
+
+def csv_records(rows: DataFrame) -> DataFrame:
+    """COR-08: imported rows (text columns) as records: markers to null, money to whole dollars, lists to arrays; no type, no address."""
+    c = lambda n: clean_cell(F.col(n))
+    triggered = F.coalesce(*[c(t) for t in CSV_TRIGGERS]).isNotNull()
+    return rows.select(
+        c("entity_id").alias("record_id"), F.coalesce(c("entity_name"), F.lit("(unnamed)")).alias("entity_name"), F.lit("type_unconfirmed").alias("entity_type"), money_cell(F.col("aum_usd")).alias("aum_usd"),
+        *[c(n).alias(n) for n in ("aum_basis", "aum_as_of", "sector_focus", "direct_vs_fund", "recent_investments", *CSV_TRIGGERS, "principal_name", "principal_title", "principal_phone", "headcount", "discovery_class")],
+        list_cell(F.col("investing_mandates")).alias("investing_mandates"), list_cell(F.col("public_list_overlap")).alias("public_list_overlap"), F.coalesce(c("verdict"), F.lit("unknown")).alias("verdict"),
+        F.when(c("principal_phone").isNotNull(), "imported").otherwise("could_not_verify").alias("principal_phone_status"), F.when(triggered, "triggered").alias("urgency_tier"),
+        F.when(c("recent_investments").isNotNull(), "active").alias("activity_status"), F.lit("imported_unvalidated").alias("record_confidence"), F.lit(CSV_SOURCE).alias("source"),
+    )
+
+
+def csv_chunks(records: DataFrame) -> DataFrame:
+    """COR-08: six texts of an imported record, each with what to say where nothing is known. The phone is in none of them."""
+    name, say = F.col("entity_name"), lambda label, c: F.concat(F.lit(f"{label}: "), c, F.lit("."))
+    listed = lambda n: F.nullif(F.array_join(n, ", "), F.lit(""))
+    worth = F.coalesce(F.concat(F.lit("$"), F.format_number("aum_usd", 0)), F.lit("not disclosed"))
+    focus = F.concat_ws(" ", say("Mandates", listed("investing_mandates")), say("Sector focus", F.col("sector_focus")), say("Instruments", F.col("direct_vs_fund")))
+    why = F.concat_ws(" ", *[say(f"{label} trigger", F.col(n)) for n, label in CSV_TRIGGERS.items()])
+    basis = F.when(F.col("aum_basis").isNotNull(), F.concat(F.lit(" ("), "aum_basis", F.lit(", as of "), F.coalesce("aum_as_of", F.lit("None")), F.lit(").")))
+    texts = {
+        "identity": F.concat_ws(" ", F.concat(name, F.lit(" is a family office / advisory entity (imported record, verdict: "), "verdict", F.lit(").")), F.concat(F.lit("Assets under management: "), worth, F.coalesce(basis, F.lit("."))), say("Headcount", F.col("headcount")), say("Discovery sources", F.col("discovery_class")), say("Public-list overlap", listed("public_list_overlap"))),
+        "mandate": F.concat(name, F.lit("'s investing mandate and focus. "), F.coalesce(F.nullif(focus, F.lit("")), F.lit("No mandate details in the record."))),
+        "people": F.coalesce(F.concat_ws(" ", F.concat("principal_name", F.lit(" is the named contact at "), name, F.lit(".")), F.when(F.col("principal_name").isNotNull(), say("Title", F.col("principal_title"))))),
+        "activity": F.coalesce(F.concat(name, F.lit(" recent activity: "), "recent_investments"), F.concat(F.lit("No recent activity recorded for "), name, F.lit("."))),
+        "why_now": F.when(why != "", F.concat(name, F.lit(" why-now triggers. "), why)).otherwise(F.concat(F.lit("No specific why-now trigger recorded for "), name, F.lit("."))),
+        "summary": F.concat(name, F.lit(": imported "), "verdict", F.lit(" record. AUM "), worth, F.lit(". Principal: "), F.coalesce("principal_name", F.lit("not named")), F.lit(".")),
+    }
+    texts["people"] = F.coalesce(F.nullif(texts["people"], F.lit("")), F.concat(F.lit("No named decision-maker in the record for "), name, F.lit(".")))
+    return facet_chunks(records, texts)
+
+
+def csv_provenance(records: DataFrame) -> DataFrame:
+    """COR-08: the citable facts of an imported record; its phone is not one."""
+    text = lambda n: F.array_join(n, ", ") if n in ("investing_mandates", "public_list_overlap") else F.col(n).cast("string")
+    facts = F.array(*[F.struct(F.lit(n).alias("field_name"), F.nullif(text(n), F.lit("")).alias("value")) for n in CSV_FACTS])
+    return records.select("record_id", F.inline(facts)).filter("value IS NOT NULL").withColumn("source_class", F.lit(CSV_SOURCE)).withColumn("status", F.lit("imported"))

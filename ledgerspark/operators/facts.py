@@ -165,6 +165,7 @@ def project_people_pair(ledger: DataFrame) -> DataFrame:
     return best.select("entity_id", F.col("answer").alias("principal_name"), F.col("title").alias("principal_title"), "claim_id")
 
 
+# The field that a question fills.
 PROJECTION = {"G2.Q1": "principal_name", "G2.Q3": "principal_title", "G3.Q1": "recent_investments", "G3.Q2": "important_insight"}
 
 

@@ -135,6 +135,7 @@ def recent_calls(calls: DataFrame, run: str, k: int) -> DataFrame:
     return calls.filter(F.col("run_id") == run).orderBy(F.desc("called_at"), F.desc("seq")).limit(k)
 
 
+# Phrases of a spent balance.
 SPENT = ["not enough credits", "no credits", "insufficient credit", "consumed all your api credits", "credit limit", "quota exceeded", "out of credits", "limit reached"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Legal suffixes and words that tell no firm from another.
 SUFFIXES = "llc|inc|ltd|lp|llp|corp|co|company|plc|sa|ag|pty|bv|na"
 GENERIC = ["family", "office", "capital", "wealth", "advisors", "investors", "management", "group", "partners", "the", "bank", "llc", "inc", "ltd", "pty"]
 

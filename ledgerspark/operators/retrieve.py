@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # State names in the order in which they are tried, and their codes.
 STATES = {"california": "CA", "colorado": "CO", "florida": "FL", "illinois": "IL", "massachusetts": "MA", "new jersey": "NJ", "new york": "NY", "ohio": "OH", "pennsylvania": "PA", "texas": "TX", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "washington dc": "DC"}
+# Mandate words, scaffolding words, and the texts that state an absence.
 MANDATES = ["real estate", "technology", "tech", "healthcare", "biotech", "life sciences", "venture", "venture capital", "private equity", "growth equity", "buyout", "crypto", "digital assets", "energy", "infrastructure", "consumer", "fintech", "financial", "industrial", "hedge fund", "public equities", "fixed income", "credit", "impact", "esg", "direct", "fund of funds"]
 SCAFFOLDING = ["which", "what", "who", "whom", "whose", "where", "when", "why", "how", "many", "much", "is", "are", "was", "were", "do", "does", "did", "has", "have", "can", "the", "a", "an", "of", "in", "on", "for", "to", "with", "at", "by", "from", "and", "or", "that", "top", "over", "between", "invest", "invests", "family", "office", "offices", "sfo", "sfos", "mfo", "mfos", "million", "billion"]
 COUNT = r"\b(how many|how much|what (fraction|percentage|share|proportion)|number of|count of|total (number|count))\b"

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.web import dedupe_key, host, is_aggregator, is_role_address
 from .contacts import attribute_email, fold
 
+# Signal kind of each field.
 KINDS = {"important_insight": "why_now", "recent_investments": "investment", "recent_fund_commitments": "commitment", "recent_key_hires": "hire", "recent_news": "firm_news"}
 UNRELIABLE = ["could_not_verify", "removed_failed_validation", "contradicted", "superseded"]
+# Words that make a name before them a firm.
 MARKERS = ["llc", "inc", "lp", "ltd", "corp", "corporation", "co", "company", "pllc", "pc", "plc", "advisors", "advisers", "capital", "management", "partners", "group", "wealth", "holdings", "office", "family", "trust"]
 
 

@@ -98,3 +98,9 @@ def cell06(cands):
 def cell07(cands):
     rejected = cands.filter("entity_id % 7 = 0").select("entity_id", F.lit("final").alias("stage"), F.lit("V6").alias("reason_code"))
     return C.rejected_rows(rejected, selection(cands))
+
+
+@query("cell08_data_dictionary", "v_ledger", sql="SELECT status, count(*) AS claims FROM v_ledger WHERE status IN ('verified', 'single_source', 'pattern_inferred', 'format_only', 'could_not_verify', 'contradicted') GROUP BY status")
+def cell08(ledger):
+    """Claims of each status that the dictionary explains."""
+    return ledger.join(F.broadcast(C.data_dictionary(ledger.sparkSession)), "status").groupBy("status").agg(F.count(F.lit(1)).alias("claims"))

@@ -65,6 +65,28 @@ def cor07(e):
     return C.embed_chunks(C.facet_chunks(e))
 
 
+NAMES = "entity_id, entity_name, verdict, aum_usd, aum_basis, aum_as_of, investing_mandates, sector_focus, direct_vs_fund, recent_investments, why_now_trigger_concentration, why_now_trigger_liquidity, why_now_trigger_access_window, principal_name, principal_title, principal_phone, headcount, discovery_class, public_list_overlap".split(", ")
+
+
+def imported(e):
+    known = {"entity_id": F.col("record_id").cast("string"), "entity_name": F.trim("name_raw"), "verdict": F.col("outcome"), "aum_usd": F.concat(F.lit("$"), F.format_number("aum_usd", 0)), "investing_mandates": F.expr("CASE WHEN record_id % 2 = 0 THEN 'energy; credit' ELSE 'n/a' END"), "principal_name": F.coalesce("principal_name", F.lit("not found")), "principal_phone": F.lit("212-555-0100"), "discovery_class": F.col("discovery_class")}
+    return C.csv_records(e.select(*[known.get(n, F.lit("")).alias(n) for n in NAMES]))
+
+
+@query("cor08_csv_provenance", "v_entity", sql="""
+SELECT CAST(record_id AS STRING) AS record_id, 'aum_usd' AS field_name, CAST(aum_usd AS STRING) AS value, 'csv_import' AS source_class, 'imported' AS status FROM v_entity UNION ALL SELECT CAST(record_id AS STRING), 'investing_mandates', 'energy, credit', 'csv_import', 'imported' FROM v_entity WHERE record_id % 2 = 0
+UNION ALL SELECT CAST(record_id AS STRING), 'principal_name', principal_name, 'csv_import', 'imported' FROM v_entity WHERE principal_name IS NOT NULL UNION ALL SELECT CAST(record_id AS STRING), 'discovery_class', discovery_class, 'csv_import', 'imported' FROM v_entity UNION ALL SELECT CAST(record_id AS STRING), 'verdict', outcome, 'csv_import', 'imported' FROM v_entity""")
+def cor08(e):
+    return C.csv_provenance(imported(e))
+
+
+@query("cor08_csv_chunks", "v_entity", sql="""
+SELECT CAST(record_id AS STRING) AS record_id, 'people' AS facet, CASE WHEN principal_name IS NULL THEN 'No named decision-maker in the record for ' || trim(name_raw) || '.' ELSE principal_name || ' is the named contact at ' || trim(name_raw) || '.' END AS content FROM v_entity
+UNION ALL SELECT CAST(record_id AS STRING), 'mandate', trim(name_raw) || '''s investing mandate and focus. ' || CASE WHEN record_id % 2 = 0 THEN 'Mandates: energy, credit.' ELSE 'No mandate details in the record.' END FROM v_entity""")
+def cor08_chunks(e):
+    return C.csv_chunks(imported(e)).filter("facet IN ('people', 'mandate')")
+
+
 @query("cor09_merge_sources", "v_entity", sql="SELECT record_id, CASE WHEN record_id % 3 = 0 THEN 'pipeline' ELSE 'csv' END AS source FROM v_entity WHERE record_id % 3 = 0 OR record_id % 2 = 0")
 def cor09(e):
     return C.merge_sources(e.filter("record_id % 3 = 0").select("record_id", F.lit("pipeline").alias("source")), e.filter("record_id % 2 = 0").select("record_id", F.lit("csv").alias("source")))
