@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -22,13 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@functools.cache
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local temporary one only where none is set (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
