@@ -8,8 +8,13 @@ similarity of 0.75 two documents miss each other in all 32 bands once in 200,000
 Documents with equal sets are one class, and only classes go on. In every bucket each class is paired with the bucket's most central
 class (the one whose buckets are the fullest), so a group of n near copies gives about n pairs and not n * n. A pair is
 judged three times: by its sizes, by the similarity that makes its registers most likely, and on the full sets.
-Confirmed links are joined into components. Buckets that still hold several components go through further rounds:
-in each, some classes outside the bucket's largest component are paired with all its members of other components, until every such class had its
+Confirmed links are joined into components.
+
+What the stars leave open. Each class takes a near and central center as its home, and its rest is the part of its set
+outside the home's. A class that is not linked to its home's component needs, for a link to a class v of the same home, an overlap that the home alone
+cannot give, unless v is small: so the two share a shingle of their rests, and only such pairs (and the small ones, found
+by size) are judged. Buckets that still hold components of different homes go through further rounds: in each, some classes outside the
+bucket's largest component are paired with its members of other homes and components, until every such class had its
 turn. So no two linked classes that share a bucket are left in different components, and pairs inside one component
 are never spelt out.
 
@@ -136,15 +141,79 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlap of each pair and the rest of a's set outside b's. Rows come sorted by b, whose set is kept while it stays."""
+    known = WordHashes()
+    last, of_last = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        left, right = batch.column(2), batch.column(3)
+        overlap, rests, sizes = [], [], []
+        for i in range(batch.num_rows):
+            text = right[i].as_py()
+            if last is None or text != last:
+                last, of_last = text, shingles(text, known)
+            own = shingles(left[i].as_py(), known)
+            rest = np.setdiff1d(own, of_last, assume_unique=True)
+            overlap.append(len(own) - len(rest))
+            sizes.append((len(own), len(of_last)))
+            rests.append(rest.view(np.int64))
+        both, own, other = np.array(overlap, np.int64), *np.array(sizes, np.int64).reshape(-1, 2).T
+        columns = [batch.column(0), batch.column(1), pa.array(both), pa.array(own), pa.array(other), pa.array(rests, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "overlap", "na", "nb", "rest"])
+
+
+def whole_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and registers leave, with both texts, sorted by b."""
     left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     sized = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long").distinct(), "near-likely")
     member, center = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    whole = likely.join(member.hint("merge"), "a").join(center.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return whole.mapInArrow(_confirmed, "a long, b long").distinct()
+    return likely.join(member.hint("merge"), "a").join(center.hint("merge"), "b").select("a", "b", "ta", "tb")
+
+
+def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    return whole_pairs(pairs, classes, texts).mapInArrow(_confirmed, "a long, b long").distinct()
+
+
+LINK = f"100 * overlap >= {PERCENT} * (na + nb - overlap)"
+
+
+def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, overlap, na, nb and the rest of a, for the pairs that sizes and registers leave."""
+    return whole_pairs(pairs, classes, texts).mapInArrow(_compared, "a long, b long, overlap long, na long, nb long, rest array<long>")
+
+
+def enough(overlap, a, b):
+    """Whether an overlap of sets of these sizes makes a link; whole numbers, so that the border is exact."""
+    return overlap * (100 + PERCENT) >= (a + b) * PERCENT
+
+
+def same_home_pairs(homes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one home in different components that may be links, a being outside the home's component.
+
+    homes: id, home, overlap, n (size of the set), rest. What the two share inside the home's set is at most the lesser overlap, so the
+    shared part of the rests must give what is missing.
+    """
+    own = homes.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
+    at = labels.select(F.col("id").alias("home"), F.col("component").alias("home_c"))
+    own = materialize(own.join(at, "home", "left").withColumn("outside", F.col("comp") != F.coalesce("home_c", "home")).drop("home_c"), "near-homes")
+    u = own.filter("outside").select("home", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("overlap").alias("oa"), F.col("n").alias("na"), "rest")
+    v = own.select("home", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("overlap").alias("ob"), F.col("n").alias("nb"), F.col("rest").alias("rest_b"))
+    # shingles of rests that several components have; the others cannot join any two
+    keys = own.select("home", F.explode("rest").alias("k"), "comp").groupBy("home", "k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("home", "k")
+    keys = materialize(keys, "near-keys")
+    of = lambda x, r: x.select("*", F.explode(r).alias("k")).drop(r).join(keys, ["home", "k"], "left_semi")
+    met = of(u, "rest").join(of(v, "rest_b"), ["home", "k"]).filter("a <> b AND ca <> cb")
+    shared = met.groupBy("a", "b", "oa", "ob", "na", "nb").agg(F.count(F.lit(1)).alias("both")).filter(enough(F.least("oa", "ob") + F.col("both"), F.col("na"), F.col("nb")))
+    # partners so small that the home's part can do
+    most = F.expr(f"oa * {100 + PERCENT} div {PERCENT} - na")
+    least = F.expr(f"(na * {PERCENT} + 99) div 100")
+    sizes = F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<bigint>"))
+    small = u.drop("rest").select("*", F.explode(sizes).alias("nb")).join(v.drop("rest_b"), ["home", "nb"])
+    small = small.filter("a <> b AND ca <> cb").filter(enough(F.least("oa", "ob"), F.col("na"), F.col("nb")))
+    return shared.select("a", "b").unionByName(small.select("a", "b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,14 +222,25 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")), "near-labels")
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = materialize(labels.join(around, "id").select("id", F.least("component", "near").alias("component")), "near-labels")
+        lower = labels.join(around, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        moved = materialize(lower.join(jump, "component").join(labels.select("id", F.col("component").alias("before")), "id").select("id", F.col("root").alias("component"), "before"), "near-labels")
+        moved = materialize(lower.join(jump, "component").select("id", F.col("root").alias("component"), "before"), "near-labels")
         labels = moved.select("id", "component")
         if moved.filter("component <> before").limit(1).count() == 0:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of all classes after some more links: only the components that the links join are looked at."""
+    end = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    joins = links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joins = materialize(joins.distinct(), "near-joins")
+    if joins.limit(1).count() == 0:
+        return labels
+    to = components(joins).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return materialize(labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "near-labels")
+
+
 def least_first(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -178,33 +258,56 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     # the center is always b, so that its text is read once for a run of pairs
     star = members.join(center, "bucket").filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     pairs = materialize(star, "near-pairs")
-    links = materialize(judged(pairs, classes, texts), "near-links")
-    seen, tested, turn = pairs.select(*least_first("a", "b")), None, 4
+    found = materialize(compared(pairs, classes, texts), "near-compared")
+    linked_ids = components(found.filter(LINK).select("a", "b").distinct())
+    labels = materialize(weight.select("id").join(linked_ids, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "near-labels")
+
+    # home: the center with the greatest weight among those with nearly the greatest overlap; the heavier end leads, so a home is its own
+    heavy = weight.select(F.col("id").alias("b"), F.col("weight").alias("wb"))
+    mine = weight.select(F.col("id").alias("a"), F.col("weight").alias("wa"))
+    choices = found.join(heavy, "b").join(mine, "a").filter("wb > wa OR (wb = wa AND b < a)")
+    best = choices.groupBy("a").agg(F.max("overlap").alias("best"))
+    near = choices.join(best, "a").filter("overlap * 10 >= best * 9").groupBy("a").agg(F.max_by(F.struct("b", "overlap", "na", "rest"), F.struct("wb", (-F.col("b")).alias("minus"))).alias("h"))
+    away = near.select(F.col("a").alias("id"), F.col("h.b").alias("home"), F.col("h.overlap").alias("overlap"), F.col("h.na").alias("n"), F.col("h.rest").alias("rest"))
+    away = materialize(away, "near-away")
+    none = F.array().cast("array<bigint>")
+    self_home = classes.join(away.select("id"), "id", "left_anti").join(weight.select("id"), "id", "left_semi").select("id", F.col("id").alias("home"), F.col("n_shingles").alias("overlap"), F.col("n_shingles").alias("n"), none.alias("rest"))
+    homes = materialize(away.unionByName(self_home), "near-homes")
+    seen = pairs.select(*least_first("a", "b")).distinct()
+
+    def unseen(pairs: DataFrame) -> DataFrame:
+        ends = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
+        return materialize(ends.join(seen.select(F.col("a").alias("low"), F.col("b").alias("high")), ["low", "high"], "left_anti").select("a", "b"), "near-pairs")
+
+    fresh = unseen(same_home_pairs(homes, labels))
+    if fresh.limit(1).count():
+        labels = merged(labels, judged(fresh, classes, texts))
+        seen = seen.unionByName(fresh.select(*least_first("a", "b")))
+
+    members = materialize(members.join(homes.select("id", "home"), "id"), "near-members")
+    tested, turn = None, 16
     while True:
-        labels = components(links)
-        own = members.join(labels, "id", "left").select("bucket", "id", "weight", F.coalesce("component", "id").alias("component"))
+        own = members.join(labels, "id", "left").select("bucket", "id", "weight", "home", F.coalesce("component", "id").alias("component"))
         own = materialize(own, "near-own")
-        split = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        mixed = materialize(own.join(materialize(split, "near-split"), "bucket"), "near-mixed")
+        mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("one"), F.max("home").alias("two")).filter("low <> high AND one <> two").select("bucket")
+        mixed = materialize(own.join(materialize(mixed, "near-split"), "bucket"), "near-mixed")
         sizes = mixed.groupBy("bucket", "component").count()
         largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", (-F.col("component")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("main"))
         rest = mixed.join(materialize(largest, "near-largest"), "bucket").filter("component <> main")
         if tested is not None:
             rest = rest.join(tested, ["bucket", "id"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "id"))
-        chosen = materialize(rest.withColumn("nth", nth).filter(F.col("nth") <= turn).select("bucket", "id", "component"), "near-chosen")
+        chosen = materialize(rest.withColumn("nth", nth).filter(F.col("nth") <= turn).select("bucket", "id", "home", "component"), "near-chosen")
         if chosen.limit(1).count() == 0:
             return labels
-        other = mixed.select("bucket", F.col("id").alias("other"), F.col("component").alias("theirs"))
-        fresh = chosen.join(other, "bucket").filter("component <> theirs").select(F.col("other").alias("a"), F.col("id").alias("b")).dropDuplicates()
-        fresh = fresh.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
-        fresh = materialize(fresh.join(seen.select(F.col("a").alias("low"), F.col("b").alias("high")), ["low", "high"], "left_anti").select("a", "b"), "near-pairs")
+        other = mixed.select("bucket", F.col("id").alias("other"), F.col("component").alias("theirs"), F.col("home").alias("their_home"))
+        fresh = unseen(chosen.join(other, "bucket").filter("component <> theirs AND home <> their_home").select(F.col("other").alias("a"), F.col("id").alias("b")))
         if fresh.limit(1).count():
-            links = materialize(links.unionByName(judged(fresh, classes, texts)), "near-links")
+            labels = merged(labels, judged(fresh, classes, texts))
             seen = seen.unionByName(fresh.select(*least_first("a", "b")))
         mark = chosen.select("bucket", "id")
         tested = mark if tested is None else materialize(tested.unionByName(mark), "near-tested")
-        turn *= 4
+        turn *= 8
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
