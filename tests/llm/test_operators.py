@@ -259,6 +259,42 @@ def test_pii_formats_and_links(spark):
     assert pii.pseudonymise(empty(spark)).count() == 0
 
 
+def test_pii_spellings(spark):
+    """Every spelling is replaced, keeps its signs, and equal values get equal digits."""
+    same = {
+        "phone": ["+1 (555) 123-4567", "555-123-4567", "(555) 123-4567", "(555)123-4567", "+1-555-123-4567", "+1 555 123 4567", "+15551234567", "1-555-123-4567", "555.123.4567", "555 123 4567"],
+        "abroad": ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (0)20 7946 0958", "+44 (20) 7946 0958"],
+        "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111.1111.1111.1111"],
+        "amex": ["378282246310005", "3782 822463 10005", "3782-822463-10005"],
+        "date": ["2024-01-15", "2024-01-15T10:00", "2024/01/15", "2024.01.15", "15/01/2024", "01/15/2024", "15.01.2024", "1/15/2024"],
+        "email": ["müller@x.de", "MÜLLER@x.de"],
+    }
+    rows = [(i, f"Before {t} after.") for i, t in enumerate(x for k in same.values() for x in k)]
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    new, i = {}, 0
+    for kind, spellings in same.items():
+        for t in spellings:
+            got = re.fullmatch(r"Before (.*) after\.", out[i].text)[1]
+            assert out[i].n_replaced == 1 and out[i].kinds == {"abroad": "phone", "amex": "card"}.get(kind, kind), (t, out[i])
+            new[t], i = got, i + 1
+            if kind in ("phone", "abroad", "card", "amex"):
+                assert re.sub("[0-9]", "0", got) == re.sub("[0-9]", "0", t) and got != t
+    digits = lambda t: re.sub("[^0-9]", "", new[t].replace("(0)", ""))
+    assert len({digits(t)[-10:] for t in same["phone"]}) == 1 and len({digits(t) for t in same["abroad"]}) == 1 and digits("+442079460958")[:2] == "44"
+    assert len({digits(t) for t in same["card"]}) == 1 and len({digits(t) for t in same["amex"]}) == 1 and new["müller@x.de"] == new["MÜLLER@x.de"]
+    y, m, d = new["2024-01-15"].split("-")
+    assert new["2024-01-15T10:00"] == f"{y}-{m}-{d}T10:00" and new["2024/01/15"] == f"{y}/{m}/{d}" and new["2024.01.15"] == f"{y}.{m}.{d}"
+    assert new["15/01/2024"] == f"{d}/{m}/{y}" and new["01/15/2024"] == f"{m}/{d}/{y}" and new["15.01.2024"] == f"{d}.{m}.{y}" and new["1/15/2024"] == f"{int(m)}/{d}/{y}"
+
+
+def test_pii_cards_among_numbers(spark):
+    rows = [(1, "in 2024 4111 1111 1111 1111 123 and 4111 1111 1111 1111 3782 822463 10005."), (2, "1990 1991 1992 1993, 4111 1111 1111 1112, 30/02/2024, 1.2.3"), (3, "4111 1111 1111 1111 555 123 4567")]
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    assert "4111 1111" not in out[1].text and "822463" not in out[1].text and out[1].n_replaced == 3 and out[1].text.startswith("in 2024 ")
+    assert out[2].text == rows[1][1] and out[2].n_replaced == 0 and out[2].kinds == ""
+    assert "4111" not in out[3].text[:4] and "123 4567" not in out[3].text and out[3].kinds == "card,phone" and out[3].n_replaced == 2
+
+
 def test_feistel_permutes(spark):
     n = 30 * 41
     moved = spark.range(n).select(pii.feistel((F.col("id") / 41).cast("long"), F.col("id") % 41, 30, 41, "k", "t").alias("x")).select((F.col("x.l") * 41 + F.col("x.r")).alias("y"))
