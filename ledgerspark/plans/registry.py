@@ -10,7 +10,7 @@ from .demo_views import oracle, view
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-SECTIONS = ["q_ledger", "q_gates", "q_validate", "q_cells", "q_resolve", "q_facts", "q_provenance", "q_contacts", "q_corpus", "q_retrieve", "q_ground", "q_watch", "q_io"]
+SECTIONS = ["q_ledger", "q_gates", "q_validate", "q_cells", "q_resolve", "q_facts", "q_provenance", "q_contacts", "q_corpus", "q_retrieve", "q_ground", "q_watch", "q_io", "q_whole"]
 
 
 def query(name: str, *views: str, sql: str | None = None):
