@@ -71,6 +71,30 @@ def fold_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+INNER = 7  # words of a key, from the second on
+
+
+def quote_candidates(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Texts that share the inner words of a quote, the first INNER at most, so that only they are compared in full (item_id, doc_id).
+
+    A quote may begin and end inside a word of the text, so its first and last word are in no key. Texts have keys of every
+    length that a quote needs. Quotes of at most two words have no inner word and are searched for in every text.
+    """
+    words = lambda c: F.split(fold_space(c), " ")
+    q = quotes.filter(fold_space(F.col("text")) != "").select("item_id", fold_space(F.col("text")).alias("quote"), words(F.col("text")).alias("w"))
+    inner = F.least(F.size("w") - 2, F.lit(INNER))
+    keyed = q.filter(F.size("w") > 2).select("item_id", inner.alias("len"), F.array_join(F.slice("w", F.lit(2), inner), " ").alias("k"))
+    short = q.filter(F.size("w") <= 2).select("item_id", "quote")
+    lengths = F.broadcast(keyed.agg(F.array_sort(F.collect_set("len")).alias("lengths")))
+    e = evidence.select("doc_id", fold_space(F.col("text")).alias("body"))
+    starts = e.select("doc_id", F.split("body", " ").alias("w")).crossJoin(lengths).select("doc_id", "w", F.explode("lengths").alias("len"))
+    # the word before a key and the one after it must be there too
+    starts = starts.filter(F.size("w") >= F.col("len") + 2).select("doc_id", "len", "w", F.explode(F.sequence(F.lit(2), F.size("w") - F.col("len"))).alias("i"))
+    keys = starts.select("doc_id", "len", F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("k"))
+    long_ = keys.join(F.broadcast(keyed), ["len", "k"]).select("item_id", "doc_id")
+    return long_.unionByName(e.join(F.broadcast(short), F.contains("body", F.col("quote"))).select("item_id", "doc_id")).distinct()
+
+
 def quote_grounded(quotes: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     """GND-08: first candidate text that holds the quote, white space folded (item_id, text; doc_id, text; item_id, doc_id)."""
     q = quotes.select("item_id", fold_space(F.col("text")).alias("quote"))

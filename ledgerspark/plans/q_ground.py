@@ -71,15 +71,7 @@ def gnd07(a):
 WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM v_quote), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS b FROM v_doc),
 h AS (SELECT item_id, min(doc_id) AS doc_id FROM q JOIN d ON contains(b, q) GROUP BY item_id) SELECT q.item_id, doc_id, doc_id IS NOT NULL AS grounded FROM q LEFT JOIN h USING (item_id)""")
 def gnd08(quotes, docs):
-    # candidates share the quote's first eight words, so that only they are compared in full
-    head = lambda c: F.array_join(F.slice(F.split(G.fold_space(c), " "), 1, 8), " ")
-    q = quotes.select("item_id", head(F.col("text")).alias("head"), F.size(F.split(G.fold_space(F.col("text")), " ")).alias("n"))
-    w = docs.select("doc_id", F.split(G.fold_space(F.col("text")), " ").alias("w"))
-    starts = w.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select("doc_id", F.array_join(F.slice("w", F.col("i"), 8), " ").alias("head"))
-    # a quote may begin inside a word of the text, which is why its first word is left out of the key
-    tail = lambda c: F.regexp_replace(c, r"^\S+ ?", "")
-    keyed = q.select("item_id", tail(F.col("head")).alias("k"))
-    return G.quote_grounded(quotes, docs, starts.select("doc_id", tail(F.col("head")).alias("k")).join(F.broadcast(keyed), "k").select("item_id", "doc_id").distinct())
+    return G.quote_grounded(quotes, docs, G.quote_candidates(quotes, docs))
 
 
 SAID = "CASE doc_id % 5 WHEN 0 THEN 'It is a Single Family Office.' WHEN 1 THEN 'It serves multiple families.' WHEN 2 THEN 'Fam7 LLC - Home' ELSE text END"

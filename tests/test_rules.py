@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import cells, ledger, retrieve, validate
+from ledgerspark.operators import cells, ground, ledger, retrieve, validate
 
 SCHEMA = "seq long, created_at timestamp, claim_id string, entity_id long, field_name string, question_id string, status string, source_class string, extraction_method string, answer string, answer_num double, source_url string, retrieved_at timestamp, confidence string"
 
@@ -94,3 +94,14 @@ def test_empty_ledger(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (cells.resolve_cells, cells.alternatives, validate.cross_class, validate.contradictions, validate.contradiction_findings, validate.identity_gate, validate.completeness, ledger.latest_by_field, ledger.select_claim):
         assert f(none).count() == 0
+
+
+def test_quotes_of_any_length_are_found(spark):
+    body = "zero one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "nothing here"), (2, body), (3, body + " more"), (4, None), (5, "")], "doc_id long, text string")
+    said = ["three", "hre", "two three", "wo thr", "one two three", "ne two thr", "one two three four five six seven", "one two three four five six seven eight", "one two three four five six seven eigh", "ero  one two three four five six seven eight ni", "nine ten", "one three", "one two three four five six eight", ""]
+    quotes = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    got = {r.item_id: r.doc_id for r in ground.quote_grounded(quotes, docs, ground.quote_candidates(quotes, docs)).collect()}
+    fold = [" ".join(s.split()) for s in said]
+    assert got == {i: 2 if s and s in body else None for i, s in enumerate(fold)}
+    assert got[0] == got[2] == got[6] == got[7] == 2
