@@ -151,9 +151,11 @@ def str02(ledger):
     return T.stream_ledger_image(ledger.select("entity_id", "field_name", "claim_id", "created_at", "seq")).select("entity_id", "field_name", "claim_id")
 
 
-@streaming("str03_stream_signal_counts", "v_ledger")
+@streaming("str03_stream_signal_counts", "v_ledger", sql="""
+SELECT CAST(created_at AS DATE) AS day, field_name AS kind, count(*) AS signals FROM v_ledger GROUP BY 1, 2""")
 def str03(ledger):
-    return T.drain(T.stream_signal_counts(ledger.select(F.col("field_name").alias("kind"), F.col("created_at").alias("at"))), "signals")
+    n = T.stream_signal_counts(ledger.select(F.col("field_name").alias("kind"), F.col("created_at").alias("at")))
+    return n.select(F.to_date("start").alias("day"), "kind", "signals")
 
 
 @streaming("str04_stream_progress", "v_run", sql="SELECT run_id, count(*) AS calls, count(*) FILTER (ok) AS ok, CAST(sum(duration_ms) AS BIGINT) AS spent_ms FROM v_run GROUP BY run_id")

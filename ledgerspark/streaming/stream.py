@@ -61,10 +61,28 @@ def stream_ledger_image(claims: DataFrame) -> DataFrame:
 
 
 def stream_signal_counts(signals: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
-    """STR-03: signals per kind and window (tumbling, or sliding with slide); rows later than the watermark are left out."""
+    """STR-03: running counts of signals per kind and window (tumbling, or sliding with slide), merged batch by batch.
+
+    Every row counts in its window; stale counts those that came when an earlier batch had a row more than late after them.
+    """
     span = F.window("at", window, slide) if slide else F.window("at", window)
-    n = signals.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).groupBy(span.alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals"))
-    return n.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "signals")
+    keys = ["start", "end", "kind"]
+
+    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
+        # newest is the time of the newest row so far, kept on every row of the snapshot
+        rows = batch.withColumn("at", F.col("at").cast("timestamp")).filter("at IS NOT NULL")
+        if base is None:
+            rows = rows.withColumn("is_stale", F.lit(False))
+        else:
+            before = F.broadcast(base.agg(F.max("newest").alias("before")))
+            rows = rows.crossJoin(before).withColumn("is_stale", F.coalesce(F.col("at") < F.col("before") - F.expr(f"INTERVAL {late}"), F.lit(False)))
+        n = rows.groupBy(span.alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals"), F.count_if("is_stale").alias("stale"), F.max("at").alias("newest"))
+        n = n.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "signals", "stale", "newest")
+        if base is None:
+            return n
+        return base.unionByName(n).groupBy(*keys).agg(F.sum("signals").alias("signals"), F.sum("stale").alias("stale"), F.max("newest").alias("newest"))
+
+    return fold_batches(signals, "signal-counts", merge).drop("newest")
 
 
 def stream_sessions(signals: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:

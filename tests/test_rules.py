@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import cells, ground, ledger, retrieve, validate
+from ledgerspark.streaming import stream
 
 SCHEMA = "seq long, created_at timestamp, claim_id string, entity_id long, field_name string, question_id string, status string, source_class string, extraction_method string, answer string, answer_num double, source_url string, retrieved_at timestamp, confidence string"
 
@@ -96,6 +97,16 @@ def test_empty_ledger(spark):
         assert f(none).count() == 0
 
 
+def test_signal_counts_keep_every_window_and_count_stale(spark, tmp_path):
+    folder = str(tmp_path / "signals")
+    files = [["2024-01-09 10:00", "2024-01-10 12:00"], ["2024-01-10 13:00", "2024-01-07 09:00", "2024-01-09 11:00"]]
+    for days in files:
+        spark.createDataFrame([("news", d) for d in days], "kind string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(folder)
+    signals = spark.readStream.schema("kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {str(r.start)[:10]: (r.signals, r.stale) for r in stream.stream_signal_counts(signals).collect()}
+    assert got == {"2024-01-07": (1, 1), "2024-01-09": (2, 0), "2024-01-10": (2, 0)}
+
+
 def test_quotes_of_any_length_are_found(spark):
     body = "zero one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, "nothing here"), (2, body), (3, body + " more"), (4, None), (5, "")], "doc_id long, text string")
