@@ -1,12 +1,12 @@
-"""Queries over whole views, beside those whose fixture reads a part of its view: the same operator and SQL without the filter."""
+"""Queries over whole views and whole jobs, beside those that do a part: the same operator, and SQL without the filter or cap."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, contacts, corpus, gates, provenance, retrieve, validate
+from ..operators import cells, contacts, corpus, facts, gates, provenance, retrieve, validate
 from ..operators.ledger import select_claim
-from . import q_cells, q_contacts, q_corpus, q_gates, q_provenance, q_retrieve, q_validate, registry  # noqa: F401
+from . import q_cells, q_contacts, q_corpus, q_facts, q_gates, q_provenance, q_retrieve, q_validate, registry  # noqa: F401
 from .registry import query
 
 
@@ -107,3 +107,30 @@ def rnk07(e):
 @whole("cell05_provenance_rows", "v_ledger", " WHERE entity_id % 3 = 0")
 def cell05(ledger):
     return cells.provenance_rows(ledger, ledger.select("entity_id").distinct())
+
+
+# ten neighbouring ids are one entity and there are 97 values, so that entities have more than ten seeds
+SEEDS = q_facts.LEADS
+TEN = "entity_id - entity_id % 10"
+
+
+@query("fx08_unverified_leads_whole", "v_source", sql=f"""
+WITH d AS (SELECT {TEN} AS entity_id, {SEEDS} AS kind, CAST(value_usd % 97 AS STRING) AS value, min(seq) AS seq FROM v_source WHERE source_class NOT IN ('13f_filing', '5500_filing', 'conference_sighting') GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq, kind, value) AS place FROM d) SELECT * FROM p WHERE place <= 10""")
+def fx08(s):
+    return facts.unverified_leads(s.select(F.expr(TEN).alias("entity_id"), "source_class", F.expr(SEEDS).alias("kind"), (F.col("value_usd") % 97).cast("string").alias("value"), "seq"))
+
+
+WORTH = "'$' || format('{:,}', aum_usd)"
+
+
+@query("cor08_csv_chunks_whole", "v_entity", sql=f"""
+WITH r AS (SELECT CAST(record_id AS STRING) AS record_id, trim(name_raw) AS name, outcome, discovery_class, principal_name, record_id % 2 = 0 AS mandated, {WORTH} AS worth FROM v_entity)
+SELECT record_id, 'identity' AS facet, name || ' is a family office / advisory entity (imported record, verdict: ' || outcome || '). Assets under management: ' || worth || '. Discovery sources: ' || discovery_class || '.' AS content FROM r
+UNION ALL SELECT record_id, 'mandate', name || '''s investing mandate and focus. ' || CASE WHEN mandated THEN 'Mandates: energy, credit.' ELSE 'No mandate details in the record.' END FROM r
+UNION ALL SELECT record_id, 'people', CASE WHEN principal_name IS NULL THEN 'No named decision-maker in the record for ' || name || '.' ELSE principal_name || ' is the named contact at ' || name || '.' END FROM r
+UNION ALL SELECT record_id, 'activity', 'No recent activity recorded for ' || name || '.' FROM r
+UNION ALL SELECT record_id, 'why_now', 'No specific why-now trigger recorded for ' || name || '.' FROM r
+UNION ALL SELECT record_id, 'summary', name || ': imported ' || outcome || ' record. AUM ' || worth || '. Principal: ' || coalesce(principal_name, 'not named') || '.' FROM r""")
+def cor08(e):
+    return corpus.csv_chunks(q_corpus.imported(e))

@@ -25,3 +25,10 @@ def test_every_claim_and_run_counts(spark):
     for r in view(spark, SF, "v_run").collect():
         newest[r.entity_id] = max(newest.get(r.entity_id, (r.called_at, r.seq, r.run_id)), (r.called_at, r.seq, r.run_id))
     assert {r.entity_id: r.run_id for r in run("prv08_newest_run_for_lead_whole").collect()} == {e: x[2] for e, x in newest.items()}
+
+
+def test_ten_leads_and_six_facets(spark):
+    leads = registry.queries()["fx08_unverified_leads_whole"](spark, SF)
+    assert leads.agg({"place": "max"}).first()[0] == 10
+    chunks = registry.queries()["cor08_csv_chunks_whole"](spark, SF)
+    assert {r.facet for r in chunks.select("facet").distinct().collect()} == {"identity", "mandate", "people", "activity", "why_now", "summary"}
