@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A group with at least one row in this many is "hot"; there can be no more hot groups than this.
 HOT_SHARE = 1000
+#: Groups of fewer rows, and tables that one task can join whole, are never spread by join_salted.
+SMALL_GROUP, SMALL_TABLE = 256, 10_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -51,6 +53,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def text_key(text: Column | str) -> Column:
+    """64-bit hash of a text, null as empty: tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows to one row per group (every key of rows is in groups), safe where one group holds a large share of the rows.
 
@@ -62,3 +69,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     first = rows.join(F.broadcast(hot), key, "inner")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "inner")
     return first.unionByName(rest)
+
+
+def join_salted(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+    """Join of rows to groups (at most one row per key), in which the rows of a hot key are spread over several tasks by the column `by`.
+
+    Only the hot keys are broadcast, HOT_SHARE at most; the group's own row, however large, is copied once for each task of its key. counted
+    holds the keys of rows where counting rows themselves would compute them twice. key must not be null in rows.
+    """
+    counted = rows if counted is None else counted
+    total = counted.count()
+    if total <= SMALL_TABLE:
+        return rows.join(groups.hint(hint) if hint else groups, key, how)
+    most = max(total // HOT_SHARE, SMALL_GROUP)
+    hot = counted.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).alias("salts"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1)))).drop("salts")
+    copies = groups.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(copies.hint(hint) if hint else copies, [key, "salt"], how).drop("salt")
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has (in any case) as columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -10,17 +10,18 @@ class (the one whose buckets are the fullest), so a group of n near copies gives
 judged three times: by its sizes, by the similarity that makes its registers most likely, and on the full sets.
 Confirmed links are joined into components.
 
-What the stars leave open. Each class takes a near and central center as its home, and its rest is the part of its set
-outside the home's. A class that is not linked to its home's component needs, for a link to a class v of the same home, an overlap that the home alone
-cannot give, unless v is small: so the two share a shingle of their rests, and only such pairs (and the small ones, found
-by size) are judged. Buckets that still hold components of different homes go through further rounds: in each, some classes outside the
-bucket's largest component are paired with its members of other homes and components, until every such class had its
-turn. So no two linked classes that share a bucket are left in different components, and pairs inside one component
-are never spelt out.
+What the stars leave open. A star is a center with all classes that share a bucket of its; classes of one bucket always meet in a star.
+In a star that holds several components, the classes outside its largest one are seekers: a link to a class of another
+component may still be missing. Each seeker is held against all classes of the star in other components, the heaviest seekers first (what they
+join need not be held again), then all that are left. They are held by bitmaps: a bit for each
+hashed shingle, in which two sets differ in at most as many bits as in shingles, so a pair whose bitmaps differ too much is no link and never becomes a row.
+Tiles of SIDE by SIDE classes of a star are dealt to tasks, so no star is too large for one. Pairs that remain are judged as
+above. So no two linked classes that share a bucket are left in different components.
 
 Defined results: null and empty texts and texts without words have no shingles and stand alone; fewer than SHINGLE words are one shingle;
-rows that share a doc_id are one document; rows with a null doc_id are linked with nothing, their component_id is null and they
-are kept; equal rows get equal results.
+rows with words that share a doc_id are one document and therefore in one component, whatever their texts; rows with a null doc_id are linked with
+nothing, their component_id is null and they are kept; equal rows get equal results; an empty table gives an empty one; texts of any length
+are read whole. Sets and classes are compared by 64-bit hashes of shingles and 128-bit digests of sets.
 """
 
 from __future__ import annotations
@@ -34,13 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER, fresh_names, join_groups, join_salted, materialize, text_key
 
 SHINGLE, PERCENT = 5, 75
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Pairs whose most likely similarity is below this are not looked at in full; 0.75 is six standard errors above it.
 LIKELY = 0.5
+#: Classes along each side of a tile, seekers' bitmap bytes of a tile, and seekers of a star in each round.
+SIDE, TILE_BYTES, TURNS = 512, 8 << 20, (8, None)
+#: Bits of a bitmap: at least eight for a shingle, a power of two within these.
+FEWEST_BITS, MOST_BITS = 512, 1 << 20
 CACHE = 500_000
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -111,7 +116,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketch.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "registers"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +134,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     last, of_last = None, np.zeros(0, np.uint64)
     for batch in batches:
-        a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        keep = []
         left, right = batch.column(2), batch.column(3)
         for i in range(batch.num_rows):
             text = right[i].as_py()
@@ -138,193 +143,203 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shingles(left[i].as_py(), known)
             both = len(np.intersect1d(own, of_last, assume_unique=True))
             keep.append(both > 0 and 100 * both >= PERCENT * (len(own) + len(of_last) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap of each pair and the rest of a's set outside b's. Rows come sorted by b, whose set is kept while it stays."""
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit for each shingle, at the place that the low bits of its hash name."""
+    m = min(max(FEWEST_BITS, 1 << int(8 * len(s) - 1).bit_length()), MOST_BITS)
+    flags = np.zeros(m, bool)
+    flags[(s & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(flags)
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) as if made with fewer bits: width bytes, a power of two."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    last, of_last = None, np.zeros(0, np.uint64)
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        overlap, rests, sizes = [], [], []
-        for i in range(batch.num_rows):
-            text = right[i].as_py()
-            if last is None or text != last:
-                last, of_last = text, shingles(text, known)
-            own = shingles(left[i].as_py(), known)
-            rest = np.setdiff1d(own, of_last, assume_unique=True)
-            overlap.append(len(own) - len(rest))
-            sizes.append((len(own), len(of_last)))
-            rests.append(rest.view(np.int64))
-        both, own, other = np.array(overlap, np.int64), *np.array(sizes, np.int64).reshape(-1, 2).T
-        columns = [batch.column(0), batch.column(1), pa.array(both), pa.array(own), pa.array(other), pa.array(rests, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "overlap", "na", "nb", "rest"])
+        sets = [shingles(text, known) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["id", "n", "bits"])
+
+
+class Tile:
+    """The seekers of a tile by the width of their bitmaps."""
+
+    def __init__(self, key: tuple):
+        self.key, self.rows, self.packed = key, {}, {}
+
+    def add(self, seeker: bytes, component: bytes, n: int, bits: bytes) -> None:
+        self.rows.setdefault(len(bits), []).append((seeker, component, n, bits))
+
+    def of(self, width: int, target: int) -> tuple:
+        if (width, target) not in self.packed:
+            ids, components, n, bits = zip(*self.rows[width], strict=True)
+            matrix = folded(np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), width), target).view(np.uint64)
+            self.packed[width, target] = ids, np.array(components, object), np.array(n), matrix
+        return self.packed[width, target]
+
+    def close(self, component: bytes, n: int, bits: bytes) -> Iterator[bytes]:
+        """Seekers of other components whose bitmaps do not rule out a link to a class."""
+        own = np.frombuffer(bits, np.uint8)[None, :]
+        for width in self.rows:
+            target = min(width, len(bits))
+            ids, components, sizes, matrix = self.of(width, target)
+            fine = np.flatnonzero((np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT) & (components != component))
+            if not len(fine):
+                continue
+            apart = np.bitwise_count(matrix[fine] ^ folded(own, target).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            # a link shares at least p / (100 + p) of both sizes together, so it differs in at most (100 - p) / (100 + p)
+            for i in fine[apart * (100 + PERCENT) <= (sizes[fine] + n) * (100 - PERCENT)]:
+                yield ids[i]
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile that may be links. Rows come sorted by tile, seekers first."""
+    tile = Tile(())
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        columns = [batch.column(c).to_pylist() for c in ("star", "i", "j", "member", "id", "component", "n", "bits")]
+        for star, i, j, member, own, component, n, bits in zip(*columns, strict=True):
+            if tile.key != (star, i, j):
+                tile = Tile((star, i, j))
+            if member:
+                found += [(own, other) for other in tile.close(component, n, bits)]
+            else:
+                tile.add(own, component, n, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
 
 
-def whole_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and registers leave, with both texts, sorted by b."""
+def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that are links: by sizes, by registers, and on the full sets. Many pairs may share a b."""
     left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    sized = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long").distinct(), "near-likely")
+    sized = join_salted(pairs.join(left, "a"), right, "b", by="a", counted=pairs).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a binary, b binary"), "near-likely")
     member, center = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return likely.join(member.hint("merge"), "a").join(center.hint("merge"), "b").select("a", "b", "ta", "tb")
-
-
-def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    return whole_pairs(pairs, classes, texts).mapInArrow(_confirmed, "a long, b long").distinct()
-
-
-LINK = f"100 * overlap >= {PERCENT} * (na + nb - overlap)"
-
-
-def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, overlap, na, nb and the rest of a, for the pairs that sizes and registers leave."""
-    return whole_pairs(pairs, classes, texts).mapInArrow(_compared, "a long, b long, overlap long, na long, nb long, rest array<long>")
-
-
-def enough(overlap, a, b):
-    """Whether an overlap of sets of these sizes makes a link; whole numbers, so that the border is exact."""
-    return overlap * (100 + PERCENT) >= (a + b) * PERCENT
-
-
-def same_home_pairs(homes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one home in different components that may be links, a being outside the home's component.
-
-    homes: id, home, overlap, n (size of the set), rest. What the two share inside the home's set is at most the lesser overlap, so the
-    shared part of the rests must give what is missing.
-    """
-    own = homes.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
-    at = labels.select(F.col("id").alias("home"), F.col("component").alias("home_c"))
-    own = materialize(own.join(at, "home", "left").withColumn("outside", F.col("comp") != F.coalesce("home_c", "home")).drop("home_c"), "near-homes")
-    u = own.filter("outside").select("home", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("overlap").alias("oa"), F.col("n").alias("na"), "rest")
-    v = own.select("home", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("overlap").alias("ob"), F.col("n").alias("nb"), F.col("rest").alias("rest_b"))
-    # shingles of rests that several components have; the others cannot join any two
-    keys = own.select("home", F.explode("rest").alias("k"), "comp").groupBy("home", "k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("home", "k")
-    keys = materialize(keys, "near-keys")
-    of = lambda x, r: x.select("*", F.explode(r).alias("k")).drop(r).join(keys, ["home", "k"], "left_semi")
-    met = of(u, "rest").join(of(v, "rest_b"), ["home", "k"]).filter("a <> b AND ca <> cb")
-    shared = met.groupBy("a", "b", "oa", "ob", "na", "nb").agg(F.count(F.lit(1)).alias("both")).filter(enough(F.least("oa", "ob") + F.col("both"), F.col("na"), F.col("nb")))
-    # partners so small that the home's part can do
-    most = F.expr(f"oa * {100 + PERCENT} div {PERCENT} - na")
-    least = F.expr(f"(na * {PERCENT} + 99) div 100")
-    sizes = F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<bigint>"))
-    small = u.drop("rest").select("*", F.explode(sizes).alias("nb")).join(v.drop("rest_b"), ["home", "nb"])
-    small = small.filter("a <> b AND ca <> cb").filter(enough(F.least("oa", "ob"), F.col("na"), F.col("nb")))
-    return shared.select("a", "b").unionByName(small.select("a", "b")).distinct()
+    both = join_salted(likely.join(member.hint("merge"), "a"), center, "b", by="a", counted=likely, hint="merge")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a binary, b binary"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of all ends of links: each takes the least label around it, then its label's label, until nothing moves."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")), "near-labels")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), "near-labels")
     while True:
-        around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(around, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        around = join_salted(both, labels.select(F.col("id").alias("b"), "component"), "b", by="a").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        lower = materialize(labels.join(around, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before")), "near-lower")
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        moved = materialize(lower.join(jump, "component").select("id", F.col("root").alias("component"), "before"), "near-labels")
+        moved = materialize(join_salted(lower, jump, "component", by="id").select("id", F.col("root").alias("component"), "before"), "near-labels")
         labels = moved.select("id", "component")
-        if moved.filter("component <> before").limit(1).count() == 0:
+        if moved.filter("component <> before").isEmpty():
             return labels
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels of all classes after some more links: only the components that the links join are looked at."""
     end = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    joins = links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joins = join_salted(links.join(end("a"), "a"), end("b"), "b", by="a", counted=links).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joins = materialize(joins.distinct(), "near-joins")
-    if joins.limit(1).count() == 0:
+    if joins.isEmpty():
         return labels
     to = components(joins).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return materialize(labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "near-labels")
-
+    return materialize(join_salted(labels, to, "component", by="id", how="left").select("id", F.coalesce("to", "component").alias("component")), "near-labels")
 
-def least_first(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def open_pairs(mixed: DataFrame, seekers: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of seekers with classes of their star in other components that bitmaps do not rule out.
 
-def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and component of the classes that have links."""
+    mixed: star, id, component, members (of the star); seekers: some of these rows.
+    """
+    sought = materialize(seekers.join(bits, "id"), "near-seekers")
+    sizes = sought.groupBy("star").agg(F.max("members").alias("members"), F.count(F.lit(1)).alias("seekers"), F.sum(F.octet_length("bits")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("seekers") / SIDE), F.ceil(F.col("bytes") / TILE_BYTES)).alias("blocks")
+    tiles = materialize(sizes.select("star", "members", F.ceil(F.col("members") / SIDE).alias("salts"), blocks), "near-tiles")
+    salt, block = F.pmod(F.xxhash64("id"), "salts"), F.pmod(F.xxhash64("id", F.lit("block")), "blocks")
+    total = mixed.count()
+    everyone = join_groups(mixed.drop("members"), tiles, "star", "members", total).withColumn("i", salt).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    everyone = everyone.select("star", "i", "j", F.lit(True).alias("member"), "id", "component").join(bits, "id")
+    some = join_groups(sought.drop("members"), tiles, "star", "members", total).withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    columns = ["star", "i", "j", "member", "id", "component", "n", "bits"]
+    rows = everyone.select(*columns).unionByName(some.withColumn("member", F.lit(False)).select(*columns))
+    dealt = rows.repartition("star", "i", "j").sortWithinPartitions("star", "i", "j", "member")
+    return materialize(dealt.mapInArrow(_close, "a binary, b binary").distinct(), "near-pairs")
+
+
+def linked(classes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """id and component of the classes that have links. known: a, b, classes linked from the start."""
     bands = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])).alias("bucket"))
     buckets = materialize(bands.groupBy("bucket").count().filter("count > 1"), "near-buckets")
-    members = materialize(bands.join(buckets, "bucket").select("bucket", "id", F.col("count").alias("fill")), "near-members")
+    total = classes.count() * (REGISTERS // ROWS)
+    members = materialize(join_groups(bands, buckets, "bucket", "count", total).select("bucket", "id", F.col("count").alias("fill")), "near-members")
     weight = materialize(members.groupBy("id").agg(F.sum("fill").alias("weight")), "near-weights")
-    members = materialize(members.join(weight, "id").select("bucket", "id", "weight"), "near-members")
-    texts = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(weight.select("id"), "id"), "near-texts")
-
-    center = materialize(members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("center")), "near-centers")
-    # the center is always b, so that its text is read once for a run of pairs
-    star = members.join(center, "bucket").filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    pairs = materialize(star, "near-pairs")
-    found = materialize(compared(pairs, classes, texts), "near-compared")
-    linked_ids = components(found.filter(LINK).select("a", "b").distinct())
-    labels = materialize(weight.select("id").join(linked_ids, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "near-labels")
-
-    # home: the center with the greatest weight among those with nearly the greatest overlap; the heavier end leads, so a home is its own
-    heavy = weight.select(F.col("id").alias("b"), F.col("weight").alias("wb"))
-    mine = weight.select(F.col("id").alias("a"), F.col("weight").alias("wa"))
-    choices = found.join(heavy, "b").join(mine, "a").filter("wb > wa OR (wb = wa AND b < a)")
-    best = choices.groupBy("a").agg(F.max("overlap").alias("best"))
-    near = choices.join(best, "a").filter("overlap * 10 >= best * 9").groupBy("a").agg(F.max_by(F.struct("b", "overlap", "na", "rest"), F.struct("wb", (-F.col("b")).alias("minus"))).alias("h"))
-    away = near.select(F.col("a").alias("id"), F.col("h.b").alias("home"), F.col("h.overlap").alias("overlap"), F.col("h.na").alias("n"), F.col("h.rest").alias("rest"))
-    away = materialize(away, "near-away")
-    none = F.array().cast("array<bigint>")
-    self_home = classes.join(away.select("id"), "id", "left_anti").join(weight.select("id"), "id", "left_semi").select("id", F.col("id").alias("home"), F.col("n_shingles").alias("overlap"), F.col("n_shingles").alias("n"), none.alias("rest"))
-    homes = materialize(away.unionByName(self_home), "near-homes")
-    seen = pairs.select(*least_first("a", "b")).distinct()
-
-    def unseen(pairs: DataFrame) -> DataFrame:
-        ends = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
-        return materialize(ends.join(seen.select(F.col("a").alias("low"), F.col("b").alias("high")), ["low", "high"], "left_anti").select("a", "b"), "near-pairs")
-
-    fresh = unseen(same_home_pairs(homes, labels))
-    if fresh.limit(1).count():
-        labels = merged(labels, judged(fresh, classes, texts))
-        seen = seen.unionByName(fresh.select(*least_first("a", "b")))
-
-    members = materialize(members.join(homes.select("id", "home"), "id"), "near-members")
-    tested, turn = None, 16
-    while True:
-        own = members.join(labels, "id", "left").select("bucket", "id", "weight", "home", F.coalesce("component", "id").alias("component"))
-        own = materialize(own, "near-own")
-        mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("one"), F.max("home").alias("two")).filter("low <> high AND one <> two").select("bucket")
-        mixed = materialize(own.join(materialize(mixed, "near-split"), "bucket"), "near-mixed")
-        sizes = mixed.groupBy("bucket", "component").count()
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", (-F.col("component")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("main"))
-        rest = mixed.join(materialize(largest, "near-largest"), "bucket").filter("component <> main")
+    members = materialize(members.join(weight, "id").select("bucket", "id", "weight", "fill"), "near-members")
+    wanted = classes.join(weight.select("id"), "id", "left_semi").select("id", F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
+    texts = docs.join(wanted, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("id", "text").dropDuplicates(["id"])
+    texts = materialize(texts, "near-texts")
+
+    center = members.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("top"), F.max("fill").alias("fill")).select("bucket", F.col("top.id").alias("star"), "fill")
+    stars = join_groups(members.drop("fill"), materialize(center, "near-centers"), "bucket", "fill", total).select("star", "id", "weight").distinct()
+    stars = materialize(stars, "near-stars")
+    links = judged(stars.filter("star <> id").select(F.col("id").alias("a"), F.col("star").alias("b")), classes, texts)
+    labels = materialize(weight.select("id").unionByName(known.select(F.col("a").alias("id"))).unionByName(known.select(F.col("b").alias("id"))).distinct(), "near-labels")
+    labels = merged(labels.withColumn("component", F.col("id")), links.unionByName(known))
+
+    bits, tested = None, None
+    for turn in TURNS:
+        own = materialize(stars.join(labels, "id"), "near-own")
+        kinds = own.groupBy("star", "component").count()
+        kinds = kinds.groupBy("star").agg(F.sum("count").alias("members"), F.count(F.lit(1)).alias("components"), F.max(F.struct("count", "component")).alias("top"))
+        kinds = materialize(kinds.filter("components > 1").select("star", "members", F.col("top.component").alias("main")), "near-mixed-stars")
+        mixed = materialize(join_groups(own, kinds, "star", "members", own.count()), "near-mixed")
+        if bits is None:  # no other star ever gets mixed
+            bits = materialize(texts.join(mixed.select("id").distinct(), "id").select("id", "text").mapInArrow(_bitmaps, "id binary, n long, bits binary"), "near-bits")
+        seekers = mixed.filter("component <> main")
         if tested is not None:
-            rest = rest.join(tested, ["bucket", "id"], "left_anti")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "id"))
-        chosen = materialize(rest.withColumn("nth", nth).filter(F.col("nth") <= turn).select("bucket", "id", "home", "component"), "near-chosen")
-        if chosen.limit(1).count() == 0:
-            return labels
-        other = mixed.select("bucket", F.col("id").alias("other"), F.col("component").alias("theirs"), F.col("home").alias("their_home"))
-        fresh = unseen(chosen.join(other, "bucket").filter("component <> theirs AND home <> their_home").select(F.col("other").alias("a"), F.col("id").alias("b")))
-        if fresh.limit(1).count():
-            labels = merged(labels, judged(fresh, classes, texts))
-            seen = seen.unionByName(fresh.select(*least_first("a", "b")))
-        mark = chosen.select("bucket", "id")
-        tested = mark if tested is None else materialize(tested.unionByName(mark), "near-tested")
-        turn *= 8
+            seekers = seekers.join(tested, ["star", "id"], "left_anti")
+        if turn:
+            nth = F.row_number().over(Window.partitionBy("star").orderBy(F.desc("weight"), "id"))
+            seekers = seekers.withColumn("nth", nth).filter(F.col("nth") <= turn)
+        seekers = materialize(seekers.select("star", "id", "component", "members"), "near-seekers")
+        if seekers.isEmpty():
+            break
+        pairs = open_pairs(mixed.select("star", "id", "component", "members"), seekers, bits)
+        labels = merged(labels, judged(pairs, classes, texts))
+        done = seekers.select("star", "id")
+        tested = done if tested is None else tested.unionByName(done)
+    return labels
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, and class_id (the smallest doc_id with the same set)."""
-    sketches = materialize(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, registers binary"), "near-sketches")
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id with the same set) and text_key."""
+    rows = docs.select("doc_id", "text", text_key("text").alias("text_key"))
+    sketches = materialize(rows.mapInArrow(_sketches, "doc_id long, text_key long, n_shingles long, digest binary, registers binary"), "near-sketches")
     known = sketches.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("id")), "near-classes")
-    classes = known.withColumnRenamed("doc_id", "id").join(first, ["digest", "id"]).select("id", "n_shingles", "registers").dropDuplicates(["id"])
-    classes = materialize(classes, "near-classes")
-    labels = linked(classes, docs)
-    whole = materialize(first.join(labels, "id", "left").select(F.col("digest").alias("own"), F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component")), "near-components")
-    out = sketches.join(whole, F.col("digest") == F.col("own"), "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    classes = known.groupBy(F.col("digest").alias("id")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select("id", "one.doc_id", "one.text_key", "n_shingles", "registers", "copies"), "near-classes")
+    shared = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("high")).filter("a <> high").select("doc_id", "a")
+    shared = materialize(shared, "near-shared-ids")  # doc_ids with several texts: one document
+    same = shared.select("a", F.col("a").alias("b"))
+    if not shared.isEmpty():
+        same = join_salted(known.select("doc_id", F.col("digest").alias("b")), shared, "doc_id", by="b")
+    labels = linked(classes, rows, materialize(same.filter("a <> b").select("a", "b").distinct(), "near-same-ids"))
+
+    first = classes.select("id", F.col("doc_id").alias("class_id"), "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = materialize(first, "near-first")
+    roots = first.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    whole = materialize(join_salted(first, roots, "component", by="id").select(F.col("id").alias("digest"), "class_id", "component_id", "copies"), "near-components")
+    grouped = join_groups(known.select("doc_id", "text_key", "n_shingles", "digest"), whole, "digest", "copies", known.count())
+    grouped = grouped.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = sketches.filter("digest IS NULL OR doc_id IS NULL").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True), "class_id": F.col("doc_id")})
+    columns = ["doc_id", "n_shingles", "component_id", "kept", "class_id", "text_key"]
+    return grouped.select(*columns).unionByName(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps the one with the smallest doc_id, with all their columns."""
-    gone = near_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone_id, gone_key = fresh_names(docs, "gone_id", "gone_key")
+    gone = near_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone[gone_id]) & (text_key(docs["text"]) == gone[gone_key]), "left_anti")

@@ -12,11 +12,11 @@ ROWS = [
     (1, None), (2, ""), (3, "one"), (4, " \n\t "), (5, BASE), (5, BASE), (6, BASE), (7, TAIL), (None, BASE), (None, None), (8, LONG), (9, LONG[:-10]), (10, "a" * 3000), (11, "Ab" * 700 + "é" * 300),
     (12, "Das ist ein Satz. " * 40), (13, "\u0000\u0001 odd ퟿ bytes"), (14, "one"), (14, "two words"), (15, "$$$ !! ###"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, w string, first string, mark string, size string, id string, spans string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, w string, first string, mark string, size string, id string, spans string, __id string, __own string, gone_id string, text_key string, digest string"
 
 
 def table(spark, rows=ROWS):
-    data = [(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else f"src{k % 3}", len(t or ""), "k", "w", "f", "m", "s", "i", "p") for k, (i, t) in enumerate(rows)]
+    data = [(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else f"src{k % 3}", len(t or ""), "k", "w", "f", "m", "s", "i", "p", "q", "o", "g", "t", "d") for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(data, SCHEMA)
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, sharding, substring_dedup, toxicity
+from ledgerspark.llm import bpe, common, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, sharding, substring_dedup, toxicity
 from ledgerspark.llm.queries import vocabulary_file
 
 from .edge import BASE, LONG, ROWS, empty, table
@@ -78,47 +78,60 @@ def test_chunks_cover_and_follow_content():
 
 
 def brute_near(rows):
-    sets = defaultdict(set)
-    for i, t in rows:
-        w = low(t).split(" ") if False else low(t).encode().split()
-        if w and i is not None:
-            sets[i] |= {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
-    ids = sorted(sets)
-    root = {i: i for i in ids}
+    """Smallest doc_id reachable of every row: rows of one doc_id that have words are one document."""
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", low(t)) if x]
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b:
-                n = len(sets[a] & sets[b])
-                if n and 100 * n >= 75 * len(sets[a] | sets[b]):
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
-    return {i: find(i) for i in ids}
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and rows[a][0] is not None and rows[b][0] is not None and (rows[a][0] == rows[b][0] or 100 * n >= 75 * len(sets[a] | sets[b])):
+                root[find(a)] = find(b)
+            elif sets[a] and sets[b] and rows[a][0] is not None and rows[a][0] == rows[b][0]:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return Counter((i, len(s), least[find(k)] if i is not None else None) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-def test_near_groups(spark):
-    rnd = random.Random(3)
-    base = [str(rnd.randint(0, 9999)) for _ in range(150)]
-    rows = [(100, " ".join(base))]
-    for k in range(25):  # copies with single words changed, some far enough to link by way of others only
+def changed_copies(base, first_id, copies, most, seed):
+    """Copies of a text with up to `most` words changed: many link by way of others only, some with none."""
+    rnd = random.Random(seed)
+    out = []
+    for k in range(copies):
         w = list(base)
-        for j in rnd.sample(range(150), rnd.randint(0, 8)):
+        for j in rnd.sample(range(len(base)), rnd.randint(0, most)):
             w[j] = "new" + str(rnd.randint(0, 99))
-        rows.append((101 + k, " ".join(w)))
-    rows += [r for r in ROWS if r[0] not in (14,)]
-    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(table(spark, rows)).collect() if r.doc_id is not None}
-    want = brute_near(rows)
-    for i, t in rows:
-        if i is not None:
-            assert got[i] == want.get(i, i), i
+        out.append((first_id + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("copies,side", [(25, 512), (160, 7)])
+def test_near_groups(spark, monkeypatch, copies, side):
+    monkeypatch.setattr(near_dedup, "SIDE", side)  # small tiles, so that one star needs many
+    monkeypatch.setattr(common, "SMALL_TABLE", 0)
+    monkeypatch.setattr(common, "SMALL_GROUP", 5)
+    rnd = random.Random(3)
+    base = [str(rnd.randint(0, 9999)) for _ in range(150)]
+    rows = [(99, " ".join(base))] + changed_copies(base, 101, copies, 9, seed=3) + [(100, None)] * 3 + ROWS
+    got = near_dedup.near_groups(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows)
+    if copies > 25:
+        return
     kept = near_dedup.keep_one(table(spark, rows))
     assert kept.columns == table(spark, rows).columns
-    assert {r.doc_id for r in kept.collect()} == {None} | {i for i in got if got[i] == i}
+    gone = {i for i, _, c in brute_near(rows) if i is not None and i != c}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows if i not in gone)
 
 
 def test_near_edges(spark):
