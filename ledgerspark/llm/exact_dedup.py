@@ -6,20 +6,23 @@ different identifiers. Texts are then compared as ordered lists of identifiers:
 check, and all later grouping and joining moves the short lists.
 
 Defined results: a null text is the empty text; texts are equal when their UTF-8 bytes are. Of equal texts the row with
-the largest doc_id stays (a null doc_id counts as smallest); of several rows with that same doc_id and text one stays.
+the largest doc_id stays (a null doc_id counts as smallest); of several rows with that same doc_id and text one stays. Rows that share a
+doc_id but not their text are told apart by the text. An empty table gives an empty one; texts of any length are read whole;
+columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize
+from .common import fresh_names, join_groups, materialize
 
 CUT_BITS, LEAST, MOST = 11, 256, 1 << 16
 GEAR = np.random.default_rng(20240601).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -46,29 +49,33 @@ def cut_points(data: bytes) -> list[int]:
     return cuts
 
 
-def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
+def blake(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def chunks(data: bytes, digest: Callable[[bytes], bytes] = blake) -> list[tuple[bytes, bytes]]:
     out, at = [], 0
     for cut in cut_points(data):
         piece = data[at:cut]
-        out.append((hashlib.blake2b(piece, digest_size=16).digest(), piece))
+        out.append((digest(piece), piece))
         at = cut
     return out
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recipes(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                pa.array([[d for d, _ in chunks(t)] for t in texts], pa.list_(pa.binary())),
+                pa.array([[d for d, _ in chunks(t, digest)] for t in texts], pa.list_(pa.binary())),
             ],
             ["doc_id", "text_sha256", "digests"],
         )
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
     """(digest, piece) of every chunk; repeats inside one batch go out once."""
     for batch in batches:
         seen: dict[bytes, bytes] = {}
@@ -79,11 +86,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["digest", "piece"])
 
         for text in batch.column(0).to_pylist():
-            for digest, piece in chunks((text or "").encode()):
-                if seen.get(digest) == piece:
+            for name, piece in chunks((text or "").encode(), digest):
+                if seen.get(name) == piece:
                     continue
-                seen[digest] = piece
-                rest.append((digest, piece))
+                seen[name] = piece
+                rest.append((name, piece))
                 size += len(piece)
             if size > BATCH_BYTES:
                 yield out(rest)
@@ -92,55 +99,53 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rest)
 
 
-def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Recipes of texts, with the bytes beside each digest."""
+def _places(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
+    """Every chunk of every text with its place and bytes."""
     for batch in batches:
-        rows = [(i, n, d, p) for i, t in enumerate(batch.column(1).to_pylist()) for n, (d, p) in enumerate(chunks((t or "").encode()))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([batch.column(0)[r[0]].as_py() for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
-            ["doc_id", "nth", "digest", "piece"],
-        )
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = (text or "").encode()
+            sha = hashlib.sha256(data).hexdigest()
+            rows += [(doc_id, sha, nth, name, piece) for nth, (name, piece) in enumerate(chunks(data, digest))]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "text_sha256", "nth", "digest", "piece"])
 
 
-def colliding(docs: DataFrame) -> DataFrame:
+def colliding(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     """Distinct (digest, piece, variant) of digests that stand for more than one piece; empty in all likelihood."""
-    known = docs.select("text").mapInArrow(_chunk_rows, "digest binary, piece binary").distinct()
+    known = docs.select("text").mapInArrow(functools.partial(_chunk_rows, digest=digest), "digest binary, piece binary").distinct()
     twice = known.groupBy("digest").count().filter("count > 1").select("digest")
     found = known.join(twice, "digest", "left_semi")
     return found.withColumn("variant", F.row_number().over(Window.partitionBy("digest").orderBy("piece")))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
+def recipes(docs: DataFrame, digest: Callable[[bytes], bytes] = blake) -> DataFrame:
     """doc_id, text_sha256 and the ordered list of verified chunk identifiers of every row."""
-    base = docs.select("doc_id", "text").mapInArrow(_recipes, "doc_id long, text_sha256 string, digests array<binary>")
-    clash = materialize(colliding(docs), "chunk-clash")
-    if clash.limit(1).count() == 0:  # every digest stands for one piece: digests are identifiers
+    base = docs.select("doc_id", "text").mapInArrow(functools.partial(_recipes, digest=digest), "doc_id long, text_sha256 string, digests array<binary>")
+    clash = materialize(colliding(docs, digest), "chunk-clash")
+    if clash.isEmpty():  # every digest stands for one piece: digests are identifiers
         return base.withColumnRenamed("digests", "recipe")
-    named = (
-        docs.select("doc_id", "text").mapInArrow(_renamed, "doc_id long, nth long, digest binary, piece binary")
-        .join(clash, ["digest", "piece"])
-        .withColumn("text_key", F.col("doc_id"))
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("nth", "variant"))).alias("variants"))
-    )
-    marked = base.join(named, base.doc_id.eqNullSafe(named.doc_id), "left").select(base.doc_id, "text_sha256", "digests", "variants")
-    suffix = F.coalesce(F.to_json("variants"), F.lit("")).cast("binary")
+    places = docs.select("doc_id", "text").mapInArrow(functools.partial(_places, digest=digest), "doc_id long, text_sha256 string, nth long, digest binary, piece binary")
+    # a doc_id may stand on several texts: its variants are told apart by the text's hash
+    named = places.join(clash, ["digest", "piece"]).groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("nth", "variant"))).alias("variants"))
+    own = named.select(F.col("doc_id").alias("named_id"), F.col("text_sha256").alias("named_sha"), "variants")
+    marked = base.join(own, F.col("doc_id").eqNullSafe(F.col("named_id")) & (F.col("text_sha256") == F.col("named_sha")), "left")
+    suffix = F.to_json("variants").cast("binary")
     return marked.select("doc_id", "text_sha256", F.when(F.col("variants").isNull(), F.col("digests")).otherwise(F.concat("digests", F.array(suffix))).alias("recipe"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = materialize(recipes(docs), "recipes").withColumn("same", F.row_number().over(Window.partitionBy("recipe", "doc_id").orderBy("text_sha256")))
-    rows = materialize(rows, "recipes-numbered")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return join_groups(rows, materialize(groups, "recipe-groups"), "recipe", "group_size", rows.count()).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("same") == 1)).alias("kept"), "text_sha256"
-    )
+def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = blake) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. digest names a chunk (chunks that share a name are told apart)."""
+    rows = materialize(recipes(docs, digest).withColumn("nth", F.monotonically_increasing_id()), "recipes")
+    groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "nth")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    joined = join_groups(rows, materialize(groups, "recipe-groups"), "recipe", "group_size", rows.count())
+    return joined.select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("nth") == F.col("stays.nth")).alias("kept"), "text_sha256")
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = docs.withColumn("__own", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    once = Window.partitionBy("__id", "__sha").orderBy(F.lit(1))
-    return found.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept_id, kept_sha, own, nth = fresh_names(docs, "kept_id", "kept_sha", "own_sha", "nth_equal")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    found = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256)).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha)))
+    once = Window.partitionBy(kept_id, kept_sha).orderBy(F.lit(1))
+    return found.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
