@@ -9,15 +9,19 @@ other as a whole. (3) Different segments under one anchor hash may share some wi
 to a task that holds all segments of the anchor. There the segments are one string with a separator after each; from its
 Burrows-Wheeler transform, intervals of suffixes with a common prefix are extended backwards breadth first, which gives the
 common prefix lengths of neighbouring suffixes in increasing order. The extension stops at LEAST: neighbours without a length by
-then share a window. (4) An anchor with more than FEW different segments is not given to one task: the digests of
-all windows in its segments are counted by a shuffle instead.
+then share a window. (4) A group of more than MOST different segments is halved before: a window has its anchor's gram at some
+distance from its start, windows of the greater distances all hold the same bytes before the gram and those of the lesser the same
+bytes after it, so each half of a segment's windows goes to the group of those bytes, where (2) and (3) hold again. Equal windows
+have equal distances and stay together. Halving goes on until groups are small; a half with one distance left is one window, so it ends.
 
 Defined results: a null text is empty; texts under LEAST bytes keep all bytes; rows of documents are told apart by doc_id and text,
-and equal rows repeat each other like any other texts; null doc_ids are a value like others.
+and equal rows repeat each other like any other texts; null doc_ids are a value like others; an empty table gives an empty one; texts of
+any length are read whole, and no more than a piece of CHUNK bytes is hashed at once. Equal segments are told by 128 bits of hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,9 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_salted, materialize, text_key
 
-LEAST, GRAM, FEW = 200, 50, 4096  # FEW segments are about 1.4 MB of text, what a task works on at once
+LEAST, GRAM = 200, 50
+#: Different segments of a group that go through one transform, about 180 KB of text.
+MOST = 512
 CHUNK = 1 << 20
 BATCH = 1 << 18
 
@@ -215,9 +221,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "text_key", "packed"])
 
 
+PIECE = "group long, anchor long, digest long, first int, least int, greatest int, piece binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments of each text."""
+    """Bytes of the wanted segments of each text, as pieces of their anchor's group with all distances."""
     z = zstandard.ZstdDecompressor()
+
+    def out(flat, done, at, pieces):
+        n = len(pieces)
+        anchor, digest = flat.field(2)[done:at], flat.field(3)[done:at]
+        numbers = [pa.array(np.full(n, x, np.int32)) for x in (0, 0, LEAST - GRAM)]
+        return pa.RecordBatch.from_arrays([anchor, anchor, digest, *numbers, pa.array(pieces, pa.binary())], ["group", "anchor", "digest", "first", "least", "greatest", "piece"])
+
     for batch in batches:
         wanted = batch.column(1)
         flat = wanted.flatten()
@@ -230,46 +246,89 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(pieces[-1])
             at += n
             if size > 4 * BATCH:
-                yield pa.RecordBatch.from_arrays([*[flat.field(i)[done:at] for i in (2, 3, 4)], pa.array(pieces, pa.binary())], ["anchor", "digest", "few", "piece"])
+                yield out(flat, done, at, pieces)
                 done, size, pieces = at, 0, []
         if pieces:
-            yield pa.RecordBatch.from_arrays([*[flat.field(i)[done:at] for i in (2, 3, 4)], pa.array(pieces, pa.binary())], ["anchor", "digest", "few", "piece"])
+            yield out(flat, done, at, pieces)
+
+
+def halves(group: int, anchor: int, first: int, least: int, greatest: int, piece: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """group, first window, least and greatest distance and bytes of the halves of a piece that have windows.
+
+    A window's distance is that from its start to the gram of the anchor, the first gram in the piece with that hash.
+    """
+    grams = ANCHORS.all_of(ANCHORS.sums(np.frombuffer(piece, np.uint8)), GRAM).view(np.int64)
+    at = int(np.flatnonzero(grams == anchor)[0])
+    middle = (least + greatest + 1) // 2
+    last = len(piece) - LEAST
+    cut = at - middle  # the last window with at least the middle distance
+    for low, high, start, end in ((middle, greatest, 0, min(cut, last)), (least, middle - 1, max(cut + 1, 0), last)):
+        if low <= high and start <= end:
+            common = piece[at - low : at + LEAST - high]
+            named = hashlib.blake2b(common, digest_size=8, key=group.to_bytes(8, "little", signed=True), salt=low.to_bytes(2, "little")).digest()
+            yield int.from_bytes(named, "little", signed=True), first + start, low, high, piece[start : end + LEAST]
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The halves of pieces, with a digest of their group and bytes."""
+    for batch in batches:
+        rows = []
+        for group, anchor, digest, first, least, greatest, piece in zip(*[batch.column(c).to_pylist() for c in ("group", "anchor", "digest", "first", "least", "greatest", "piece")], strict=True):
+            for own, start, low, high, part in halves(group, anchor, first, least, greatest, piece):
+                rows.append((own, anchor, digest, start, low, high, part, hashlib.blake2b(part, digest_size=16, key=own.to_bytes(8, "little", signed=True)).digest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["group", "anchor", "digest", "first", "least", "greatest", "piece", "part"])
 
 
 RUN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of shared windows in the segments of whole anchors. Rows come sorted by anchor; several anchors share one transform."""
-    held: list[tuple[int, int, bytes]] = []
+    """Runs of shared windows in the pieces of whole groups. Rows come sorted by group; several groups share one transform."""
+    held: list[tuple[int, int, int, int, bytes]] = []
 
     def settle(rows):
         out = []
-        for (anchor, digest, _), flags in zip(rows, repeats([r[2] for r in rows]), strict=True):
+        for (_, anchor, digest, first, _), flags in zip(rows, repeats([r[4] for r in rows]), strict=True):
             for low, high in zip(*runs(flags), strict=True):
-                out.append({"anchor": anchor, "digest": digest, "low": int(low), "high": int(high)})
+                out.append({"anchor": anchor, "digest": digest, "low": first + int(low), "high": first + int(high)})
         return pa.RecordBatch.from_pylist(out, RUN)
 
     size = 0
     for batch in batches:
-        for row in zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("group", "anchor", "digest", "first", "piece")], strict=True):
             if size > BATCH and held[-1][0] != row[0]:
                 yield settle(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[2])
+            size += len(row[4])
     if held:
         yield settle(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of every window of the segments."""
-    for batch in batches:
-        for anchor, digest, piece in zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), batch.column("piece").to_pylist(), strict=True):
-            data = np.frombuffer(piece, np.uint8)
-            one, two = (h.all_of(h.sums(data), LEAST) for h in (ANCHORS, OTHER))
-            n = len(one)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, digest)), pa.array(np.arange(n, dtype=np.int32)), _signed(one), _signed(two)], ["anchor", "digest", "low", "one", "two"])
+RUNS = "anchor long, digest long, low int, high int"
+
+
+def shared_runs(pieces: DataFrame) -> DataFrame:
+    """Runs of windows (anchor, digest, low, high) that pieces of one group share; groups of any size."""
+    found = []
+    while True:
+        groups = materialize(pieces.groupBy("group").count().filter("count > 1"), "repeat-groups")
+        large = groups.filter(F.col("count") > MOST)
+        alone = join_salted(pieces, groups.filter(F.col("count") <= MOST).select("group"), "group", by="digest")
+        found.append(alone.repartition("group").sortWithinPartitions("group").mapInArrow(_expand, RUNS))
+        if large.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        split = join_salted(pieces, large.select("group"), "group", by="digest")
+        split = materialize(split.select(*pieces.columns).mapInArrow(_halved, f"{PIECE}, part binary"), "repeat-halves")
+        kinds = materialize(split.groupBy("group", "part").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("anchor", "digest", "first")).alias("one")), "repeat-half-kinds")
+        # every window of equal halves is a repeat; one of them stands for all against the others of the group
+        equal = join_salted(split.drop("group"), kinds.filter("copies > 1").select("part").distinct(), "part", by="digest")
+        windows = F.octet_length("piece") - (LEAST - 1)
+        found.append(equal.select("anchor", "digest", F.col("first").alias("low"), (F.col("first") + windows).alias("high")))
+        one = kinds.select(F.col("group").alias("own"), "one.*")
+        same = [split["group"] == one["own"], *[split[c] == one[c] for c in ("anchor", "digest", "first")]]
+        pieces = materialize(split.join(one, same, "left_semi").drop("part"), "repeat-pieces")
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +365,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets, end excluded)."""
-    rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    found = rows.mapInArrow(_segments, "doc_id long, text_key int, start long, windows int, anchor long, digest long, times long")
+    rows = docs.select("doc_id", text_key("text").alias("text_key"), "text")
+    found = rows.mapInArrow(_segments, "doc_id long, text_key long, start long, windows int, anchor long, digest long, times long")
     anchors = materialize(found.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor"), "repeat-anchors")
     places = materialize(found.join(anchors.hint("merge"), "anchor").select(*found.columns), "repeat-places")
 
@@ -316,21 +375,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copied = materialize(kinds.filter("copies > 1").select("anchor", "digest"), "repeat-copied")
     whole = places.join(copied.hint("merge"), ["anchor", "digest"]).select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LEAST - 1).alias("last"), "times")
 
-    mixed = materialize(kinds.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") <= FEW).alias("few")), "repeat-mixed")
-    open_kinds = kinds.join(mixed.hint("merge"), "anchor").select("anchor", "digest", "few", "copies", "one.*")
-    wanted = open_kinds.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("start", "windows", "anchor", "digest", "few")).alias("wanted"))
-    packed = rows.mapInArrow(_pack, "doc_id long, text_key int, packed binary")
-    asked = packed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).dropDuplicates(["doc_id", "text_key"])
-    pieces = materialize(asked.select("packed", "wanted").mapInArrow(_cut, "anchor long, digest long, few boolean, piece binary"), "repeat-pieces")
-    few = pieces.filter("few").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "anchor long, digest long, low int, high int")
-    windows = pieces.filter("NOT few").mapInArrow(_windows, "anchor long, digest long, low int, one long, two long")
-    windows = materialize(windows, "repeat-windows")
-    twice = materialize(windows.groupBy("one", "two").count().filter("count > 1").select("one", "two"), "repeat-twice")
-    many = windows.join(twice, ["one", "two"]).select("anchor", "digest", "low", (F.col("low") + 1).alias("high"))
-    shared = few.unionByName(many).join(open_kinds.filter("copies = 1"), ["anchor", "digest"])
+    mixed = materialize(kinds.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeat-mixed")
+    open_kinds = kinds.join(mixed.hint("merge"), "anchor").select("anchor", "digest", "copies", "one.*")
+    wanted = open_kinds.groupBy(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).agg(F.collect_list(F.struct("start", "windows", "anchor", "digest")).alias("wanted"))
+    packed = rows.mapInArrow(_pack, "doc_id long, text_key long, packed binary")
+    asked = packed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).dropDuplicates(["doc_id", "text_key"])
+    pieces = materialize(asked.select("packed", "wanted").mapInArrow(_cut, PIECE), "repeat-pieces")
+    shared = shared_runs(pieces).join(open_kinds.filter("copies = 1"), ["anchor", "digest"])
     parts = shared.select("doc_id", "text_key", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high") + LEAST - 1).alias("last"), F.lit(1).cast("long").alias("times"))
 
-    spans = whole.unionByName(parts).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("first", "last", "times")).alias("spans"))
+    spans = whole.unionByName(parts).groupBy(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).agg(F.collect_list(F.struct("first", "last", "times")).alias("spans"))
     spans = materialize(spans, "repeat-spans")
-    joined = packed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    return joined.select("doc_id", "text_key", "packed", "spans").mapInArrow(_finish, "doc_id long, text_key int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>")
+    joined = packed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
+    return joined.select("doc_id", "text_key", "packed", "spans").mapInArrow(_finish, "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>")

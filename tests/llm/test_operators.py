@@ -57,13 +57,10 @@ def test_exact_empty(spark):
     assert exact_dedup.keep_exact(empty(spark)).count() == 0
 
 
-def test_colliding_digests_stay_apart(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "abc")], "doc_id long, text string")
-    real = exact_dedup.chunks
-    monkeypatch.setattr(exact_dedup, "chunks", lambda data: [(b"same", p) for _, p in real(data)])
-    got = rows_of(exact_dedup.exact_groups(docs), "doc_id", "keep_id")
-    if got != Counter({(1, 3): 1, (2, 2): 1, (3, 3): 1}):
-        pytest.skip("worker processes did not see the changed digest")
+def test_colliding_digests_stay_apart(spark):
+    rows = [(1, "abc"), (1, "abd"), (2, "abc"), (None, "abc"), (None, "abd"), (3, None), (4, LONG), (5, LONG[:-1] + "?"), (1, "abd")]
+    got = exact_dedup.exact_groups(table(spark, rows), digest=lambda piece: b"same")
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(rows)
 
 
 def test_chunks_cover_and_follow_content():
@@ -336,11 +333,29 @@ SHARED = "".join(random.Random(9).choice("abcdefgh ") for _ in range(420))
 PASSAGES = ROWS + [(40 + k, f"start {k} " * (k % 4) + SHARED[k * 7 : 420 - k * 3] + f" end {k * k}") for k in range(14)]
 
 
-@pytest.mark.parametrize("few", [4096, 1])
-def test_repeats(spark, monkeypatch, few):
-    monkeypatch.setattr(substring_dedup, "FEW", few)
-    got = rows_of(substring_dedup.remove_repeats(table(spark, PASSAGES)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == brute_repeats(PASSAGES, 200)
+# a passage of under 200 bytes in many contexts, some shared by two, also in rows without a doc_id and in rows that share one
+HOT_ROWS = [(None if k % 5 == 0 else 60 + k // 2, f"{k // 2} begins " * (3 + k % 3) + SHARED[20:190] + f" and {k // 3} ends" * (2 + k % 4)) for k in range(30)]
+
+
+@pytest.mark.parametrize("most", [512, 3])
+def test_repeats(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "MOST", most)
+    rows = PASSAGES + HOT_ROWS
+    got = rows_of(substring_dedup.remove_repeats(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_repeats(rows, 200)
+
+
+def test_halves_keep_every_window():
+    rnd = random.Random(8)
+    data = bytes(rnd.choice(b"abcdef") for _ in range(4000))
+    start, count, anchor, _ = substring_dedup.segments(data)
+    for s, n, a in zip(start.tolist(), count.tolist(), anchor.astype("int64").tolist(), strict=True):
+        parts = [(0, 0, 150, data[s : s + n + 199])]
+        while any(least < greatest for _, least, greatest, _ in parts):
+            parts = [(first, low, high, p) for f, least, greatest, piece in parts for _, first, low, high, p in substring_dedup.halves(1, a, f, least, greatest, piece)]
+        assert sorted((f, p) for f, _, _, p in parts) == [(w, data[s + w : s + w + 200]) for w in range(n)]
+
+
 
 
 def test_repeats_empty(spark):
