@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import re
@@ -221,6 +222,43 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def brute_licenses(text):
+    """Labels and score by the longest ascending chain of votes of each span, every template and diagonal by itself."""
+    w = words(text)
+    labels, score = set(), 0.0
+    for _, label, base, k, template in licenses.ALL:
+        t = template.split()
+        n = len(t) - k + 1
+        votes = [(p, q) for p in range(len(w) - k + 1) for q in range(n) if w[p : p + k] == t[q : q + k]]
+        for start in {p - q for p, q in votes}:
+            near = sorted((p, -q) for p, q in votes if start <= p - q <= start + (0 if base else licenses.GAP))
+            tails = []  # by patience: the least last place of chains of each length
+            for _, minus in near:
+                at = bisect.bisect_left(tails, -minus)
+                tails[at : at + 1] = [-minus]
+            share = len(tails) / n
+            if share >= (1 if base else licenses.SHARE):
+                labels.add(label)
+            if share == 1 or not base:
+                score = max(score, share)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licenses_own_labels(spark):
+    rnd = random.Random(6)
+    rows = [(1, "by nc 4 cc by nc under cc by licensed under cc"), (2, "licensed under cc by nc 4 0"), (3, "licensed under the cc by nc 4 0"), (4, None)]
+    for k in range(60):  # copies with words put in, left out, changed or moved
+        t = rnd.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randrange(len(t))
+            t = rnd.choice([t[:i] + ["x"] + t[i:], t[:i] + t[i + 1 :] or t, t[i:] + t[:i], t[:i] + ["y"] + t[i + 1 :], t + t[:i]])
+        rows.append((10 + k, " ".join(["Some", "words"] * rnd.randint(0, 2) + t)))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(table(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i] == brute_licenses(t), i
+    assert got[1][0] == "cc-by" and "cc-by-nc" in got[2][0]
+
+
 # BPE
 
 
@@ -356,8 +394,6 @@ def test_halves_keep_every_window():
         assert sorted((f, p) for f, _, _, p in parts) == [(w, data[s + w : s + w + 200]) for w in range(n)]
 
 
-
-
 def test_repeats_empty(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
