@@ -7,12 +7,16 @@ so the min/max statistics of the shard files prune on any of them.
 Strings take the level of their hash: equal values share a level, which is what equality filters need. Sizes take their
 power of two.
 
+Copies of a text are one group: they take the place of the group's smallest language and source and follow each other in the order, so that
+only the cuts between shards (and the group's size, if it is larger than a shard) part them.
+
 The order is global but no task sees it whole: the 4,096 cells are counted, a cell that holds more than its share is
-split by a hash of doc_id, and one running sum over the cells and their parts (a table of fixed size) gives every
-part the place where it starts. Rows are then numbered inside their part.
+split by a hash of the text, a text with more copies than a share forms parts of its own, and one running sum over the cells and their parts
+(a table of fixed size) gives every part the place where it starts. Rows are then numbered inside their part.
 
-Defined results: a null text has size 1 and CRC 0; null lang or source takes level 0; rows are told apart by doc_id,
-then CRC, and rows equal in both take their places in any order; an empty table gives an empty result.
+Defined results: a null text has size 1 and CRC 0 and is a copy of the empty text; null lang or source takes level 0; copies are ordered by doc_id,
+and rows equal in both, or copies of a text with more of them than a share, take their places in any order; an empty table gives an empty result; texts
+of any length count with all their bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_names, join_groups, materialize, text_key
 
 BITS, DIMS = 4, 3
 CELLS = 1 << (BITS * DIMS)
@@ -66,29 +70,35 @@ def hilbert_index(levels: list[Column]) -> Column:
     return F.get(read, F.lit(0))
 
 
-def hilbert_order(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, lang_level, source_level, size_level, cell and place (0, 1, ... over all rows)."""
+def hilbert_order(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, size, text_crc32, text_key, lang_level, source_level, size_level, cell and place (0, 1, ... over all rows), and the number of rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + F.lit(1)).cast("long")
-    rows = docs.select(
-        "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), level_of_string(F.col("lang")).alias("lang_level"), level_of_string(F.col("source")).alias("source_level"), level_of_size(size).alias("size_level")
-    )
-    rows = materialize(rows.withColumn("cell", hilbert_index([F.col("lang_level"), F.col("source_level"), F.col("size_level")])), "hilbert-rows")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key("text").alias("text_key"), level_of_string(F.col("lang")).alias("lang_level"), level_of_string(F.col("source")).alias("source_level"))
+    rows = materialize(rows.withColumn("nth", F.monotonically_increasing_id()), "hilbert-rows")
     total = rows.count()
     share = max(1, -(-total // PARTS))
-    splits = rows.groupBy("cell").count().select("cell", F.ceil(F.col("count") / share).cast("int").alias("splits"))
-    part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text_crc32")), F.col("splits")).cast("int")
-    dealt = rows.join(F.broadcast(splits), "cell").withColumn("part", part)  # CELLS rows at most
-    starts = dealt.groupBy("cell", "part").count()  # CELLS + PARTS rows at most
-    starts = starts.select("cell", "part", (F.sum("count").over(Window.orderBy("cell", "part")) - F.col("count")).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    return dealt.withColumn("nth", nth).join(F.broadcast(starts), ["cell", "part"]).withColumn("place", F.col("start") + F.col("nth")).drop("splits", "part", "nth", "start")
+    groups = rows.groupBy("text_key").agg(F.min(F.struct("lang_level", "source_level")).alias("levels"), F.count(F.lit(1)).alias("copies"))
+    whole = join_groups(rows.drop("lang_level", "source_level"), materialize(groups, "hilbert-groups"), "text_key", "copies", total).select("*", "levels.*").drop("levels")
+    whole = whole.withColumn("size_level", level_of_size(F.col("size"))).withColumn("cell", hilbert_index([F.col("lang_level"), F.col("source_level"), F.col("size_level")]))
+    whole = materialize(whole, "hilbert-cells")
+    splits = whole.groupBy("cell").count().select("cell", F.ceil(F.col("count") / share).cast("int").alias("splits"))
+    many = F.col("copies") > share
+    own = F.when(many, F.col("text_key"))  # fewer than PARTS texts
+    sub = F.when(many, F.pmod(F.xxhash64("doc_id", "nth"), F.ceil(F.col("copies") / share))).otherwise(F.lit(0))
+    dealt = whole.join(F.broadcast(splits), "cell").withColumns({"part": F.pmod(F.xxhash64(F.lit(7), "text_key"), "splits").cast("int"), "own": own, "sub": sub})  # CELLS rows at most
+    parts = ["cell", "part", "own", "sub"]
+    starts = dealt.groupBy(*parts).count()  # CELLS + 3 * PARTS rows at most
+    starts = starts.select(*[F.col(c).alias(f"at_{c}") for c in parts], (F.sum("count").over(Window.orderBy(*parts)) - F.col("count")).alias("start"))
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy("text_key", "doc_id", "nth")) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in parts]
+    placed = dealt.withColumn("inside", place).join(F.broadcast(starts), same).withColumn("place", F.col("start") + F.col("inside"))
+    return placed.select("doc_id", "size", "text_crc32", "text_key", "lang_level", "source_level", "size_level", "cell", "place"), total
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Runs of the Hilbert order with row counts at most one apart: adds shard, slot (gapless from 0), law and grown_shard (null for this law)."""
-    rows = hilbert_order(docs)
-    total = docs.select(F.lit(1)).count()
+    rows, total = hilbert_order(docs)
     total = max(total, 1)
     return (
         rows.withColumn("shard", F.expr(f"place * {shards}L div {total}L").cast("int"))
@@ -99,10 +109,10 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Write docs as one folder per shard, rows in Hilbert order."""
-    own = shard(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    own = own.dropDuplicates(["__id", "__crc"])
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = docs.withColumn("__own", crc).join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__crc")))
-    out = found.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").withColumn("shard_no", F.col("__shard"))
-    out.drop("__id", "__own", "__crc", "__shard", "__slot").write.partitionBy("shard_no").parquet(path)
+    """Write docs as one folder per shard, rows in Hilbert order. Rows equal in doc_id and text go to the first shard of theirs."""
+    own_id, own_key, at, slot, key, folder = fresh_names(docs, "own_id", "own_key", "own_shard", "own_slot", "key_of_text", "shard_no")
+    own = shard(docs, shards).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.min(F.struct("shard", "slot")).alias(at))
+    own = own.select(own_id, own_key, F.col(at)["slot"].alias(slot), F.col(at)["shard"].alias(at))
+    found = docs.withColumn(key, text_key("text")).join(own, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)))
+    out = found.repartitionByRange(at, slot).sortWithinPartitions(at, slot).withColumn(folder, F.col(at))
+    out.drop(own_id, own_key, key, at, slot).write.partitionBy(folder).parquet(path)

@@ -411,16 +411,60 @@ def test_backward_extension(monkeypatch):
 # sharding
 
 
+def brute_places(spark, rows):
+    """Cell and key of every text, from all rows of the text at once."""
+    levels = {r.v: r.l for r in spark.createDataFrame([(v,) for v in {x for r in rows for x in r[2:4]}], "v string").withColumn("l", sharding.level_of_string(F.col("v"))).collect()}
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append((levels[r[2]], levels[r[3]]))
+    side = 1 << sharding.BITS
+    size = lambda t: len(t.encode()) + 1
+    points = {t: (*min(g), min(size(t).bit_length() - 1, side - 1)) for t, g in groups.items()}
+    asked = spark.createDataFrame([(t, *p) for t, p in points.items()], "t string, x int, y int, z int")
+    at = {r.t: (r.c, r.k) for r in asked.select("t", sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")]).alias("c"), common.text_key("t").alias("k")).collect()}
+    return at
+
+
 def test_shards(spark):
-    out = sharding.shard(table(spark, ROWS * 5)).collect()
+    rows = [(d, t, None if k % 4 == 0 else "en", f"src{k % 3}") for k, (d, t) in enumerate(ROWS * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sharding.shard(docs).collect()
     sizes = Counter(r.shard for r in out)
-    assert len(out) == 5 * len(ROWS) and max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(8))
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(8))
     for s in sizes:
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s]))
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == Counter({(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): 5 * n for (d, t), n in Counter(ROWS).items()}) or len(set(ROWS)) == len(ROWS)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _, _ in rows)
+    order = sorted(out, key=lambda r: (r.shard, r.slot))
+    assert [r.place for r in order] == list(range(len(rows)))
+    # cells ascend along the curve, and copies of a text follow each other in the cell of their smallest language and source
+    want = brute_places(spark, rows)
+    cell = {key: c for c, key in want.values()}
+    assert [r.cell for r in order] == sorted(cell[r.text_key] for r in order)
+    seen = [r.text_key for r in order]
+    assert all(seen[i] == seen[i - 1] or seen[i] not in seen[:i] for i in range(1, len(seen)))
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_shards_with_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 16)
+    rows = [(k, "same text", "en", f"src{k % 3}") for k in range(200)] + [(1000 + k, f"text {k // 2}", "de", None) for k in range(300)] + [(7, "same text", "en", "src1")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sorted(sharding.shard(docs).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.place for r in out] == list(range(600)) and set(Counter(r.shard for r in out).values()) == {75}
+    own = [r.place for r in out if r.text_crc32 == zlib.crc32(b"same text")]
+    assert own[-1] - own[0] == 299  # one stretch, though it forms many parts
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+
+
+def test_write_shards(spark, tmp_path):
+    docs = table(spark)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert set(back.columns) == {*docs.columns, "shard_no"} and rows_of(back, "doc_id", "text") == Counter(ROWS)
+    one = {(r.doc_id, r.text_key): r.shard for r in sharding.shard(docs, 4).collect()}
+    assert {r.shard_no for r in back.collect()} <= set(one.values())
+
+
 def test_hilbert_neighbours(spark):
     side = 1 << sharding.BITS
     grid = spark.range(side**3).select((F.col("id") / side**2).cast("int").alias("x"), ((F.col("id") / side).cast("int") % side).alias("y"), (F.col("id") % side).cast("int").alias("z"))
