@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Groups of fewer rows, and tables that one task can join whole, are never spread by join_salted.
 SMALL_GROUP, SMALL_TABLE = 256, 10_000
+#: Narrow rows that one task writes.
+ROWS_A_FILE = 100_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -31,15 +33,21 @@ def _own_root() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local temporary one only where none is set (tests, local mode)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+    """The shared folder named by spark.checkpoint.dir; where none is set, a temporary folder in local mode and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (shared or _own_root()).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back: cuts lineage and survives lost executors.
+
+    Where the number of its rows is bounded by `most`, narrow rows are written by no more tasks than that needs.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(max(1, -(-most // ROWS_A_FILE)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,14 +79,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return first.unionByName(rest)
 
 
-def join_salted(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None, hint: str | None = None) -> DataFrame:
-    """Join of rows to groups (at most one row per key), in which the rows of a hot key are spread over several tasks by the column `by`.
+def join_salted(rows: DataFrame, groups: DataFrame, key: str, by: str, total: int, how: str = "inner", counted: DataFrame | None = None, hint: str | None = None) -> DataFrame:
+    """Join of rows (about total of them) to groups (at most one row per key), in which the rows of a hot key are spread over several tasks by the column `by`.
 
     Only the hot keys are broadcast, HOT_SHARE at most; the group's own row, however large, is copied once for each task of its key. counted
     holds the keys of rows where counting rows themselves would compute them twice. key must not be null in rows.
     """
     counted = rows if counted is None else counted
-    total = counted.count()
     if total <= SMALL_TABLE:
         return rows.join(groups.hint(hint) if hint else groups, key, how)
     most = max(total // HOT_SHARE, SMALL_GROUP)

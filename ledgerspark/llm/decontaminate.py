@@ -9,11 +9,12 @@ hash collisions count for nothing. Every shared window is found, as both sides c
 The windows of a row are compared inside the stage that reads it, and its line at place -1 carries the number of words along, so
 that every text is split once. Windows of items shorter than SPAN have the hash of the whole window as fingerprint; there are SPAN - 1 such lengths at most.
 
-Benchmark windows are broadcast while there are no more than BROADCAST_WINDOWS; a larger benchmark is joined by shuffling fingerprints, and
-only documents with a hit are read again for their windows.
+Benchmark windows are broadcast while their texts and keys take no more than BROADCAST_BYTES; a larger benchmark is joined by shuffling
+fingerprints (those of very many documents are spread over tasks), and only documents with a hit are read again for their windows. Both ways give the same rows.
 
 Defined results: null or empty texts have no words, no hits and are clean; items without words or without an item_id
-are left out; rows of documents are told apart by doc_id and text, so repeated rows get the same result each.
+are left out; rows of documents are told apart by doc_id and text, so repeated rows get the same result each; an empty table gives an
+empty one; texts of any length are read whole; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import fresh_names, join_salted, materialize, text_key, words
 
 SPAN, K = 13, 5
-BROADCAST_WINDOWS = 100_000
+#: A window counts with its text and WINDOW_BYTES for its keys.
+BROADCAST_BYTES, WINDOW_BYTES = 32 << 20, 64
 
 
 def grams(w: Column, k: int) -> Column:
@@ -35,7 +37,7 @@ def grams(w: Column, k: int) -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and the words of every row."""
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
+    return docs.select("doc_id", text_key("text").alias("text_key"), words(F.col("text")).alias("w"))
 
 
 def marked(rows: DataFrame, span: int) -> DataFrame:
@@ -71,21 +73,24 @@ def hits(docs: DataFrame, windows: DataFrame, span: int, small: bool) -> DataFra
         met = marked(rows, span).join(known, F.col("mark") == F.col("own"), "left")  # texts are compared after, where marks met
         return met.filter((F.col("first") < 0) | (F.col("item_id").isNotNull() & (window_text(span) == F.col("window")))).select(*line)
     # fingerprints move alone, each where it changes; then the rows that met one are read again
-    change = marked(rows, span).select("doc_id", "text_key", "first", "mark").filter("first >= 0").select("doc_id", "text_key", "mark").distinct()
-    met = change.join(windows.select("mark").distinct(), "mark", "left_semi")
-    met = met.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    again = rows.join(met, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
-    shown = marked(again, span).filter("first >= 0").select("doc_id", "text_key", "n_words", "first", "mark", window_text(span).alias("window"))
-    found = shown.join(windows, ["mark", "window"]).select(*line)
+    change = marked(rows, span).filter("first >= 0").select("doc_id", "text_key", "mark").distinct()
+    change = materialize(change, "window-marks")
+    total = change.count()
+    met = join_salted(change, windows.select("mark").distinct(), "mark", by="text_key", total=total)
+    met = met.select(F.col("doc_id").alias("met_id"), F.col("text_key").alias("met_key")).distinct()
+    again = rows.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_key")), "left_semi")
+    shown = marked(again, span).filter("first >= 0").select("doc_id", "text_key", "n_words", "first", "mark", window_text(span).alias("shown"))
+    found = join_salted(shown, windows, "mark", by="text_key", total=total, counted=change).filter("shown = window").select(*line)
     return found.unionByName(rows.select("doc_id", "text_key", "n_words", F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(None).cast(windows.schema["item_id"].dataType).alias("item_id")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (first and last word of each hit window) and text_key of every row."""
-    sizes = benchmark.filter(F.col("item_id").isNotNull()).select(F.size(words(F.col("text"))).alias("n")).filter("n > 0")
+    sizes = benchmark.filter(F.col("item_id").isNotNull()).select(F.size(words(F.col("text"))).alias("n"), F.octet_length("text").alias("bytes")).filter("n > 0")
     short = [r[0] for r in sizes.filter(F.col("n") < SPAN).distinct().collect()]  # SPAN - 1 numbers at most
-    total = sizes.agg(F.sum(F.greatest(F.lit(1), F.col("n") - SPAN + 1))).first()[0] or 0
-    small = total <= BROADCAST_WINDOWS
+    # an item's windows hold each of its bytes SPAN times at most
+    total = sizes.agg(F.sum(F.greatest(F.lit(1), F.col("n") - SPAN + 1) * WINDOW_BYTES + F.col("bytes") * SPAN)).first()[0] or 0
+    small = total <= BROADCAST_BYTES
     found = hits(docs, item_windows(benchmark, SPAN), SPAN, small)
     for n in sorted(short):
         found = found.unionByName(hits(docs, item_windows(benchmark, n), n, small).filter("first >= 0"))
@@ -109,9 +114,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").drop("__own")
+    bad_id, bad_key, own = fresh_names(docs, "bad_id", "bad_key", "own_key")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    return docs.withColumn(own, text_key("text")).join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_key)), "left_anti").drop(own)
 
 
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

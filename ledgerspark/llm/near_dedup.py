@@ -213,88 +213,89 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
 
 
-def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that are links: by sizes, by registers, and on the full sets. Many pairs may share a b."""
+def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct pairs (a, b) that are links: by sizes, by registers, and on the full sets; and a bound of their number. Many pairs may share a b."""
+    total = pairs.count()
     left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    sized = join_salted(pairs.join(left, "a"), right, "b", by="a", counted=pairs).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a binary, b binary"), "near-likely")
+    sized = join_salted(pairs.join(left, "a"), right, "b", by="a", total=total, counted=pairs).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a binary, b binary"), "near-likely", total)
     member, center = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = join_salted(likely.join(member.hint("merge"), "a"), center, "b", by="a", counted=likely, hint="merge")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a binary, b binary"), "near-links")
+    both = join_salted(likely.join(member.hint("merge"), "a"), center, "b", by="a", total=total, counted=likely, hint="merge")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a binary, b binary"), "near-links"), total
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and component (the smallest id reachable) of all ends of links: each takes the least label around it, then its label's label, until nothing moves."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), "near-labels")
+def components(links: DataFrame, most: int) -> DataFrame:
+    """id and component (the smallest id reachable) of all ends of links, of which there are `most` at most: each takes the least label around it, then its label's label, until nothing moves."""
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges", 2 * most)
+    total = both.count()
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), "near-labels", total)
     while True:
-        around = join_salted(both, labels.select(F.col("id").alias("b"), "component"), "b", by="a").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = materialize(labels.join(around, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before")), "near-lower")
+        around = join_salted(both, labels.select(F.col("id").alias("b"), "component"), "b", by="a", total=total).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        lower = materialize(labels.join(around, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before")), "near-lower", total)
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        moved = materialize(join_salted(lower, jump, "component", by="id").select("id", F.col("root").alias("component"), "before"), "near-labels")
+        moved = materialize(join_salted(lower, jump, "component", by="id", total=total).select("id", F.col("root").alias("component"), "before"), "near-labels", total)
         labels = moved.select("id", "component")
         if moved.filter("component <> before").isEmpty():
             return labels
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels of all classes after some more links: only the components that the links join are looked at."""
+def merged(labels: DataFrame, links: DataFrame, most: int, total: int) -> DataFrame:
+    """Labels of all classes (total) after some more links (most): only the components that the links join are looked at."""
     end = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    joins = join_salted(links.join(end("a"), "a"), end("b"), "b", by="a", counted=links).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joins = materialize(joins.distinct(), "near-joins")
+    joins = join_salted(links.join(end("a"), "a"), end("b"), "b", by="a", total=most, counted=links).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joins = materialize(joins.distinct(), "near-joins", most)
     if joins.isEmpty():
         return labels
-    to = components(joins).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return materialize(join_salted(labels, to, "component", by="id", how="left").select("id", F.coalesce("to", "component").alias("component")), "near-labels")
+    to = components(joins, most).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return materialize(join_salted(labels, to, "component", by="id", total=total, how="left").select("id", F.coalesce("to", "component").alias("component")), "near-labels", total)
 
 
-def open_pairs(mixed: DataFrame, seekers: DataFrame, bits: DataFrame) -> DataFrame:
+def open_pairs(mixed: DataFrame, sought: DataFrame, bits: DataFrame, total: int) -> DataFrame:
     """Pairs of seekers with classes of their star in other components that bitmaps do not rule out.
 
-    mixed: star, id, component, members (of the star); seekers: some of these rows.
+    mixed: star, id, component, members (of the star), total rows at most; sought: some of these rows, with n and bits.
     """
-    sought = materialize(seekers.join(bits, "id"), "near-seekers")
     sizes = sought.groupBy("star").agg(F.max("members").alias("members"), F.count(F.lit(1)).alias("seekers"), F.sum(F.octet_length("bits")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("seekers") / SIDE), F.ceil(F.col("bytes") / TILE_BYTES)).alias("blocks")
-    tiles = materialize(sizes.select("star", "members", F.ceil(F.col("members") / SIDE).alias("salts"), blocks), "near-tiles")
+    tiles = materialize(sizes.select("star", "members", F.ceil(F.col("members") / SIDE).alias("salts"), blocks), "near-tiles", total)
     salt, block = F.pmod(F.xxhash64("id"), "salts"), F.pmod(F.xxhash64("id", F.lit("block")), "blocks")
-    total = mixed.count()
     everyone = join_groups(mixed.drop("members"), tiles, "star", "members", total).withColumn("i", salt).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     everyone = everyone.select("star", "i", "j", F.lit(True).alias("member"), "id", "component").join(bits, "id")
     some = join_groups(sought.drop("members"), tiles, "star", "members", total).withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     columns = ["star", "i", "j", "member", "id", "component", "n", "bits"]
     rows = everyone.select(*columns).unionByName(some.withColumn("member", F.lit(False)).select(*columns))
     dealt = rows.repartition("star", "i", "j").sortWithinPartitions("star", "i", "j", "member")
-    return materialize(dealt.mapInArrow(_close, "a binary, b binary").distinct(), "near-pairs")
+    return materialize(dealt.mapInArrow(_close, "a binary, b binary").distinct(), "near-pairs", total)
 
 
 def linked(classes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """id and component of the classes that have links. known: a, b, classes linked from the start."""
     bands = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])).alias("bucket"))
-    buckets = materialize(bands.groupBy("bucket").count().filter("count > 1"), "near-buckets")
-    total = classes.count() * (REGISTERS // ROWS)
-    members = materialize(join_groups(bands, buckets, "bucket", "count", total).select("bucket", "id", F.col("count").alias("fill")), "near-members")
-    weight = materialize(members.groupBy("id").agg(F.sum("fill").alias("weight")), "near-weights")
-    members = materialize(members.join(weight, "id").select("bucket", "id", "weight", "fill"), "near-members")
+    n_classes = classes.count()
+    total = n_classes * (REGISTERS // ROWS)
+    buckets = materialize(bands.groupBy("bucket").count().filter("count > 1"), "near-buckets", total)
+    members = materialize(join_groups(bands, buckets, "bucket", "count", total).select("bucket", "id", F.col("count").alias("fill")), "near-members", total)
+    weight = materialize(members.groupBy("id").agg(F.sum("fill").alias("weight")), "near-weights", n_classes)
+    members = materialize(members.join(weight, "id").select("bucket", "id", "weight", "fill"), "near-members", total)
     wanted = classes.join(weight.select("id"), "id", "left_semi").select("id", F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
     texts = docs.join(wanted, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("id", "text").dropDuplicates(["id"])
     texts = materialize(texts, "near-texts")
 
     center = members.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("top"), F.max("fill").alias("fill")).select("bucket", F.col("top.id").alias("star"), "fill")
-    stars = join_groups(members.drop("fill"), materialize(center, "near-centers"), "bucket", "fill", total).select("star", "id", "weight").distinct()
-    stars = materialize(stars, "near-stars")
-    links = judged(stars.filter("star <> id").select(F.col("id").alias("a"), F.col("star").alias("b")), classes, texts)
-    labels = materialize(weight.select("id").unionByName(known.select(F.col("a").alias("id"))).unionByName(known.select(F.col("b").alias("id"))).distinct(), "near-labels")
-    labels = merged(labels.withColumn("component", F.col("id")), links.unionByName(known))
+    stars = join_groups(members.drop("fill"), materialize(center, "near-centers", total), "bucket", "fill", total).select("star", "id", "weight").distinct()
+    stars = materialize(stars, "near-stars", total)
+    links, most = judged(stars.filter("star <> id").select(F.col("id").alias("a"), F.col("star").alias("b")), classes, texts)
+    labels = materialize(weight.select("id").unionByName(known.select(F.col("a").alias("id"))).unionByName(known.select(F.col("b").alias("id"))).distinct(), "near-labels", n_classes)
+    labels = merged(labels.withColumn("component", F.col("id")), links.unionByName(known), most + known.count(), n_classes)
 
     bits, tested = None, None
     for turn in TURNS:
-        own = materialize(stars.join(labels, "id"), "near-own")
+        own = materialize(stars.join(labels, "id"), "near-own", most)
         kinds = own.groupBy("star", "component").count()
         kinds = kinds.groupBy("star").agg(F.sum("count").alias("members"), F.count(F.lit(1)).alias("components"), F.max(F.struct("count", "component")).alias("top"))
-        kinds = materialize(kinds.filter("components > 1").select("star", "members", F.col("top.component").alias("main")), "near-mixed-stars")
-        mixed = materialize(join_groups(own, kinds, "star", "members", own.count()), "near-mixed")
+        kinds = materialize(kinds.filter("components > 1").select("star", "members", F.col("top.component").alias("main")), "near-mixed-stars", n_classes)
+        mixed = materialize(join_groups(own, kinds, "star", "members", most), "near-mixed", most)
         if bits is None:  # no other star ever gets mixed
             bits = materialize(texts.join(mixed.select("id").distinct(), "id").select("id", "text").mapInArrow(_bitmaps, "id binary, n long, bits binary"), "near-bits")
         seekers = mixed.filter("component <> main")
@@ -303,12 +304,12 @@ def linked(classes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
         if turn:
             nth = F.row_number().over(Window.partitionBy("star").orderBy(F.desc("weight"), "id"))
             seekers = seekers.withColumn("nth", nth).filter(F.col("nth") <= turn)
-        seekers = materialize(seekers.select("star", "id", "component", "members"), "near-seekers")
-        if seekers.isEmpty():
+        sought = materialize(seekers.select("star", "id", "component", "members").join(bits, "id"), "near-seekers")
+        if sought.isEmpty():
             break
-        pairs = open_pairs(mixed.select("star", "id", "component", "members"), seekers, bits)
-        labels = merged(labels, judged(pairs, classes, texts))
-        done = seekers.select("star", "id")
+        pairs = open_pairs(mixed.select("star", "id", "component", "members"), sought, bits, most)
+        labels = merged(labels, *judged(pairs, classes, texts), n_classes)
+        done = sought.select("star", "id")
         tested = done if tested is None else tested.unionByName(done)
     return labels
 
@@ -321,17 +322,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = known.groupBy(F.col("digest").alias("id")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select("id", "one.doc_id", "one.text_key", "n_shingles", "registers", "copies"), "near-classes")
     shared = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("high")).filter("a <> high").select("doc_id", "a")
-    shared = materialize(shared, "near-shared-ids")  # doc_ids with several texts: one document
-    same = shared.select("a", F.col("a").alias("b"))
-    if not shared.isEmpty():
-        same = join_salted(known.select("doc_id", F.col("digest").alias("b")), shared, "doc_id", by="b")
+    # doc_ids with several texts: one document
+    total = sketches.count()
+    same = join_salted(known.select("doc_id", F.col("digest").alias("b")), shared, "doc_id", by="b", total=total)
     labels = linked(classes, rows, materialize(same.filter("a <> b").select("a", "b").distinct(), "near-same-ids"))
 
     first = classes.select("id", F.col("doc_id").alias("class_id"), "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = materialize(first, "near-first")
+    first = materialize(first, "near-first", total)
     roots = first.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    whole = materialize(join_salted(first, roots, "component", by="id").select(F.col("id").alias("digest"), "class_id", "component_id", "copies"), "near-components")
-    grouped = join_groups(known.select("doc_id", "text_key", "n_shingles", "digest"), whole, "digest", "copies", known.count())
+    whole = materialize(join_salted(first, roots, "component", by="id", total=total).select(F.col("id").alias("digest"), "class_id", "component_id", "copies"), "near-components", total)
+    grouped = join_groups(known.select("doc_id", "text_key", "n_shingles", "digest"), whole, "digest", "copies", total)
     grouped = grouped.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     alone = sketches.filter("digest IS NULL OR doc_id IS NULL").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True), "class_id": F.col("doc_id")})
     columns = ["doc_id", "n_shingles", "component_id", "kept", "class_id", "text_key"]

@@ -313,17 +313,18 @@ def shared_runs(pieces: DataFrame) -> DataFrame:
     """Runs of windows (anchor, digest, low, high) that pieces of one group share; groups of any size."""
     found = []
     while True:
+        total = pieces.count()
         groups = materialize(pieces.groupBy("group").count().filter("count > 1"), "repeat-groups")
         large = groups.filter(F.col("count") > MOST)
-        alone = join_salted(pieces, groups.filter(F.col("count") <= MOST).select("group"), "group", by="digest")
+        alone = join_salted(pieces, groups.filter(F.col("count") <= MOST).select("group"), "group", by="digest", total=total)
         found.append(alone.repartition("group").sortWithinPartitions("group").mapInArrow(_expand, RUNS))
         if large.isEmpty():
             return functools.reduce(DataFrame.unionByName, found)
-        split = join_salted(pieces, large.select("group"), "group", by="digest")
+        split = join_salted(pieces, large.select("group"), "group", by="digest", total=total)
         split = materialize(split.select(*pieces.columns).mapInArrow(_halved, f"{PIECE}, part binary"), "repeat-halves")
         kinds = materialize(split.groupBy("group", "part").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("anchor", "digest", "first")).alias("one")), "repeat-half-kinds")
         # every window of equal halves is a repeat; one of them stands for all against the others of the group
-        equal = join_salted(split.drop("group"), kinds.filter("copies > 1").select("part").distinct(), "part", by="digest")
+        equal = join_salted(split.drop("group"), kinds.filter("copies > 1").select("part").distinct(), "part", by="digest", total=2 * total)
         windows = F.octet_length("piece") - (LEAST - 1)
         found.append(equal.select("anchor", "digest", F.col("first").alias("low"), (F.col("first") + windows).alias("high")))
         one = kinds.select(F.col("group").alias("own"), "one.*")

@@ -183,9 +183,11 @@ def brute_contamination(rows, items, span=13):
     return out
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [1 << 25, 0])
 def test_contamination(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(common, "SMALL_TABLE", 0)
+    monkeypatch.setattr(common, "SMALL_GROUP", 1)
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, window string")
     got = rows_of(decontaminate.contamination(table(spark), items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == brute_contamination(ROWS, ITEMS)
