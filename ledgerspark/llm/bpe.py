@@ -12,8 +12,11 @@ Decoding concatenates bytes up the same tree. A text is the concatenation of its
 pattern), so its ids are the pieces' ids in order.
 
 Ids follow the rank file: a piece that is a token as a whole is that token, otherwise the neighbours whose
-concatenation has the lowest rank merge first, the leftmost of equals. A null text has no ids; lone surrogates cannot
-occur in Spark strings.
+concatenation has the lowest rank merge first, the leftmost of equals.
+
+Defined results: null and empty texts have no ids and decode to the empty text; texts of any length are read whole, though a single piece of
+very many bytes (a megabyte of one sign) is one task's work; repeated rows get equal results; columns of other names are not looked at;
+an empty table gives an empty one. Lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations

@@ -247,8 +247,13 @@ def group_cards(docs: DataFrame, key: str) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("cards") > 0, F.array_join(parts, "")).otherwise(F.col("text")).alias("text"), "cards")
 
 
-def pseudonymise(docs: DataFrame, key: str = "ledgerspark") -> DataFrame:
-    """One row per row of docs: doc_id, n_replaced, kinds (sorted, comma-joined), text with pseudonyms, text_sha256."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """One row per row of docs: doc_id, n_replaced, kinds (sorted, comma-joined), text with pseudonyms, text_sha256.
+
+    Whoever has the key can turn the numbers back. It becomes a part of the plan, so event logs hold it too.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     any_of = F.lit(f"({ANY})")
     rows = group_cards(docs, key)
     rows = rows.select("doc_id", "text", "cards", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", any_of, F.lit(0))).alias("found"))

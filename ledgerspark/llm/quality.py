@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the mean of the vectors of its words and of the character n-grams inside them (3 and 4 bytes, with the white
-space around a word as its border), all hashed into fixed tables. A linear layer with softmax over the two classes
+A text is the mean of the vectors of its words and of the n-grams inside them (of 3 and 4 bytes, so that letters outside ASCII count as two or more, with the white
+space around a word as its border), all hashed into fixed tables; a word that repeats the one before adds a slot of its own four times, a feature for
+stuttered text. A linear layer with softmax over the two classes
 stands on the mean; vectors and layer are learned together by stochastic gradient descent in numpy.
 
 The model is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows, those with the smallest hash of doc_id among the rows
@@ -9,8 +10,9 @@ that may be learned from. Rows with crc32(doc_id) mod 5 = 0 are never learned fr
 in the executors; the broadcast model has a fixed size (SLOTS floats), as the linear layer is folded into the vectors.
 
 Defined results: null and empty texts get the score of the layer's bias alone; rows of documents without a label are
-scored like any other; a null doc_id is never held out and never learned from; without two classes to learn from, the score is the
-share of good rows (0.5 without any); repeated rows get equal scores.
+scored like any other; of two labels of one doc_id the smaller counts; a null doc_id is never held out and never learned from; without two classes to learn from, the score is the
+share of good rows (0.5 without any); repeated rows get equal scores; an
+empty table gives an empty one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -109,14 +111,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     known = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # the ids are chosen from the narrow label table: at most `rows` ids are broadcast and at most that many texts come back
-    chosen = known.select(F.col("doc_id").alias("__id"), F.col(column).cast("int").alias("__label")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__label", "text")
-    sample = found.orderBy(F.xxhash64("__id"), "__id", "text").limit(rows).toPandas()
-    share = float(sample["__label"].mean()) if len(sample) else 0.5
+    chosen = known.select(F.col("doc_id").alias("known_id"), F.col(column).cast("int").alias("known_label")).groupBy("known_id").agg(F.min("known_label").alias("known_label")).orderBy(F.xxhash64("known_id"), "known_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).select("known_id", "known_label", "text")
+    sample = found.orderBy(F.xxhash64("known_id"), "known_id", "text").limit(rows).toPandas()
+    share = float(sample["known_label"].mean()) if len(sample) else 0.5
     if not 0 < share < 1:
         share = min(max(share, 0.001), 0.999)
         return np.zeros(SLOTS, np.float32), float(np.log(share / (1 - share)))
-    return train(sample["text"].tolist(), sample["__label"].tolist())
+    return train(sample["text"].tolist(), sample["known_label"].tolist())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,17 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+#: Session setting with the secret of the pseudonyms.
+PII_KEY = "spark.ledgerspark.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret in PII_KEY; without one a random key, so that pseudonyms link the documents of this run alone and cannot be turned back."""
+    return spark.conf.get(PII_KEY, None) or secrets.token_hex(32)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir))
+    return pii.pseudonymise(documents(spark, sf_dir), pii_key(spark))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, timedelta
 from pathlib import Path
 
 import pytest
@@ -295,7 +296,7 @@ def test_bpe_equals_tiktoken(spark):
 def test_pii_formats_and_links(spark):
     text = "Card 4539578763621486 and 1234567890123456, call +1 (212) 555-0123; born 1980-02-29, not 1981-02-29. Host 10.0.0.255 or 300.1.1.1, ssn 078-05-1120, mail Jane.Doe@mail.example.com."
     rows = ROWS + [(30, text), (31, "again 4539578763621486 on 1980-02-29 from 10.0.0.255")]
-    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows), "key").collect()}
     a, b = out[30], out[31]
     assert a.kinds == "card,date,email,ip,phone,ssn" and a.n_replaced == 6
     for kept in ("1234567890123456", "1981-02-29", "300.1.1.1"):
@@ -307,7 +308,7 @@ def test_pii_formats_and_links(spark):
     assert sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) and (sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
     assert card in b.text and re.search(r"born (\S+),", a.text)[1] in b.text and re.search(r"Host (\S+) or", a.text)[1] in b.text
     assert out[1].text is None and out[2].text == "" and out[8].text == LONG
-    assert pii.pseudonymise(empty(spark)).count() == 0
+    assert pii.pseudonymise(empty(spark), "key").count() == 0
 
 
 def test_pii_spellings(spark):
@@ -321,7 +322,7 @@ def test_pii_spellings(spark):
         "email": ["müller@x.de", "MÜLLER@x.de"],
     }
     rows = [(i, f"Before {t} after.") for i, t in enumerate(x for k in same.values() for x in k)]
-    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows), "key").collect()}
     new, i = {}, 0
     for kind, spellings in same.items():
         for t in spellings:
@@ -340,7 +341,7 @@ def test_pii_spellings(spark):
 
 def test_pii_cards_among_numbers(spark):
     rows = [(1, "in 2024 4111 1111 1111 1111 123 and 4111 1111 1111 1111 3782 822463 10005."), (2, "1990 1991 1992 1993, 4111 1111 1111 1112, 30/02/2024, 1.2.3"), (3, "4111 1111 1111 1111 555 123 4567")]
-    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows), "key").collect()}
     assert "4111 1111" not in out[1].text and "822463" not in out[1].text and out[1].n_replaced == 3 and out[1].text.startswith("in 2024 ")
     assert out[2].text == rows[1][1] and out[2].n_replaced == 0 and out[2].kinds == ""
     assert "4111" not in out[3].text[:4] and "123 4567" not in out[3].text and out[3].kinds == "card,phone" and out[3].n_replaced == 2
@@ -352,6 +353,65 @@ def test_feistel_permutes(spark):
     assert sorted(r.y for r in moved.collect()) == list(range(n))
 
 
+def feistel_by_hand(left, right, a, b, kind, back=False):
+    f = lambda i, half: int(hashlib.sha256(f"key|{kind}|{i}|{half}".encode()).hexdigest()[:12], 16)
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        sign = -1 if back else 1
+        if i % 2 == 0:
+            left = (left + sign * f(i, right)) % a
+        else:
+            right = (right + sign * f(i, left)) % b
+    return left, right
+
+
+def turned_back(kind, text):
+    """The value that a pseudonym stands for."""
+    if kind == "ip":
+        o = [int(x) for x in text.split(".")]
+        left, right = feistel_by_hand(o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16, kind, back=True)
+        return ".".join(str(x) for n in (left, right) for x in divmod(n, 256))
+    if kind == "date":
+        n = (date.fromisoformat(text) - date(1801, 1, 1)).days
+        left, right = feistel_by_hand(*divmod(n, pii.DAYS_B), pii.DAYS_A, pii.DAYS_B, kind, back=True)
+        return (date(1801, 1, 1) + timedelta(left * pii.DAYS_B + right)).isoformat()
+    if kind == "ssn":
+        area, group, serial = (int(x) for x in text.split("-"))
+        left, right = feistel_by_hand((area - 2 if area > 666 else area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9999, kind, back=True)
+        area, group = divmod(left, 99)
+        return f"{area + 2 if area >= 665 else area + 1:03}-{group + 1:02}-{right + 1:04}"
+    digits = re.sub("[^0-9]", "", text)
+    head = digits[:1] if kind == "phone" else ""
+    body = digits[1:] if kind == "phone" else digits[:-1]
+    half = len(body) // 2
+    left, right = feistel_by_hand(int(body[:half]), int(body[half:]), 10**half, 10 ** (len(body) - half), kind, back=True)
+    found = head + str(left).zfill(half) + str(right).zfill(len(body) - half)
+    return "+" + found if kind == "phone" else found + luhn(found)
+
+
+def luhn(payload):
+    total = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(payload)))
+    return str(-total % 10)
+
+
+def test_pii_formats_turn_back(spark):
+    """Every pseudonym, turned back by hand, is the value it stands for: no two values of a format share one."""
+    rnd = random.Random(12)
+    values = []
+    for _ in range(150):
+        payload = str(rnd.randrange(10**15)).zfill(15)
+        values.append(("card", payload + luhn(payload)))
+        values.append(("phone", f"+1{rnd.randrange(2 * 10**9, 10**10)}"))
+        values.append(("ssn", f"{rnd.choice([*range(1, 666), *range(667, 900)]):03}-{rnd.randint(1, 99):02}-{rnd.randint(1, 9999):04}"))
+        values.append(("ip", ".".join(str(rnd.randrange(256)) for _ in range(4))))
+        values.append(("date", (date(1801, 1, 1) + timedelta(rnd.randrange(146097))).isoformat()))
+    rows = [(k, f"x {v} y") for k, (_, v) in enumerate(values)]
+    for r in pii.pseudonymise(table(spark, rows), "key").collect():
+        kind, value = values[r.doc_id]
+        assert r.kinds == kind and turned_back(kind, r.text[2:-2]) == value, (kind, value, r.text)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(table(spark, rows), "")
+
+
 # substrings
 
 
