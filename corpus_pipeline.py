@@ -1,6 +1,10 @@
 """Corpus pipeline: documents in, token digests of the clean ones out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results: null and empty texts pass the quality stage or not by the classifier's bias, count as one text in exact dedup, stand alone in
+near dedup, are clean, and have no tokens; texts of any length are read whole; of repeated rows exact dedup keeps one; extra columns, whatever their
+names, stay until the last stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
