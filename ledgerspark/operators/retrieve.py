@@ -8,26 +8,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # State names in the order in which they are tried, and their codes.
-STATES = {"california": "CA", "colorado": "CO", "florida": "FL", "illinois": "IL", "massachusetts": "MA", "new jersey": "NJ", "new york": "NY", "ohio": "OH", "pennsylvania": "PA", "texas": "TX", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "washington dc": "DC"}
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL",
+    "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT",
+    "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA",
+    "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+    "washington dc": "DC", "district of columbia": "DC",
+}
 # Mandate words, scaffolding words, and the texts that state an absence.
 MANDATES = ["real estate", "technology", "tech", "healthcare", "biotech", "life sciences", "venture", "venture capital", "private equity", "growth equity", "buyout", "crypto", "digital assets", "energy", "infrastructure", "consumer", "fintech", "financial", "industrial", "hedge fund", "public equities", "fixed income", "credit", "impact", "esg", "direct", "fund of funds"]
-SCAFFOLDING = ["which", "what", "who", "whom", "whose", "where", "when", "why", "how", "many", "much", "is", "are", "was", "were", "do", "does", "did", "has", "have", "can", "the", "a", "an", "of", "in", "on", "for", "to", "with", "at", "by", "from", "and", "or", "that", "top", "over", "between", "invest", "invests", "family", "office", "offices", "sfo", "sfos", "mfo", "mfos", "million", "billion"]
+SCAFFOLDING = [
+    "which", "what", "who", "whom", "whose", "where", "when", "why", "how", "is", "are", "was", "were", "be", "been", "am", "do", "does", "did", "has", "have", "had", "can", "could", "should", "would", "will", "shall", "may", "might",
+    "the", "a", "an", "of", "in", "on", "for", "to", "with", "at", "by", "from", "as", "and", "or", "that", "this", "those", "these", "there", "any", "all", "some", "me", "my", "i", "us", "our", "you", "your", "it", "its", "about",
+    "into", "out", "up", "down", "please", "tell", "show", "find", "list", "give", "get", "want", "need", "looking", "look", "search", "help", "know", "see", "name", "names", "family", "families", "office", "offices", "firm", "firms",
+    "group", "groups", "invest", "invests", "invested", "investing", "investment", "investments", "investor", "investors", "fund", "funds", "capital", "wealth", "advisor", "advisors", "advisory", "management", "managers", "manager",
+    "partners", "holdings", "llc", "inc", "ltd", "lp", "co", "companies", "company", "based", "located", "location", "headquartered", "hq", "headquarters", "over", "under", "above", "below", "more", "less", "than", "top", "best",
+    "biggest", "largest", "smallest", "having", "aum", "assets", "record", "records", "dataset",
+]
 COUNT = r"\b(how many|how much|what (fraction|percentage|share|proportion)|number of|count of|total (number|count))\b"
 ONE = r"\b(who is|what is|tell me about)\b"
 UNIT = "(billion|million|thousand|b|m|k)"
+SFO, MFO = r"\b(sfos?|single[- ]family offices?)\b", r"\b(mfos?|multi[- ]family offices?)\b"
+SPAN = rf"\$?\s*(\d[\d,.]*)\s*{UNIT}?\s*(?:and|to|-|–)\s*\$?\s*(\d[\d,.]*)\s*{UNIT}?"
+BOUND = rf"(over|above|more than|greater than|at least|>=?|under|below|less than|fewer than|at most|<=?|around|about|~)\s*\$?\s*(\d[\d,.]*)\s*{UNIT}?"
+AMOUNT = r"^\$?[\d.,]+(m|b|k|mm|bn|million|billion)?$"
 RRF_K = 60
 MOST_DISTANCE = 0.65
 WEIGHTS = {"fit": 0.35, "reach": 0.30, "recency": 0.20, "trust": 0.15}
 NON_STATEMENTS = ["No investing thesis or mandate details have been confirmed", "No recent activity signal has been confirmed", "No specific why-now trigger has been confirmed", "No named decision-maker has been confirmed"]
 
 
+def entity_type(text: Column) -> Column:
+    q = F.lower(text)
+    return F.when(q.rlike(SFO), "SFO").when(q.rlike(MFO), "MFO")
+
+
+def hq_state(text: Column) -> Column:
+    """The first listed name that the text holds as words (one that is part of another may win), else the first two capitals, if they are a code."""
+    q = F.lower(text)
+    code = F.regexp_extract(text, r"\b([A-Z]{2})\b", 1)
+    return F.coalesce(*[F.when(q.rlike(rf"\b{n}\b"), F.lit(c)) for n, c in STATES.items()], F.when(code.isin(sorted(set(STATES.values()))), code))
+
+
 def parse_filters(queries: DataFrame) -> DataFrame:
-    """QRY-01: type, state and mandates of each query. State names are tried in order, so one that holds another may lose to it."""
-    q = F.lower("query_text")
-    kind = F.when(q.rlike(r"\b(sfos?|single.family)\b"), "SFO").when(q.rlike(r"\b(mfos?|multi.family)\b"), "MFO")
-    state = F.coalesce(*[F.when(q.rlike(rf"\b{n}\b"), F.lit(c)) for n, c in STATES.items()], F.nullif(F.regexp_extract("query_text", r"\b(CA|CO|FL|IL|MA|NJ|NY|OH|PA|TX|VA|WA|WV|WI|WY|DC)\b", 1), F.lit("")))
-    mandates = F.array_join(F.filter(F.array(*[F.lit(m) for m in MANDATES]), lambda m: F.contains(q, m)), ",")
-    return queries.select("query_id", kind.alias("entity_type"), state.alias("hq_state"), mandates.alias("mandates"))
+    """QRY-01: type, state and mandates of each query; mandates match as whole words."""
+    text = F.coalesce("query_text", F.lit(""))
+    mandates = F.array_join(F.array_compact(F.array(*[F.when(F.lower(text).rlike(rf"\b{m}\b"), F.lit(m)) for m in MANDATES])), ",")
+    return queries.select("query_id", entity_type(text).alias("entity_type"), hq_state(text).alias("hq_state"), mandates.alias("mandates"))
 
 
 def scale(unit: Column) -> Column:
@@ -36,33 +63,42 @@ def scale(unit: Column) -> Column:
 
 
 def parse_amounts(queries: DataFrame) -> DataFrame:
-    """QRY-02: least and greatest amount: a range (turned round if need be), else the last 'over' and 'under', else 'around' by a quarter."""
-    text = F.lower("query_text")
-    span = rf"\$?\s*(\d[\d,.]*)\s*{UNIT}?\s*(?:and|to|-)\s*\$?\s*(\d[\d,.]*)\s*{UNIT}?"
-    part = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    number = lambda c: F.try_to_number(F.regexp_replace(c, "[,.]+$|,", ""), F.lit("999999999999")).cast("double")
-    a, ua, b, ub = (part(span, i) for i in (1, 2, 3, 4))
+    """QRY-02: least and greatest amount: a range (turned round if need be), else the last bound of each side; 'around' sets both, a quarter off."""
+    text = F.lower(F.coalesce("query_text", F.lit("")))
+    part = lambda i: F.nullif(F.regexp_extract(text, SPAN, i), F.lit(""))
+    number = lambda c: F.regexp_extract(F.regexp_replace(c, ",", ""), r"^\d+(\.\d+)?", 0).try_cast("double")
+    a, ua, b, ub = (part(i) for i in (1, 2, 3, 4))
     low, high = number(a) * scale(F.coalesce(ua, ub)), number(b) * scale(F.coalesce(ub, ua))
-    one = lambda words: (rf".*\b(?:{words})\s*\$?\s*(\d[\d,.]*)\s*{UNIT}?")
-    over, under, around = one("over|above|more than|greater than|at least"), one("under|below|less than|fewer than|at most"), one("around|about")
-    value = lambda p: number(part(p, 1)) * scale(part(p, 2))
-    least = F.when(a.isNotNull(), F.least(low, high)).otherwise(F.coalesce(value(over), value(around) * 0.75))
-    most = F.when(a.isNotNull(), F.greatest(low, high)).otherwise(F.coalesce(value(under), value(around) * 1.25))
-    return queries.select("query_id", least.alias("aum_min"), most.alias("aum_max"))
+    every = lambda i: F.regexp_extract_all(text, F.lit(BOUND), F.lit(i))
+    bounds = F.arrays_zip(every(1).alias("w"), every(2).alias("n"), every(3).alias("u"))
+    side = lambda x: F.when(x["w"].rlike("over|above|more|greater|at least|>"), "over").when(x["w"].rlike("under|below|less|fewer|at most|<"), "under").otherwise("around")
+
+    def last(name: str, off: float) -> Column:
+        found = F.try_element_at(F.filter("bounds", lambda x: side(x).isin(name, "around")), F.lit(-1))
+        return number(found["n"]) * scale(found["u"]) * F.when(side(found) == "around", off).otherwise(1.0)
+
+    rows = queries.select("query_id", bounds.alias("bounds"), low.alias("low"), high.alias("high"))
+    least = F.when(F.col("low").isNotNull(), F.least("low", "high")).otherwise(last("over", 0.75))
+    most = F.when(F.col("low").isNotNull(), F.greatest("low", "high")).otherwise(last("under", 1.25))
+    return rows.select("query_id", least.alias("aum_min"), most.alias("aum_max"))
 
 
 def topical_residual(queries: DataFrame) -> DataFrame:
-    """QRY-03: what is left of a query without scaffolding words, numbers and names of states."""
-    names = sorted(STATES, key=lambda n: (-len(n), n))  # here the longest first, so that nothing of a name is left
-    text = reduce(lambda t, n: F.regexp_replace(t, rf"\b{n}\b", " "), names, F.lower("query_text"))
-    tokens = F.regexp_extract_all(text, F.lit(r"([a-z0-9]+)"), F.lit(1))
-    left = F.filter(tokens, lambda t: ~t.isin(SCAFFOLDING) & ~t.rlike("^[0-9]+[mbk]?$"))
-    return queries.select("query_id", F.array_join(left, " ").alias("topic"))
+    """QRY-03: what is left of a query without scaffolding words, amounts, and what the state and type filters have taken."""
+    text = F.coalesce("query_text", F.lit(""))
+    names = {code: r"\b(" + "|".join(n for n, c in STATES.items() if c == code) + rf"|{code.lower()})\b" for code in STATES.values()}
+    taken = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    rows = queries.select("query_id", F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s%$.-]", " ").alias("q"), entity_type(text).alias("kind"), hq_state(text).alias("state"))
+    rows = rows.withColumn("q", F.when(F.col("state").isNull(), F.col("q")).otherwise(F.regexp_replace("q", F.try_element_at(taken, F.col("state")), F.lit(" "))))
+    typed = F.regexp_replace(F.regexp_replace("q", r"\b(single|multi)[\s-]?family\b", " "), r"\b(sfo|mfo)\b", " ")
+    rows = rows.withColumn("q", F.when(F.col("kind").isNull(), F.col("q")).otherwise(typed))
+    left = F.filter(F.split("q", r"\s+"), lambda t: (t != "") & ~t.rlike(AMOUNT) & ~t.isin(SCAFFOLDING))
+    return rows.select("query_id", F.array_join(left, " ").alias("topic"))
 
 
 def shape(queries: DataFrame) -> DataFrame:
     """QRY-04: count, one or many, and how many are asked for (1 to 25, else 10)."""
-    q = F.lower("query_text")
+    q = F.lower(F.coalesce("query_text", F.lit("")))
     n = F.nullif(F.regexp_extract(q, r"\b(?:top|first|best|leading)\s+(\d{1,3})\b", 1), F.lit("")).cast("int")
     return queries.select("query_id", F.when(q.rlike(COUNT), "count").when(q.rlike(ONE), "one").otherwise("many").alias("shape"), F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(25), n))).otherwise(10).alias("top_n"))
 
@@ -223,7 +259,24 @@ def record_view(ids: DataFrame, records: DataFrame, hooks: DataFrame) -> DataFra
 
 
 def baseline_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """AGG-03: cited ids lost and gained per query (query_id, cited array)."""
+    """AGG-03: which question sets changed between two runs: cited ids lost and gained per query (query_id, cited array)."""
     both = before.join(after.withColumnRenamed("cited", "now"), "query_id")
     text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",")
     return both.select("query_id", text(F.array_except("cited", "now")).alias("lost"), text(F.array_except("now", "cited")).alias("gained"))
+
+
+def query_log_stats(log: DataFrame) -> DataFrame:
+    """AGG-03: the query log by intent: number, how many were relaxed, found nothing or were refused by a gate, mean best score and stripped fraction.
+
+    log: intent, relaxed_filters, retrieved_record_ids, top_score, gate1_decision, gate2_decision, stripped_fraction, as the log row has them.
+    """
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    refused = (F.col("gate1_decision") == "refuse") | (F.col("gate2_decision") == "refuse")
+    return log.groupBy("intent").agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.count_if(some("relaxed_filters")).alias("relaxed"),
+        F.count_if(~some("retrieved_record_ids")).alias("empty"),
+        F.count_if(F.coalesce(refused, F.lit(False))).alias("refused"),
+        F.round(F.avg("top_score"), 6).alias("mean_top_score"),
+        F.round(F.avg("stripped_fraction"), 6).alias("mean_stripped"),
+    )

@@ -8,6 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+#: Questions in the words of users, with places for a state, a code, a mandate, a number and a name.
+QUESTIONS = [
+    "How many SFOs are in <s>?", "Top <n> MFOs over $<n> million in <c>", "Who is <w> Family Office?", "offices between $1m and $<n> billion in <s>", "Which family offices invest in <m> or climate?",
+    "Tell me about the largest <m> investors based in <s>", "single-family offices under <n>k, around 3.5 million", "What share of multi family offices over 2,500 thousand hold <m>", "first <n> firms at least $1.5b but less than <n> billion",
+    "SFOs in <c> run by a director", "fintech and biotech offices near <s> with <m>", "number of records ~ <n>m", "list of <m> managers for <w>", "leading 30 offices 5-<n>m, XX or <c>", "", "<m> <m> over <n> above 7 at most 1.2.3b",
+]
+PLACES = ["Alabama", "Georgia", "New York", "West Virginia", "District of Columbia", "Washington DC", "North Dakota", "Texas", "Kansas", "Maine", "the Moon"]
+CODES = ["AL", "GA", "NY", "WV", "DC", "ZZ", "TX"]
+TOPICS = ["real estate", "tech", "biotech", "life sciences", "venture capital", "energy", "fintech", "fund of funds", "soft robotics", "climate", "impactful art", "direct credit"]
+
+
+def asked() -> str:
+    """v_ask: one question for every customer."""
+
+    def pick(words: list[str], of: str) -> str:
+        return f"CASE {of} % {len(words)} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words)) + " END"
+
+    text = pick(QUESTIONS, "c_custkey")
+    for mark, value in (("s", pick(PLACES, "c_custkey")), ("c", pick(CODES, "c_custkey")), ("m", pick(TOPICS, "c_custkey")), ("n", "CAST(c_custkey % 400 AS STRING)"), ("w", "c_name")):
+        text = f"replace({text}, '<{mark}>', {value})"
+    return f"SELECT c_custkey AS query_id, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE {text} END AS query_text FROM customer"
+
+
 VIEWS = {
     "v_ledger": """
 SELECT event_id AS seq, 'c' || CAST(event_id AS STRING) AS claim_id, user_id AS entity_id,
@@ -62,6 +85,7 @@ FROM events""",
 SELECT n_nationkey AS query_id, CASE n_nationkey % 5 WHEN 0 THEN 'how many SFOs are in Texas' WHEN 1 THEN 'top ' || CAST(n_nationkey AS STRING) || ' MFOs over $' || CAST(n_nationkey + 1 AS STRING) || ' million'
   WHEN 2 THEN 'who is ' || n_name || ' Family Office' WHEN 3 THEN 'offices between $1m and $' || CAST(n_nationkey AS STRING) || ' billion in West Virginia' ELSE 'which family offices invest in real estate or fintech' END AS query_text
 FROM nation""",
+    "v_ask": asked(),
     "v_doc": "SELECT * FROM documents",
     "v_page": "SELECT * FROM pages",
     "v_answer": "SELECT * FROM conversations",

@@ -7,36 +7,51 @@ from pyspark.sql import functions as F
 from ..operators import retrieve as R
 from .registry import query
 
-STATE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(query_text), '\\b{n}\\b') THEN '{c}'" for n, c in R.STATES.items()) + " END"
-MAND = "[" + ", ".join(f"'{m}'" for m in R.MANDATES) + "]"
+LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
+Q = "lower(coalesce(query_text, ''))"
+STATE_SQL = f"CASE {' '.join(f"WHEN regexp_matches({Q}, '\\b{n}\\b') THEN '{c}'" for n, c in R.STATES.items())} WHEN regexp_extract(query_text, '\\b([A-Z]{{2}})\\b', 1) IN ({LISTED(sorted(set(R.STATES.values())))}) THEN regexp_extract(query_text, '\\b([A-Z]{{2}})\\b', 1) END"
+TYPE_SQL = f"CASE WHEN regexp_matches({Q}, '\\b(sfos?|single[- ]family offices?)\\b') THEN 'SFO' WHEN regexp_matches({Q}, '\\b(mfos?|multi[- ]family offices?)\\b') THEN 'MFO' END"
 
 
-@query("qry01_parse_filters", "v_query", sql=f"""SELECT query_id, CASE WHEN regexp_matches(lower(query_text), '\\b(sfos?|single.family)\\b') THEN 'SFO' WHEN regexp_matches(lower(query_text), '\\b(mfos?|multi.family)\\b') THEN 'MFO' END AS entity_type, {STATE_SQL} AS hq_state,
- array_to_string(list_filter({MAND}, lambda m: contains(lower(query_text), m)), ',') AS mandates FROM v_query""")
+@query("qry01_parse_filters", "v_ask", sql=f"""SELECT query_id, {TYPE_SQL} AS entity_type, {STATE_SQL} AS hq_state, array_to_string(list_filter([{LISTED(R.MANDATES)}], lambda m: regexp_matches({Q}, '\\b' || m || '\\b')), ',') AS mandates FROM v_ask""")
 def qry01(q):
     return R.parse_filters(q)
 
 
-@query("qry02_parse_amounts", "v_query", sql="""
-SELECT query_id, CASE query_id % 5 WHEN 1 THEN (query_id + 1) * 1e6 WHEN 3 THEN least(1e6, query_id * 1e9) END AS aum_min, CASE query_id % 5 WHEN 3 THEN greatest(1e6, query_id * 1e9) END AS aum_max FROM v_query""")
+NUM = "TRY_CAST(regexp_extract(replace({}, ',', ''), '^[0-9]+([.][0-9]+)?') AS DOUBLE)"
+TIMES = "CASE left({}, 1) WHEN 'b' THEN 1e9 WHEN 'm' THEN 1e6 WHEN 'k' THEN 1e3 WHEN 't' THEN 1e3 ELSE 1 END"
+
+
+@query("qry02_parse_amounts", "v_ask", sql=f"""
+WITH r AS (SELECT query_id, {Q} AS q, regexp_extract({Q}, '{R.SPAN}', ['a', 'ua', 'b', 'ub']) AS s FROM v_ask),
+w AS (SELECT *, list_transform(range(len(regexp_extract_all(q, '{R.BOUND}', 1))), lambda i: {{'w': regexp_extract_all(q, '{R.BOUND}', 1)[i + 1], 'n': regexp_extract_all(q, '{R.BOUND}', 2)[i + 1], 'u': regexp_extract_all(q, '{R.BOUND}', 3)[i + 1]}}) AS found FROM r),
+d AS (SELECT *, list_transform(found, lambda x: {{'side': CASE WHEN regexp_matches(x.w, 'over|above|more|greater|at least|>') THEN 1 WHEN regexp_matches(x.w, 'under|below|less|fewer|at most|<') THEN 2 ELSE 3 END, 'v': {NUM.format('x.n')} * {TIMES.format('x.u')}}}) AS sided FROM w),
+l AS (SELECT *, list_filter(sided, lambda x: x.side <> 2)[-1] AS lo, list_filter(sided, lambda x: x.side <> 1)[-1] AS hi, {NUM.format('s.a')} * {TIMES.format("coalesce(nullif(s.ua, ''), s.ub)")} AS x, {NUM.format('s.b')} * {TIMES.format("coalesce(nullif(s.ub, ''), s.ua)")} AS y FROM d)
+SELECT query_id, CASE WHEN x IS NOT NULL THEN least(x, y) ELSE lo.v * CASE WHEN lo.side = 3 THEN 0.75 ELSE 1 END END AS aum_min, CASE WHEN x IS NOT NULL THEN greatest(x, y) ELSE hi.v * CASE WHEN hi.side = 3 THEN 1.25 ELSE 1 END END AS aum_max FROM l""")
 def qry02(q):
     return R.parse_amounts(q)
 
 
-@query("qry03_topical_residual", "v_query", sql="""
-SELECT query_id, CASE query_id % 5 WHEN 2 THEN trim(regexp_replace(lower(split_part(split_part(query_text, 'who is ', 2), ' Family', 1)), '[^a-z]+', ' ', 'g')) WHEN 4 THEN 'real estate fintech' ELSE '' END AS topic FROM v_query""")
+NAMES = "n(code, pattern) AS (VALUES " + ", ".join(f"('{c}', '\\b(" + "|".join([n for n, k in R.STATES.items() if k == c] + [c.lower()]) + ")\\b')" for c in sorted(set(R.STATES.values()))) + ")"
+TOPIC = f"""{NAMES}, f AS (SELECT query_id, regexp_replace({Q}, '[^\\p{{L}}\\p{{N}}\\s%$.-]', ' ', 'g') AS q, {TYPE_SQL} AS kind, {STATE_SQL} AS state FROM v_ask),
+u AS (SELECT query_id, kind, CASE WHEN state IS NULL THEN q ELSE regexp_replace(q, pattern, ' ', 'g') END AS q FROM f LEFT JOIN n ON code = state),
+k AS (SELECT query_id, CASE WHEN kind IS NULL THEN q ELSE regexp_replace(regexp_replace(q, '\\b(single|multi)[\\s-]?family\\b', ' ', 'g'), '\\b(sfo|mfo)\\b', ' ', 'g') END AS q FROM u),
+topics AS (SELECT query_id, array_to_string(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '' AND NOT regexp_matches(x, '{R.AMOUNT}') AND x NOT IN ({LISTED(R.SCAFFOLDING)})), ' ') AS topic FROM k)"""
+
+
+@query("qry03_topical_residual", "v_ask", sql=f"WITH {TOPIC} SELECT query_id, topic FROM topics")
 def qry03(q):
     return R.topical_residual(q)
 
 
-@query("qry04_shape", "v_query", sql="""
-SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'count' WHEN 2 THEN 'one' ELSE 'many' END AS shape, CASE query_id % 5 WHEN 1 THEN CAST(greatest(1, least(25, query_id)) AS INT) ELSE 10 END AS top_n FROM v_query""")
+@query("qry04_shape", "v_ask", sql=f"""
+SELECT query_id, CASE WHEN regexp_matches({Q}, '\\b(how many|how much|what (?:fraction|percentage|share|proportion)|number of|count of|total (?:number|count))\\b') THEN 'count' WHEN regexp_matches({Q}, '\\b(?:who is|what is|tell me about)\\b') THEN 'one' ELSE 'many' END AS shape,
+ CASE WHEN regexp_extract({Q}, '\\b(?:top|first|best|leading)\\s+(\\d{{1,3}})\\b', 1) = '' THEN 10 ELSE greatest(1, least(25, CAST(regexp_extract({Q}, '\\b(?:top|first|best|leading)\\s+(\\d{{1,3}})\\b', 1) AS INT))) END AS top_n FROM v_ask""")
 def qry04(q):
     return R.shape(q)
 
 
-@query("qry05_expand_terms", "v_query", sql="""
-SELECT query_id, trim(regexp_replace(lower(split_part(split_part(query_text, 'who is ', 2), ' Family', 1)), '[^a-z]+', ' ', 'g')) || '|' || 'alpha|beta' AS terms FROM v_query WHERE query_id % 5 = 2""")
+@query("qry05_expand_terms", "v_ask", sql=f"WITH {TOPIC} SELECT query_id, array_to_string(list_distinct_in_order, '|') AS terms FROM (SELECT query_id, CASE topic WHEN 'alpha' THEN ['alpha', 'beta'] WHEN 'beta' THEN ['beta', 'alpha'] ELSE [topic, 'alpha', 'beta'] END AS list_distinct_in_order FROM topics WHERE topic <> '' AND len(string_split(topic, ' ')) <= 2)")
 def qry05(q):
     t = R.topical_residual(q)
     synonyms = t.filter("topic <> ''").select("topic", F.explode(F.array(F.lit("Beta!"), F.lit("alpha"))).alias("synonym"))
@@ -215,8 +230,23 @@ def agg02(e, q):
     return R.record_view(ids, e, e.filter("record_id % 2 = 0").select("record_id", F.lit("hook").alias("hook"))).select("query_id", "place", "record_id", "entity_type", "hook")
 
 
-@query("agg03_baseline_diff", "v_query", sql="SELECT query_id, CASE WHEN query_id % 2 = 0 THEN '1' ELSE '' END AS lost, '9' AS gained FROM v_query")
-def agg03(q):
-    before = q.select("query_id", F.array(F.lit(1), F.lit(2)).alias("cited"))
-    after = q.select("query_id", F.when(F.col("query_id") % 2 == 0, F.array(F.lit(2), F.lit(9))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(9))).alias("cited"))
-    return R.baseline_diff(before, after)
+@query("agg03_baseline_diff", "v_answer", sql="""
+WITH c AS (SELECT conv_id, coalesce(list(DISTINCT turn) FILTER (length(text) % 2 = 0), []) AS a, coalesce(list(DISTINCT turn) FILTER (length(text) % 3 = 0), []) AS b FROM v_answer GROUP BY conv_id)
+SELECT conv_id AS query_id, array_to_string(list_sort(list_transform(list_filter(a, lambda x: NOT list_contains(b, x)), lambda x: CAST(x AS VARCHAR))), ',') AS lost, array_to_string(list_sort(list_transform(list_filter(b, lambda x: NOT list_contains(a, x)), lambda x: CAST(x AS VARCHAR))), ',') AS gained FROM c""")
+def agg03(answers):
+    cited = lambda n: answers.groupBy(F.col("conv_id").alias("query_id")).agg(F.collect_set(F.when(F.length("text") % n == 0, F.col("turn"))).alias("cited"))
+    return R.baseline_diff(cited(2), cited(3))
+
+
+LOG = """SELECT role AS intent, CASE WHEN turn % 2 = 0 THEN {none} ELSE {one} END AS relaxed_filters, CASE WHEN length(text) % 5 = 0 THEN {none} ELSE {one} END AS retrieved_record_ids, CASE WHEN turn % 7 > 0 THEN length(text) / 1000.0 END AS top_score,
+ CASE WHEN length(text) % 11 = 0 THEN 'refuse' ELSE 'answer' END AS gate1_decision, CASE WHEN turn % 5 = 4 THEN 'refuse' WHEN turn % 5 = 3 THEN NULL ELSE 'answer' END AS gate2_decision, (turn % 4) / 4.0 AS stripped_fraction FROM v_answer"""
+
+
+@query("agg03_query_log_stats", "v_answer", sql=f"""
+WITH log AS ({LOG.format(none="[]", one="['x']")})
+SELECT intent, count(*) AS queries, count(*) FILTER (len(relaxed_filters) > 0) AS relaxed, count(*) FILTER (len(retrieved_record_ids) = 0) AS empty, count(*) FILTER (gate1_decision = 'refuse' OR gate2_decision = 'refuse') AS refused,
+ round(avg(CAST(top_score AS DOUBLE)), 6) AS mean_top_score, round(avg(CAST(stripped_fraction AS DOUBLE)), 6) AS mean_stripped FROM log GROUP BY intent""")
+def agg03_log(answers):
+    columns = LOG.format(none="CAST(array() AS array<string>)", one="array('x')").removeprefix("SELECT ").rsplit(" FROM ", 1)[0]
+    log = answers.sparkSession.sql(f"SELECT {columns} FROM {{answers}}", answers=answers)
+    return R.query_log_stats(log.withColumn("top_score", F.col("top_score").cast("double")).withColumn("stripped_fraction", F.col("stripped_fraction").cast("double")))
