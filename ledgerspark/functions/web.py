@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Hosts that list firms but do not belong to one.
-AGGREGATORS = ["linkedin.com", "facebook.com", "twitter.com", "x.com", "bloomberg.com", "crunchbase.com", "zoominfo.com", "wikipedia.org", "sec.gov", "dnb.com", "yelp.com", "example.org"]
+# Hosts that list firms but do not belong to one, and hosts whose news is no signal.
+AGGREGATORS = [
+    "linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "yelp.com", "wikipedia.org", "crunchbase.com", "bloomberg.com", "reuters.com", "forbes.com", "zoominfo.com", "dnb.com",
+    "glassdoor.com", "indeed.com", "bbb.org", "sec.gov", "google.com", "fintrx.com", "radientanalytics.com", "aum13f.com", "usnews.com", "opencorporates.com", "manta.com", "corporationwiki.com", "buzzfile.com", "mapquest.com",
+    "bizapedia.com", "apollo.io", "rocketreach.co", "signalhire.com", "brokercheck.finra.org", "finra.org", "wealthminder.com", "investor.gov",
+]
+NO_NEWS = ["linkedin.com", "preqin.com", "advisorfinder.com", "usnews.com", "zoominfo.com", "crunchbase.com", "pitchbook.com", "sec.gov", "instagram.com", "facebook.com", "twitter.com", "x.com", "tiktok.com", "youtube.com", "reddit.com"]
 ROLE_LOCALS = ["info", "contact", "admin", "office", "hello", "support", "sales", "enquiries", "inquiries", "mail", "team", "hr", "jobs", "careers", "press", "media", "compliance", "legal", "accounting"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -16,9 +21,19 @@ def host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)", 1)), r"^www\.", ""), F.lit(""))
 
 
+def listed_host(h: Column, hosts: list[str]) -> Column:
+    """A listed host or one below it."""
+    return F.coalesce(F.exists(F.array(*[F.lit(a) for a in hosts]), lambda a: (h == a) | h.endswith(F.concat(F.lit("."), a))), F.lit(False))
+
+
 def is_aggregator(h: Column) -> Column:
-    """CON-02: a listed host or below one."""
-    return F.coalesce(F.exists(F.array(*[F.lit(a) for a in AGGREGATORS]), lambda a: (h == a) | h.endswith(F.concat(F.lit("."), a))), F.lit(False))
+    """CON-02: a host that lists firms."""
+    return listed_host(h, AGGREGATORS)
+
+
+def is_blocked_domain(h: Column) -> Column:
+    """CON-02: a host whose articles the watch leaves out."""
+    return listed_host(h, NO_NEWS)
 
 
 def email_on_domain(email: Column, domain: Column) -> Column:

@@ -34,10 +34,19 @@ def holdings_quarter(year: Column, quarter: Column) -> Column:
 
 
 def map_source(feed: DataFrame) -> DataFrame:
-    """ER-03: source class and payload per discovery class; an unknown class passes through whole."""
-    kind = F.when(F.col("source_class") == "13f_filing", F.to_json(F.struct(holdings_quarter(F.col("filed_year"), F.col("filed_qtr")).alias("quarter"), "value_usd", "prior_value_usd")))
-    kind = kind.when(F.col("source_class") == "5500_filing", F.to_json(F.struct(F.col("filed_year").alias("plan_year"), "participant_count"))).otherwise(F.to_json(F.struct("state", "value_usd", "filed_year")))
-    return feed.select("seq", "entity_id", "source_class", kind.alias("payload"), "retrieved_at")
+    """ER-03: source class and payload per discovery class; an unknown class passes through whole.
+
+    feed: seq, entity_id, discovery_class, filed_year, filed_qtr, table_value_total and aum_13f (of which the first known counts), position_count, plan_year,
+    participant_count, naics, discovery_source_id, state, address_raw, signals, people, raw_payload (JSON texts), retrieved_at.
+    """
+    filed = F.when(F.col("filed_year").isNotNull() & F.col("filed_qtr").isNotNull(), F.concat(F.col("filed_year").cast("string"), F.lit("Q"), F.col("filed_qtr").cast("string")))
+    value = F.coalesce(F.nullif(F.col("table_value_total"), F.lit("")), F.col("aum_13f").cast("string")).try_cast("double").cast("long")
+    filing = F.struct(holdings_quarter(F.col("filed_year"), F.col("filed_qtr")).alias("quarter"), filed.alias("filed_in_quarter"), value.alias("value_usd"), "position_count", "discovery_source_id", "state", "address_raw")
+    plan = F.struct(F.nullif(F.col("plan_year"), F.lit("")).cast("int").alias("plan_year"), "participant_count", "naics", "discovery_source_id", "state")
+    rest = F.struct("signals", "people", "state", "address_raw", "discovery_source_id", "raw_payload")
+    kind = F.when(F.col("discovery_class") == "edgar_13f", "13f_filing").when(F.col("discovery_class") == "dol_5500", "5500_filing").otherwise(F.coalesce("discovery_class", F.lit("unknown")))
+    payload = F.when(F.col("discovery_class") == "edgar_13f", F.to_json(filing)).when(F.col("discovery_class") == "dol_5500", F.to_json(plan)).otherwise(F.to_json(rest))
+    return feed.select("seq", "entity_id", kind.alias("source_class"), payload.alias("payload"), "retrieved_at")
 
 
 def plain(name: Column) -> Column:
@@ -57,10 +66,24 @@ def distinctive_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda t: ~t.isin(GENERIC) & (F.length(t) > 1)))
 
 
+# Legal suffixes and generic tails of a name in upper case.
+LEGAL_TAIL = r"( (LLC|INC|LP|LLP|LTD|CO|CORP|TRUST))+$"
+GENERIC_TAIL = r"( (FAMILY OFFICES?|CAPITAL|MANAGEMENT|PARTNERS|HOLDINGS|ADVISORS))+$"
+
+
+def family_token(name: Column) -> Column:
+    """What is left of a name in upper case without marks, a leading THE, legal suffixes and generic tails."""
+    upper = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.upper(name), r"[.']", ""), r"[^A-Z0-9]+", " "), r"\s+", " "))
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(upper, r"^THE ", ""), LEGAL_TAIL, ""), GENERIC_TAIL, "")), F.lit(""))
+
+
 def cluster_names(names: DataFrame) -> DataFrame:
-    """ER-05: clusters on the first distinctive token; the longest spelling leads."""
-    rows = names.select("seq", "name_raw", F.try_element_at(distinctive_tokens(F.col("name_raw")), F.lit(1)).alias("token")).filter("token IS NOT NULL")
-    return rows.groupBy("token").agg(F.max_by("name_raw", F.struct(F.length("name_raw").alias("n"), (-F.col("seq")).alias("s"))).alias("leader"), F.count(F.lit(1)).alias("spellings"))
+    """ER-05: clusters on the family token; the longest spelling leads, the earliest of equals, and the others are its aliases."""
+    rows = names.select("seq", "name_raw", family_token(F.col("name_raw")).alias("token")).filter("token IS NOT NULL")
+    spelt = rows.groupBy("token", "name_raw").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+    leader = F.max_by("name_raw", F.struct(F.length("name_raw").alias("n"), (-F.col("seq")).alias("s"))).alias("leader")
+    grouped = spelt.groupBy("token").agg(leader, F.array_sort(F.collect_set("name_raw")).alias("every"), F.sum("n").alias("rows"))
+    return grouped.select("token", "leader", F.array_join(F.array_except("every", F.array("leader")), "|").alias("aliases"), "rows")
 
 
 def cross_source_key(df: DataFrame) -> DataFrame:
@@ -92,17 +115,27 @@ def normalize_entity_name(name: Column) -> Column:
     return F.struct(phrase.alias("phrase"), F.array_join(F.filter(F.split(phrase, " "), lambda t, i: (F.length(t) > 2) & ~((i == 0) & (t == "the"))), " ").alias("tokens"), (phrase != plain(F.regexp_replace(name, r"\.", ""))).alias("corporate"))
 
 
-# Reason code and name pattern of each exclusion, on the plain name without dots.
+# Reason code and name pattern of each exclusion, on the name in lower case.
 EXCLUSIONS = {
-    "bank": r"\b(bank|bancorp|bancshares)\b", "pension": r"\b(pension|retirement system)\b", "insurance": r"\b(insurance|assurance)\b", "fund": r"\b(fund|etf)\b", "broker": r"\b(securities|brokerage)\b",
-    "public": r"\b(holdings corp|publicly traded)\b", "govt": r"\b(state of|county of|city of)\b", "foreign": r"\b(bv|pty|gmbh|ag|sa|plc)\b", "university": r"\b(university|college|endowment)\b",
-}
+    "X.bank": r"\bbank\b|bancorp|bancshares|banc\b|\bsavings\b|\bthrift\b|credit union|\bn\.?a\.?$|national association|trust compan(y|ies)|trust division|trust services",
+    "X.pension": r"pension|retirement system|\bretrmt\b|employe\w* retirement|superannuation|\b401\(k\)\b|deferred compensation plan",
+    "X.insurance": r"insurance|assurance|\bcasualty\b|\blife co\b|reinsurance",
+    "X.fund": r"mutual fund|\bfund,? (inc|llc|lp|ltd)\b|\betf\b|index fund|closed.?end|diversified equity fund|\bfund gp\b|\bfeeder fund\b",
+    "X.brokerdealer": r"securities,? inc|\bbrokerage\b|broker.?dealer|\bclearing\b",
+    "X.public": r"\bcorp\b|\bincorporated\b",
+    "X.govt": r"sovereign|municipal|state of\b|commonwealth of\b|\bcity of\b|\bcounty of\b",
+    "X.foreign": r"\b(?:bv|nv|sa|spa|ag|ab|oy|plc|gmbh|sarl|pty ltd|a/s)\b",
+    "X.university": r"university|college|endowment|school district",
+}
 
 
 def hard_exclusions(df: DataFrame) -> DataFrame:
-    """ADM-01: reason codes of the name."""
-    name = plain(F.regexp_replace("name_raw", r"\.", ""))
-    return df.select("record_id", F.array_join(F.array_compact(F.array(*[F.when(name.rlike(p), code) for code, p in EXCLUSIONS.items()])), ",").alias("reasons"))
+    """ADM-01: reason codes of the name; the public one only with annual or quarterly reports (files_reports), the foreign one on the name without dots."""
+    name = F.lower(F.trim("name_raw"))
+    on = {"X.foreign": F.regexp_replace(name, r"\.", "")}
+    also = {"X.public": F.coalesce("files_reports", F.lit(False))}
+    codes = [F.when(on.get(code, name).rlike(p) & also.get(code, F.lit(True)), code) for code, p in EXCLUSIONS.items()]
+    return df.select("record_id", F.array_join(F.array_compact(F.array(*codes)), ",").alias("reasons"))
 
 
 def structural_exclusions(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.web import dedupe_key, host, is_aggregator, is_role_address
+from ..functions.web import dedupe_key, host, is_blocked_domain, is_role_address
 from .contacts import attribute_email, fold
 
 # Signal kind of each field.
@@ -41,7 +41,7 @@ def name_matched(title: Column, url: Column, phrase: Column, n_tokens: Column) -
 def accept_article(articles: DataFrame, now: str, lookback_days: int) -> DataFrame:
     """WAT-03: the first rule that refuses an article, or accepted (record_id, title, url, observed_at, phrase, n_tokens). A future date is not refused."""
     age = F.unix_seconds(F.to_timestamp(F.lit(now))) - F.unix_seconds(F.col("observed_at").cast("timestamp"))
-    reason = F.when(F.col("observed_at").isNull(), "undated").when(age > lookback_days * 86_400, "stale").when(is_aggregator(host(F.col("url"))), "blocked_domain").when(~F.coalesce(name_matched(F.col("title"), F.col("url"), F.col("phrase"), F.col("n_tokens")), F.lit(False)), "name_not_matched")
+    reason = F.when(F.col("observed_at").isNull(), "undated").when(age > lookback_days * 86_400, "stale").when(is_blocked_domain(host(F.col("url"))), "blocked_domain").when(~F.coalesce(name_matched(F.col("title"), F.col("url"), F.col("phrase"), F.col("n_tokens")), F.lit(False)), "name_not_matched")
     return articles.withColumn("result", F.coalesce(reason, F.lit("accepted")))
 
 

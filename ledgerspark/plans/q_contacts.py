@@ -17,9 +17,15 @@ def con01(p):
     return p.select("page_id", W.host(F.col("url")).alias("host"))
 
 
-@query("con02_is_aggregator", "v_page", sql=f"SELECT page_id, {AGG} AS aggregator FROM (SELECT page_id, {HOST} AS h FROM v_page)")
+NEWS = " OR ".join(f"h = '{a}' OR ends_with(h, '.{a}')" for a in W.NO_NEWS)
+# listed hosts, hosts below them and hosts that only look like them, put to the pages
+LINKS = "CASE page_id % 97 " + " ".join(f"WHEN {k} THEN 'https://{sub}{h}/p'" for k, (sub, h) in enumerate(zip(["www.", "sub.", "not", ""] * 15, sorted({*W.AGGREGATORS, *W.NO_NEWS}), strict=False))) + " ELSE url END"
+
+
+@query("con02_is_aggregator", "v_page", sql=f"SELECT page_id, {AGG} AS aggregator, {NEWS} AS blocked FROM (SELECT page_id, {HOST} AS h FROM (SELECT page_id, {LINKS} AS url FROM v_page))")
 def con02(p):
-    return p.select("page_id", W.is_aggregator(W.host(F.col("url"))).alias("aggregator"))
+    h = W.host(F.expr(LINKS))
+    return p.select("page_id", W.is_aggregator(h).alias("aggregator"), W.is_blocked_domain(h).alias("blocked"))
 
 
 @query("con03_domain_from_sources", "v_page", sql=f"WITH x AS (SELECT page_id % 50 AS entity_id, page_id AS seq, {HOST} AS h FROM v_page) SELECT entity_id, arg_max(h, seq) AS domain FROM x WHERE h IS NOT NULL AND NOT ({AGG}) GROUP BY entity_id")

@@ -27,9 +27,36 @@ def er02(e):
     return R.build_entities(e.select("seq", F.when(F.col("seq") % 2 == 0, F.col("name_raw")).otherwise(F.upper("name_raw")).alias("name_raw")))
 
 
-@query("er03_map_source", "v_source")
+FEED = """SELECT seq, entity_id, CASE source_class WHEN '13f_filing' THEN 'edgar_13f' WHEN '5500_filing' THEN 'dol_5500' WHEN 'adv_name' THEN NULL ELSE source_class END AS discovery_class, CASE WHEN seq % 11 > 0 THEN filed_year END AS filed_year, filed_qtr,
+ CASE seq % 3 WHEN 0 THEN CAST(value_usd AS STRING) WHEN 1 THEN '' END AS table_value_total, CASE WHEN seq % 7 > 0 THEN prior_value_usd END AS aum_13f, participant_count AS position_count, CASE WHEN seq % 5 > 0 THEN CAST(filed_year AS STRING) ELSE '' END AS plan_year,
+ participant_count, CASE WHEN seq % 4 = 0 THEN '523920' END AS naics, 'src-' || CAST(seq % 100 AS STRING) AS discovery_source_id, state, CASE WHEN seq % 6 > 0 THEN CAST(seq AS STRING) || ' Main St' END AS address_raw,
+ '{"n":' || CAST(participant_count AS STRING) || '}' AS signals, '[]' AS people, CAST(NULL AS STRING) AS raw_payload, retrieved_at FROM v_source"""
+
+
+def members(**values):
+    """A JSON object without its null members, as text."""
+    return "'{' || array_to_string(list_filter([" + ", ".join(f"'\"{k}\":' || {v}" for k, v in values.items()) + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
+def quoted(c):
+    return f"'\"' || replace({c}, '\"', '\\\"') || '\"'"
+
+
+WHOLE = {"discovery_source_id": quoted("discovery_source_id"), "state": quoted("state")}
+FILING = members(
+    quarter="'\"' || CASE WHEN filed_qtr = 1 THEN CAST(filed_year - 1 AS STRING) || 'Q4' ELSE CAST(filed_year AS STRING) || 'Q' || CAST(filed_qtr - 1 AS STRING) END || '\"'",
+    filed_in_quarter="'\"' || CAST(filed_year AS STRING) || 'Q' || CAST(filed_qtr AS STRING) || '\"'",
+    value_usd="coalesce(nullif(table_value_total, ''), CAST(aum_13f AS STRING))", position_count="CAST(position_count AS STRING)", **WHOLE, address_raw=quoted("address_raw"),
+)
+PLAN = members(plan_year="nullif(plan_year, '')", participant_count="CAST(participant_count AS STRING)", naics=quoted("naics"), **WHOLE)
+REST = members(signals=quoted("signals"), people=quoted("people"), state=WHOLE["state"], address_raw=quoted("address_raw"), discovery_source_id=WHOLE["discovery_source_id"], raw_payload=quoted("raw_payload"))
+
+
+@query("er03_map_source", "v_source", sql=f"""
+WITH f AS ({FEED}) SELECT seq, entity_id, CASE discovery_class WHEN 'edgar_13f' THEN '13f_filing' WHEN 'dol_5500' THEN '5500_filing' ELSE coalesce(discovery_class, 'unknown') END AS source_class,
+ CASE discovery_class WHEN 'edgar_13f' THEN {FILING} WHEN 'dol_5500' THEN {PLAN} ELSE {REST} END AS payload, retrieved_at FROM f""")
 def er03(s):
-    return R.map_source(s)
+    return R.map_source(s.sparkSession.sql(FEED.replace("v_source", "{v_source}").replace("'{\"", "'{{\"").replace("'}'", "'}}'"), v_source=s))
 
 
 @query("er04_holdings_quarter", "v_source", sql="SELECT filed_year, filed_qtr, CASE WHEN filed_qtr = 1 THEN CAST(filed_year - 1 AS STRING) || 'Q4' ELSE CAST(filed_year AS STRING) || 'Q' || CAST(filed_qtr - 1 AS STRING) END AS holdings, count(*) AS n FROM v_source GROUP BY 1, 2, 3")
@@ -37,8 +64,12 @@ def er04(s):
     return s.groupBy("filed_year", "filed_qtr", R.holdings_quarter(F.col("filed_year"), F.col("filed_qtr")).alias("holdings")).agg(F.count(F.lit(1)).alias("n"))
 
 
+FAMILY = f"nullif(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(upper(name_raw), '[.'']', '', 'g'), '[^A-Z0-9]+', ' ', 'g')), '^THE ', ''), '{R.LEGAL_TAIL}', ''), '{R.GENERIC_TAIL}', '')), '')"
+
+
 @query("er05_cluster_names", "v_entity", sql=f"""
-WITH t AS (SELECT seq, name_raw, {TOKENS}[1] AS token FROM v_entity) SELECT token, count(*) AS spellings, (list(name_raw ORDER BY length(name_raw) DESC, seq))[1] AS leader FROM t WHERE token IS NOT NULL GROUP BY token""")
+WITH t AS (SELECT seq, name_raw, {FAMILY} AS token FROM v_entity), l AS (SELECT token, (list(name_raw ORDER BY length(name_raw) DESC, seq))[1] AS leader, count(*) AS n FROM t WHERE token IS NOT NULL GROUP BY token)
+SELECT token, leader, coalesce((SELECT string_agg(DISTINCT name_raw, '|' ORDER BY name_raw) FROM t WHERE t.token = l.token AND name_raw <> leader), '') AS aliases, n AS rows FROM l""")
 def er05(e):
     return R.cluster_names(e)
 
@@ -84,12 +115,15 @@ def er11(e):
     return e.select("record_id", R.normalize_entity_name(F.col("name_raw")).alias("n")).select("record_id", "n.*")
 
 
-EXCL = ", ".join(f"CASE WHEN regexp_matches(p, '{p}') THEN '{c}' END" for c, p in R.EXCLUSIONS.items())
+# endings and beginnings that the patterns ask for, put to the names of the view
+NAMED = "CASE record_id % 31 " + " ".join(f"WHEN {k} THEN '{w[0]}' || name_raw || '{w[1]}'" for k, w in enumerate([("", " Bancorp"), ("First ", " Savings"), ("", " Credit Union"), ("", ", N.A."), ("", " Trust Company"), ("", " Pension Plan"), ("", " Employees Retirement"), ("", " Life Co"), ("", " Casualty"), ("", " Fund, LLC"), ("", " Fund"), ("", " ETF"), ("", " Closed-End"), ("", " Securities, Inc"), ("", " Clearing"), ("", " Corp"), ("", " Incorporated"), ("City of ", ""), ("The State of ", ""), ("", " S.p.A."), ("", " OY"), ("", " A/S"), ("", " GmbH"), ("", " College"), ("", " Endowment")])) + " ELSE name_raw END"
+ON = {"X.foreign": "replace(p, '.', '')"}
+EXCL = ", ".join(f"CASE WHEN regexp_matches({ON.get(c, 'p')}, '{p}'){' AND record_id % 2 = 0' if c == 'X.public' else ''} THEN '{c}' END" for c, p in R.EXCLUSIONS.items())
 
 
-@query("adm01_hard_exclusions", "v_entity", sql=f"WITH c AS (SELECT record_id, {PLAIN} AS p FROM v_entity) SELECT record_id, coalesce(array_to_string(list_filter([{EXCL}], lambda x: x IS NOT NULL), ','), '') AS reasons FROM c")
+@query("adm01_hard_exclusions", "v_entity", sql=f"WITH c AS (SELECT record_id, lower(trim({NAMED})) AS p FROM v_entity) SELECT record_id, coalesce(array_to_string(list_filter([{EXCL}], lambda x: x IS NOT NULL), ','), '') AS reasons FROM c")
 def adm01(e):
-    return R.hard_exclusions(e)
+    return R.hard_exclusions(e.select("record_id", F.expr(NAMED).alias("name_raw"), (F.col("record_id") % 2 == 0).alias("files_reports")))
 
 
 @query("adm02_structural_exclusions", "v_source", sql="""

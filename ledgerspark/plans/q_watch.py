@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.web import dedupe_key
 from ..operators import watch as W
-from .q_contacts import AGG, HOST
+from .q_contacts import HOST, NEWS
 from .registry import query
 
 KIND = "CASE field_name WHEN 'important_insight' THEN 'why_now' WHEN 'recent_news' THEN 'firm_news' END"
@@ -36,7 +36,7 @@ def articles(p):
 
 
 ACC = f"""a AS (SELECT page_id, page_id % 40 AS record_id, url, {HOST} AS h, CAST({DAY} AS TIMESTAMP) AS observed_at FROM v_page),
-r AS (SELECT *, CASE WHEN observed_at IS NULL THEN 'undated' WHEN observed_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY THEN 'stale' WHEN {AGG} THEN 'blocked_domain' WHEN page_id % 4 = 2 THEN 'name_not_matched' ELSE 'accepted' END AS result FROM a)"""
+r AS (SELECT *, CASE WHEN observed_at IS NULL THEN 'undated' WHEN observed_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY THEN 'stale' WHEN {NEWS} THEN 'blocked_domain' WHEN page_id % 4 = 2 THEN 'name_not_matched' ELSE 'accepted' END AS result FROM a)"""
 
 
 @query("wat03_accept_article", "v_page", sql=f"WITH {ACC} SELECT page_id, result FROM r")
