@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEDGES = r"(?i)\b(no record|not confirmed|could not be verified|no information|unclear|does not say)\b"
-AUTHORIAL = r"(?i)^(in summary|overall|these|this list|the following|note that|based on)\b"
+# What marks a line as a hedge, as structure, as asserting something, as naming a firm, and as advice.
+HEDGES = "|".join([
+    r"\bno\s+(record|records|information|data|entry|entries|field|fields|mention|detail|details|evidence)\b",
+    r"\b(does|do|did)\s+not\s+(contain|include|list|show|specify|mention|provide|report|indicate|state)\b",
+    r"\b(has|have|had)\s+not\s+been\b",
+    r"\b(hasn't|haven't|hadn't)\s+been\b",
+    r"\b(could|can|would)\s+not\s+be\b",
+    r"\b(couldn't|cannot|can't)\s+be\b",
+    r"\b(was|were|is|are)\s+not\s+(confirmed|available|disclosed|reported|verified|provided|known|found|listed|specified|identified|on file)\b",
+    r"\b(not|n't|no|none|unconfirmed|unavailable|undisclosed|unknown)\b.*(confirm|disclos|verif|report|specif|identif|provid|list|avail|known|found|on file)",
+])
+LIST_HEADER = r":\s*$"
+FIGURE = r"(?i)\$|\b\d{4}\b|\d+(?:\.\d+)?\s*%|\b\d{1,3}(?:,\d{3})+\b|\b\d+(?:\.\d+)?\s*(?:million|billion|trillion|bn|mm|k)\b"
+STRUCTURE = r"^(?:#{1,6}[ \t]+\S.*|-{3,}|\*{3,}|_{3,}|\|[\s|:-]*-[\s|:-]*\|?|(?:\*\*|__|\*)?\s*(?:\d+[.)]|[-*•])\s*(?:\*\*|__)?)?$"
+PERSON = r"(?i)\b(I|we|our|us|my|me|you|your|yours)\b"
+OPENER = r"(?i)^(lead|position|reference|treat|approach|use|start|open|frame|pitch|emphasi[sz]e|target|prioriti[sz]e|focus|consider|highlight|mention|offer|propose|send|schedule|follow|build|keep|avoid|present|tailor|anchor|align|introduce|explore|engage|nurture|reach|ask|invite)\b"
+FIRM = r"\b(LLC|L\.L\.C|Inc|Incorporated|Corp|Corporation|LP|L\.P|LLP|PLC|Trust|Capital|Partners|Advisors|Advisers|Management|Holdings|Ventures|Group|Associates|Foundation|Endowment|Family Office|Wealth)\b"
+LEAD_IN = r"^[\s>]*(?:[-*•]|\d+[.)])?[ \t]*(?:(?:\*\*|__)[^*_\n]{0,40}(?:\*\*|__)[ \t]*:?[ \t]*)?"
+RECORD_ID = r"(?i)\bdisc_[0-9a-f]+\b"
+NEEDLE = 4  # letters of a value that is looked for in sentences
 TAG = r"\[[A-Za-z0-9_:, ]+\]"
 STRIP_SHARE = 0.3
 
@@ -45,25 +63,57 @@ def parse_tags(sentences: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "part", "record", field.alias("field"), (F.col("record").isNull() | (field == "") | field.rlike(r"[^A-Za-z0-9_]")).alias("malformed"))
 
 
-def classify_sentences(sentences: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """GND-06: structural, neutral, authorial, claim or invalid: every pair of a claim must be a known fact (facts: record, field)."""
+def has(text: Column, pattern: str) -> Column:
+    """Whether the text holds the pattern, whose word borders are those of ASCII letters, digits and _ alone."""
+    w = "[A-Za-z0-9_]"
+    return text.rlike(pattern.replace(r"\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"))
+
+
+def shown(sentence: Column) -> Column:
+    """The sentence without its tags and the spaces that they leave."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(sentence, TAG, ""), r"\s+", " "), r"\s+([.,;:!?])", "$1"))
+
+
+def classify_sentences(sentences: DataFrame, facts: DataFrame, keys: list[str], answer: list[str]) -> DataFrame:
+    """GND-06: structural, neutral, authorial, claim or invalid (with a reason), and the sentence as shown.
+
+    facts: the answer's own facts, answer columns and record, field, value. A tag's every pair must be one of them. Without a tag, structure carries no
+    figure, every line of a neutral sentence is a hedge, a list header or such structure, and advice names no figure, firm, record or value of a fact.
+    """
     pairs = parse_tags(sentences, keys)
-    known = facts.select("record", "field").distinct().withColumn("known", F.lit(True))
-    checked = pairs.join(known, ["record", "field"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.bool_or("malformed").alias("malformed"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
-    rows = sentences.join(checked, keys, "left")
+    known = facts.select(*answer, "record", "field").distinct().withColumn("known", F.lit(True))
+    checked = pairs.join(known, [*answer, "record", "field"], "left").groupBy(*keys).agg(F.bool_or("malformed").alias("malformed"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
     text = F.col("sentence")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    structural = lambda x: F.trim(x).rlike(STRUCTURE)
+    hedge = lambda x: has(F.trim(x), f"(?i){HEDGES}") | F.trim(x).rlike(LIST_HEADER)
+    advice = ~has(text, FIGURE) & ~has(text, RECORD_ID) & ~has(text, FIRM) & (has(text, PERSON) | has(F.regexp_replace(F.trim(text), LEAD_IN, ""), OPENER))
+    rows = sentences.withColumns({
+        "display": shown(text), "tagged": text.rlike(TAG), "scaffold": ~has(text, FIGURE) & F.forall(lines, structural), "hedged": F.forall(lines, lambda x: hedge(x) | (structural(x) & ~has(x, FIGURE))), "advice": advice,
+    })
+    # only what would pass as advice is searched for values of its answer's facts
+    needles = facts.select(*answer, F.lower(F.trim("value")).alias("needle")).filter(F.length("needle") >= NEEDLE).distinct()
+    asked = rows.filter("NOT tagged AND advice").join(needles, answer).filter(F.contains(F.lower("sentence"), F.col("needle"))).select(*keys).distinct().withColumn("named", F.lit(True))
+    rows = rows.join(checked, keys, "left").join(asked, keys, "left")
+    reason = (
+        F.when(F.col("display") == "", None)
+        .when(~F.col("tagged"), F.when(F.col("scaffold") | F.col("hedged") | (F.col("advice") & F.col("named").isNull()), None).otherwise("untagged"))
+        .when(F.coalesce("malformed", F.lit(True)), "malformed citation tag")
+        .when(~F.col("all_known"), "tag references an unconfirmed or nonexistent field")
+    )
     kind = (
-        F.when(text.rlike(r"^[#*\-\s]*$|:\s*$"), "structural").when(F.coalesce("malformed", F.lit(False)), "invalid").when(F.col("pairs").isNotNull(), F.when(F.col("all_known"), "claim").otherwise("invalid")).when(text.rlike(HEDGES), "neutral").when(text.rlike(AUTHORIAL), "authorial").otherwise("invalid")
+        F.when(F.col("display") == "", "structural").when(F.col("reason").isNotNull(), "invalid").when(F.col("tagged"), "claim").when(F.col("scaffold"), "structural").when(F.col("hedged"), "neutral").otherwise("authorial")
     )
-    return rows.select(*keys, "sentence", kind.alias("kind"))
+    return rows.withColumn("reason", reason).select(*keys, "sentence", "display", kind.alias("kind"), "reason")
 
 
 def entailment(classified: DataFrame, answer: list[str]) -> DataFrame:
-    """GND-07: kept and stripped text of each answer, and whether the stripped share of characters discards it."""
+    """GND-07: the kept text of each answer (structure goes too), and the stripped share of the characters that claim something, which may discard it."""
     bad = F.col("kind") == "invalid"
-    n = F.length("sentence")
-    out = classified.groupBy(*answer).agg(F.sum(F.when(bad, n).otherwise(0)).alias("stripped_chars"), F.sum(n).alias("chars"), F.array_sort(F.collect_list(F.when(~bad, F.struct("place", "sentence")))).alias("kept"))
-    share = F.col("stripped_chars") / F.col("chars")
+    stripped, claimed = F.when(bad, F.length(F.trim("sentence"))).otherwise(0), F.when(F.col("kind") == "claim", F.length("display")).otherwise(0)
+    kept = F.array_sort(F.collect_list(F.when(~bad & (F.col("kind") != "structural"), F.struct("place", "sentence"))))
+    out = classified.groupBy(*answer).agg(F.sum(stripped).alias("stripped_chars"), F.sum(claimed).alias("claim_chars"), kept.alias("kept"))
+    share = F.coalesce(F.try_divide(F.col("stripped_chars"), F.col("stripped_chars") + F.col("claim_chars")), F.lit(0.0))
     return out.select(*answer, F.array_join(F.transform("kept", lambda k: k["sentence"]), " ").alias("kept"), F.round(share, 6).alias("stripped_share"), (share > STRIP_SHARE).alias("discard"))
 
 
@@ -104,27 +154,57 @@ def quote_grounded(quotes: DataFrame, evidence: DataFrame, candidates: DataFrame
     return q.select("item_id").join(found, "item_id", "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("grounded"))
 
 
-SFO_PHRASES = ["single family office", "single-family office", "manages the wealth of one family"]
-MFO_PHRASES = ["multi family office", "multi-family office", "serves multiple families"]
+# Phrases that tell one family from several, and words that tell nothing beside a name.
+MFO_PHRASES = ["multi-family office", "multi family office", "multifamily office", "client families", "families we serve", "our clients", "client relationships", "families and individuals", "serve families"]
+SFO_PHRASES = ["single-family office", "single family office", "a single family", "one family", "our family", "sole source of capital", "the family's capital"]
+FILLER = ["family", "office", "offices", "llc", "inc", "the", "and", "for", "wealth"]
+
 
+def flat(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+", " ")
 
-def quote_is_decisive(text: Column) -> Column:
-    """GND-09: the text names a type outright."""
-    return F.exists(F.array(*[F.lit(p) for p in SFO_PHRASES + MFO_PHRASES]), lambda p: F.contains(F.lower(text), p))
+
+def first_phrase(text: Column, phrases: list[str]) -> Column:
+    """The first listed phrase that the text holds, or null."""
+    low = F.lower(flat(text))
+    return F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])
+
+
+def quote_is_decisive(text: Column, verdict: Column) -> Column:
+    """GND-09: the text holds a phrase of the verdict's own side (of the single-family side, if the verdict is neither)."""
+    return F.when(verdict == "MFO", first_phrase(text, MFO_PHRASES).isNotNull()).otherwise(first_phrase(text, SFO_PHRASES).isNotNull())
 
 
 def snippet_is_name(text: Column, name: Column) -> Column:
-    """GND-09: nothing but words of the name and filler."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.size(F.array_except(words(text), F.concat(words(name), F.array(*[F.lit(w) for w in ("the", "home", "official", "site", "welcome", "to", "llc", "inc")])))) == 0
+    """GND-09: nothing but words of the name and filler; words of one or two letters do not count."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]{3,})"), F.lit(1))
+    return F.size(F.array_except(words(text), F.concat(words(name), F.array(*[F.lit(w) for w in FILLER])))) == 0
+
+
+def sentence_of(text: Column, phrase: Column) -> Column:
+    """The sentence around the phrase's first place, 400 letters at most."""
+    whole = flat(text)
+    at, n = F.instr(F.lower(whole), phrase), F.length(phrase)
+    head, tail = F.substring_index(F.substring(whole, F.lit(1), at - 1), ".", -1), F.substring(whole, at + n, F.length(whole))
+    end = F.when(F.contains(tail, F.lit(".")), F.concat(F.split_part(tail, F.lit("."), F.lit(1)), F.lit("."))).otherwise(tail)
+    return F.when(phrase.isNotNull(), F.substring(F.trim(F.concat(head, F.substring(whole, at, n), end)), 1, 400))
 
 
 def mechanical_type(evidence: DataFrame) -> DataFrame:
-    """GND-10: phrases per side and page, own pages twice; the greater side wins (entity_id, text, own_site)."""
-    has = lambda ps: F.exists(F.array(*[F.lit(p) for p in ps]), lambda p: F.contains(F.lower("text"), p)).cast("int")
-    weight = F.when(F.col("own_site"), 2).otherwise(1)
-    n = evidence.groupBy("entity_id").agg(F.sum(has(SFO_PHRASES) * weight).alias("sfo"), F.sum(has(MFO_PHRASES) * weight).alias("mfo"))
-    return n.select("entity_id", "sfo", "mfo", F.when(F.col("sfo") > F.col("mfo"), "SFO").when(F.col("mfo") > F.col("sfo"), "MFO").otherwise("unconfirmed").alias("mechanical"))
+    """GND-10: phrases per side and page, own pages twice; the greater side wins and brings its sentence (entity_id, seq, text, own_site).
+
+    The quote is the last own page's, else the first page's, in the order of seq.
+    """
+    rows = evidence.withColumn("weight", F.when(F.col("own_site"), 2).otherwise(1))
+    sums, order = [], F.struct("own_site", F.when(F.col("own_site"), F.col("seq")).otherwise(-F.col("seq")).alias("o"))
+    for side, phrases in (("sfo", SFO_PHRASES), ("mfo", MFO_PHRASES)):
+        rows = rows.withColumn(f"{side}_phrase", first_phrase(F.col("text"), phrases))
+        has = F.col(f"{side}_phrase").isNotNull()
+        sums += [F.sum(F.when(has, F.col("weight")).otherwise(0)).alias(side), F.max_by(F.struct("seq", sentence_of(F.col("text"), F.col(f"{side}_phrase")).alias("quote")), F.when(has, order)).alias(f"{side}_best")]
+    n = rows.groupBy("entity_id").agg(*sums)
+    winner = F.when(F.col("sfo") > F.col("mfo"), "SFO").when(F.col("mfo") > F.col("sfo"), "MFO").otherwise("unconfirmed")
+    best = F.when(winner == "SFO", F.col("sfo_best")).when(winner == "MFO", F.col("mfo_best"))
+    return n.select("entity_id", "sfo", "mfo", winner.alias("mechanical"), best["quote"].alias("quote"), best["seq"].alias("quote_seq"))
 
 
 def type_verdict(judged: DataFrame, mechanical: DataFrame) -> DataFrame:

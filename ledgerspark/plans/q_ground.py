@@ -52,17 +52,49 @@ def gnd05(a):
     return G.parse_tags(s.withColumn("sentence", F.concat(F.lit("A claim ["), head, F.lit(", f2] and [f 3]."))), KEYS)
 
 
-def classified(a):
-    facts = a.sparkSession.range(9).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("record"), F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("field")).filter("record <> 'r4'")
-    return G.classify_sentences(sentences(a), facts, KEYS)
+# the tagged text of a turn, then lines of every kind
+LINES = [
+    "## Tier 1", "## Canopy - $640M AUM", "---", "- **Note:** Lead with a climate thesis.", "We suggest a call next week.", "We suggest a call to value 7.", "Overall, the firm manages $640M.", "The record does not list an address.", "These offices are known:",
+    "Nothing here is tagged.", "Reach out to Canopy Partners.", "Ask about disc_0a1b.", "[r1:f1]", "| --- | --- |", "A figure of 12% was not confirmed.", "Known [r1:f1, f2].", "Unknown [r4:f1].", "Wrong [f1].", "Consider 1,200 things.", "No office has a confirmed stake.",
+]
+SAID_LINES = f"{TAGGED} || chr(10) || CASE (conv_id + turn) % {len(LINES)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LINES)) + f" END || chr(10) || CASE (conv_id * 7 + turn) % {len(LINES)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LINES)) + " END"
 
 
-@query("gnd06_classify_sentences", "v_answer")
+def classified(a):
+    said = G.split_sentences(a.select("conv_id", "turn", F.expr(SAID_LINES).alias("text")))
+    turns = a.select("conv_id").distinct()
+    facts = turns.select("conv_id", F.explode(F.array(*[F.struct(F.lit(f"r{i}").alias("record"), F.lit(f"f{j}").alias("field"), F.lit(f" Value {i + 5 + j} ").alias("value")) for i in range(9) if i != 4 for j in (1, 2)])).alias("f")).select("conv_id", "f.*")
+    return G.classify_sentences(said, facts, KEYS, ["conv_id"])
+
+
+LIT = lambda p: "'" + p.replace("'", "''") + "'"
+TAG_SQL = "'\\[[A-Za-z0-9_:, ]+\\]'"
+CLASSES = f"""
+n AS (SELECT conv_id, turn, regexp_replace({SAID_LINES}, '([.!?])((?:\\s*\\[[A-Za-z0-9_:, ]+\\])+)', '\\2\\1', 'g') AS text FROM v_answer),
+m AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '\\b(Inc|Ltd|Mr|Mrs|Dr|Co|vs|e\\.g|i\\.e|U\\.S)\\.', '\\1' || chr(1), 'g'), '(?m)^(\\s*[0-9]{{1,3}})\\.', '\\1' || chr(1), 'g'), '([.!?])\\s+', '\\1' || chr(10), 'g') AS t FROM n),
+p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(t, '\\n+'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS s FROM m),
+u AS (SELECT conv_id, turn, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM p),
+facts AS (SELECT DISTINCT conv_id, 'r' || CAST(i AS STRING) AS record, 'f' || CAST(j AS STRING) AS field, 'value ' || CAST(i + 5 + j AS STRING) AS needle FROM v_answer, (SELECT unnest([0, 1, 2, 3, 5, 6, 7, 8]) AS i), (SELECT unnest([1, 2]) AS j)),
+g AS (SELECT conv_id, turn, place, flatten(list_transform(regexp_extract_all(sentence, '\\[([A-Za-z0-9_:, ]+)\\]', 1), lambda t: string_split_regex(t, '\\s*,\\s*'))) AS raws FROM u),
+w AS (SELECT conv_id, turn, place, unnest(range(len(raws))) AS part, unnest(raws) AS raw FROM g),
+k AS (SELECT *, last_value(CASE WHEN contains(raw, ':') THEN split_part(raw, ':', 1) END IGNORE NULLS) OVER (PARTITION BY conv_id, turn, place ORDER BY part) AS record, trim(CASE WHEN contains(raw, ':') THEN split_part(raw, ':', 2) ELSE raw END) AS field FROM w),
+c AS (SELECT conv_id, turn, place, bool_or(k.record IS NULL OR k.field = '' OR regexp_matches(k.field, '[^A-Za-z0-9_]')) AS malformed, bool_and(facts.record IS NOT NULL) AS all_known FROM k LEFT JOIN facts USING (conv_id, record, field) GROUP BY conv_id, turn, place),
+d AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(sentence, {TAG_SQL}, '', 'g'), '\\s+', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g')) AS display, regexp_matches(sentence, {TAG_SQL}) AS tagged, regexp_matches(sentence, {LIT(G.FIGURE)}) AS figure, regexp_matches(sentence, {LIT(G.STRUCTURE)}) AS structure,
+ regexp_matches(sentence, {LIT('(?i)' + G.HEDGES)}) OR regexp_matches(sentence, {LIT(G.LIST_HEADER)}) AS hedge FROM u),
+a AS (SELECT *, NOT figure AND NOT regexp_matches(sentence, {LIT(G.RECORD_ID)}) AND NOT regexp_matches(sentence, {LIT(G.FIRM)}) AND (regexp_matches(sentence, {LIT(G.PERSON)}) OR regexp_matches(regexp_replace(sentence, {LIT(G.LEAD_IN)}, ''), {LIT(G.OPENER)}))
+ AND NOT EXISTS (SELECT 1 FROM facts WHERE facts.conv_id = d.conv_id AND contains(lower(sentence), needle)) AS advice FROM d),
+classes AS (SELECT conv_id, turn, place, sentence, display, CASE WHEN display = '' THEN 'structural' WHEN tagged THEN CASE WHEN malformed OR NOT all_known THEN 'invalid' ELSE 'claim' END WHEN structure AND NOT figure THEN 'structural' WHEN hedge THEN 'neutral' WHEN advice THEN 'authorial' ELSE 'invalid' END AS kind,
+ CASE WHEN display = '' THEN NULL WHEN tagged THEN CASE WHEN malformed THEN 'malformed citation tag' WHEN NOT all_known THEN 'tag references an unconfirmed or nonexistent field' END WHEN (structure AND NOT figure) OR hedge OR advice THEN NULL ELSE 'untagged' END AS reason FROM a LEFT JOIN c USING (conv_id, turn, place))"""
+
+
+@query("gnd06_classify_sentences", "v_answer", sql=f"WITH {CLASSES} SELECT * FROM classes")
 def gnd06(a):
     return classified(a)
 
 
-@query("gnd07_entailment", "v_answer")
+@query("gnd07_entailment", "v_answer", sql=f"""
+WITH {CLASSES}, t AS (SELECT conv_id, turn, coalesce(string_agg(sentence, ' ' ORDER BY place) FILTER (kind NOT IN ('invalid', 'structural')), '') AS kept, coalesce(sum(length(sentence)) FILTER (kind = 'invalid'), 0) AS gone, coalesce(sum(length(display)) FILTER (kind = 'claim'), 0) AS held FROM classes GROUP BY conv_id, turn)
+SELECT conv_id, turn, kept, round(CASE WHEN gone + held = 0 THEN 0 ELSE CAST(gone AS DOUBLE) / CAST(gone + held AS DOUBLE) END, 6) AS stripped_share, CASE WHEN gone + held = 0 THEN false ELSE CAST(gone AS DOUBLE) / CAST(gone + held AS DOUBLE) > 0.3 END AS discard FROM t""")
 def gnd07(a):
     return G.entailment(classified(a), ["conv_id", "turn"])
 
@@ -74,30 +106,44 @@ def gnd08(quotes, docs):
     return G.quote_grounded(quotes, docs, G.quote_candidates(quotes, docs))
 
 
-SAID = "CASE doc_id % 5 WHEN 0 THEN 'It is a Single Family Office.' WHEN 1 THEN 'It serves multiple families.' WHEN 2 THEN 'Fam7 LLC - Home' ELSE text END"
+PHRASED = [
+    "Intro. It is a  Single-Family Office. More", "We serve families and our clients", "Fam7 Family Office LLC", "the Fam7 of it", "Founded 1990. One family. Client families too.", "The Family''s Capital is patient", "A multifamily office! With client relationships. End", "our family, our clients", "nothing. at all.",
+]
+SAID = f"CASE doc_id % {len(PHRASED) + 1} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(PHRASED)) + " ELSE text END"
+SIDE_OF = "CASE doc_id % 3 WHEN 0 THEN 'MFO' WHEN 1 THEN 'SFO' ELSE 'type_unconfirmed' END"
+PHRASES = {"sfo": G.SFO_PHRASES, "mfo": G.MFO_PHRASES}
+FIRST = {side: "CASE " + " ".join(f"WHEN contains(low, {LIT(p)}) THEN {LIT(p)}" for p in phrases) + " END" for side, phrases in PHRASES.items()}
 
 
-@query("gnd09_quote_checks", "v_doc", sql="SELECT doc_id, doc_id % 5 < 2 AS decisive, doc_id % 5 = 2 AS only_name FROM v_doc")
+@query("gnd09_quote_checks", "v_doc", sql=f"""
+WITH s AS (SELECT doc_id, {SIDE_OF} AS side, {SAID} AS said FROM v_doc), f AS (SELECT *, lower(regexp_replace(said, '\\s+', ' ', 'g')) AS low FROM s)
+SELECT doc_id, CASE WHEN side = 'MFO' THEN {FIRST['mfo']} IS NOT NULL ELSE {FIRST['sfo']} IS NOT NULL END AS decisive,
+ len(list_filter(regexp_extract_all(lower(said), '[a-z]{{3,}}'), lambda w: w NOT IN ('fam', 'family', 'office', 'offices', 'llc', 'inc', 'the', 'and', 'for', 'wealth'))) = 0 AS only_name FROM f""")
 def gnd09(d):
-    return d.select("doc_id", G.quote_is_decisive(F.expr(SAID)).alias("decisive"), G.snippet_is_name(F.expr(SAID), F.lit("Fam7")).alias("only_name"))
+    return d.select("doc_id", G.quote_is_decisive(F.expr(SAID), F.expr(SIDE_OF)).alias("decisive"), G.snippet_is_name(F.expr(SAID), F.lit("Fam7")).alias("only_name"))
 
 
 def mech(d):
-    return G.mechanical_type(d.select((F.col("doc_id") % 100).alias("entity_id"), F.expr(SAID.replace("doc_id % 5", "(doc_id + doc_id % 100) % 5")).alias("text"), (F.col("doc_id") % 3 == 0).alias("own_site")))
+    return G.mechanical_type(d.select((F.col("doc_id") % 100).alias("entity_id"), F.col("doc_id").alias("seq"), F.expr(SAID.replace("doc_id %", "(doc_id + doc_id % 100) %")).alias("text"), (F.col("doc_id") % 3 == 0).alias("own_site")))
 
 
-MECH = """m AS (SELECT doc_id % 100 AS entity_id, CAST(sum(CASE WHEN (doc_id + doc_id % 100) % 5 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS sfo, CAST(sum(CASE WHEN (doc_id + doc_id % 100) % 5 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS mfo FROM v_doc GROUP BY 1),
-t AS (SELECT *, CASE WHEN sfo > mfo THEN 'SFO' WHEN mfo > sfo THEN 'MFO' ELSE 'unconfirmed' END AS mechanical FROM m)"""
+MECH = f"""e AS (SELECT doc_id % 100 AS entity_id, doc_id AS seq, regexp_replace({SAID.replace("doc_id %", "(doc_id + doc_id % 100) %")}, '\\s+', ' ', 'g') AS whole, doc_id % 3 = 0 AS own_site FROM v_doc),
+f AS (SELECT *, CASE WHEN own_site THEN 2 ELSE 1 END AS weight, lower(whole) AS low FROM e), h AS (SELECT *, {FIRST['sfo']} AS sp, {FIRST['mfo']} AS mp FROM f),
+q AS (SELECT *, CASE WHEN side = 'SFO' THEN sp ELSE mp END AS phrase FROM h, (SELECT unnest(['SFO', 'MFO']) AS side)),
+x AS (SELECT entity_id, side, seq, left(trim(regexp_extract(left(whole, strpos(low, phrase) - 1), '[^.]*$') || substr(whole, strpos(low, phrase), length(phrase)) || regexp_extract(substr(whole, strpos(low, phrase) + length(phrase)), '^[^.]*[.]?')), 400) AS quote,
+ row_number() OVER (PARTITION BY entity_id, side ORDER BY own_site DESC, CASE WHEN own_site THEN -seq ELSE seq END) AS n FROM q WHERE phrase IS NOT NULL),
+m AS (SELECT entity_id, CAST(sum(CASE WHEN sp IS NOT NULL THEN weight ELSE 0 END) AS BIGINT) AS sfo, CAST(sum(CASE WHEN mp IS NOT NULL THEN weight ELSE 0 END) AS BIGINT) AS mfo FROM h GROUP BY 1),
+t AS (SELECT m.*, CASE WHEN sfo > mfo THEN 'SFO' WHEN mfo > sfo THEN 'MFO' ELSE 'unconfirmed' END AS mechanical FROM m)"""
 
 
-@query("gnd10_mechanical_type", "v_doc", sql=f"WITH {MECH} SELECT * FROM t")
+@query("gnd10_mechanical_type", "v_doc", sql=f"WITH {MECH} SELECT t.*, quote, x.seq AS quote_seq FROM t LEFT JOIN x ON x.entity_id = t.entity_id AND side = mechanical AND n = 1")
 def gnd10(d):
     return mech(d)
 
 
 @query("gnd11_type_verdict", "v_doc", sql=f"""
-WITH {MECH}, j AS (SELECT *, CASE entity_id % 3 WHEN 0 THEN 'SFO' WHEN 1 THEN 'MFO' ELSE 'unconfirmed' END AS judged, entity_id % 2 = 0 AS sure FROM t),
-f AS (SELECT entity_id, CASE WHEN sure AND judged <> 'unconfirmed' THEN judged ELSE mechanical END AS type_final, CASE WHEN sure AND judged = mechanical THEN 'high' WHEN sure THEN 'medium' ELSE 'low' END AS confidence FROM j) SELECT * FROM f WHERE type_final <> 'unconfirmed'""")
+WITH {MECH}, j AS (SELECT t.*, CASE entity_id % 3 WHEN 0 THEN 'SFO' WHEN 1 THEN 'MFO' ELSE 'unconfirmed' END AS judged, entity_id % 2 = 0 AS sure FROM t),
+z AS (SELECT entity_id, CASE WHEN sure AND judged <> 'unconfirmed' THEN judged ELSE mechanical END AS type_final, CASE WHEN sure AND judged = mechanical THEN 'high' WHEN sure THEN 'medium' ELSE 'low' END AS confidence FROM j) SELECT * FROM z WHERE type_final <> 'unconfirmed'""")
 def gnd11(d):
     m = mech(d)
     judged = m.select("entity_id", F.expr("CASE entity_id % 3 WHEN 0 THEN 'SFO' WHEN 1 THEN 'MFO' ELSE 'unconfirmed' END").alias("judged"), (F.col("entity_id") % 2 == 0).alias("grounded"), F.lit(True).alias("decisive"))
