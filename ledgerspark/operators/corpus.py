@@ -18,11 +18,31 @@ DATE_FIELDS = ["important_insight", "recent_investments", "recent_fund_commitmen
 UNSETTLED = ["could_not_verify", "removed_failed_validation", "contradicted"]
 
 
-def build_records(ledger: DataFrame, fields: list[str]) -> DataFrame:
-    """COR-01: one wide row per entity: of each field the last write, null if that one is unsettled."""
+# Fields of a record that hold one value, and those that hold a list, with the claims they come from, the first settled one counts.
+SCALARS = ["aum_usd", "aum_basis", "aum_as_of", "principal_name", "principal_title", "principal_email", "firm_email", "principal_phone", "sector_focus", "stage_focus", "geography_focus", "recent_investments", "recent_news"]
+LISTS = {"mandates": ["investing_thesis", "investing_mandates"], "fit_tags": ["fit_tags"], "public_list_overlap": ["public_list_overlap"]}
+URGENCY = {"fresh_liquidity": "high", "concentration_pain": "high", "access_window": "medium"}
+
+
+def as_list(value: Column) -> Column:
+    """A JSON list as it is, any other text as a list of one, nothing as an empty list."""
+    return F.when(value.startswith("["), F.from_json(value, "array<string>")).when(F.coalesce(value, F.lit("")) != "", F.array(value)).otherwise(F.array().cast("array<string>"))
+
+
+def build_records(ledger: DataFrame) -> DataFrame:
+    """COR-01: one wide row per entity: of each field the last write, null if that one is unsettled; a thesis before mandates; lists as arrays."""
     at = F.struct("created_at", "seq")
-    cell = lambda f: F.max_by(F.when(~F.col("status").isin(UNSETTLED), F.col("answer")), F.when(F.col("field_name") == f, at)).alias(f)
-    return ledger.groupBy("entity_id").agg(*[cell(f) for f in fields])
+    names = list(dict.fromkeys([*SCALARS, *[f for fs in LISTS.values() for f in fs], "check_size_range", "important_insight"]))
+    last = [F.max_by(F.when(~F.col("status").isin(UNSETTLED), F.col("answer")), F.when(F.col("field_name") == f, at)).alias(f"last_{f}") for f in names]
+    kind = F.min(F.when(F.col("field_name").startswith("discovery_class_"), F.substring("field_name", 17, 200))).alias("discovery_class_primary")
+    rows = ledger.groupBy("entity_id").agg(*last, kind)
+    size = parse_check_range(F.col("last_check_size_range"))
+    trigger = F.col("last_important_insight")
+    urgency = F.when(trigger.isNotNull(), F.coalesce(*[F.when(trigger == k, v) for k, v in URGENCY.items()], F.lit("low")))
+    lists = [as_list(F.coalesce(*[F.col(f"last_{f}") for f in fields])).alias(name) for name, fields in LISTS.items()]
+    active = F.when(F.coalesce("last_recent_investments", F.lit("")) != "", "active")
+    wide = rows.select("entity_id", *[F.col(f"last_{f}").alias(f) for f in SCALARS], *lists, size["low"].alias("check_size_min"), size["high"].alias("check_size_max"), urgency.alias("urgency_tier"), active.alias("activity_status"), "discovery_class_primary")
+    return wide.join(record_signals(ledger), "entity_id")
 
 
 def money(text: Column) -> Column:
@@ -48,24 +68,60 @@ def record_signals(ledger: DataFrame) -> DataFrame:
     """COR-04: newest signal, its urgency, and the confidence of the record."""
     live = ~F.col("status").isin(UNSETTLED)
     day = F.max(F.when(live & F.col("field_name").isin(DATE_FIELDS), F.to_date("retrieved_at")))
-    confidence = F.when(F.bool_or(live & (F.col("status") == "verified")), "verified_evidence_present").when(F.bool_or(live & (F.col("status") == "single_source")), "single_source_only").otherwise("thin")
+    has = lambda *kinds: F.bool_or(F.col("field_name").isNotNull() & F.col("status").isin(*kinds))
+    confidence = F.when(has("verified"), "verified_evidence_present").when(has("single_source", "confirmed", "format_only"), "single_source_only").otherwise("thin")
     return ledger.groupBy("entity_id").agg(day.cast("string").alias("latest_signal"), confidence.alias("record_confidence"))
 
 
+#: Columns of a record that its texts read; a missing one counts as null. Those of the second list are arrays.
+TEXT_COLUMNS = ["entity_name", "entity_type", "hq_state", "hq_country", "aum_usd", "aum_basis", "check_size_min", "check_size_max", "principal_name", "principal_title", "most_recent_signal_date", "urgency_tier", "record_confidence"]
+ARRAY_COLUMNS = ["public_list_overlap", "mandates", "sector_focus", "stage_focus", "geography_focus", "fit_tags", "recent_investments", "recent_news"]
+
+
 def facet_texts() -> dict[str, Column]:
-    """Facet -> text of a record (record_id, name_raw, entity_type, hq_state, aum_usd, principal_name)."""
-    name = F.trim("name_raw")
+    """Facet -> text of a record with all of TEXT_COLUMNS and ARRAY_COLUMNS; what is empty is left out, and each text says so if nothing is left."""
+    name = F.col("entity_name")
+    given = lambda c: F.coalesce(F.size(c) > 0, F.lit(False)) if c in ARRAY_COLUMNS else F.coalesce(F.col(c).cast("string") != "", F.lit(False))
+    text = lambda c: F.array_join(c, ", ") if c in ARRAY_COLUMNS else F.col(c).cast("string")
+    usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    some = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    part = lambda test, *parts: F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    labelled = lambda label, c: part(given(c), f"{label}: ", text(c), ".")
+    or_not = lambda c, default="not confirmed": F.when(given(c), text(c)).otherwise(default)
+
+    prose = F.array_join("mandates", ", ")
+    mandates = F.when(F.size("mandates") > 1, F.concat(F.lit("Focus areas: "), prose, F.lit("."))).when(given("mandates"), F.concat(prose, F.when(prose.rlike("[.!?]$"), F.lit("")).otherwise(".")))
+    size = part(some("check_size_min") | some("check_size_max"), "Typical check size: ", F.when(some("check_size_min"), usd("check_size_min")).otherwise("unspecified"), " to ", F.when(some("check_size_max"), usd("check_size_max")).otherwise("unspecified"), ".")
+    focus = F.concat_ws(" ", mandates, labelled("Sector focus", "sector_focus"), labelled("Stage focus", "stage_focus"), labelled("Geography focus", "geography_focus"), labelled("Fit tags", "fit_tags"), size)
+    basis = F.when(given("aum_basis"), F.concat(F.lit(" ("), F.col("aum_basis"), F.lit(")"))).otherwise("")
+    activity = F.concat_ws(" ", labelled("Recent investments", "recent_investments"), labelled("Recent news", "recent_news"), labelled("Most recent dated signal", "most_recent_signal_date"))
     return {
-        "identity": F.concat_ws(" ", F.concat(name, F.lit(" is a"), F.when(F.col("entity_type") == "type_unconfirmed", F.lit("n office of unconfirmed type")).otherwise(F.concat(F.lit(" "), "entity_type"))), F.concat(F.lit("in "), "hq_state")),
-        "mandate": F.coalesce(F.concat(name, F.lit("'s assets: $"), F.format_number("aum_usd", 0), F.lit(".")), F.lit("No investing thesis or mandate details have been confirmed.")),
-        "people": F.coalesce(F.concat(name, F.lit(" is led by "), "principal_name", F.lit(".")), F.lit("No named decision-maker has been confirmed.")),
-    }
+        "identity": F.concat_ws(
+            " ", F.concat(name, F.lit(" is a "), or_not("entity_type", "family office of unconfirmed type"), F.lit(".")), part(given("hq_state"), "Headquartered in ", F.col("hq_state"), ", ", or_not("hq_country", "US"), "."),
+            part(some("aum_usd"), "Assets under management: approximately ", usd("aum_usd"), basis, "."), part(given("public_list_overlap"), "Appears on public family-office lists: ", text("public_list_overlap"), "."),
+        ),
+        "mandate": F.concat(name, F.lit("'s investing mandate. "), F.when(focus != "", focus).otherwise("No investing thesis or mandate details have been confirmed for this record.")),
+        "people": F.when(given("principal_name"), F.concat_ws(" ", F.concat("principal_name", F.lit(" is the named decision-maker at "), name, F.lit(".")), labelled("Title", "principal_title"))).otherwise(F.concat(F.lit("No named decision-maker has been confirmed for "), name, F.lit("."))),
+        "activity": F.when(activity != "", F.concat(name, F.lit(" activity. "), activity)).otherwise(F.concat(F.lit("No recent activity signal has been confirmed for "), name, F.lit("."))),
+        "why_now": F.when(given("urgency_tier"), F.concat(name, F.lit(" has an urgency tier of "), "urgency_tier", F.lit(", based on a dated signal in the record."))).otherwise(F.concat(F.lit("No specific why-now trigger has been confirmed for "), name, F.lit("."))),
+        "summary": F.concat(name, F.lit(" ("), or_not("entity_type"), F.lit(") — AUM "), F.when(some("aum_usd"), usd("aum_usd")).otherwise("not confirmed"), F.lit(", principal "), or_not("principal_name"), F.lit(", record confidence: "), F.coalesce("record_confidence", F.lit("None")), F.lit(".")),
+    }
+
+
+def text_record(records: DataFrame) -> DataFrame:
+    """record_id and every column that facet_texts reads, null where records has none."""
+    have = set(records.columns)
+    name = [F.trim("name_raw").alias("entity_name")] if "entity_name" not in have and "name_raw" in have else []
+    columns = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in TEXT_COLUMNS if not (name and c == "entity_name")]
+    arrays = [F.col(c) if c in have else F.lit(None).cast("array<string>").alias(c) for c in ARRAY_COLUMNS]
+    return records.select("record_id", *name, *columns, *arrays).withColumns({c: F.col(c).cast("long") for c in ("aum_usd", "check_size_min", "check_size_max")})
 
 
 def facet_chunks(records: DataFrame, facets: dict[str, Column] | None = None) -> DataFrame:
-    """COR-05: one text per record and facet."""
+    """COR-05: one text per record and facet: identity, mandate, people, activity, why_now and summary, or the given ones."""
+    rows = records if facets else text_record(records)
     each = F.array(*[F.struct(F.lit(f).alias("facet"), text.alias("content")) for f, text in (facets or facet_texts()).items()])
-    return records.select("record_id", F.inline(each))
+    return rows.select("record_id", F.inline(each))
 
 
 def contact_leaks(chunks: DataFrame, records: DataFrame) -> DataFrame:

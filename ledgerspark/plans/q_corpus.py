@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 from ..operators import corpus as C
 from .registry import query
 
-FIELDS = ["principal_name", "aum_usd", "recent_news"]
-CELL = ", ".join(f"max(v) FILTER (field_name = '{f}') AS {f}" for f in FIELDS)
+# fields and answers of every kind, put to the claims of the ledger
+WIDE = ["investing_thesis", "investing_mandates", "fit_tags", "check_size_range", "recent_investments", "public_list_overlap", "discovery_class_b", "discovery_class_a", "sector_focus", "important_insight"]
+FIELD = "CASE seq % 16 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(WIDE)) + " ELSE field_name END"
+ANSWER = """CASE seq % 16 WHEN 0 THEN CASE WHEN seq % 3 = 0 THEN NULL ELSE 'We back founders' END WHEN 1 THEN '["energy","credit"]' WHEN 2 THEN 'climate' WHEN 3 THEN '$500K to $2M' WHEN 4 THEN CASE WHEN seq % 5 = 0 THEN '' ELSE 'Acme' END WHEN 5 THEN '["list a"]'
+ WHEN 9 THEN CASE seq % 4 WHEN 1 THEN 'access_window' WHEN 3 THEN 'fresh_liquidity' ELSE 'other' END ELSE answer END"""
+SETTLED = "status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted')"
+LISTED = lambda v: f"CASE WHEN {v} LIKE '[%' THEN replace(replace(replace(replace({v}, '[', ''), ']', ''), '\"', ''), ',', '|') ELSE coalesce({v}, '') END"
 
 
 @query("cor01_build_records", "v_ledger", sql=f"""
-WITH l AS (SELECT entity_id, field_name, CASE WHEN status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted') THEN answer END AS v, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at DESC, seq DESC) AS n FROM v_ledger)
-SELECT entity_id, {CELL} FROM l WHERE n = 1 GROUP BY entity_id""")
+WITH k AS (SELECT entity_id, {FIELD} AS field_name, {ANSWER} AS answer, status, retrieved_at, created_at, seq FROM v_ledger),
+l AS (SELECT *, CASE WHEN {SETTLED} THEN answer END AS v, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at DESC, seq DESC) AS n FROM k),
+w AS (SELECT entity_id, {", ".join(f"max(v) FILTER (n = 1 AND field_name = '{f}') AS {f}" for f in [*C.SCALARS, "investing_thesis", "investing_mandates", "fit_tags", "public_list_overlap", "check_size_range", "important_insight"])},
+ min(CASE WHEN starts_with(field_name, 'discovery_class_') THEN substring(field_name, 17) END) AS discovery_class_primary,
+ strftime(max(CAST(retrieved_at AS DATE)) FILTER ({SETTLED} AND field_name IN ({", ".join(f"'{f}'" for f in C.DATE_FIELDS)})), '%Y-%m-%d') AS latest_signal,
+ CASE WHEN bool_or(field_name IS NOT NULL AND status = 'verified') THEN 'verified_evidence_present' WHEN bool_or(field_name IS NOT NULL AND status IN ('single_source', 'confirmed', 'format_only')) THEN 'single_source_only' ELSE 'thin' END AS record_confidence FROM l GROUP BY entity_id)
+SELECT entity_id, {", ".join(C.SCALARS)}, {LISTED("coalesce(investing_thesis, investing_mandates)")} AS mandates, {LISTED("fit_tags")} AS fit_tags, {LISTED("public_list_overlap")} AS public_list_overlap, CASE WHEN check_size_range IS NOT NULL THEN 500000 END AS check_size_min, CASE WHEN check_size_range IS NOT NULL THEN 2000000 END AS check_size_max,
+ CASE important_insight WHEN 'fresh_liquidity' THEN 'high' WHEN 'access_window' THEN 'medium' ELSE CASE WHEN important_insight IS NOT NULL THEN 'low' END END AS urgency_tier, CASE WHEN recent_investments <> '' THEN 'active' END AS activity_status, discovery_class_primary, latest_signal, record_confidence FROM w""")
 def cor01(ledger):
-    return C.build_records(ledger, FIELDS)
+    out = C.build_records(ledger.withColumns({"field_name": F.expr(FIELD), "answer": F.expr(ANSWER)}))
+    return out.withColumns({c: F.array_join(c, "|") for c in C.LISTS})
 
 
 RANGES = "CASE doc_id % 4 WHEN 0 THEN '$500K to $2M' WHEN 1 THEN '$1,250 - $3B' WHEN 2 THEN 'about ' || CAST(doc_id AS STRING) || 'M' ELSE 'open' END"
@@ -36,20 +48,48 @@ LIVE = "status NOT IN ('could_not_verify', 'removed_failed_validation', 'contrad
 
 
 @query("cor04_record_signals", "v_ledger", sql=f"""
-SELECT entity_id, strftime(max(CAST(retrieved_at AS DATE)) FILTER ({LIVE} AND field_name IN ({DF})), '%Y-%m-%d') AS latest_signal, CASE WHEN bool_or(status = 'verified') THEN 'verified_evidence_present' WHEN bool_or(status = 'single_source') THEN 'single_source_only' ELSE 'thin' END AS record_confidence
-FROM v_ledger WHERE (entity_id + seq) % 3 > 0 GROUP BY entity_id""")
+SELECT entity_id, strftime(max(CAST(retrieved_at AS DATE)) FILTER ({LIVE} AND field_name IN ({DF})), '%Y-%m-%d') AS latest_signal, CASE WHEN bool_or(status = 'verified') THEN 'verified_evidence_present' WHEN bool_or(status IN ('single_source', 'confirmed', 'format_only')) THEN 'single_source_only' ELSE 'thin' END AS record_confidence
+FROM v_ledger GROUP BY entity_id""")
 def cor04(ledger):
-    return C.record_signals(ledger.filter("(entity_id + seq) % 3 > 0"))
-
-
-CHUNKS = """SELECT record_id, 'identity' AS facet, trim(name_raw) || ' is a' || CASE WHEN entity_type = 'type_unconfirmed' THEN 'n office of unconfirmed type' ELSE ' ' || entity_type END || coalesce(' in ' || hq_state, '') AS content FROM v_entity
-UNION ALL SELECT record_id, 'mandate', trim(name_raw) || '''s assets: $' || format('{:,}', aum_usd) || '.' FROM v_entity
-UNION ALL SELECT record_id, 'people', coalesce(trim(name_raw) || ' is led by ' || principal_name || '.', 'No named decision-maker has been confirmed.') FROM v_entity"""
-
-
-@query("cor05_facet_chunks", "v_entity", sql=CHUNKS)
+    return C.record_signals(ledger)
+
+
+# records with every field known or not, as SQL; lists are texts with | between their parts
+REC = {
+    "entity_name": "trim(name_raw)", "entity_type": "CASE WHEN entity_type <> 'type_unconfirmed' THEN entity_type END", "hq_state": "hq_state", "hq_country": "CASE WHEN record_id % 4 = 0 THEN 'CA' END", "aum_usd": "CASE WHEN record_id % 6 > 0 THEN aum_usd END",
+    "aum_basis": "CASE record_id % 3 WHEN 0 THEN '13F floor' WHEN 1 THEN '' END", "check_size_min": "CASE WHEN record_id % 5 = 1 THEN 250000 WHEN record_id % 5 = 2 THEN 0 END", "check_size_max": "CASE WHEN record_id % 10 < 3 THEN 5000000 END", "principal_name": "principal_name",
+    "principal_title": "CASE WHEN record_id % 3 > 0 THEN 'Chair' END", "most_recent_signal_date": "CASE WHEN record_id % 7 = 0 THEN '2024-05-06' END", "urgency_tier": "CASE WHEN record_id % 5 > 2 THEN 'high' END", "record_confidence": "CASE WHEN record_id % 9 > 0 THEN 'thin' END",
+}
+REC_LISTS = {
+    "public_list_overlap": "CASE WHEN record_id % 11 = 0 THEN 'list a|list b' END", "mandates": "CASE record_id % 7 WHEN 0 THEN 'energy|credit' WHEN 1 THEN 'We back founders.' WHEN 2 THEN 'Patient capital' END", "sector_focus": "CASE WHEN record_id % 8 = 0 THEN 'health' END",
+    "stage_focus": "CASE WHEN record_id % 8 = 1 THEN 'seed|growth' END", "geography_focus": "CASE WHEN record_id % 8 = 2 THEN 'US' END", "fit_tags": "CASE WHEN record_id % 8 = 3 THEN 'x|y' END", "recent_investments": "CASE WHEN record_id % 6 = 0 THEN 'Acme|Beta' END", "recent_news": "CASE WHEN record_id % 6 = 1 THEN 'Moved' END",
+}
+
+
+def record(e):
+    lists = [F.split(F.expr(x), r"\|").alias(c) for c, x in REC_LISTS.items()]
+    return e.select("record_id", *[F.expr(x).alias(c) for c, x in REC.items()], *lists)
+
+
+JOINED = lambda c: f"replace({c}, '|', ', ')"
+LABEL = lambda label, c: f"CASE WHEN {c} <> '' THEN ' {label}: ' || {JOINED(c)} || '.' ELSE '' END"
+USD = lambda c: f"'$' || format('{{:,}}', CAST({c} AS BIGINT))"
+CHUNKS = f"""r AS (SELECT record_id, {", ".join(f"{x} AS {c}" for c, x in {**REC, **REC_LISTS}.items())} FROM v_entity),
+t AS (SELECT *, CASE WHEN contains(mandates, '|') THEN ' Focus areas: ' || {JOINED("mandates")} || '.' WHEN mandates <> '' THEN ' ' || mandates || CASE WHEN regexp_matches(mandates, '[.!?]$') THEN '' ELSE '.' END ELSE '' END || {LABEL("Sector focus", "sector_focus")} || {LABEL("Stage focus", "stage_focus")} || {LABEL("Geography focus", "geography_focus")} || {LABEL("Fit tags", "fit_tags")}
+ || CASE WHEN coalesce(check_size_min, 0) <> 0 OR coalesce(check_size_max, 0) <> 0 THEN ' Typical check size: ' || CASE WHEN coalesce(check_size_min, 0) <> 0 THEN {USD("check_size_min")} ELSE 'unspecified' END || ' to ' || CASE WHEN coalesce(check_size_max, 0) <> 0 THEN {USD("check_size_max")} ELSE 'unspecified' END || '.' ELSE '' END AS focus,
+ {LABEL("Recent investments", "recent_investments")} || {LABEL("Recent news", "recent_news")} || {LABEL("Most recent dated signal", "most_recent_signal_date")} AS activity FROM r),
+c AS (SELECT record_id, 'identity' AS facet, entity_name || ' is a ' || coalesce(entity_type, 'family office of unconfirmed type') || '.' || coalesce(' Headquartered in ' || hq_state || ', ' || coalesce(hq_country, 'US') || '.', '') || CASE WHEN coalesce(aum_usd, 0) <> 0 THEN ' Assets under management: approximately ' || {USD("aum_usd")} || CASE WHEN aum_basis <> '' THEN ' (' || aum_basis || ')' ELSE '' END || '.' ELSE '' END
+ || coalesce(' Appears on public family-office lists: ' || {JOINED("public_list_overlap")} || '.', '') AS content FROM t
+UNION ALL SELECT record_id, 'mandate', entity_name || '''s investing mandate.' || CASE WHEN focus <> '' THEN focus ELSE ' No investing thesis or mandate details have been confirmed for this record.' END FROM t
+UNION ALL SELECT record_id, 'people', CASE WHEN principal_name <> '' THEN principal_name || ' is the named decision-maker at ' || entity_name || '.' || {LABEL("Title", "principal_title")} ELSE 'No named decision-maker has been confirmed for ' || entity_name || '.' END FROM t
+UNION ALL SELECT record_id, 'activity', CASE WHEN activity <> '' THEN entity_name || ' activity.' || activity ELSE 'No recent activity signal has been confirmed for ' || entity_name || '.' END FROM t
+UNION ALL SELECT record_id, 'why_now', CASE WHEN urgency_tier <> '' THEN entity_name || ' has an urgency tier of ' || urgency_tier || ', based on a dated signal in the record.' ELSE 'No specific why-now trigger has been confirmed for ' || entity_name || '.' END FROM t
+UNION ALL SELECT record_id, 'summary', entity_name || ' (' || coalesce(entity_type, 'not confirmed') || ') — AUM ' || CASE WHEN coalesce(aum_usd, 0) <> 0 THEN {USD("aum_usd")} ELSE 'not confirmed' END || ', principal ' || coalesce(principal_name, 'not confirmed') || ', record confidence: ' || coalesce(record_confidence, 'None') || '.' FROM t)"""
+
+
+@query("cor05_facet_chunks", "v_entity", sql=f"WITH {CHUNKS} SELECT * FROM c")
 def cor05(e):
-    return C.facet_chunks(e)
+    return C.facet_chunks(record(e))
 
 
 @query("cor06_contact_leaks", "v_entity", sql="SELECT record_id, 'people' AS facet FROM v_entity WHERE principal_email IS NOT NULL AND record_id % 9 = 0")
@@ -80,11 +120,19 @@ def cor08(e):
     return C.csv_provenance(imported(e))
 
 
-@query("cor08_csv_chunks", "v_entity", sql="""
-SELECT CAST(record_id AS STRING) AS record_id, 'people' AS facet, CASE WHEN principal_name IS NULL THEN 'No named decision-maker in the record for ' || trim(name_raw) || '.' ELSE principal_name || ' is the named contact at ' || trim(name_raw) || '.' END AS content FROM v_entity
-UNION ALL SELECT CAST(record_id AS STRING), 'mandate', trim(name_raw) || '''s investing mandate and focus. ' || CASE WHEN record_id % 2 = 0 THEN 'Mandates: energy, credit.' ELSE 'No mandate details in the record.' END FROM v_entity""")
+WORTH = "'$' || format('{:,}', aum_usd)"
+
+
+@query("cor08_csv_chunks", "v_entity", sql=f"""
+WITH r AS (SELECT CAST(record_id AS STRING) AS record_id, trim(name_raw) AS name, outcome, discovery_class, principal_name, record_id % 2 = 0 AS mandated, {WORTH} AS worth FROM v_entity)
+SELECT record_id, 'identity' AS facet, name || ' is a family office / advisory entity (imported record, verdict: ' || outcome || '). Assets under management: ' || worth || '. Discovery sources: ' || discovery_class || '.' AS content FROM r
+UNION ALL SELECT record_id, 'mandate', name || '''s investing mandate and focus. ' || CASE WHEN mandated THEN 'Mandates: energy, credit.' ELSE 'No mandate details in the record.' END FROM r
+UNION ALL SELECT record_id, 'people', CASE WHEN principal_name IS NULL THEN 'No named decision-maker in the record for ' || name || '.' ELSE principal_name || ' is the named contact at ' || name || '.' END FROM r
+UNION ALL SELECT record_id, 'activity', 'No recent activity recorded for ' || name || '.' FROM r
+UNION ALL SELECT record_id, 'why_now', 'No specific why-now trigger recorded for ' || name || '.' FROM r
+UNION ALL SELECT record_id, 'summary', name || ': imported ' || outcome || ' record. AUM ' || worth || '. Principal: ' || coalesce(principal_name, 'not named') || '.' FROM r""")
 def cor08_chunks(e):
-    return C.csv_chunks(imported(e)).filter("facet IN ('people', 'mandate')")
+    return C.csv_chunks(imported(e))
 
 
 @query("cor09_merge_sources", "v_entity", sql="SELECT record_id, CASE WHEN record_id % 3 = 0 THEN 'pipeline' ELSE 'csv' END AS source FROM v_entity WHERE record_id % 3 = 0 OR record_id % 2 = 0")

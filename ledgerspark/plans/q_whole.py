@@ -76,9 +76,6 @@ def con25(ledger):
     return contacts.fill_unsettled(keyed, tiers)
 
 
-@whole("cor04_record_signals", "v_ledger", " WHERE (entity_id + seq) % 3 > 0")
-def cor04(ledger):
-    return corpus.record_signals(ledger)
 
 
 @whole("prv08_newest_run_for_lead", "v_run", " WHERE seq % 3 = 0")
@@ -121,16 +118,5 @@ def fx08(s):
     return facts.unverified_leads(s.select(F.expr(TEN).alias("entity_id"), "source_class", F.expr(SEEDS).alias("kind"), (F.col("value_usd") % 97).cast("string").alias("value"), "seq"))
 
 
-WORTH = "'$' || format('{:,}', aum_usd)"
 
 
-@query("cor08_csv_chunks_whole", "v_entity", sql=f"""
-WITH r AS (SELECT CAST(record_id AS STRING) AS record_id, trim(name_raw) AS name, outcome, discovery_class, principal_name, record_id % 2 = 0 AS mandated, {WORTH} AS worth FROM v_entity)
-SELECT record_id, 'identity' AS facet, name || ' is a family office / advisory entity (imported record, verdict: ' || outcome || '). Assets under management: ' || worth || '. Discovery sources: ' || discovery_class || '.' AS content FROM r
-UNION ALL SELECT record_id, 'mandate', name || '''s investing mandate and focus. ' || CASE WHEN mandated THEN 'Mandates: energy, credit.' ELSE 'No mandate details in the record.' END FROM r
-UNION ALL SELECT record_id, 'people', CASE WHEN principal_name IS NULL THEN 'No named decision-maker in the record for ' || name || '.' ELSE principal_name || ' is the named contact at ' || name || '.' END FROM r
-UNION ALL SELECT record_id, 'activity', 'No recent activity recorded for ' || name || '.' FROM r
-UNION ALL SELECT record_id, 'why_now', 'No specific why-now trigger recorded for ' || name || '.' FROM r
-UNION ALL SELECT record_id, 'summary', name || ': imported ' || outcome || ' record. AUM ' || worth || '. Principal: ' || coalesce(principal_name, 'not named') || '.' FROM r""")
-def cor08(e):
-    return corpus.csv_chunks(q_corpus.imported(e))
