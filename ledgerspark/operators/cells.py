@@ -103,6 +103,11 @@ def select_quota(cands: DataFrame, n: int = 50, cap: int = 15) -> DataFrame:
     return out.unionByName(over.select("entity_id", "discovery_class_primary", F.lit(None).cast("int").alias("rank"), F.lit(True).alias("excluded"), *keys[:1]))
 
 
+def production_records(selection: DataFrame) -> DataFrame:
+    """SEL-03: what goes into production: rank and class of the selected, and the excluded marked as such."""
+    return selection.select("entity_id", "rank", F.col("discovery_class_primary").alias("primary_class"), F.col("excluded").alias("excluded_by_quota"))
+
+
 def reserve_draw(pool: DataFrame, gap: int) -> DataFrame:
     """SEL-04: draw from the fixable reserve, most discovery classes first, half again as many as are missing."""
     return pool.filter("thin_reason = 'fixable'").orderBy(F.desc("discovery_class_count"), "entity_id").limit(max(1, int(gap * 1.5)))
@@ -120,6 +125,12 @@ def rejected_rows(rejections: DataFrame, selection: DataFrame) -> DataFrame:
     return rejections.select("entity_id", "stage", "reason_code").unionByName(quota)
 
 
+def audit_rows(audits: DataFrame) -> DataFrame:
+    """CELL-07: audit entries in the order of writing, their JSON values decoded: text as text, everything else as JSON (seq, entity_id, field, before, after)."""
+    value = lambda c: F.coalesce(F.from_json(F.concat(F.lit('{"v":'), F.col(c), F.lit("}")), "struct<v:string>")["v"], F.when(F.col(c) != "null", F.col(c))).alias(c)
+    return audits.select("seq", "entity_id", "field", value("before"), value("after"))
+
+
 DICTIONARY = [
     ("verified", "two independent source classes agree"),
     ("single_source", "one source class only"),

@@ -86,9 +86,15 @@ def principal_email_on_site(firms: DataFrame, emails: DataFrame) -> DataFrame:
 
 
 def choose_email_vendor(rows: DataFrame) -> DataFrame:
-    """CON-16: vendor rows (firm, email, tier, score, smtp_valid, error, domain): on-domain ones by tier and score; an outage is told from no evidence."""
+    """CON-16: on-domain vendor rows, those asked for by name first, then those with the principal's surname, then any, by score; an outage is told from no evidence and from another company.
+
+    rows: firm, email, score, smtp_valid, error, domain, by_name (whether the lookup named the principal), principal_name.
+    """
     good = F.col("email").isNotNull() & email_on_domain(F.col("email"), F.col("domain"))
-    order = F.struct(F.col("tier").alias("t"), (-F.coalesce("score", F.lit(0))).alias("s"), F.col("email").alias("e"))
+    last = name_tokens(F.col("principal_name"))["last"]
+    surname = F.coalesce((F.length(last) > 2) & F.contains(local_part(F.col("email")), last), F.lit(False))
+    tier = F.when(F.col("by_name"), 0).when(surname, 1).otherwise(2)
+    order = F.struct(tier.alias("t"), (-F.coalesce("score", F.lit(0))).alias("s"), (~F.coalesce("smtp_valid", F.lit(False))).alias("v"), F.col("email").alias("e"))
     n = rows.groupBy("firm").agg(F.min_by(F.struct("email", "score", "smtp_valid"), F.when(good, order)).alias("best"), F.bool_or("error").alias("error"), F.count_if(F.col("email").isNotNull()).alias("found"))
     sure = (F.col("best.score") >= 70) | F.coalesce("best.smtp_valid", F.lit(False))
     return n.select("firm", "best.email", F.when(F.col("best").isNotNull(), F.when(sure, "medium").otherwise("low")).alias("confidence"), F.when(F.col("best").isNotNull(), "found").when(F.col("error"), "outage").when(F.col("found") > 0, "wrong_company").otherwise("no_evidence").alias("result"))
@@ -122,9 +128,11 @@ def fold(text: Column) -> Column:
 
 def mentions_entity(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """CON-19: whether a text holds one of its entity's phrases as whole words (entity_id, text_id, text; entity_id, phrase)."""
-    pairs = texts.join(phrases, "entity_id")
-    hit = F.contains(F.concat(F.lit(" "), fold(F.col("text")), F.lit(" ")), F.concat(F.lit(" "), fold(F.col("phrase")), F.lit(" ")))
-    return pairs.groupBy("entity_id", "text_id").agg(F.bool_or(hit & (fold(F.col("phrase")) != "")).alias("mentioned"))
+    folded = lambda c: F.concat(F.lit(" "), fold(c), F.lit(" "))
+    asked = phrases.select("entity_id", folded(F.col("phrase")).alias("phrase")).filter(F.trim("phrase") != "").groupBy("entity_id").agg(F.collect_set("phrase").alias("phrases"))  # an entity's few names
+    pairs = texts.select("entity_id", "text_id", folded(F.col("text")).alias("body")).join(asked, "entity_id", "left")
+    said = F.exists("phrases", lambda p: F.contains("body", p))
+    return pairs.select("entity_id", "text_id", F.coalesce(said, F.lit(False)).alias("mentioned"))
 
 
 def pick_dated_signal(news: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..vocab import CHANNEL, CONFIRMING, DATED_SIGNAL, DECISION_MAKER, MULTI_VALUED, STALE_DAYS
-from .ledger import field_key, latest
+from .ledger import field_key, latest, latest_by_field
 
 
 def is_confirming(source_class: Column) -> Column:
@@ -93,12 +93,13 @@ def contradiction_findings(ledger: DataFrame) -> DataFrame:
     rows = in_conflict(ledger).filter("least IS NOT NULL").select("entity_id", "field_name", "claim_id", "status", "answer", "answer_num", "pos", "least")
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    # of the claims after i only the first incompatible one, and those whose first incompatible one is i, can be reported
-    done_a = (F.col("a_status") == "contradicted") | (F.col("a_least") < F.col("b_pos"))
-    done_b = (F.col("b_status") == "contradicted") | (F.col("b_least") < F.col("a_pos"))
-    same = (F.col("a_entity_id") == F.col("b_entity_id")) & (F.col("a_field_name") == F.col("b_field_name")) & (F.col("a_pos") < F.col("b_pos"))
-    apart = ~compatible(F.col("a_answer"), F.col("b_answer"), F.col("a_answer_num"), F.col("b_answer_num"))
-    return a.join(b, same & apart & ~(done_a & done_b)).select(F.col("a_entity_id").alias("entity_id"), F.col("a_field_name").alias("field"), F.col("a_claim_id").alias("claim_id"), F.col("b_claim_id").alias("other_id"))
+    # a pair is reported for its first or for its second claim: then the other stands at the first place incompatible with it, which is a join key
+    same = (F.col("a_entity_id") == F.col("b_entity_id")) & (F.col("a_field_name") == F.col("b_field_name"))
+    apart = (F.col("a_pos") < F.col("b_pos")) & ~compatible(F.col("a_answer"), F.col("b_answer"), F.col("a_answer_num"), F.col("b_answer_num"))
+    by_first = a.filter("a_status <> 'contradicted'").join(b, same & (F.col("a_least") == F.col("b_pos"))).filter(apart)
+    by_second = a.join(b.filter("b_status <> 'contradicted'"), same & (F.col("b_least") == F.col("a_pos"))).filter(apart)
+    out = [F.col("a_entity_id").alias("entity_id"), F.col("a_field_name").alias("field"), F.col("a_claim_id").alias("claim_id"), F.col("b_claim_id").alias("other_id")]
+    return by_first.select(*out).unionByName(by_second.select(*out)).distinct()
 
 
 def staleness(ledger: DataFrame, now: str) -> DataFrame:
@@ -162,13 +163,46 @@ def apply_judgments(ledger: DataFrame, judgments: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("severity") == "fatal", "contradicted").otherwise(F.col("status")))
 
 
+def reply_body(reply: Column) -> Column:
+    """A model's reply without the code fence around it."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    text = bare(reply)
+    return F.when(text.startswith("```"), bare(F.regexp_replace(F.regexp_replace(text, r"^`+|`+$", ""), r"^json", ""))).otherwise(text)
+
+
 def parse_judge_json(reply: Column) -> Column:
-    """VAL-12: struct(verdict) out of a model's reply: code fences off, JSON parsed, words outside the vocabulary dropped."""
-    body = F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*|\s*```$", "")
-    parsed = F.from_json(body, "struct<verdict:string,supported:boolean>")
-    word = F.lower(parsed["verdict"])
-    old = F.when(parsed["supported"], "supported").when(~parsed["supported"], "contradicted")
-    return F.coalesce(F.when(word.isin("supported", "contradicted", "not_stated"), word), old)
+    """VAL-12: whether a source supports a claim: supported, contradicted or not_stated with a reason beside; an old reply of true or false never contradicts; null if unreadable."""
+    body = reply_body(reply)
+    parsed = F.from_json(F.when(body.startswith("{"), body), "struct<verdict:string,reason:string,supported:boolean>")
+    old = F.when(parsed["supported"], "supported").when(~parsed["supported"], "not_stated")
+    word = F.when(parsed["verdict"].isin("supported", "contradicted", "not_stated") & parsed["reason"].isNotNull(), parsed["verdict"])
+    return F.when(parsed["verdict"].isNotNull(), word).otherwise(old)
+
+
+def parse_polarity(reply: Column) -> Column:
+    """VAL-12: affirmative, negative or unclear; anything unreadable is unclear."""
+    body = reply_body(reply)
+    word = F.from_json(F.when(body.startswith("{"), body), "struct<verdict:string>")["verdict"]
+    return F.when(word.isin("affirmative", "negative"), word).otherwise("unclear")
+
+
+def parse_verdict(reply: Column) -> Column:
+    """VAL-12: struct(verdict, rationale) of pursue or pursue_low with a rationale; null if unreadable."""
+    body = reply_body(reply)
+    parsed = F.from_json(F.when(body.startswith("{"), body), "struct<verdict:string,rationale:string>")
+    return F.when(parsed["verdict"].isin("pursue", "pursue_low") & parsed["rationale"].isNotNull(), parsed)
+
+
+def parse_claims(replies: DataFrame, questions: list[str], keys: list[str]) -> DataFrame:
+    """VAL-12: the claims of JSON array replies (column reply); claims of unknown questions are dropped, unreadable replies give none."""
+    body = reply_body(F.col("reply"))
+    items = F.from_json(F.when(body.startswith("["), body), "array<struct<question_id:string,field_name:string,answer:string,status:string>>")
+    return replies.select(*keys, F.posexplode(items).alias("place", "c")).select(*keys, "place", "c.*").filter(F.col("question_id").isin(questions))
+
+
+def field_status(ledger: DataFrame) -> DataFrame:
+    """VAL-13: status and method of the last claim of every field (the question where there is no field)."""
+    return latest_by_field(ledger).select("entity_id", F.col("field_key").alias("field"), "status", F.col("extraction_method").alias("method"))
 
 
 def skip_if_unchanged(waves: DataFrame, findings: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def sel02(cands):
 
 @query("sel03_production_records", "v_cand", sql=f"WITH {PICK} SELECT entity_id, rank, discovery_class_primary AS primary_class, excluded AS excluded_by_quota FROM sel")
 def sel03(cands):
-    return selection(cands).select("entity_id", "rank", F.col("discovery_class_primary").alias("primary_class"), F.col("excluded").alias("excluded_by_quota"))
+    return C.production_records(selection(cands))
 
 
 @query("sel04_reserve_draw", "v_cand", sql="SELECT entity_id, discovery_class_count FROM v_cand WHERE entity_id % 3 = 0 ORDER BY discovery_class_count DESC, entity_id LIMIT 30")
@@ -84,9 +84,9 @@ def sel04(cands):
     return C.reserve_draw(pool, 20).select("entity_id", "discovery_class_count")
 
 
-@query("cell05_provenance_rows", "v_ledger", sql="SELECT entity_id, field_name, answer, status, source_url, source_class, extraction_method, confidence FROM v_ledger WHERE entity_id % 3 = 0")
+@query("cell05_provenance_rows", "v_ledger", sql="SELECT entity_id, field_name, answer, status, source_url, source_class, extraction_method, confidence FROM v_ledger WHERE field_name IS NOT NULL")
 def cell05(ledger):
-    return C.provenance_rows(ledger, ledger.filter("entity_id % 3 = 0").select("entity_id").distinct())
+    return C.provenance_rows(ledger, ledger.select("entity_id").distinct())
 
 
 @query("cell06_class_report", "v_cand", sql=f"WITH {PICK} SELECT discovery_class_primary AS discovery_class, count(*) AS entity_count, round(avg(actionability_score), 2) AS avg_score FROM sel WHERE NOT excluded GROUP BY 1")
@@ -104,3 +104,11 @@ def cell07(cands):
 def cell08(ledger):
     """Claims of each status that the dictionary explains."""
     return ledger.join(F.broadcast(C.data_dictionary(ledger.sparkSession)), "status").groupBy("status").agg(F.count(F.lit(1)).alias("claims"))
+
+
+@query("cell07_audit_rows", "v_ledger", sql="""
+SELECT seq, entity_id, field_name AS field, answer AS before, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(seq AS STRING) WHEN 2 THEN '["a","b"]' ELSE 'was "quoted"' END AS after FROM v_ledger""")
+def cell07_audit(ledger):
+    as_json = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1), F.lit("null"))
+    after = F.expr(r"""CASE seq % 4 WHEN 0 THEN 'null' WHEN 1 THEN CAST(seq AS STRING) WHEN 2 THEN '["a","b"]' ELSE '"was \\"quoted\\""' END""")
+    return C.audit_rows(ledger.select("seq", "entity_id", F.col("field_name").alias("field"), as_json(F.col("answer")).alias("before"), after.alias("after")))

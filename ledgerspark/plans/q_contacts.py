@@ -39,15 +39,28 @@ def con04(p):
     return p.select("page_id", C.domain_matches_entity(W.host(F.col("url")), F.array(F.lit("th"), F.lit("ersth"))).alias("matches"))
 
 
-@query("con05_resolve_domain", "v_page")
+@query("con05_resolve_domain", "v_page", sql=f"""
+WITH x AS (SELECT page_id % 40 AS entity_id, page_id % 2 AS tier, page_id AS pos, {HOST} AS h FROM v_page), f AS (SELECT *, regexp_replace(split_part(h, '.', 1), '[^a-z0-9]', '', 'g') AS label FROM x WHERE h IS NOT NULL AND NOT ({AGG}))
+SELECT entity_id, h AS domain FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY tier, pos) AS n FROM f WHERE starts_with(label, 'th') OR starts_with(label, 'blog') OR contains(label, 'shing')) WHERE n = 1""")
 def con05(p):
-    return C.resolve_domain(p.select((F.col("page_id") % 40).alias("entity_id"), (F.col("page_id") % 2).alias("tier"), F.col("page_id").alias("pos"), F.col("url").alias("link"), F.array(F.lit("th"), F.lit("blog")).alias("tokens")))
+    return C.resolve_domain(p.select((F.col("page_id") % 40).alias("entity_id"), (F.col("page_id") % 2).alias("tier"), F.col("page_id").alias("pos"), F.col("url").alias("link"), F.array(F.lit("th"), F.lit("blog"), F.lit("shing")).alias("tokens")))
 
 
-@query("con06_jsonld_person", "v_page")
+# blocks of every shape, put to the pages; the last one comes second
+LD = [
+    '{"@type": "Person", "name": "A<n>", "jobTitle": "CEO"}', '{"@graph": [{"@type": "Org"}, {"@type": "Person", "name": "B<n>"}]}', '{"@type": "Org", "founder": {"@type": "Person", "name": "C<n>", "jobTitle": "Founder"}}',
+    '{"@type": "Org", "employee": [{"@type": "Dog", "name": "no"}, {"@type": "Person", "name": "D<n>", "jobTitle": "CFO"}]}', '{"@type": "Org"}', 'not json',
+]
+LD_NAMES = [("A", "CEO"), ("B", None), ("C", "Founder"), ("D", "CFO"), ("Z", "Last"), ("Z", "Last")]
+LD_TEXT = f"CASE page_id % {len(LD)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LD)) + " END"
+
+
+@query("con06_jsonld_person", "v_page", sql="SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN '{n}' || CAST(page_id AS STRING)" for k, (n, _) in enumerate(LD_NAMES)) + " END AS name, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {f"'{t}'" if t else 'NULL'}" for k, (_, t) in enumerate(LD_NAMES)) + " END AS title FROM v_page")
 def con06(p):
-    tag = F.concat(F.col("html"), F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Org"}, {"@type": "Person", "name": "N'), F.col("page_id").cast("string"), F.lit('", "jobTitle": "CEO"}]}</script>'))
-    return C.jsonld_person(p.select("page_id", tag.alias("html")))
+    block = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
+    own = F.replace(F.expr(LD_TEXT), F.lit("<n>"), F.col("page_id").cast("string"))
+    last = F.concat(F.lit('{"@type": "Person", "name": "Z'), F.col("page_id").cast("string"), F.lit('", "jobTitle": "Last"}'))
+    return C.jsonld_person(p.select("page_id", F.concat("html", block(own), block(last)).alias("html")))
 
 
 MAILS = "CASE WHEN page_id % 3 = 0 THEN ' Info@' || h || '. ' WHEN page_id % 3 = 1 THEN ' jane.doe@mail.' || h || '; x@other.org' ELSE '' END"
@@ -112,10 +125,18 @@ def con15(e):
     return C.principal_email_on_site(firms, peers(e))
 
 
-@query("con16_choose_email_vendor", "v_entity")
+VENDOR = """SELECT record_id % 300 AS firm, principal_email AS email, record_id % 101 AS score, record_id % 7 = 0 AS smtp_valid, record_id % 11 = 0 AS error, CASE WHEN record_id % 300 % 5 = 4 THEN 'other.com' ELSE 'fam.com' END AS domain, record_id % 9 < 3 AS by_name,
+ CASE record_id % 7 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Infotech Info' ELSE 'X' END AS principal_name FROM v_entity"""
+
+
+@query("con16_choose_email_vendor", "v_entity", sql=f"""
+WITH r AS ({VENDOR}), m AS (SELECT *, lower(split_part(split_part(email, '@', 1), '+', 1)) AS local, lower(regexp_extract(principal_name, '([A-Za-z]+)$', 1)) AS last, email IS NOT NULL AND (split_part(lower(email), '@', 2) = domain OR ends_with(split_part(lower(email), '@', 2), '.' || domain)) AS good FROM r),
+t AS (SELECT *, CASE WHEN by_name THEN 0 WHEN length(last) > 2 AND contains(local, last) THEN 1 ELSE 2 END AS tier FROM m),
+b AS (SELECT firm, email, CASE WHEN score >= 70 OR smtp_valid THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY tier, score DESC, smtp_valid DESC, email) AS n FROM t WHERE good) WHERE n = 1),
+g AS (SELECT firm, bool_or(error) AS error, count(email) AS found FROM r GROUP BY firm)
+SELECT firm, b.email, b.confidence, CASE WHEN b.firm IS NOT NULL THEN 'found' WHEN error THEN 'outage' WHEN found > 0 THEN 'wrong_company' ELSE 'no_evidence' END AS result FROM g LEFT JOIN b USING (firm)""")
 def con16(e):
-    r = e.select((F.col("record_id") % 300).alias("firm"), F.col("principal_email").alias("email"), (F.col("record_id") % 3).alias("tier"), (F.col("record_id") % 100).alias("score"), (F.col("record_id") % 7 == 0).alias("smtp_valid"), (F.col("record_id") % 11 == 0).alias("error"), F.lit("fam.com").alias("domain"))
-    return C.choose_email_vendor(r)
+    return C.choose_email_vendor(e.sparkSession.sql(VENDOR.replace("v_entity", "{v}"), v=e))
 
 
 @query("con17_find_phone", "v_page", sql=f"""
@@ -141,9 +162,11 @@ def con19(d):
     return C.mentions_entity(texts, phrases)
 
 
-@query("con20_pick_dated_signal", "v_doc")
+@query("con20_pick_dated_signal", "v_doc", sql="""
+WITH n AS (SELECT doc_id % 50 AS entity_id, doc_id % 2 AS tier, doc_id AS pos, doc_id % 3 > 0 AS mentioned, text AS title, CASE WHEN doc_id % 5 > 0 THEN '2024-01-01' END AS day FROM v_doc)
+SELECT entity_id, 'recent_news' AS field_name, title, day FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY tier, pos) AS n FROM n WHERE mentioned AND (day IS NOT NULL OR tier > 0)) WHERE n = 1""")
 def con20(d):
-    n = d.select((F.col("doc_id") % 50).alias("entity_id"), (F.col("doc_id") % 2).alias("tier"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 3 > 0).alias("mentioned"), F.substring("text", 1, 20).alias("title"), F.when(F.col("doc_id") % 5 > 0, "2024-01-01").alias("day"))
+    n = d.select((F.col("doc_id") % 50).alias("entity_id"), (F.col("doc_id") % 2).alias("tier"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 3 > 0).alias("mentioned"), F.col("text").alias("title"), F.when(F.col("doc_id") % 5 > 0, "2024-01-01").alias("day"))
     return C.pick_dated_signal(n)
 
 
@@ -169,15 +192,21 @@ def con23(p):
     return C.extract_text(p).select("page_id", F.md5("text").alias("digest"), "result")
 
 
-@query("con24_pick_profile_url", "v_page")
+@query("con24_pick_profile_url", "v_page", sql="SELECT page_id % 30 AS entity_id, arg_min(url, page_id) AS link FROM v_page WHERE contains(lower(url), '/en/') GROUP BY 1")
 def con24(p):
     return C.pick_profile_url(p.select((F.col("page_id") % 30).alias("entity_id"), F.col("page_id").alias("pos"), F.col("url").alias("link")), "/en/")
 
 
-@query("con25_fill_unsettled", "v_ledger", sql="""
-WITH d AS (SELECT DISTINCT entity_id, field_name FROM v_ledger WHERE seq % 40 = 0 AND status NOT IN ('could_not_verify', 'removed_failed_validation', 'superseded')),
-t AS (SELECT entity_id, field_name, seq % 3 AS tier, claim_id AS answer, seq % 4 = 0 AS usable FROM v_ledger WHERE seq % 20 = 1 OR seq % 20 = 4)
-SELECT entity_id, field_name, tier, answer, usable FROM (SELECT t.*, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY usable DESC, tier, answer) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.entity_id = t.entity_id AND d.field_name = t.field_name)) WHERE n = 1""")
+# the fields of an entity are those of each question, so that some have no settled claim
+FIELD = "coalesce(question_id, 'none') || ':' || field_name"
+TIER = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+
+
+@query("con25_fill_unsettled", "v_ledger", sql=f"""
+WITH k AS (SELECT entity_id, {FIELD} AS field_name, {TIER} AS tier, claim_id AS answer, answer IS NOT NULL AS usable, status FROM v_ledger),
+d AS (SELECT DISTINCT entity_id, field_name FROM k WHERE status NOT IN ('could_not_verify', 'removed_failed_validation', 'superseded'))
+SELECT entity_id, field_name, tier, answer, usable FROM (SELECT k.*, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY usable DESC, tier, answer) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.entity_id = k.entity_id AND d.field_name = k.field_name)) WHERE n = 1""")
 def con25(ledger):
-    t = ledger.filter("seq % 20 = 1 OR seq % 20 = 4").select("entity_id", "field_name", (F.col("seq") % 3).alias("tier"), F.col("claim_id").alias("answer"), (F.col("seq") % 4 == 0).alias("usable"))
-    return C.fill_unsettled(ledger.filter("seq % 40 = 0"), t)
+    keyed = ledger.withColumn("field_name", F.expr(FIELD))
+    tiers = keyed.select("entity_id", "field_name", F.expr(TIER).alias("tier"), F.col("claim_id").alias("answer"), F.col("answer").isNotNull().alias("usable"))
+    return C.fill_unsettled(keyed, tiers)

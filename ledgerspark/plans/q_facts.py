@@ -53,11 +53,15 @@ def fx07(s):
 LEADS = "CASE WHEN source_class = 'adv_name' THEN 'website' ELSE 'person' END"
 
 
+# ten neighbouring ids are one entity and there are 97 values, so that entities have more than ten seeds
+TEN = "entity_id - entity_id % 10"
+
+
 @query("fx08_unverified_leads", "v_source", sql=f"""
-WITH d AS (SELECT entity_id, {LEADS} AS kind, CAST(value_usd % 5 AS STRING) AS value, min(seq) AS seq FROM v_source WHERE source_class NOT IN ('13f_filing', '5500_filing', 'conference_sighting') GROUP BY 1, 2, 3),
-p AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq, kind, value) AS place FROM d) SELECT * FROM p WHERE place <= 3""")
+WITH d AS (SELECT {TEN} AS entity_id, {LEADS} AS kind, CAST(value_usd % 97 AS STRING) AS value, min(seq) AS seq FROM v_source WHERE source_class NOT IN ('13f_filing', '5500_filing', 'conference_sighting') GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq, kind, value) AS place FROM d) SELECT * FROM p WHERE place <= 10""")
 def fx08(s):
-    return X.unverified_leads(s.select("entity_id", "source_class", F.expr(LEADS).alias("kind"), (F.col("value_usd") % 5).cast("string").alias("value"), "seq"), cap=3)
+    return X.unverified_leads(s.select(F.expr(TEN).alias("entity_id"), "source_class", F.expr(LEADS).alias("kind"), (F.col("value_usd") % 97).cast("string").alias("value"), "seq"))
 
 
 @query("fx09_pre_answer_claims", "v_source", sql=f"""

@@ -21,18 +21,8 @@ r AS (SELECT entity_id, string_agg(question_id || ':' || chk, ';' ORDER BY quest
  string_agg(question_id || '=' || chk, ',' ORDER BY question_id) AS checks FROM g GROUP BY entity_id)"""
 
 
-def thinned(ledger):
-    """A ledger with open questions: not every entity has a claim for every question."""
-    return ledger.filter("(entity_id + seq) % 5 < 2")
-
-
-THIN = "v_ledger WHERE (entity_id + seq) % 5 < 2 AND question_id IS NOT NULL"
-GATES = GATES.replace("v_ledger WHERE question_id IS NOT NULL", THIN)
-SELECTED = SELECTED.replace("v_ledger WHERE question_id IS NOT NULL", THIN)
-
-
 def gates_of(ledger):
-    return G.hard_gates(select_claim(thinned(ledger)), ledger.select("entity_id").distinct())
+    return G.hard_gates(select_claim(ledger), ledger.select("entity_id").distinct())
 
 
 @query("gate01_hard_gates", "v_ledger", sql=f"WITH {GATES} SELECT entity_id, reason_code IS NOT NULL AS reject, reason_code, force_low, labels, checks FROM r")
@@ -42,12 +32,12 @@ def gate01(ledger):
 
 @query("gate02_dead_ends", "v_ledger", sql=f"""WITH {SELECTED} SELECT entity_id, string_agg(question_id || ': ' || coalesce(answer, 'None'), '|' ORDER BY question_id || ': ' || coalesce(answer, 'None')) AS dead_ends FROM s WHERE status = 'could_not_verify' GROUP BY entity_id""")
 def gate02(ledger):
-    return G.dead_ends(select_claim(thinned(ledger)))
+    return G.dead_ends(select_claim(ledger))
 
 
 @query("gate03_thin_reason", "v_ledger", sql=f"""WITH {SELECTED} SELECT entity_id, CASE WHEN count(*) FILTER (question_id IN ('G2.Q1', 'G2.Q2', 'G3.Q1') AND status <> 'could_not_verify') = 0 THEN 'structural' ELSE 'fixable' END AS thin_reason FROM s GROUP BY entity_id""")
 def gate03(ledger):
-    return G.thin_reason(select_claim(thinned(ledger)))
+    return G.thin_reason(select_claim(ledger))
 
 
 @query("gate04_retry_not_reject", "v_ledger", sql="""
@@ -71,7 +61,7 @@ SELECT e.entity_id, lane, count(*) FILTER (status <> 'could_not_verify') AS answ
  coalesce(string_agg(q.question_id, ',' ORDER BY q.question_id) FILTER (gate = 'HARD' AND coalesce(status, 'could_not_verify') = 'could_not_verify'), '') AS hard_unanswered, count(status) > 0 AS ran
 FROM e CROSS JOIN q LEFT JOIN s ON s.entity_id = e.entity_id AND s.question_id = q.question_id GROUP BY e.entity_id, lane""")
 def gate06(ledger):
-    return G.lane_summary(select_claim(thinned(ledger)))
+    return G.lane_summary(select_claim(ledger))
 
 
 @query("gate07_verdict_distribution", "v_ledger", sql="""

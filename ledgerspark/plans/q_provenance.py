@@ -64,16 +64,16 @@ def prv07(ledger):
     return P.run_summary(C.resolve_cells(ledger))
 
 
-@query("prv08_newest_run_for_lead", "v_run", sql="SELECT entity_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY called_at DESC, seq DESC) AS n FROM v_run WHERE seq % 3 = 0) WHERE n = 1")
+@query("prv08_newest_run_for_lead", "v_run", sql="SELECT entity_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY called_at DESC, seq DESC) AS n FROM v_run) WHERE n = 1")
 def prv08(runs):
-    return P.newest_run_for_lead(runs.filter("seq % 3 = 0"))
+    return P.newest_run_for_lead(runs)
 
 
 @query("prv09_run_entities", "v_run", sql="""
-SELECT run_id, entity_id FROM v_run WHERE seq % 7 = 0 UNION SELECT run_id, entity_id FROM v_run WHERE seq % 5 = 0 UNION SELECT DISTINCT run_id, -1 FROM v_run WHERE run_id NOT IN (SELECT run_id FROM v_run WHERE seq % 2 = 0)""")
+SELECT run_id, entity_id FROM v_run WHERE state <> 'skipped' UNION SELECT run_id, entity_id FROM v_run WHERE ok UNION SELECT DISTINCT run_id, -1 FROM v_run WHERE run_id NOT IN (SELECT run_id FROM v_run WHERE state = 'failed')""")
 def prv09(runs):
-    missing = P.runs_missing_log(runs, runs.filter("seq % 2 = 0")).withColumn("entity_id", F.lit(-1).cast(runs.schema["entity_id"].dataType))
-    return P.run_entities(runs.filter("seq % 7 = 0"), runs.filter("seq % 5 = 0")).unionByName(missing)
+    missing = P.runs_missing_log(runs, runs.filter("state = 'failed'")).withColumn("entity_id", F.lit(-1).cast(runs.schema["entity_id"].dataType))
+    return P.run_entities(runs.filter("state <> 'skipped'"), runs.filter("ok")).unionByName(missing)
 
 
 @query("prv10_runs_list", "v_run", sql="""

@@ -187,10 +187,10 @@ PARTS = "CAST(record_id % 10 AS DOUBLE) / 10 AS fit, CASE WHEN record_id % 25 =
 
 
 def scores(e):
-    return e.filter("record_id % 25 <> 24 OR record_id < 30").selectExpr("record_id % 25 AS query_id", "record_id", *[p.strip() for p in PARTS.split(", ")])
+    return e.selectExpr("record_id % 25 AS query_id", "record_id", *[p.strip() for p in PARTS.split(", ")])
 
 
-SC = f"""sc AS (SELECT record_id % 25 AS query_id, record_id, {PARTS} FROM v_entity WHERE record_id % 25 <> 24 OR record_id < 30),
+SC = f"""sc AS (SELECT record_id % 25 AS query_id, record_id, {PARTS} FROM v_entity),
 mm AS (SELECT query_id, count(*) AS n, CASE WHEN max(fit) - min(fit) > 1e-9 THEN 0.35 ELSE 0 END AS a, CASE WHEN max(reach) - min(reach) > 1e-9 THEN 0.30 ELSE 0 END AS b, CASE WHEN max(recency) - min(recency) > 1e-9 THEN 0.20 ELSE 0 END AS c, CASE WHEN max(trust) - min(trust) > 1e-9 THEN 0.15 ELSE 0 END AS d FROM sc GROUP BY 1),
 ew AS (SELECT query_id, CASE WHEN n < 2 OR a + b + c + d = 0 THEN 0.35 ELSE CAST(a AS DOUBLE) / (a + b + c + d) END AS w_fit, CASE WHEN n < 2 OR a + b + c + d = 0 THEN 0.30 ELSE CAST(b AS DOUBLE) / (a + b + c + d) END AS w_reach, CASE WHEN n < 2 OR a + b + c + d = 0 THEN 0.20 ELSE CAST(c AS DOUBLE) / (a + b + c + d) END AS w_recency, CASE WHEN n < 2 OR a + b + c + d = 0 THEN 0.15 ELSE CAST(d AS DOUBLE) / (a + b + c + d) END AS w_trust FROM mm)"""
 

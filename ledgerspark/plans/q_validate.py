@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import validate as V
-from ..operators.ledger import latest_by_field
 from ..vocab import CONFIRMING
 from .q_ledger import LAST
 from .registry import query
@@ -88,13 +87,13 @@ def val07(ledger):
 
 
 @query("val08_completeness", "v_ledger", sql="""
-WITH t AS (SELECT * FROM v_ledger WHERE (entity_id + seq) % 9 = 0), l AS (SELECT * FROM t WHERE status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted', 'superseded')), e AS (SELECT DISTINCT entity_id FROM t),
+WITH t AS (SELECT * FROM v_ledger), l AS (SELECT * FROM t WHERE status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted', 'superseded')), e AS (SELECT DISTINCT entity_id FROM t),
 x AS (SELECT e.entity_id, count(*) FILTER (field_name = 'principal_name' OR question_id = 'G2.Q1') AS a, count(*) FILTER (field_name IN ('principal_email', 'principal_phone') OR question_id = 'G2.Q2') AS b,
  count(*) FILTER (field_name IN ('recent_investments', 'important_insight') OR question_id IN ('G3.Q1', 'G3.Q2')) AS c FROM e LEFT JOIN l USING (entity_id) GROUP BY e.entity_id)
 SELECT entity_id, 'principal_name' AS field, 'V6_completeness' AS check_id, 'warn' AS severity FROM x WHERE a = 0 UNION ALL SELECT entity_id, 'principal_email', 'V6_completeness', 'warn' FROM x WHERE b = 0
 UNION ALL SELECT entity_id, 'recent_investments', 'V6_completeness', 'warn' FROM x WHERE c = 0""")
 def val08(ledger):
-    return V.completeness(ledger.filter("(entity_id + seq) % 9 = 0"))
+    return V.completeness(ledger)
 
 
 @query("val09_release_rule", "v_ledger", sql="""
@@ -119,18 +118,37 @@ def val11(ledger):
     return V.apply_judgments(ledger, judged).select("claim_id", "severity", "status")
 
 
-REPLY = "CASE turn % 4 WHEN 0 THEN '```json {\"verdict\": \"supported\"} ```' WHEN 1 THEN '{\"supported\": false}' WHEN 2 THEN 'I cannot say.' ELSE '{\"verdict\": \"maybe\"}' END"
+# replies of every shape with what each means: support, polarity, verdict
+REPLIES = [
+    ('```json {"verdict": "supported", "reason": "r"} ```', "supported", "unclear", None), ('{"supported": false}', "not_stated", "unclear", None), ("I cannot say.", None, "unclear", None), ('{"verdict": "maybe", "reason": "r"}', None, "unclear", None),
+    ('{"verdict": "contradicted"}', None, "unclear", None), ('{"supported": true, "reason": "x"}', "supported", "unclear", None), ('{"verdict": "negative"}', None, "negative", None), ('```{"verdict": "affirmative", "reason": "r"}```', None, "affirmative", None),
+    ('{"verdict": "pursue_low", "rationale": "thin"}', None, "unclear", "pursue_low"), ('{"verdict": "pursue"}', None, "unclear", None), ('[{"verdict": "supported", "reason": "r"}]', None, "unclear", None), ('{"verdict": "not_stated", "reason": ""}', "not_stated", "unclear", None),
+]
+NTH = f"(conv_id + turn) % {len(REPLIES)}"
+REPLY = f"CASE {NTH} " + " ".join(f"WHEN {k} THEN '{r[0]}'" for k, r in enumerate(REPLIES)) + " END"
+MEANS = lambda i: f"CASE {NTH} " + " ".join(f"WHEN {k} THEN {f"'{r[i]}'" if r[i] else 'NULL'}" for k, r in enumerate(REPLIES)) + " END"
 
 
-@query("val12_parse_judge_json", "v_answer", sql="SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' END AS judgment FROM v_answer")
+@query("val12_parse_judge_json", "v_answer", sql=f"SELECT conv_id, turn, {MEANS(1)} AS judgment, {MEANS(2)} AS polarity, {MEANS(3)} AS verdict FROM v_answer")
 def val12(answers):
-    return answers.select("conv_id", "turn", V.parse_judge_json(F.expr(REPLY)).alias("judgment"))
+    reply = F.expr(REPLY)
+    return answers.select("conv_id", "turn", V.parse_judge_json(reply).alias("judgment"), V.parse_polarity(reply).alias("polarity"), V.parse_verdict(reply)["verdict"].alias("verdict"))
+
+
+@query("val12_parse_claims", "v_ledger", sql="""
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY seq) - 1 AS place, question_id, answer FROM (SELECT entity_id, seq, coalesce(question_id, 'G9.Q9') AS question_id, answer FROM v_ledger WHERE entity_id % 5 > 0) QUALIFY question_id IN ('G1.Q1', 'G1.Q2', 'G3.Q1')""")
+def val12_claims(ledger):
+    item = F.struct("seq", F.coalesce("question_id", F.lit("G9.Q9")).alias("question_id"), "answer")
+    blob = ledger.groupBy("entity_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    text = F.to_json(F.transform("items", lambda i: F.struct(i["question_id"].alias("question_id"), i["answer"].alias("answer"))))
+    replies = blob.select("entity_id", F.when(F.col("entity_id") % 5 == 0, "no array").otherwise(F.concat(F.lit("```json\n"), text, F.lit("\n```"))).alias("reply"))
+    return V.parse_claims(replies, ["G1.Q1", "G1.Q2", "G3.Q1"], ["entity_id"]).select("entity_id", "place", "question_id", "answer")
 
 
 @query("val13_field_status", "v_ledger", sql=f"""
 SELECT entity_id, field_key AS field, status, extraction_method AS method FROM (SELECT *, coalesce(field_name, question_id) AS field_key, {LAST.format(keys='entity_id, coalesce(field_name, question_id)')} AS n FROM v_ledger) WHERE n = 1""")
 def val13(ledger):
-    return latest_by_field(ledger).select("entity_id", F.col("field_key").alias("field"), "status", F.col("extraction_method").alias("method"))
+    return V.field_status(ledger)
 
 
 def findings_of(ledger):

@@ -1,122 +1,14 @@
-"""Queries over whole views and whole jobs, beside those that do a part: the same operator, and SQL without the filter or cap."""
+"""Second names of queries that once read a part of their view: the query itself is whole now."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators import cells, contacts, corpus, facts, gates, provenance, retrieve, validate
-from ..operators.ledger import select_claim
 from . import q_cells, q_contacts, q_corpus, q_facts, q_gates, q_provenance, q_retrieve, q_validate, registry  # noqa: F401
-from .registry import query
-
-
-def whole(name: str, view: str, part: str):
-    """Register f as name_whole, its SQL that of name without the filter part."""
-    sql = registry._SQL[name]
-    assert part in sql, name
-
-    def mark(f):
-        query(f"{name}_whole", view)(f)
-        registry._SQL[f"{name}_whole"] = sql.replace(part, "")
-        return f
-
-    return mark
-
-
-@whole("val08_completeness", "v_ledger", " WHERE (entity_id + seq) % 9 = 0")
-def val08(ledger):
-    return validate.completeness(ledger)
-
-
-THIN = " (entity_id + seq) % 5 < 2 AND"
-
-
-def gates_of(ledger):
-    return gates.hard_gates(select_claim(ledger), ledger.select("entity_id").distinct())
-
-
-@whole("gate01_hard_gates", "v_ledger", THIN)
-def gate01(ledger):
-    return gates_of(ledger)
-
-
-@whole("gate02_dead_ends", "v_ledger", THIN)
-def gate02(ledger):
-    return gates.dead_ends(select_claim(ledger))
-
-
-@whole("gate03_thin_reason", "v_ledger", THIN)
-def gate03(ledger):
-    return gates.thin_reason(select_claim(ledger))
-
-
-@whole("gate05_cap_verdict", "v_ledger", THIN)
-def gate05(ledger):
-    judged = ledger.select("entity_id").distinct().withColumn("judged", F.when(F.col("entity_id") % 2 == 0, "pursue").otherwise("pursue_low"))
-    return gates.cap_verdict(judged, gates_of(ledger))
-
-
-@whole("gate06_lane_summary", "v_ledger", THIN)
-def gate06(ledger):
-    return gates.lane_summary(select_claim(ledger))
-
-
-# the fields of an entity are those of each question, so that some have no settled claim
-FIELD = "coalesce(question_id, 'none') || ':' || field_name"
-TIER = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
-
-
-@query("con25_fill_unsettled_whole", "v_ledger", sql=f"""
-WITH k AS (SELECT entity_id, {FIELD} AS field_name, {TIER} AS tier, claim_id AS answer, answer IS NOT NULL AS usable, status FROM v_ledger),
-d AS (SELECT DISTINCT entity_id, field_name FROM k WHERE status NOT IN ('could_not_verify', 'removed_failed_validation', 'superseded'))
-SELECT entity_id, field_name, tier, answer, usable FROM (SELECT k.*, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY usable DESC, tier, answer) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.entity_id = k.entity_id AND d.field_name = k.field_name)) WHERE n = 1""")
-def con25(ledger):
-    keyed = ledger.withColumn("field_name", F.expr(FIELD))
-    tiers = keyed.select("entity_id", "field_name", F.expr(TIER).alias("tier"), F.col("claim_id").alias("answer"), F.col("answer").isNotNull().alias("usable"))
-    return contacts.fill_unsettled(keyed, tiers)
-
-
-
-
-@whole("prv08_newest_run_for_lead", "v_run", " WHERE seq % 3 = 0")
-def prv08(runs):
-    return provenance.newest_run_for_lead(runs)
-
-
-GROUP = " WHERE record_id % 25 <> 24 OR record_id < 30"
-
-
-def scores(e):
-    return e.selectExpr("record_id % 25 AS query_id", "record_id", *[p.strip() for p in q_retrieve.PARTS.split(", ")])
-
-
-@whole("rnk06_effective_weights", "v_entity", GROUP)
-def rnk06(e):
-    w = retrieve.effective_weights(scores(e))
-    return w.select("query_id", *[F.round(c, 6).alias(c) for c in w.columns[1:]])
-
-
-@whole("rnk07_rank", "v_entity", GROUP)
-def rnk07(e):
-    return retrieve.rank(scores(e), 10, topical=True)
-
-
-@whole("cell05_provenance_rows", "v_ledger", " WHERE entity_id % 3 = 0")
-def cell05(ledger):
-    return cells.provenance_rows(ledger, ledger.select("entity_id").distinct())
-
-
-# ten neighbouring ids are one entity and there are 97 values, so that entities have more than ten seeds
-SEEDS = q_facts.LEADS
-TEN = "entity_id - entity_id % 10"
-
-
-@query("fx08_unverified_leads_whole", "v_source", sql=f"""
-WITH d AS (SELECT {TEN} AS entity_id, {SEEDS} AS kind, CAST(value_usd % 97 AS STRING) AS value, min(seq) AS seq FROM v_source WHERE source_class NOT IN ('13f_filing', '5500_filing', 'conference_sighting') GROUP BY 1, 2, 3),
-p AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq, kind, value) AS place FROM d) SELECT * FROM p WHERE place <= 10""")
-def fx08(s):
-    return facts.unverified_leads(s.select(F.expr(TEN).alias("entity_id"), "source_class", F.expr(SEEDS).alias("kind"), (F.col("value_usd") % 97).cast("string").alias("value"), "seq"))
-
-
 
+ALSO_WHOLE = [
+    "val08_completeness", "gate01_hard_gates", "gate02_dead_ends", "gate03_thin_reason", "gate05_cap_verdict", "gate06_lane_summary", "con25_fill_unsettled", "cor04_record_signals", "prv08_newest_run_for_lead", "rnk06_effective_weights", "rnk07_rank",
+    "cell05_provenance_rows", "fx08_unverified_leads", "cor08_csv_chunks",
+]
 
+for name in ALSO_WHOLE:
+    registry._QUERIES[f"{name}_whole"] = registry._QUERIES[name]
+    registry._SQL[f"{name}_whole"] = registry._SQL[name]
