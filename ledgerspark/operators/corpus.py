@@ -181,7 +181,7 @@ def merge_records(base: DataFrame, delta: DataFrame, prune: bool, source: str =
 
 def dataset_meta(records: DataFrame) -> DataFrame:
     """COR-11: a hash of the ids, their number and the counts per class."""
-    per = records.groupBy("discovery_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("record_id").bitwiseAND(0xFFFFFFFF)).alias("h"))
+    per = records.groupBy("discovery_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha1(F.col("record_id").cast("string")), 1, 8), 16, 10).cast("long")).alias("h"))
     return per.agg(F.sum("n").alias("records"), F.sha1(F.sum("h").cast("string")).alias("build_hash"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("discovery_class", "n")))).alias("classes"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .cells import provenance_rank
 from .ledger import status_rank
-from .resolve import holdings_quarter
+from .resolve import core_name_phrase, holdings_quarter, person_names_match
 
 SETTLED_CLASSES = ["13f_filing", "5500_filing", "adv_index", "conference_sighting", "domain_check"]
 REGISTRY = ["adv_index", "13f_filing", "5500_filing", "conference_sighting", "domain_check", "adv_name", "fec_employer"]
@@ -26,6 +26,19 @@ def facts_5500(sources: DataFrame) -> DataFrame:
     return latest_per_class(sources.filter("source_class = '5500_filing'")).select("entity_id", F.col("filed_year").alias("plan_year"), "participant_count")
 
 
+def facts_adv_index(sources: DataFrame) -> DataFrame:
+    """FX-02: presence, clients and number in the adviser index, of its latest row (payload: JSON text)."""
+    p = F.from_json("payload", "struct<present:boolean,client_count:long,crd:string>")
+    last = latest_per_class(sources.filter("source_class = 'adv_index'")).withColumn("p", p)
+    return last.select("entity_id", F.coalesce("p.present", F.lit(False)).alias("adv_present"), F.col("p.client_count").alias("adv_client_count"), F.col("p.crd").alias("adv_crd"))
+
+
+def facts_domain(sources: DataFrame) -> DataFrame:
+    """FX-02: the domain and whether it takes mail, of the latest check (payload: JSON text)."""
+    last = latest_per_class(sources.filter("source_class = 'domain_check'")).withColumn("p", F.from_json("payload", "struct<domain:string,mx_present:boolean>"))
+    return last.select("entity_id", "p.domain", F.col("p.mx_present").alias("domain_mx_present"))
+
+
 def facts_13f(sources: DataFrame) -> DataFrame:
     """FX-03: value, quarter and change in percent, null without a prior value."""
     last = latest_per_class(sources.filter("source_class = '13f_filing'"))
@@ -185,10 +198,17 @@ def project_questions(ledger: DataFrame) -> DataFrame:
     return best.join(settled, ["entity_id", "field"], "left_anti").select("entity_id", "field", "answer", "claim_id")
 
 
+def title_matches_firm(title: Column, firm: Column) -> Column:
+    """DER-12: the title reads as the firm: one core phrase is or holds the other; an empty phrase is neither."""
+    t, f = core_name_phrase(title), core_name_phrase(firm)
+    return F.coalesce((t != "") & (f != "") & (F.contains(f, t) | F.contains(t, f)), F.lit(False))
+
+
 def is_plausible_title(title: Column, person: Column, firm: Column) -> Column:
     """DER-12: not blank, at most 80 characters, no negation, neither the person nor the firm."""
-    t, p, f = (F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " ")) for x in (title, person, firm))
-    return (F.trim(title) != "") & (F.length(title) <= 80) & ~is_negative_answer(title) & (t != F.coalesce(p, F.lit(""))) & ~(F.contains(f, t) | F.contains(t, f))
+    t = F.trim(F.coalesce(title, F.lit("")))
+    mine = F.coalesce(person_names_match(t, person), F.lit(False))
+    return (t != "") & (F.length(t) <= 80) & ~is_negative_answer(t) & ~mine & ~title_matches_firm(t, firm)
 
 
 def select_principal(claims: DataFrame) -> DataFrame:

@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.web import host
 from ..vocab import HIGH_VALUE
 from .ledger import latest
 
-METHOD_TOOLS = [("jsonld", "view"), ("snov_error", "click"), ("snov_error", "signup"), ("derived_13f", "purchase")]
-NARRATIVES = {"derived_13f": "Floor of the assets, from the latest 13F.", "jsonld": "Structured data on the firm's own site.", "snov_error": "The vendor lookup failed."}
+# A sentence for each extraction method, and the tools behind it.
+NARRATIVES = {
+    "derived_13f": "Assets under management derived as a floor from the firm's most recent 13F filing's reported portfolio value.",
+    "derived_13f_qoq": "Assets under management derived from the quarter-over-quarter change in the firm's 13F filings.",
+    "adv_raum": "Assets under management taken from the SEC ADV filing's Regulatory Assets Under Management (RAUM) figure.",
+    "derived_5500": "Participant count derived from the firm's most recent Form 5500 annual report.",
+    "derived_conference": "A conference sighting derived from a public conference attendee or speaker list.",
+    "derived_entity_sources": "Derived from the entity's ingested discovery-feed source records.",
+    "derived_public_list_match": "Derived by matching the firm against a public list of known family offices.",
+    "jsonld": "The principal's name was parsed from the JSON-LD structured-data block on the firm's own website.",
+    "serper_xray": "Found via a Serper Google search targeting the firm's domain (the x-ray query pattern).",
+    "serper_news": "Found via a Serper Google News search.",
+    "gdelt_docapi": "Found via the GDELT DOC 2.0 news API.",
+    "snov_emails_by_name_domain": "A Snov.io name-targeted email lookup returned this address for the principal on the firm's domain.",
+    "snov_domain_search": "A Snov.io domain-wide email search returned this address for the firm's domain.",
+    "snov_no_match": "A Snov.io email lookup ran but found no address for this principal on the firm's domain.",
+    "snov_error": "A Snov.io email lookup failed (credentials missing or an API error).",
+    "site_scrape": "Scraped from the firm's own website via a headless-browser render.",
+    "httpx_trafilatura": "Fetched from the firm's own website via a plain HTTP request and extracted with trafilatura.",
+    "llm_wave2_extraction": "Extracted by the language model in enrichment wave 2 from fetched page content.",
+}
+METHOD_TOOLS = [
+    ("serper_xray", "serper_search_raw"), ("serper_news", "serper_search_raw"), ("gdelt_docapi", "news_search_raw"), ("snov_emails_by_name_domain", "snov_emails_by_name_domain_raw"), ("snov_domain_search", "snov_domain_search_raw"),
+    ("snov_no_match", "snov_emails_by_name_domain_raw"), ("snov_no_match", "snov_domain_search_raw"), ("snov_error", "snov_emails_by_name_domain_raw"), ("snov_error", "snov_domain_search_raw"), ("jsonld", "fetch_raw_html"),
+    ("httpx_trafilatura", "fetch_page_free_first"), ("httpx_trafilatura", "fetch_raw_html"), ("site_scrape", "fetch_page_free_first"), ("site_scrape", "fetch_raw_html"),
+]
+
+
+def method_tools(spark: SparkSession) -> DataFrame:
+    """extraction_method, tool: a fixed table."""
+    return spark.createDataFrame(METHOD_TOOLS, "extraction_method string, tool string")
 
 
 def field_grid(ledger: DataFrame) -> DataFrame:
@@ -23,7 +52,7 @@ def field_grid(ledger: DataFrame) -> DataFrame:
 def method_summary(method: Column, source_class: Column, narratives: dict[str, str] = NARRATIVES) -> Column:
     """PRV-02: how a value was found, in a sentence."""
     known = F.coalesce(*[F.when(method == k, F.lit(v)) for k, v in narratives.items()])
-    projected = F.when(method.startswith("projected_"), F.concat(F.lit("Researched as question "), F.substring(method, 11, 100), F.lit(".")))
+    projected = F.when(method.startswith("projected_"), F.concat(F.lit("Researched in Layer 1 as question "), F.substring(method, 11, 100), F.lit(" and projected onto this field.")))
     return F.coalesce(projected, known, F.concat(method, F.lit(" via "), source_class), method, F.concat(F.lit("None via "), source_class), F.lit(""))
 
 
@@ -40,7 +69,7 @@ def match_tool_calls(cells: DataFrame, calls: DataFrame, tools: DataFrame, cap:
     c = calls.select("seq", "entity_id", "tool", "result_url", "called_at").withColumn("call_host", host(F.col("result_url")))
     w = cells.withColumn("own_host", host(F.col("source_url")))
     key = ["entity_id", "field_name", "seq", "called_at"]
-    by_url = w.join(c, "entity_id").filter(F.col("result_url") == F.col("source_url")).select(*key, F.lit(0).alias("how"))
+    by_url = w.join(c.withColumnRenamed("result_url", "source_url"), ["entity_id", "source_url"]).select(*key, F.lit(0).alias("how"))
     by_host = w.join(c.withColumnRenamed("call_host", "own_host"), ["entity_id", "own_host"]).select(*key, F.lit(0).alias("how"))
     by_tool = w.join(F.broadcast(tools), "extraction_method").join(c, ["entity_id", "tool"]).select(*key, F.lit(1).alias("how"))  # tools: a fixed table
     best = by_url.unionByName(by_host).unionByName(by_tool).groupBy(*key).agg(F.min("how").alias("how"))
@@ -124,9 +153,14 @@ def cache_key(args: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(args)))), 256)
 
 
+def cacheable(body: Column, error: Column) -> Column:
+    """TOOL-03: whether a response may be kept: no error, and a body."""
+    return F.coalesce(error, F.lit("")).eqNullSafe("") & (F.coalesce(body, F.lit("")) != "")
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """TOOL-03: requests with hit flag; errors and empties in the cache never hit (cache: key, body, error)."""
-    good = cache.filter("error IS NULL AND body IS NOT NULL AND body <> ''").select("key", "body").dropDuplicates(["key"])
+    good = cache.filter(cacheable(F.col("body"), F.col("error"))).select("key", "body").dropDuplicates(["key"])
     return requests.join(good, "key", "left").withColumn("cache_hit", F.col("body").isNotNull())
 
 

@@ -143,13 +143,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(vector: Column) -> Column:
+    return F.transform(F.transform(F.array(vector), lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n"))), lambda x: F.transform(x["v"], lambda c: c.cast("double") / x["n"]))[0]
+
+
+#: Query vectors that are broadcast at once.
+VECTOR_BLOCK = 2000
+
+
 def best_evidence(chunks: DataFrame, vectors: DataFrame, facets: list[str]) -> DataFrame:
-    """RET-04: least cosine distance of a record's chunks to each query vector (query_id, vector; broadcast)."""
-    rows = chunks.filter(F.col("facet").isin(facets)).join(F.broadcast(vectors))
-    norm = lambda c: F.sqrt(dot(c, c))
-    distance = 1 - dot(F.col("embedding"), F.col("vector")) / (norm(F.col("embedding")) * norm(F.col("vector")))
+    """RET-04: least cosine distance of a record's chunks to each query vector (query_id, vector).
+
+    Both sides are brought to length one first, so a pair costs one product. The stated queries are broadcast up to VECTOR_BLOCK; more are cut
+    into blocks of about that many, and a chunk goes to every block.
+    """
+    asked = vectors.select("query_id", unit(F.col("vector")).alias("vector"))
+    rows = chunks.filter(F.col("facet").isin(facets)).select("record_id", "chunk_id", "facet", unit(F.col("embedding")).alias("embedding"))
+    blocks = -(-vectors.count() // VECTOR_BLOCK)
+    if blocks <= 1:
+        pairs = rows.join(F.broadcast(asked))
+    else:
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block")
     near = F.min_by(F.struct("distance", "chunk_id", "facet"), F.struct("distance", "chunk_id")).alias("e")
-    return rows.withColumn("distance", distance).groupBy("query_id", "record_id").agg(near).select("query_id", "record_id", "e.*")
+    return pairs.withColumn("distance", 1 - dot(F.col("embedding"), F.col("vector"))).groupBy("query_id", "record_id").agg(near).select("query_id", "record_id", "e.*")
 
 
 def semantic_rank(evidence: DataFrame) -> DataFrame:

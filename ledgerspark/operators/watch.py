@@ -128,6 +128,16 @@ def audit_emails(records: DataFrame) -> DataFrame:
     return bad.select("record_id", F.col("principal_email").alias("firm_email"), F.lit(None).cast("string").alias("principal_email"), F.concat(F.lit("misattributed: "), "attribution").alias("audit"))
 
 
+def demote(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AUD-03: the claims that set misattributed addresses right (principal_email empties, firm_email takes the address), and the audit rows."""
+    bad = audit_emails(records)
+    claim = F.array(
+        F.struct(F.lit("principal_email").alias("field_name"), F.lit(None).cast("string").alias("answer"), F.lit("could_not_verify").alias("status")),
+        F.struct(F.lit("firm_email").alias("field_name"), F.col("firm_email").alias("answer"), F.lit("single_source").alias("status")),
+    )
+    return bad.select("record_id", F.inline(claim)), bad.select("record_id", F.lit("principal_email").alias("field"), F.col("firm_email").alias("before"), F.lit(None).cast("string").alias("after"), "audit")
+
+
 def invariants(records: DataFrame) -> DataFrame:
     """AUD-04: principals with a role address, and addresses without a principal; both must be 0 after the audit."""
     mail = F.col("principal_email").isNotNull()

@@ -29,11 +29,13 @@ def cell02(ledger):
     return C.resolve_cells(ledger).drop("best")
 
 
-@query("cell03_alternatives", "v_ledger", sql=f"""
-WITH {CELLS}, r AS (SELECT k.*, c.value, c.winner_id, c.best, row_number() OVER (PARTITION BY k.entity_id, k.field_name, k.status IN ('removed_failed_validation', 'superseded'), k.tier, k.answer ORDER BY k.created_at, k.seq) AS nth,
- k.field_name IN ('principal_name', 'principal_title') AND c.best IS NOT NULL AS multi, k.status IN ('removed_failed_validation', 'superseded') AS dead FROM k JOIN c ON k.entity_id = c.entity_id AND k.field_name = c.field_name WHERE coalesce(k.answer, '') <> '')
-SELECT entity_id, field_name, claim_id, CASE WHEN status = 'superseded' THEN 'superseded' WHEN dead THEN 'failed_validation' WHEN multi AND tier = best THEN 'duplicate_value' WHEN multi AND tier > best THEN 'lower_provenance_tier' WHEN multi THEN 'weaker_status' ELSE 'not_latest_write' END AS why_not_used
-FROM r WHERE NOT CASE WHEN multi THEN NOT dead AND tier = best AND nth = 1 ELSE claim_id = winner_id AND value IS NOT NULL END""")
+ALTERNATIVES = """r AS (SELECT k.*, c.value, c.winner_id, c.best, row_number() OVER (PARTITION BY k.entity_id, k.field_name, k.status IN ('removed_failed_validation', 'superseded'), k.tier, k.answer ORDER BY k.created_at, k.seq) AS nth,
+ k.field_name IN ('principal_name', 'principal_title') AND c.best IS NOT NULL AS multi, k.status IN ('removed_failed_validation', 'superseded') AS dead FROM k JOIN c ON k.entity_id = c.entity_id AND k.field_name = c.field_name WHERE coalesce(k.answer, '') <> ''),
+alternatives AS (SELECT entity_id, field_name, claim_id, CASE WHEN status = 'superseded' THEN 'superseded' WHEN dead THEN 'failed_validation' WHEN multi AND tier = best THEN 'duplicate_value' WHEN multi AND tier > best THEN 'lower_provenance_tier' WHEN multi THEN 'weaker_status' ELSE 'not_latest_write' END AS why_not_used
+FROM r WHERE NOT CASE WHEN multi THEN NOT dead AND tier = best AND nth = 1 ELSE claim_id = winner_id AND value IS NOT NULL END)"""
+
+
+@query("cell03_alternatives", "v_ledger", sql=f"WITH {CELLS}, {ALTERNATIVES} SELECT * FROM alternatives")
 def cell03(ledger):
     return C.alternatives(ledger)
 

@@ -151,9 +151,11 @@ def cor10(e):
     return C.merge_records(base, delta, prune=True)
 
 
-@query("cor11_dataset_meta", "v_entity")
+@query("cor11_dataset_meta", "v_entity", sql="""
+WITH p AS (SELECT discovery_class, count(*) AS n, sum(CAST('0x' || substr(sha1(CAST(record_id AS STRING)), 1, 8) AS BIGINT)) AS h FROM v_entity GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS records, sha1(CAST(CAST(sum(h) AS BIGINT) AS STRING)) AS build_hash, string_agg(discovery_class || '=' || CAST(n AS STRING), ',' ORDER BY discovery_class) AS classes FROM p""")
 def cor11(e):
-    return C.dataset_meta(e).withColumn("classes", F.to_json("classes"))
+    return C.dataset_meta(e).withColumn("classes", F.array_join(F.transform(F.array_sort(F.map_entries("classes")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ","))
 
 
 @query("cor12_corpus_health", "v_entity", sql="SELECT CASE WHEN record_id % 3 = 0 THEN 'csv' ELSE 'pipeline' END AS source, count(*) AS live, max('b' || CAST(record_id % 10 AS STRING)) AS newest_build FROM v_entity GROUP BY 1")

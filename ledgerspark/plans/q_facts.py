@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as X
 from .q_cells import TIER
 from .q_ledger import RANK_SQL
+from .q_resolve import CORE
 from .registry import query
 
 LASTC = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source_class ORDER BY retrieved_at DESC, seq DESC) AS n FROM v_source) WHERE n = 1)"
@@ -24,14 +25,37 @@ def fx02(s):
     return X.facts_5500(s)
 
 
+# the adviser rows as index entries and the contributor rows as domain checks, with JSON payloads
+PAYLOADS = """SELECT seq, entity_id, retrieved_at, CASE source_class WHEN 'adv_name' THEN 'adv_index' WHEN 'fec_employer' THEN 'domain_check' ELSE source_class END AS source_class,
+ CASE WHEN source_class = 'adv_name' THEN '{"present":' || CASE WHEN seq % 3 = 0 THEN 'true' ELSE 'false' END || ',"client_count":' || CAST(participant_count AS STRING) || CASE WHEN seq % 2 = 0 THEN ',"crd":"' || CAST(seq AS STRING) || '"}' ELSE '}' END
+  WHEN source_class = 'fec_employer' THEN '{"domain":"fam' || CAST(seq AS STRING) || '.com"' || CASE WHEN seq % 4 = 0 THEN '}' ELSE ',"mx_present":' || CASE WHEN seq % 3 = 0 THEN 'true' ELSE 'false' END || '}' END END AS payload FROM v_source"""
+
+
+def payloads(s):
+    """Braces of SQL text are doubled for the formatter of spark.sql."""
+    return s.sparkSession.sql(PAYLOADS.replace("{", "{{").replace("}", "}}").replace("v_source", "{v}"), v=s)
+
+
+@query("fx02_facts_adv_index", "v_source", sql=f"WITH {LASTC} SELECT entity_id, seq % 3 = 0 AS adv_present, participant_count AS adv_client_count, CASE WHEN seq % 2 = 0 THEN CAST(seq AS STRING) END AS adv_crd FROM l WHERE source_class = 'adv_name'")
+def fx02_adv(s):
+    return X.facts_adv_index(payloads(s))
+
+
+@query("fx02_facts_domain", "v_source", sql=f"WITH {LASTC} SELECT entity_id, 'fam' || CAST(seq AS STRING) || '.com' AS domain, CASE WHEN seq % 4 > 0 THEN seq % 3 = 0 END AS domain_mx_present FROM l WHERE source_class = 'fec_employer'")
+def fx02_domain(s):
+    return X.facts_domain(payloads(s))
+
+
 @query("fx03_facts_13f", "v_source", sql=f"WITH {LASTC} SELECT entity_id, value_usd, {HQ} AS quarter, CAST({DELTA} AS DOUBLE) AS qoq_delta_pct FROM l WHERE source_class = '13f_filing'")
 def fx03(s):
     return X.facts_13f(s)
 
 
-@query("fx04_facts_conference", "v_source")
+@query("fx04_facts_conference", "v_source", sql="""
+SELECT entity_id, string_agg(CAST(seq AS STRING) || ':' || strftime(retrieved_at, '%Y-%m-%d') || ':' || CAST(value_usd AS STRING), ';' ORDER BY seq) AS sightings FROM v_source WHERE source_class = 'conference_sighting' GROUP BY entity_id""")
 def fx04(s):
-    return X.facts_conference(s).select("entity_id", F.to_json("sightings").alias("sightings"))
+    shown = F.transform("sightings", lambda x: F.concat_ws(":", x["seq"].cast("string"), F.date_format(x["date"], "yyyy-MM-dd"), x["value_usd"].cast("string")))
+    return X.facts_conference(s).select("entity_id", F.array_join(shown, ";").alias("sightings"))
 
 
 @query("fx05_facts_adv_name", "v_source", sql="SELECT entity_id, arg_max(value_usd, (retrieved_at, seq)) AS latest_value, arg_min(state, CASE WHEN state IS NOT NULL THEN seq END) AS first_state FROM v_source WHERE source_class = 'adv_name' GROUP BY entity_id")
@@ -163,11 +187,15 @@ def der11(d):
     return d.select("doc_id", X.is_negative_answer(s).alias("negative"))
 
 
-@query("der12_is_plausible_title", "v_entity", sql="""
-WITH t AS (SELECT record_id, name_raw, CASE record_id % 5 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'no title found' WHEN 3 THEN trim(name_raw) ELSE repeat('x', 90) END AS t FROM v_entity) SELECT record_id, record_id % 5 = 0 AS plausible FROM t""")
+TITLES = "CASE record_id % 9 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'no title found' WHEN 3 THEN trim(name_raw) WHEN 4 THEN repeat('x', 90) WHEN 5 THEN 'Fam' || CAST(record_id % 200 AS STRING) WHEN 6 THEN NULL WHEN 7 THEN 'Chair of ' || name_raw ELSE 'LLC' END"
+
+
+@query("der12_is_plausible_title", "v_entity", sql=f"""
+WITH t AS (SELECT record_id, record_id % 9 AS k, name_raw, {TITLES} AS t FROM v_entity), c AS (SELECT *, {CORE.replace("name_raw", "coalesce(t, '')")} AS tp, {CORE} AS fp FROM t)
+SELECT record_id, coalesce(tp <> '' AND fp <> '' AND (contains(fp, tp) OR contains(tp, fp)), false) AS firm, k IN (0, 5, 7, 8) AND NOT coalesce(tp <> '' AND fp <> '' AND (contains(fp, tp) OR contains(tp, fp)), false) AS plausible FROM c""")
 def der12(e):
-    t = F.expr("CASE record_id % 5 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'no title found' WHEN 3 THEN trim(name_raw) ELSE repeat('x', 90) END")
-    return e.select("record_id", X.is_plausible_title(t, F.lit("jane doe"), F.col("name_raw")).alias("plausible"))
+    t = F.expr(TITLES)
+    return e.select("record_id", X.title_matches_firm(F.coalesce(t, F.lit("")), F.col("name_raw")).alias("firm"), X.is_plausible_title(t, F.lit("jane doe"), F.col("name_raw")).alias("plausible"))
 
 
 PRIN = f"""p AS (SELECT *, {TIER} AS tier FROM v_ledger), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY tier, created_at, seq) AS n FROM p WHERE field_name = 'principal_name' AND trim(coalesce(answer, '')) <> '' AND status NOT IN ('could_not_verify', 'removed_failed_validation', 'superseded')) WHERE n = 1)"""

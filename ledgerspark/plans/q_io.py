@@ -10,11 +10,14 @@ from ..sources import readers as R
 from ..sources import sinks as S
 from ..sources.scratch import scratch_path
 from ..streaming import stream as T
+from ..vocab import HIGH_VALUE
 from . import registry
 from .demo_views import VIEWS
-from .q_cells import PICK
+from .q_cells import CELLS, PICK
 from .registry import query
 
+HV = ", ".join(f"('{f}')" for f in HIGH_VALUE)
+
 
 @query("src01_read_discovery", "v_entity", sql="SELECT seq, name_raw AS entity_name_raw, discovery_class, hq_state AS state FROM v_entity")
 def src01(e):
@@ -86,7 +89,7 @@ def src09(e):
     return R.flatten_profile(e.select("record_id", F.concat(F.lit('{"firstName": "Jane", "lastName": "Doe", "headline": "Hi", "positions": '), positions, F.lit("}")).alias("body"))).select("record_id", "name", "title", "line")
 
 
-@query("snk01_write_sheets", "v_cand")
+@query("snk01_write_sheets", "v_cand", sql=f"WITH {PICK} SELECT entity_id, discovery_class_primary, rank, excluded, actionability_score FROM sel WHERE NOT excluded")
 def snk01(cands):
     path = scratch_path(cands.sparkSession, "sheets")
     chosen = C.select_quota(cands)
@@ -101,11 +104,15 @@ def snk02(cands):
     return S.run_manifest(C.select_quota(cands), 12.5)
 
 
-@query("snk03_write_provenance_json", "v_ledger")
+@query("snk03_write_provenance_json", "v_ledger", sql=f"""
+WITH {CELLS}, g AS (SELECT entity_id, field_name FROM v_ledger WHERE field_name IS NOT NULL UNION SELECT entity_id, f FROM v_ledger CROSS JOIN (VALUES {HV}) AS h(f))
+SELECT g.entity_id, string_agg(g.field_name || '=' || coalesce(value, ''), ';' ORDER BY g.field_name) AS fields FROM g LEFT JOIN c ON c.entity_id = g.entity_id AND c.field_name = g.field_name GROUP BY 1""")
 def snk03(ledger):
     path = scratch_path(ledger.sparkSession, "provenance")
     S.write_provenance_json(P.field_records(P.field_grid(ledger), C.resolve_cells(ledger), C.alternatives(ledger)), path)
-    return ledger.sparkSession.read.schema("entity_id long, fields string").json(path)
+    back = ledger.sparkSession.read.schema("entity_id long, fields map<string,struct<value:string>>").json(path)
+    shown = F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"]["value"], F.lit(""))))
+    return back.select("entity_id", F.array_join(shown, ";").alias("fields"))
 
 
 @query("snk04_mirror_run_log", "v_run", sql="""
@@ -138,12 +145,17 @@ def streaming(name, view, sql=None):
     return mark
 
 
-@streaming("str01_stream_accept", "v_ledger", sql="SELECT DISTINCT entity_id AS record_id, source_url FROM v_ledger")
+SEEN = "2024-01-31 00:00:00"
+TITLE = "CASE seq % 4 WHEN 0 THEN 'News of Site Capital today' WHEN 1 THEN 'The Coury Firm Group buys' WHEN 2 THEN 'Nothing here' ELSE 'Turtle Creek Wealth grows' END"
+NAMED = "CASE seq % 4 WHEN 0 THEN 'site' WHEN 1 THEN 'coury firm' WHEN 2 THEN 'absent' ELSE 'turtle creek wealth' END"
+
+
+@streaming("str01_stream_accept", "v_ledger", sql=f"""
+SELECT DISTINCT entity_id AS record_id, source_url AS url FROM v_ledger WHERE seq % 9 > 0 AND seq % 4 <> 2 AND created_at >= TIMESTAMP '{SEEN}' - INTERVAL 20 DAY""")
 def str01(ledger):
-    a = ledger.select(F.col("entity_id").alias("record_id"), F.col("source_url").alias("url"), F.col("created_at").alias("observed_at"), "source_url")
-    keyed = T.drain(T.stream_accept(a), "accept")
-    sites = ledger.sparkSession.range(13).select(F.concat(F.lit("https://site"), F.col("id").cast("string"), F.lit(".example.com/p")).alias("source_url"))
-    return keyed.join(F.broadcast(sites.withColumn("key", T.dedupe_key(F.col("source_url")))), "key").select("record_id", "source_url").distinct()
+    seen = F.when(F.col("seq") % 9 > 0, F.col("created_at")).alias("observed_at")
+    a = ledger.select("seq", F.col("entity_id").alias("record_id"), F.expr(TITLE).alias("title"), F.col("source_url").alias("url"), seen, F.expr(NAMED).alias("phrase"), F.when(F.col("seq") % 4 == 3, 3).otherwise(2).alias("n_tokens"))
+    return T.stream_accept(a, SEEN, 20).select("record_id", "url")
 
 
 @streaming("str02_stream_ledger_image", "v_ledger", sql="SELECT entity_id, field_name, claim_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at DESC, seq DESC) AS n FROM v_ledger) WHERE n = 1")
@@ -151,11 +163,28 @@ def str02(ledger):
     return T.stream_ledger_image(ledger.select("entity_id", "field_name", "claim_id", "created_at", "seq")).select("entity_id", "field_name", "claim_id")
 
 
+def timed(ledger):
+    return ledger.select(F.col("field_name").alias("kind"), F.col("created_at").alias("at"))
+
+
 @streaming("str03_stream_signal_counts", "v_ledger", sql="""
-SELECT CAST(created_at AS DATE) AS day, field_name AS kind, count(*) AS signals FROM v_ledger GROUP BY 1, 2""")
+SELECT strftime(created_at, '%Y-%m-%d') AS day, field_name AS kind, count(*) AS signals FROM v_ledger GROUP BY 1, 2""")
 def str03(ledger):
-    n = T.stream_signal_counts(ledger.select(F.col("field_name").alias("kind"), F.col("created_at").alias("at")))
-    return n.select(F.to_date("start").alias("day"), "kind", "signals")
+    return T.stream_signal_counts(timed(ledger)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "signals")
+
+
+@streaming("str03_sliding_counts", "v_ledger", sql="""
+WITH w AS (SELECT strftime(CAST(created_at AS DATE) - CAST(unnest([0, 1]) AS INT), '%Y-%m-%d') AS day, field_name AS kind FROM v_ledger) SELECT day, kind, count(*) AS signals, CAST(0 AS BIGINT) AS stale FROM w GROUP BY 1, 2""")
+def str03_sliding(ledger):
+    return T.stream_signal_counts(timed(ledger), "2 days", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "signals", "stale")
+
+
+@streaming("str03_sessions", "v_ledger", sql="""
+WITH o AS (SELECT field_name AS kind, created_at AS t, CASE WHEN created_at < lag(created_at) OVER (PARTITION BY field_name ORDER BY created_at) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM v_ledger WHERE created_at IS NOT NULL),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY kind ORDER BY t, opens DESC ROWS UNBOUNDED PRECEDING) AS nth FROM o)
+SELECT kind, epoch_us(min(t)) // 1000000 AS start, epoch_us(max(t)) // 1000000 + 1800 AS finish, count(*) AS signals FROM s GROUP BY kind, nth""")
+def str03_sessions(ledger):
+    return T.stream_sessions(timed(ledger)).select("kind", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("finish"), "signals")
 
 
 @streaming("str04_stream_progress", "v_run", sql="SELECT run_id, count(*) AS calls, count(*) FILTER (ok) AS ok, CAST(sum(duration_ms) AS BIGINT) AS spent_ms FROM v_run GROUP BY run_id")

@@ -13,7 +13,12 @@ LANE_SQL = "CASE question_id " + " ".join(f"WHEN '{q}' THEN '{lane}'" for q, (la
 LAST = "row_number() OVER (PARTITION BY {keys} ORDER BY created_at DESC, seq DESC)"
 
 
-@query("led01_claim_id", "v_ledger")
+MINT = "coalesce(CAST(entity_id AS STRING), 'None') || '|' || coalesce(question_id, 'None') || '|' || coalesce(field_name, 'None') || '|' || coalesce(source_url, 'None') || '|' || coalesce(answer, 'None')"
+UUID = "substr(d, 1, 12) || '5' || substr(d, 14, 3) || substr('89ab', ((strpos('0123456789abcdef', substr(d, 17, 1)) - 1) & 3) + 1, 1) || substr(d, 18, 15)"
+DIGEST = f"sha1(unhex('{L.URL_NAMESPACE}') || encode({MINT}))"
+
+
+@query("led01_claim_id", "v_ledger", sql=f"SELECT claim_id, {UUID} AS minted_id FROM (SELECT claim_id, {DIGEST} AS d FROM v_ledger)")
 def led01(ledger):
     return L.claim_id(ledger).select("claim_id", "minted_id")
 
@@ -41,7 +46,7 @@ def led04(ledger):
     return L.select_claim(ledger).select("entity_id", "question_id", "claim_id", "status", "answer")
 
 
-@query("led05_backfill_from_blobs", "v_ledger")
+@query("led05_backfill_from_blobs", "v_ledger", sql=f"SELECT * EXCLUDE (d), {UUID} AS minted_id FROM (SELECT entity_id, question_id, field_name, answer, coalesce(status, 'could_not_verify') AS status, source_url, source_class, coalesce(confidence, 'low') AS confidence, {DIGEST} AS d FROM v_ledger)")
 def led05(ledger):
     blob = ledger.groupBy("entity_id", (F.col("seq") % 2).alias("side")).agg(F.to_json(F.collect_list(F.struct("question_id", "field_name", "answer", "status", "source_url", "source_class", "confidence"))).alias("ledger"))
     return L.backfill_from_blobs(blob.filter("side = 0"), blob.filter("side = 1"))

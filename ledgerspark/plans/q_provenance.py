@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cells as C
 from ..operators import provenance as P
 from ..vocab import HIGH_VALUE
-from .q_cells import CELLS
+from .q_cells import ALTERNATIVES, CELLS
 from .registry import query
 
 HV = ", ".join(f"('{f}')" for f in HIGH_VALUE)
@@ -22,7 +22,7 @@ NARR = " ".join(f"WHEN extraction_method = '{k}' THEN '{v.replace(chr(39), chr(3
 
 
 @query("prv02_method_summary", "v_ledger", sql=f"""
-SELECT claim_id, CASE WHEN extraction_method LIKE 'projected%' THEN 'Researched as question ' || substring(extraction_method, 11) || '.' {NARR} WHEN extraction_method IS NULL THEN 'None via ' || source_class ELSE extraction_method || ' via ' || source_class END AS summary FROM v_ledger""")
+SELECT claim_id, CASE WHEN extraction_method LIKE 'projected%' THEN 'Researched in Layer 1 as question ' || substring(extraction_method, 11) || ' and projected onto this field.' {NARR} WHEN extraction_method IS NULL THEN 'None via ' || source_class ELSE extraction_method || ' via ' || source_class END AS summary FROM v_ledger""")
 def prv02(ledger):
     return ledger.select("claim_id", P.method_summary(F.col("extraction_method"), F.col("source_class")).alias("summary"))
 
@@ -35,6 +35,10 @@ def prv03(ledger):
     return P.checks_for_cell(f, C.resolve_cells(ledger))
 
 
+# the tools of the fixture are its event types
+FIXTURE_TOOLS = [("jsonld", "view"), ("snov_error", "click"), ("snov_error", "signup"), ("derived_13f", "purchase")]
+
+
 @query("prv04_match_tool_calls", "v_ledger", "v_run", sql="""
 WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at DESC, seq DESC) AS n FROM v_ledger) WHERE n = 1),
 k AS (SELECT *, 'https://site' || CAST(seq % 13 AS STRING) || '.example.com/q' AS result_url FROM v_run), t(extraction_method, tool) AS (VALUES ('jsonld', 'view'), ('snov_error', 'click'), ('snov_error', 'signup'), ('derived_13f', 'purchase')),
@@ -44,7 +48,7 @@ SELECT entity_id, field_name, seq, matched_by FROM (SELECT *, row_number() OVER
 def prv04(ledger, runs):
     w = P.latest(ledger, ["entity_id", "field_name"])
     calls = runs.withColumn("result_url", F.concat(F.lit("https://site"), (F.col("seq") % 13).cast("string"), F.lit(".example.com/q")))
-    tools = ledger.sparkSession.createDataFrame(P.METHOD_TOOLS, "extraction_method string, tool string")
+    tools = ledger.sparkSession.createDataFrame(FIXTURE_TOOLS, "extraction_method string, tool string")
     return P.match_tool_calls(w.select("entity_id", "field_name", "source_url", "extraction_method"), calls, tools, cap=5)
 
 
@@ -54,9 +58,13 @@ def prv05(ledger):
     return ledger.filter("answer IS NULL").select("claim_id", P.blank_reason(F.col("status"), F.col("extraction_method"), F.col("source_class"), F.col("seq") % 2 == 0, F.col("seq") % 3).alias("reason"))
 
 
-@query("prv06_field_records", "v_ledger")
+@query("prv06_field_records", "v_ledger", sql=f"""
+WITH {CELLS}, {ALTERNATIVES}, g AS (SELECT entity_id, field_name FROM v_ledger WHERE field_name IS NOT NULL UNION SELECT entity_id, f FROM v_ledger CROSS JOIN (VALUES {HV}) AS h(f)),
+l AS (SELECT entity_id, field_name, string_agg(claim_id || '=' || why_not_used, ';' ORDER BY claim_id, why_not_used) AS others FROM alternatives GROUP BY 1, 2)
+SELECT g.entity_id, g.field_name, value, status, source_class, producer_id, others FROM g LEFT JOIN c ON c.entity_id = g.entity_id AND c.field_name = g.field_name LEFT JOIN l ON l.entity_id = g.entity_id AND l.field_name = g.field_name""")
 def prv06(ledger):
-    return P.field_records(P.field_grid(ledger), C.resolve_cells(ledger), C.alternatives(ledger)).select("entity_id", "field_name", F.to_json("record").alias("record"))
+    r = P.field_records(P.field_grid(ledger), C.resolve_cells(ledger), C.alternatives(ledger)).select("entity_id", "field_name", "record.*")
+    return r.withColumn("others", F.array_join(F.transform("alternatives", lambda x: F.concat_ws("=", x["claim_id"], x["why_not_used"])), ";")).drop("alternatives")
 
 
 @query("prv07_run_summary", "v_ledger", sql=f"WITH {CELLS} SELECT entity_id, count(*) AS fields, count(value) AS shipped, count(*) - count(value) AS blank FROM c GROUP BY entity_id")
@@ -195,3 +203,9 @@ WITH n AS (SELECT run_id, count(*) AS processed, count(*) FILTER (state = 'done'
 SELECT n.*, t.target, round(confirmed / t.target, 6) AS fraction FROM n LEFT JOIN (SELECT DISTINCT run_id, 400 AS target FROM v_run WHERE seq % 2 = 0) t USING (run_id)""")
 def que07(runs):
     return P.progress_metrics(runs, runs.filter("seq % 2 = 0").select("run_id", F.lit(400).alias("target")).distinct())
+
+
+@query("tool03_cacheable", "v_ledger", sql="""
+SELECT claim_id, NOT (seq % 7 = 0) AND coalesce(answer, '') <> '' AS cacheable FROM v_ledger""")
+def tool03_cacheable(ledger):
+    return ledger.select("claim_id", P.cacheable(F.col("answer"), F.when(F.col("seq") % 7 == 0, "timeout")).alias("cacheable"))

@@ -129,6 +129,17 @@ def aud03(e):
     return W.audit_emails(e)
 
 
+WRONG = "principal_email IS NOT NULL AND (principal_email <> 'jane.doe@fam.com' OR principal_name IS NULL)"
+
+
+@query("aud03_demote", "v_entity", sql=f"""
+SELECT record_id, 'principal_email' AS field_name, CAST(NULL AS STRING) AS answer, 'could_not_verify' AS status FROM v_entity WHERE {WRONG} UNION ALL SELECT record_id, 'firm_email', principal_email, 'single_source' FROM v_entity WHERE {WRONG}
+UNION ALL SELECT record_id, 'audit', principal_email, 'misattributed: ' || CASE WHEN principal_email = 'jane.doe@fam.com' THEN 'unknown' ELSE 'role' END FROM v_entity WHERE {WRONG}""")
+def aud03_demote(e):
+    claims, audit = W.demote(e)
+    return claims.unionByName(audit.select("record_id", F.lit("audit").alias("field_name"), F.col("before").alias("answer"), F.col("audit").alias("status")))
+
+
 @query("aud04_invariants", "v_entity", sql="SELECT count(*) FILTER (principal_email = 'Info+x@fam.com') AS role_principals, count(*) FILTER (principal_email IS NOT NULL AND principal_name IS NULL) AS nameless_principals FROM v_entity")
 def aud04(e):
     return W.invariants(e)

@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Below the shared folder that spark.checkpoint.dir names; below a local temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
+    """Below the shared folder that spark.checkpoint.dir names; where none is set, below a temporary one in local mode and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = shared or "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,66 +1,73 @@
-"""Structured Streaming twins of the watch and ledger rules. State is bounded by watermarks; images are merged batch by batch into versioned snapshots."""
+"""Structured Streaming twins of the watch and ledger rules. Each keeps a table that batches are merged into, in versioned snapshots that a restart reads again."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.web import dedupe_key
 from ..operators.ledger import latest
+from ..operators.watch import accept_article, insert_signals
 from ..sources.scratch import scratch_path
 
-LOOKBACK = "90 days"
+def snapshots(spark: SparkSession, root: str) -> dict[int, str]:
+    """Whole snapshots below a folder by the batch that wrote them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(root)):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(path(root))]
+    return {int(n[6:]): f"{root}/{n}" for n in names if n.startswith("epoch-") and fs.exists(path(f"{root}/{n}/_SUCCESS"))}
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what has arrived and return what it wrote."""
-    spark = stream.sparkSession
-    out, mark = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-checkpoint")
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
+def fold_batches(stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], root: str | None = None) -> DataFrame:
+    """Merge each batch into the latest snapshot below root, a folder that outlives the query: a restart on it goes on where the last run ended.
 
-def fold_batches(stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Merge each batch into the latest snapshot. A batch writes its own snapshot folder, so one that is run again writes the same folder again."""
+    A batch writes its own snapshot folder, so one that is run again writes the same folder again; the two latest snapshots are kept.
+    """
     spark: SparkSession = stream.sparkSession
-    root = scratch_path(spark, name)
-    done: dict[int, str] = {}
+    root = root or scratch_path(spark, name)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        before = done.get(max((e for e in done if e < epoch), default=-1))
-        base = batch.sparkSession.read.parquet(before) if before else None
-        path = f"{root}/{epoch}"
-        merge(base, batch).write.mode("overwrite").parquet(path)
-        done[epoch] = path
+        before = {e: p for e, p in snapshots(spark, root).items() if e < epoch}
+        base = spark.read.parquet(before[max(before)]) if before else None
+        merge(base, batch).write.mode("overwrite").parquet(f"{root}/epoch-{epoch}")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for e in sorted(before)[:-1]:
+            path(before[e]).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(before[e]), True)
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    done = snapshots(spark, root)
     if not done:
         return merge(None, spark.createDataFrame([], stream.schema))
     return spark.read.parquet(done[max(done)])
 
 
-def stream_accept(articles: DataFrame) -> DataFrame:
-    """STR-01: accepted articles, the first of each record and key within the lookback (record_id, url, observed_at)."""
-    timed = articles.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    keyed = timed.filter("observed_at IS NOT NULL").withColumn("key", dedupe_key(F.col("url")))
-    return keyed.withWatermark("observed_at", LOOKBACK).dropDuplicatesWithinWatermark(["record_id", "key"]).select("record_id", "key", "observed_at")
+def stream_accept(articles: DataFrame, now: str, lookback_days: int, root: str | None = None) -> DataFrame:
+    """STR-01: articles through the gate of WAT-03 into the signals table, the first of each record and key (record_id, title, url, observed_at, phrase, n_tokens, seq)."""
+
+    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
+        fit = accept_article(batch.withColumn("observed_at", F.col("observed_at").cast("timestamp")), now, lookback_days).filter("result = 'accepted'")
+        fresh = fit.withColumn("key", dedupe_key(F.col("url"))).select("record_id", "key", "url", "observed_at", "seq")
+        return insert_signals(fresh.limit(0) if base is None else base, fresh)
+
+    return fold_batches(articles, "accepted", merge, root)
 
 
-def stream_ledger_image(claims: DataFrame) -> DataFrame:
+def stream_ledger_image(claims: DataFrame, root: str | None = None) -> DataFrame:
     """STR-02: running last write per entity and field."""
 
     def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
         rows = batch if base is None else base.unionByName(batch)
         return latest(rows, ["entity_id", "field_name"])
 
-    return fold_batches(claims, "ledger-image", merge)
+    return fold_batches(claims, "ledger-image", merge, root)
 
 
-def stream_signal_counts(signals: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
+def stream_signal_counts(signals: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "2 days", root: str | None = None) -> DataFrame:
     """STR-03: running counts of signals per kind and window (tumbling, or sliding with slide), merged batch by batch.
 
     Every row counts in its window; stale counts those that came when an earlier batch had a row more than late after them.
@@ -82,16 +89,28 @@ def stream_signal_counts(signals: DataFrame, window: str = "1 day", slide: str |
             return n
         return base.unionByName(n).groupBy(*keys).agg(F.sum("signals").alias("signals"), F.sum("stale").alias("stale"), F.max("newest").alias("newest"))
 
-    return fold_batches(signals, "signal-counts", merge).drop("newest")
+    return fold_batches(signals, "signal-counts", merge, root).drop("newest")
 
 
-def stream_sessions(signals: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
-    """STR-03: sessions of signals per kind."""
-    n = signals.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals"))
-    return n.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "signals")
+def stream_sessions(signals: DataFrame, gap_minutes: int = 30, root: str | None = None) -> DataFrame:
+    """STR-03: sessions of signals per kind, merged batch by batch: late rows lengthen or join the sessions that they fall into."""
+    gap = f"{gap_minutes} minutes"
+
+    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.withColumn("at", F.col("at").cast("timestamp")).filter("at IS NOT NULL")
+        fresh = rows.groupBy(F.session_window("at", gap).alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "signals")
+        if base is None:
+            return fresh
+        # sessions that overlap are one; there are few beside the rows that made them
+        before = Window.partitionBy("kind").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        both = base.unionByName(fresh).withColumn("opens", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
+        both = both.withColumn("nth", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        return both.groupBy("kind", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("signals").alias("signals")).select("start", "end", "kind", "signals")
+
+    return fold_batches(signals, "signal-sessions", merge, root)
 
 
-def stream_progress(calls: DataFrame) -> DataFrame:
+def stream_progress(calls: DataFrame, root: str | None = None) -> DataFrame:
     """STR-04: running counters per run, merged batch by batch."""
 
     def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -100,4 +119,4 @@ def stream_progress(calls: DataFrame) -> DataFrame:
             return n
         return base.unionByName(n).groupBy("run_id").agg(F.sum("calls").alias("calls"), F.sum("ok").alias("ok"), F.sum("spent_ms").alias("spent_ms"))
 
-    return fold_batches(calls, "run-progress", merge)
+    return fold_batches(calls, "run-progress", merge, root)
