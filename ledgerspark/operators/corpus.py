@@ -179,6 +179,17 @@ def merge_records(base: DataFrame, delta: DataFrame, prune: bool, source: str =
     return out.select(*base.columns)
 
 
+def merge_chunks(chunks: DataFrame, records: DataFrame, delta: DataFrame, embed: Callable[[Column], Column] | None = hashed_vector) -> DataFrame:
+    """COR-10: chunks after a merge: those of the delta's records are made (and embedded) anew, those of records that are gone go too, all others stay as they are.
+
+    chunks: record_id, facet, content and, unless embed is None, embedding; records: the merged ones.
+    """
+    fresh = facet_chunks(delta)
+    fresh = fresh if embed is None else embed_chunks(fresh, embed)
+    stay = chunks.join(delta.select("record_id"), "record_id", "left_anti")
+    return stay.select(*fresh.columns).unionByName(fresh).join(records.select("record_id"), "record_id", "left_semi")
+
+
 def dataset_meta(records: DataFrame) -> DataFrame:
     """COR-11: a hash of the ids, their number and the counts per class."""
     per = records.groupBy("discovery_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha1(F.col("record_id").cast("string")), 1, 8), 16, 10).cast("long")).alias("h"))

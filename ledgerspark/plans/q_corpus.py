@@ -151,6 +151,13 @@ def cor10(e):
     return C.merge_records(base, delta, prune=True)
 
 
+@query("cor10_merge_chunks", "v_entity", sql=f"""
+WITH {CHUNKS} SELECT record_id, facet, CASE WHEN record_id % 3 = 0 THEN content ELSE 'old ' || facet END AS content FROM c WHERE record_id % 7 > 0""")
+def cor10_chunks(e):
+    old = C.facet_chunks(record(e)).withColumn("content", F.concat(F.lit("old "), "facet"))
+    return C.merge_chunks(old, e.filter("record_id % 7 > 0").select("record_id"), record(e.filter("record_id % 3 = 0")), embed=None)
+
+
 @query("cor11_dataset_meta", "v_entity", sql="""
 WITH p AS (SELECT discovery_class, count(*) AS n, sum(CAST('0x' || substr(sha1(CAST(record_id AS STRING)), 1, 8) AS BIGINT)) AS h FROM v_entity GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS records, sha1(CAST(CAST(sum(h) AS BIGINT) AS STRING)) AS build_hash, string_agg(discovery_class || '=' || CAST(n AS STRING), ',' ORDER BY discovery_class) AS classes FROM p""")
