@@ -187,14 +187,14 @@ def der11(d):
     return d.select("doc_id", X.is_negative_answer(s).alias("negative"))
 
 
-TITLES = "CASE record_id % 9 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'no title found' WHEN 3 THEN trim(name_raw) WHEN 4 THEN repeat('x', 90) WHEN 5 THEN 'Fam' || CAST(record_id % 200 AS STRING) WHEN 6 THEN NULL WHEN 7 THEN 'Chair of ' || name_raw ELSE 'LLC' END"
+SAID_TITLES = "CASE record_id % 9 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'no title found' WHEN 3 THEN trim(name_raw) WHEN 4 THEN repeat('x', 90) WHEN 5 THEN 'Fam' || CAST(record_id % 200 AS STRING) WHEN 6 THEN NULL WHEN 7 THEN 'Chair of ' || name_raw ELSE 'LLC' END"
 
 
 @query("der12_is_plausible_title", "v_entity", sql=f"""
-WITH t AS (SELECT record_id, record_id % 9 AS k, name_raw, {TITLES} AS t FROM v_entity), c AS (SELECT *, {CORE.replace("name_raw", "coalesce(t, '')")} AS tp, {CORE} AS fp FROM t)
+WITH t AS (SELECT record_id, record_id % 9 AS k, name_raw, {SAID_TITLES} AS t FROM v_entity), c AS (SELECT *, {CORE.replace("name_raw", "coalesce(t, '')")} AS tp, {CORE} AS fp FROM t)
 SELECT record_id, coalesce(tp <> '' AND fp <> '' AND (contains(fp, tp) OR contains(tp, fp)), false) AS firm, k IN (0, 5, 7, 8) AND NOT coalesce(tp <> '' AND fp <> '' AND (contains(fp, tp) OR contains(tp, fp)), false) AS plausible FROM c""")
 def der12(e):
-    t = F.expr(TITLES)
+    t = F.expr(SAID_TITLES)
     return e.select("record_id", X.title_matches_firm(F.coalesce(t, F.lit("")), F.col("name_raw")).alias("firm"), X.is_plausible_title(t, F.lit("jane doe"), F.col("name_raw")).alias("plausible"))
 
 
