@@ -85,11 +85,11 @@ def prv09(runs):
 
 
 @query("prv10_runs_list", "v_run", sql="""
-WITH r AS (SELECT run_id, min(called_at) AS started_at FROM v_run GROUP BY run_id), l AS (SELECT run_id, count(DISTINCT entity_id) AS leads FROM v_run WHERE seq % 3 = 0 AND seq % 40 < 30 GROUP BY run_id)
+WITH r AS (SELECT run_id, min(called_at) AS started_at FROM v_run GROUP BY run_id), l AS (SELECT run_id, count(DISTINCT entity_id) AS leads FROM v_run WHERE state <> 'skipped' GROUP BY run_id)
 SELECT run_id, coalesce(leads, 0) AS leads FROM r LEFT JOIN l USING (run_id) ORDER BY started_at DESC, run_id LIMIT 20""")
 def prv10(runs):
     r = runs.groupBy("run_id").agg(F.min("called_at").alias("started_at"))
-    return P.runs_list(r, runs.filter("seq % 3 = 0 AND seq % 40 < 30"), 20).select("run_id", "leads")
+    return P.runs_list(r, runs.filter("state <> 'skipped'"), 20).select("run_id", "leads")
 
 
 @query("prv11_upsert_provenance", "v_ledger", sql="""

@@ -71,11 +71,11 @@ def wat06(p):
 
 
 @query("wat07_insert_signals", "v_page", sql=f"""
-WITH s AS (SELECT page_id AS seq, page_id % 3 AS record_id, {KEY.replace('page_id', 'page_id')} AS key FROM v_page), b AS (SELECT * FROM s WHERE seq < 50 AND seq % 10 = 0), d AS (SELECT record_id, key, min(seq) AS seq FROM s WHERE seq >= 50 GROUP BY 1, 2)
+WITH s AS (SELECT page_id AS seq, page_id % 3 AS record_id, {KEY.replace('page_id', 'page_id')} AS key FROM v_page), b AS (SELECT * FROM s WHERE seq < 50), d AS (SELECT record_id, key, min(seq) AS seq FROM s WHERE seq >= 50 GROUP BY 1, 2)
 SELECT record_id, key, seq FROM b UNION ALL SELECT record_id, key, seq FROM d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.record_id = d.record_id AND b.key = d.key)""")
 def wat07(p):
     s = p.select((F.col("page_id") % 3).alias("record_id"), dedupe_key(F.col("url")).alias("key"), F.col("page_id").alias("seq"))
-    return W.insert_signals(s.filter("seq < 50 AND seq % 10 = 0"), s.filter("seq >= 50"))
+    return W.insert_signals(s.filter("seq < 50"), s.filter("seq >= 50"))
 
 
 @query("wat08_interpret_overlay", "v_page", sql=f"""
