@@ -1,10 +1,9 @@
-import pyspark.sql.functions as F
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from ledgerspark.llm import decontaminate, exact_dedup, near_dedup, quality
-from ledgerspark.llm.queries import oracle_sql, queries, vocabulary_file
+from ledgerspark.llm.queries import oracle_sql, queries
 
 from .edge import ROWS, empty, table
 from .test_operators import brute_contamination, brute_near
