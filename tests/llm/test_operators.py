@@ -47,7 +47,9 @@ def brute_exact(rows):
     return out
 
 
-def test_exact_groups(spark):
+@pytest.mark.parametrize("share", [1000, 1])
+def test_exact_groups(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)  # with 1 no group is hot, with 1000 all of a small table are
     got = rows_of(exact_dedup.exact_groups(table(spark)), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute_exact(ROWS)
     kept = exact_dedup.keep_exact(table(spark))
