@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, near_dedup, pii, quality, sharding, substring_dedup, toxicity
+from . import align, bpe, decontaminate, exact_dedup, language, licenses, near_dedup, pii, quality, sharding, substring_dedup, toxicity, whitening
 from .common import documents
 
 
@@ -74,8 +74,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_near_dedup, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op8_substring_dedup, op9_sharding, op10_quality]
+    own = [op1_decontaminate, op2_near_dedup, op3_licenses, op7_pii, op4_toxicity, op5_bpe, op6_exact_dedup, op8_substring_dedup, op9_sharding, op10_quality, op11_align, op12_whitening, op13_language]
     return {f.__name__: f for f in own}
 
 
