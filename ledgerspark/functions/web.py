@@ -12,7 +12,10 @@ AGGREGATORS = [
     "bizapedia.com", "apollo.io", "rocketreach.co", "signalhire.com", "brokercheck.finra.org", "finra.org", "wealthminder.com", "investor.gov",
 ]
 NO_NEWS = ["linkedin.com", "preqin.com", "advisorfinder.com", "usnews.com", "zoominfo.com", "crunchbase.com", "pitchbook.com", "sec.gov", "instagram.com", "facebook.com", "twitter.com", "x.com", "tiktok.com", "youtube.com", "reddit.com"]
-ROLE_LOCALS = ["info", "contact", "admin", "office", "hello", "support", "sales", "enquiries", "inquiries", "mail", "team", "hr", "jobs", "careers", "press", "media", "compliance", "legal", "accounting"]
+# Local parts of a firm's shared inboxes.
+ROLE_LOCALS = ["info", "contact", "contacts", "hello", "admin", "office", "team", "support", "help", "enquiries", "inquiries", "press", "media", "careers", "jobs", "sales", "noreply", "no-reply", "donotreply", "webmaster", "mail", "general"]
+# Words that stand beside a name.
+NAME_WORDS = ["jr", "sr", "ii", "iii", "iv", "mr", "ms", "mrs", "dr"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -37,9 +40,10 @@ def is_blocked_domain(h: Column) -> Column:
 
 
 def email_on_domain(email: Column, domain: Column) -> Column:
-    """CON-08: the address is at the domain or below it."""
-    h, d = F.lower(F.split_part(email, F.lit("@"), F.lit(2))), F.lower(domain)
-    return F.coalesce((h == d) | h.endswith(F.concat(F.lit("."), d)), F.lit(False))
+    """CON-08: the address is at the domain or below it; a leading www. counts on neither side."""
+    bare = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"^www\.", "")
+    h, d = bare(F.regexp_extract(email, "@([^@]*)$", 1)), bare(domain)
+    return F.coalesce((h != "") & (d != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d))), F.lit(False))
 
 
 def local_part(email: Column) -> Column:
@@ -61,17 +65,16 @@ def email_field(email: Column, principal: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """CON-12: struct(first, last) of 'First Last' or 'LAST, First'; suffixes dropped."""
-    clean = F.regexp_replace(F.lower(name), r"\b(jr|sr|ii|iii|iv|md|phd|cfa|esq)\b\.?", "")
-    parts = lambda c: F.regexp_extract_all(c, F.lit("([a-z]+)"), F.lit(1))
-    swapped = F.contains(clean, F.lit(","))
-    whole, before, after = parts(clean), parts(F.split_part(clean, F.lit(","), F.lit(1))), parts(F.split_part(clean, F.lit(","), F.lit(2)))
-    return F.struct(F.when(swapped, F.try_element_at(after, F.lit(1))).otherwise(F.try_element_at(whole, F.lit(1))).alias("first"), F.when(swapped, F.try_element_at(before, F.lit(-1))).otherwise(F.try_element_at(whole, F.lit(-1))).alias("last"))
+    """CON-12: struct(first, last) of 'First Last' or 'LAST, First', in lower case; titles, suffixes and single letters dropped, nulls where nothing is left."""
+    turned = F.when(F.contains(name, F.lit(",")), F.concat_ws(" ", F.regexp_extract(name, "(?s)^[^,]*,(.*)$", 1), F.split_part(name, F.lit(","), F.lit(1)))).otherwise(name)
+    words = F.filter(F.regexp_extract_all(F.lower(turned), F.lit("([a-z]+)"), F.lit(1)), lambda t: (F.length(t) > 1) & ~t.isin(NAME_WORDS))
+    return F.struct(F.try_element_at(words, F.lit(1)).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"))
 
 
 def matches_principal(local: Column, first: Column, last: Column) -> Column:
-    """CON-13: the surname (over two letters) within the local part, or the first name alone."""
-    return F.coalesce(((F.length(last) > 2) & F.contains(local, last)) | (local == first), F.lit(False))
+    """CON-13: the surname (over two letters) within the local part's letters, or the first name (over two letters) as all of them."""
+    letters = F.regexp_replace(F.lower(local), "[^a-z]", "")
+    return F.coalesce((F.length(last) > 2) & F.contains(letters, last), F.lit(False)) | F.coalesce((F.length(first) > 2) & (letters == first), F.lit(False))
 
 
 def dedupe_key(url: Column) -> Column:

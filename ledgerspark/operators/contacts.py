@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.web import EMAIL, email_on_domain, host, is_aggregator, is_role_address, local_part, matches_principal, name_tokens
+from ..functions.web import EMAIL, email_field, email_on_domain, host, is_aggregator, is_role_address, local_part, matches_principal, name_tokens
 from .ledger import settled
 
 
@@ -35,23 +35,39 @@ def resolve_domain(serp: DataFrame) -> DataFrame:
     return fit.groupBy("entity_id").agg(F.min_by("domain", F.struct("tier", "pos")).alias("domain"))
 
 
-PERSON = "struct<`@type`:string,name:string,jobTitle:string>"
+JSONLD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+#: Keys below which people are looked for, in this order.
+NESTED = ["@graph", "employee", "founder", "member", "employees"]
+
+
+def _first_person(j: str) -> str:
+    """SQL for struct(path, name, title) of the first person of the JSON text j, nodes before what is nested in them; null without any.
+
+    The frontier holds the nodes of one level with their places; each step goes a level down and keeps the person with the least place. A text has no more
+    levels than opening brackets, and steps after the last level have nothing to do.
+    """
+    nested = ", ".join(f"""try_variant_get(n.v, '$["{k}"]', 'variant')""" for k in NESTED)
+    items = f"if(schema_of_variant(n.v) LIKE 'ARRAY%', try_variant_get(n.v, '$', 'array<variant>'), if(schema_of_variant(n.v) LIKE 'OBJECT%', array({nested}), cast(array() as array<variant>)))"
+    below = f"transform({items}, (c, k) -> named_struct('path', concat(n.path, array(k)), 'v', c))"
+    name = "try_variant_get(n.v, '$.name', 'string')"
+    kind = """try_variant_get(n.v, '$["@type"]', 'string') = 'Person' OR array_contains(try_variant_get(n.v, '$["@type"]', 'array<string>'), 'Person')"""
+    named = f"coalesce({name}, '') <> '' AND (schema_of_variant(try_variant_get(n.v, '$.name', 'variant')) = 'STRING' OR {name} NOT IN ('0', 'false', '[]', '{{}}'))"
+    person = f"named_struct('path', n.path, 'name', {name}, 'title', try_variant_get(n.v, '$.jobTitle', 'string'))"
+    found = "array<struct<path:array<int>,name:string,title:string>>"
+    return f"""
+        aggregate(sequence(1, length({j}) - length(translate({j}, '{{[', '')) + 1),
+            named_struct('frontier', filter(array(named_struct('path', cast(array() as array<int>), 'v', try_parse_json({j}))), n -> n.v IS NOT NULL), 'found', cast(array() as {found})),
+            (state, level) -> named_struct(
+                'frontier', filter(flatten(transform(state.frontier, n -> {below})), n -> n.v IS NOT NULL),
+                'found', cast(slice(array_sort(concat(state.found, transform(filter(state.frontier, n -> coalesce(({kind}) AND {named}, false)), n -> {person}))), 1, 1) as {found})),
+            state -> get(state.found, 0))"""
 
 
 def jsonld_person(pages: DataFrame) -> DataFrame:
-    """CON-06: first person of a page's JSON-LD: the object itself, in @graph, or as employee, founder or member."""
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))).alias("block", "json"))
-    kinds = ["$", "$.@graph", "$.employee", "$.founder", "$.member"]
-    parts = []
-    for i, path in enumerate(kinds):
-        body = F.get_json_object("json", path)
-        listed = F.when(body.startswith("["), F.from_json(body, f"array<{PERSON}>")).otherwise(F.array(F.from_json(body, PERSON)))
-        parts.append(blocks.select("page_id", "block", F.lit(i).alias("depth"), F.posexplode(listed).alias("place", "p")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    people = every.filter(F.col("p.name").isNotNull() & (F.col("p.@type") == "Person"))
-    return people.groupBy("page_id").agg(F.min_by(F.struct(F.col("p.name").alias("name"), F.col("p.jobTitle").alias("title")), F.struct("block", "depth", "place")).alias("p")).select("page_id", "p.*")
+    """CON-06: first person of a page's JSON-LD blocks: a node itself, or at any depth below @graph, employee, founder, member or employees; malformed blocks are passed over."""
+    blocks = pages.select("page_id", F.regexp_extract_all("html", F.lit(JSONLD), F.lit(1)).alias("blocks"))
+    first = blocks.select("page_id", F.expr(f"get(filter(transform(blocks, j -> {_first_person('j')}), p -> p IS NOT NULL), 0)").alias("p"))
+    return first.filter("p IS NOT NULL").select("page_id", "p.name", "p.title")
 
 
 def attribute_email(df: DataFrame) -> DataFrame:
@@ -61,13 +77,34 @@ def attribute_email(df: DataFrame) -> DataFrame:
     return df.withColumn("attribution", F.when(is_role_address(F.col("principal_email"), wide=True), "role").when(mine, "principal").otherwise("unknown"))
 
 
-def infer_pattern(emails: DataFrame) -> DataFrame:
-    """CON-14: a firm's convention from its set of personal addresses (firm, email): half dotted decide for first.last or f.last, short single words for first, else flast."""
-    rows = emails.filter(~is_role_address(F.col("email"))).select("firm", local_part(F.col("email")).alias("local")).distinct()
+def _harvested(emails: DataFrame) -> DataFrame:
+    """Each address of a firm once, without case, where it was first seen (firm, seq, email, url)."""
+    own = Window.partitionBy("firm", F.lower("email")).orderBy("seq")
+    return emails.withColumn("n", F.row_number().over(own)).filter("n = 1").drop("n")
+
+
+def _site_local(email: Column) -> Column:
+    return F.split_part(email, F.lit("@"), F.lit(1))
+
+
+def infer_pattern(emails: DataFrame, principals: DataFrame) -> DataFrame:
+    """CON-14: a firm's convention from the set of its other people's addresses (firm, seq, email, url; firm, principal_name).
+
+    At least half dotted (rounded down, one at least): f.last if the first of them leads with one letter, else first.last. Otherwise at least half of the letters-only locals of
+    at most eight letters: first; else flast. No row without another person's address or with less than two names.
+    """
+    named = principals.select("firm", name_tokens(F.col("principal_name")).alias("n")).filter("n.first IS NOT NULL")
+    peers = _harvested(emails).join(named, "firm").withColumn("local", _site_local(F.col("email"))).filter(~is_role_address(F.col("email")) & ~matches_principal(F.col("local"), F.col("n.first"), F.col("n.last")))
+    letters = F.regexp_replace(F.lower("local"), "[^a-z]", "")
     dotted = F.contains("local", F.lit("."))
-    n = rows.groupBy("firm").agg(F.count(F.lit(1)).alias("n"), F.count_if(dotted).alias("dots"), F.count_if(~dotted & (F.length("local") <= 6)).alias("short"), F.min(F.when(dotted, F.col("local"))).alias("first_dotted"))
-    pattern = F.when(F.col("dots") * 2 >= F.col("n"), F.when(F.length(F.split_part("first_dotted", F.lit("."), F.lit(1))) == 1, "f.last").otherwise("first.last")).when(F.col("short") * 2 >= F.col("n"), "first").otherwise("flast")
-    return n.select("firm", pattern.alias("pattern"))
+    n = peers.groupBy("firm").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(dotted).alias("dots"), F.min_by(F.when(dotted, F.col("local")), F.when(dotted, F.col("seq"))).alias("first_dotted"),
+        F.count_if(letters != "").alias("words"), F.count_if((letters != "") & (F.length(letters) <= 8)).alias("short"), F.min_by("url", "seq").alias("url"),
+    )
+    half = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) / 2))
+    by_dot = F.when(F.length(F.split_part("first_dotted", F.lit("."), F.lit(1))) == 1, "f.last").otherwise("first.last")
+    pattern = F.when(F.col("dots") >= half("n"), by_dot).when(F.col("words") == 0, None).when(F.col("short") >= half("words"), "first").otherwise("flast")
+    return n.select("firm", pattern.alias("pattern"), "url").filter("pattern IS NOT NULL")
 
 
 def built_email(pattern: Column, first: Column, last: Column, domain: Column) -> Column:
@@ -77,27 +114,31 @@ def built_email(pattern: Column, first: Column, last: Column, domain: Column) ->
 
 
 def principal_email_on_site(firms: DataFrame, emails: DataFrame) -> DataFrame:
-    """CON-15: an address seen on the site before one built from the pattern (firms: firm, principal_name, domain; emails: firm, email)."""
+    """CON-15: the first address seen on the site that is the principal's, before one built from the pattern (firms: firm, principal_name, domain; emails: firm, seq, email, url)."""
     named = firms.withColumn("n", name_tokens(F.col("principal_name")))
-    seen = emails.join(named, "firm").filter(matches_principal(local_part(F.col("email")), F.col("n.first"), F.col("n.last"))).groupBy("firm").agg(F.min("email").alias("seen"))
-    joined = named.join(seen, "firm", "left").join(infer_pattern(emails), "firm", "left")
-    built = F.when(F.col("pattern").isNotNull() & F.col("n.first").isNotNull() & F.col("n.last").isNotNull(), built_email(F.col("pattern"), F.col("n.first"), F.col("n.last"), F.col("domain")))
-    return joined.select("firm", F.coalesce("seen", built).alias("email"), F.when(F.col("seen").isNotNull(), "single_source").when(built.isNotNull(), "pattern_inferred").alias("status"))
+    mine = _harvested(emails).join(named, "firm").filter(matches_principal(_site_local(F.col("email")), F.col("n.first"), F.col("n.last")))
+    seen = mine.groupBy("firm").agg(F.min_by(F.struct("email", "url"), "seq").alias("seen"))
+    joined = named.join(seen, "firm", "left").join(infer_pattern(emails, firms), "firm", "left")
+    built = F.when(F.col("pattern").isNotNull(), built_email(F.col("pattern"), F.col("n.first"), F.col("n.last"), F.col("domain")))
+    was = F.col("seen").isNotNull()
+    return joined.select("firm", F.coalesce("seen.email", built).alias("email"), F.when(was, "single_source").when(built.isNotNull(), "pattern_inferred").alias("status"), F.coalesce("seen.url", "url").alias("url"))
 
 
 def choose_email_vendor(rows: DataFrame) -> DataFrame:
-    """CON-16: on-domain vendor rows, those asked for by name first, then those with the principal's surname, then any, by score; an outage is told from no evidence and from another company.
+    """CON-16: the first on-domain row of the lookup by name, else of the domain's rows the first with the surname, else the first at all; an outage is told from no evidence and from another company.
 
-    rows: firm, email, score, smtp_valid, error, domain, by_name (whether the lookup named the principal), principal_name.
+    rows, in the vendor's order: firm, seq, email, score, smtp_status, error, domain, by_name (whether the lookup named the principal), principal_name. A lookup by name needs a name.
     """
-    good = F.col("email").isNotNull() & email_on_domain(F.col("email"), F.col("domain"))
-    last = name_tokens(F.col("principal_name"))["last"]
-    surname = F.coalesce((F.length(last) > 2) & F.contains(local_part(F.col("email")), last), F.lit(False))
-    tier = F.when(F.col("by_name"), 0).when(surname, 1).otherwise(2)
-    order = F.struct(tier.alias("t"), (-F.coalesce("score", F.lit(0))).alias("s"), (~F.coalesce("smtp_valid", F.lit(False))).alias("v"), F.col("email").alias("e"))
-    n = rows.groupBy("firm").agg(F.min_by(F.struct("email", "score", "smtp_valid"), F.when(good, order)).alias("best"), F.bool_or("error").alias("error"), F.count_if(F.col("email").isNotNull()).alias("found"))
-    sure = (F.col("best.score") >= 70) | F.coalesce("best.smtp_valid", F.lit(False))
-    return n.select("firm", "best.email", F.when(F.col("best").isNotNull(), F.when(sure, "medium").otherwise("low")).alias("confidence"), F.when(F.col("best").isNotNull(), "found").when(F.col("error"), "outage").when(F.col("found") > 0, "wrong_company").otherwise("no_evidence").alias("result"))
+    last = F.lower(F.try_element_at(F.split(F.trim(F.regexp_replace("principal_name", r"\s+", " ")), " "), F.lit(-1)))
+    has = F.coalesce(last != "", F.lit(False))
+    asked = rows.filter(~F.col("by_name") | has)
+    good = F.coalesce(F.col("email") != "", F.lit(False)) & email_on_domain(F.col("email"), F.col("domain"))
+    strong = F.coalesce(F.col("score") >= 70, F.lit(False)) | F.coalesce(F.lower("smtp_status") == "valid", F.lit(False))
+    tier = F.when(F.col("by_name"), 0).when(has & F.contains(F.lower("email"), last), 1).otherwise(2)
+    sure = F.when(tier == 0, F.when(strong, "medium").otherwise("low")).when(tier == 1, "medium").otherwise("low")
+    hit = F.struct("email", email_field(F.col("email"), F.col("principal_name")).alias("field"), sure.alias("confidence"))
+    n = asked.groupBy("firm").agg(F.min_by(hit, F.when(good, F.struct(tier.alias("t"), "seq"))).alias("best"), F.bool_or(F.coalesce("error", F.lit(False))).alias("error"), F.count_if(~F.coalesce("error", F.lit(False))).alias("rows"))
+    return n.select("firm", "best.email", "best.field", "best.confidence", F.when(F.col("best").isNotNull(), "found").when(F.col("error"), "outage").when(F.col("rows") > 0, "wrong_company").otherwise("no_evidence").alias("result"))
 
 
 PHONE = r"(?:\+?1[ .-]?)?\(?([2-9][0-9]{2})\)?[ .-]?([2-9][0-9]{2})[ .-]?([0-9]{4})(?![0-9])"

@@ -103,10 +103,10 @@ def name_match(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def person_names_match(a: Column, b: Column) -> Column:
-    """ER-10: alphabetic tokens of two letters or more; one set holds the other and more than one token is shared, or both are equal."""
+    """ER-10: alphabetic tokens of two letters or more; one set holds the other."""
     ta, tb = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("([a-z]{2,})"), F.lit(1))) for x in (a, b))
     both = F.size(F.array_intersect(ta, tb))
-    return (both > 0) & ((F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0)) & ((both > 1) | (F.size(ta) == F.size(tb)))
+    return F.coalesce((both > 0) & ((both == F.size(ta)) | (both == F.size(tb))), F.lit(False))
 
 
 def normalize_entity_name(name: Column) -> Column:

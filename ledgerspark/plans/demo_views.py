@@ -19,12 +19,31 @@ CODES = ["AL", "GA", "NY", "WV", "DC", "ZZ", "TX"]
 TOPICS = ["real estate", "tech", "biotech", "life sciences", "venture capital", "energy", "fintech", "fund of funds", "soft robotics", "climate", "impactful art", "direct credit"]
 
 
-def asked() -> str:
-    """v_ask: one question for every customer."""
+#: Names and addresses of people, in many spellings.
+FIRST = ["Jane", "Al", "Reza", "Todd", "Mary Ann", "Li", "Shannon", "Thomas", "J", "O-Neil", "Bo", "Glen"]
+LAST = ["Doe", "Roe", "Zamani", "Compton", "Taft", "Ng", "Smithers-Jones", "Tullman", "de la Cruz", "Li", "Constantinopolis"]
+SHARED = ["info", "No-Reply", "contacts+x", "_info", "Contact.Us", "adminvfo", "general", "hr", "help", "noreply+1"]
+DOMAINS = ["fam.com", "mail.fam.com", "FAM.com", "www.fam.com", "fam.com", "other.com", "notfam.com", "fam.com"]
+
+
+def pick(words: list[str], of: str) -> str:
+    """One of the words by a number."""
+    return f"CASE ({of}) % {len(words)} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words)) + " END"
 
-    def pick(words: list[str], of: str) -> str:
-        return f"CASE {of} % {len(words)} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words)) + " END"
 
+def mail() -> str:
+    """v_mail: one address for every customer, eight customers a firm; each firm has a style and a principal who is one of the eight."""
+    firm, k = "CAST(floor(c_custkey / 8) AS BIGINT)", "c_custkey"
+    first, last = pick(FIRST, "p_first"), pick(LAST, "p_last")
+    whole = f"CASE firm % 8 WHEN 0 THEN {first} || ' ' || {last} WHEN 1 THEN upper({last}) || ', ' || {first} || ' SR' WHEN 2 THEN 'Dr ' || {first} || ' ' || {last} || ' Jr.' WHEN 3 THEN {last} WHEN 4 THEN NULL WHEN 5 THEN {first} || ' Q. ' || {last} || ' III' WHEN 6 THEN '' ELSE ' ' || {first} || '  ' || {last} END"
+    f, n = f"lower(replace({pick(FIRST, f'{k} * 7')}, ' ', ''))", f"lower(replace({pick(LAST, f'{k} * 5')}, ' ', ''))"
+    local = f"CASE CASE WHEN {k} % 5 = 0 THEN {k} % 7 ELSE firm % 7 END WHEN 0 THEN {f} || '.' || {n} WHEN 1 THEN substring({f}, 1, 1) || '.' || {n} WHEN 2 THEN {f} WHEN 3 THEN substring({f}, 1, 1) || {n} WHEN 4 THEN {n} || '_' || {f} WHEN 5 THEN {pick(SHARED, k)} ELSE upper({f}) || '1' END"
+    base = f"SELECT {k}, {firm} AS firm, {firm} * 56 + 21 AS p_first, {firm} * 40 + 15 AS p_last FROM customer"
+    return f"SELECT {k} AS seq, firm, {whole} AS principal_name, CASE WHEN {k} % 41 = 0 THEN NULL ELSE {local} || '@' || {pick(DOMAINS, f'{k} * 3 + firm')} END AS email, 'https://fam.com/p' || CAST({k} % 3 AS STRING) AS url FROM ({base}) AS b"
+
+
+def asked() -> str:
+    """v_ask: one question for every customer."""
     text = pick(QUESTIONS, "c_custkey")
     for mark, value in (("s", pick(PLACES, "c_custkey")), ("c", pick(CODES, "c_custkey")), ("m", pick(TOPICS, "c_custkey")), ("n", "CAST(c_custkey % 400 AS STRING)"), ("w", "c_name")):
         text = f"replace({text}, '<{mark}>', {value})"
@@ -86,6 +105,7 @@ SELECT n_nationkey AS query_id, CASE n_nationkey % 5 WHEN 0 THEN 'how many SFOs
   WHEN 2 THEN 'who is ' || n_name || ' Family Office' WHEN 3 THEN 'offices between $1m and $' || CAST(n_nationkey AS STRING) || ' billion in West Virginia' ELSE 'which family offices invest in real estate or fintech' END AS query_text
 FROM nation""",
     "v_ask": asked(),
+    "v_mail": mail(),
     "v_doc": "SELECT * FROM documents",
     "v_page": "SELECT * FROM pages",
     "v_answer": "SELECT * FROM conversations",
@@ -110,4 +130,6 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not head:
         return sql
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql[15:]}"
     return f"WITH {head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {head} {sql}"

@@ -46,21 +46,26 @@ def con05(p):
     return C.resolve_domain(p.select((F.col("page_id") % 40).alias("entity_id"), (F.col("page_id") % 2).alias("tier"), F.col("page_id").alias("pos"), F.col("url").alias("link"), F.array(F.lit("th"), F.lit("blog"), F.lit("shing")).alias("tokens")))
 
 
-# blocks of every shape, put to the pages; the last one comes second
+# blocks of every shape, put to the pages; <n> is the page, <d> its digits as nested arrays
 LD = [
     '{"@type": "Person", "name": "A<n>", "jobTitle": "CEO"}', '{"@graph": [{"@type": "Org"}, {"@type": "Person", "name": "B<n>"}]}', '{"@type": "Org", "founder": {"@type": "Person", "name": "C<n>", "jobTitle": "Founder"}}',
-    '{"@type": "Org", "employee": [{"@type": "Dog", "name": "no"}, {"@type": "Person", "name": "D<n>", "jobTitle": "CFO"}]}', '{"@type": "Org"}', 'not json',
+    '{"@type": "Org", "employee": [{"@type": "Dog", "name": "no"}, {"@type": "Person", "name": "D<n>", "jobTitle": "CFO"}]}', '{"@type": "Org"}', 'not json', '[[{"@type": "Org", "employees": [{"@type": ["Thing", "Person"], "name": "E<n>", "jobTitle": "COO"}]}]]',
+    '{"@graph": [{"@type": "Org", "member": {"employee": {"@type": "Person", "name": ""}, "founder": [{"@type": "Person", "name": "F<n>"}]}}, {"@type": "Person", "name": "late"}]}', '{"people": [{"@type": "Person", "name": "elsewhere"}], "employees": {"@graph": {"@type": "Person", "name": "G<n>", "jobTitle": "Chair"}}}',
+    '{"@type": "Person", "founder": {"@type": "Person", "name": "H<n>"}, "member": {"@type": "Person", "name": "second"}}', '{"@type": ["Person"], "name": "I<n>", "employee": {"@type": "Person", "name": "inner"}}', '"Person"',
 ]
-LD_NAMES = [("A", "CEO"), ("B", None), ("C", "Founder"), ("D", "CFO"), ("Z", "Last"), ("Z", "Last")]
-LD_TEXT = f"CASE page_id % {len(LD)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LD)) + " END"
+LD_TEXT = f"replace(CASE page_id % {len(LD)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LD)) + " END, '<n>', CAST(page_id AS STRING))"
+LD_HTML = f"""html || '<script type="application/ld+json">' || {LD_TEXT} || '</script><script async type="application/ld+json" id="x">{{"@type": "Person", "name": "Z' || CAST(page_id AS STRING) || '", "jobTitle": "Last"}}</script>'"""
+LD_KEYS = ", ".join(f"json_extract(v, '$.\"{k}\"')" for k in C.NESTED)
 
 
-@query("con06_jsonld_person", "v_page", sql="SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN '{n}' || CAST(page_id AS STRING)" for k, (n, _) in enumerate(LD_NAMES)) + " END AS name, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {f"'{t}'" if t else 'NULL'}" for k, (_, t) in enumerate(LD_NAMES)) + " END AS title FROM v_page")
+@query("con06_jsonld_person", "v_page", sql=f"""
+WITH RECURSIVE b AS (SELECT page_id, unnest(regexp_extract_all({LD_HTML}, '(?is)<script[^>]+type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1)) AS j, generate_subscripts(regexp_extract_all({LD_HTML}, '(?is)<script[^>]+type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1), 1) AS nth FROM v_page),
+w AS (SELECT page_id, [nth] AS path, CAST(j AS JSON) AS v FROM b WHERE json_valid(j)
+ UNION ALL SELECT page_id, list_append(path, i), items[i] FROM (SELECT page_id, path, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [{LD_KEYS}] ELSE [] END AS items FROM w) AS n, unnest(range(1, len(items) + 1)) AS t(i) WHERE items[i] IS NOT NULL),
+p AS (SELECT page_id, path, v->>'name' AS name, v->>'jobTitle' AS title FROM w WHERE json_type(v) = 'OBJECT' AND (v->>'@type' = 'Person' OR json_contains(json_extract(v, '$."@type"'), '"Person"')) AND coalesce(v->>'name', '') <> '')
+SELECT page_id, name, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY path) AS n FROM p) WHERE n = 1""")
 def con06(p):
-    block = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
-    own = F.replace(F.expr(LD_TEXT), F.lit("<n>"), F.col("page_id").cast("string"))
-    last = F.concat(F.lit('{"@type": "Person", "name": "Z'), F.col("page_id").cast("string"), F.lit('", "jobTitle": "Last"}'))
-    return C.jsonld_person(p.select("page_id", F.concat("html", block(own), block(last)).alias("html")))
+    return C.jsonld_person(p.select("page_id", F.expr(LD_HTML).alias("html")))
 
 
 MAILS = "CASE WHEN page_id % 3 = 0 THEN ' Info@' || h || '. ' WHEN page_id % 3 = 1 THEN ' jane.doe@mail.' || h || '; x@other.org' ELSE '' END"
@@ -74,69 +79,84 @@ def con07(p):
     return C.harvest_emails(x.select("page_id", "url", F.expr(MAILS).alias("html")))
 
 
-@query("con08_email_on_domain", "v_entity", sql="SELECT record_id, coalesce(principal_email LIKE '%fam.com', false) AS on_domain FROM v_entity")
-def con08(e):
-    return e.select("record_id", W.email_on_domain(F.col("principal_email"), F.lit("FAM.com")).alias("on_domain"))
+LOCAL = "split_part(email, '@', 1)"
+PLAIN_LOCAL = f"lower(split_part({LOCAL}, '+', 1))"
+ROLES = "[" + ", ".join(f"'{w}'" for w in W.ROLE_LOCALS) + "]"
+IS_ROLE = f"list_contains({ROLES}, {PLAIN_LOCAL})"
+LETTERS = f"regexp_replace({PLAIN_LOCAL}, '[^a-z]', '', 'g')"
+WIDE = f"len(list_filter({ROLES}, lambda w: starts_with({LETTERS}, w) OR ends_with({LETTERS}, w))) > 0"
+MAIL_HOST = "regexp_replace(lower(regexp_extract(email, '@([^@]*)$', 1)), '^www\\.', '')"
+ON_FAM = f"coalesce({MAIL_HOST} = 'fam.com' OR ends_with({MAIL_HOST}, '.fam.com'), false)"
+NAME_LIST = "list_filter(regexp_extract_all(lower(CASE WHEN contains(principal_name, ',') THEN regexp_replace(principal_name, '^([^,]*),(.*)$', '\\2 \\1') ELSE principal_name END), '[a-z]+'), lambda t: length(t) > 1 AND t NOT IN (" + ", ".join(f"'{w}'" for w in W.NAME_WORDS) + "))"
+MINE = f"(coalesce(length(last) > 2 AND contains(regexp_replace(lower({LOCAL}), '[^a-z]', '', 'g'), last), false) OR coalesce(length(first) > 2 AND regexp_replace(lower({LOCAL}), '[^a-z]', '', 'g') = first, false))"
+#: Addresses of each firm seen once, with the principal's names; those of other people; the firm's convention.
+PEERS = f"""m AS (SELECT *, {NAME_LIST} AS names FROM v_mail WHERE email IS NOT NULL), h AS (SELECT *, names[1] AS first, names[len(names)] AS last FROM m QUALIFY row_number() OVER (PARTITION BY firm, lower(email) ORDER BY seq) = 1),
+o AS (SELECT firm, seq, url, {LOCAL} AS l, regexp_replace(lower({LOCAL}), '[^a-z]', '', 'g') AS w FROM h WHERE first IS NOT NULL AND NOT {IS_ROLE} AND NOT {MINE}),
+g AS (SELECT firm, count(*) AS n, count(*) FILTER (contains(l, '.')) AS dots, arg_min(l, seq) FILTER (contains(l, '.')) AS lead, count(*) FILTER (w <> '') AS words, count(*) FILTER (w <> '' AND length(w) <= 8) AS short, arg_min(url, seq) AS url FROM o GROUP BY firm),
+c AS (SELECT firm, url, CASE WHEN dots >= greatest(1, n // 2) THEN CASE WHEN length(split_part(lead, '.', 1)) = 1 THEN 'f.last' ELSE 'first.last' END WHEN words > 0 THEN CASE WHEN short >= greatest(1, words // 2) THEN 'first' ELSE 'flast' END END AS pattern FROM g)"""
 
 
-@query("con09_is_role_address", "v_entity", sql="SELECT record_id, principal_email = 'Info+x@fam.com' AS role, principal_email <> 'jane.doe@fam.com' AS wide FROM v_entity WHERE principal_email IS NOT NULL")
-def con09(e):
-    m = F.col("principal_email")
-    return e.filter(m.isNotNull()).select("record_id", W.is_role_address(m).alias("role"), W.is_role_address(m, True).alias("wide"))
+@query("con08_email_on_domain", "v_mail", sql=f"SELECT seq, {ON_FAM} AS on_domain FROM v_mail")
+def con08(m):
+    return m.select("seq", W.email_on_domain(F.col("email"), F.lit("www.FAM.com")).alias("on_domain"))
 
 
-@query("con10_email_field", "v_entity", sql="SELECT record_id, CASE WHEN principal_email = 'Info+x@fam.com' OR principal_name IS NULL THEN 'firm_email' ELSE 'principal_email' END AS field FROM v_entity WHERE principal_email IS NOT NULL")
-def con10(e):
-    return e.filter("principal_email IS NOT NULL").select("record_id", W.email_field(F.col("principal_email"), F.col("principal_name")).alias("field"))
+@query("con09_is_role_address", "v_mail", sql=f"SELECT seq, {IS_ROLE} AS role, {WIDE} AS wide FROM v_mail WHERE email IS NOT NULL")
+def con09(m):
+    e = F.col("email")
+    return m.filter(e.isNotNull()).select("seq", W.is_role_address(e).alias("role"), W.is_role_address(e, True).alias("wide"))
 
 
-@query("con11_attribute_email", "v_entity", sql="SELECT record_id, CASE WHEN principal_email <> 'jane.doe@fam.com' THEN 'role' WHEN principal_name IS NOT NULL THEN 'principal' ELSE 'unknown' END AS attribution FROM v_entity WHERE principal_email IS NOT NULL")
-def con11(e):
-    return C.attribute_email(e.filter("principal_email IS NOT NULL")).select("record_id", "attribution")
+@query("con10_email_field", "v_mail", sql=f"SELECT seq, CASE WHEN {IS_ROLE} OR trim(coalesce(principal_name, '')) = '' THEN 'firm_email' ELSE 'principal_email' END AS field FROM v_mail WHERE email IS NOT NULL")
+def con10(m):
+    return m.filter("email IS NOT NULL").select("seq", W.email_field(F.col("email"), F.col("principal_name")).alias("field"))
 
 
-@query("con12_name_tokens", "v_entity", sql="SELECT record_id, CASE WHEN record_id % 3 = 0 THEN 'mary' ELSE 'jane' END AS first, CASE WHEN record_id % 3 = 0 THEN 'poppins' ELSE 'doe' END AS last FROM v_entity WHERE principal_name IS NOT NULL")
-def con12(e):
-    return e.filter("principal_name IS NOT NULL").select("record_id", W.name_tokens(F.when(F.col("record_id") % 3 == 0, "Mary Q. Poppins Jr.").otherwise(F.col("principal_name"))).alias("n")).select("record_id", "n.first", "n.last")
+@query("con11_attribute_email", "v_mail", sql=f"""
+SELECT seq, CASE WHEN {IS_ROLE} OR {WIDE} THEN 'role' WHEN len(list_filter(regexp_split_to_array(lower(coalesce(principal_name, '')), '[^a-z]+'), lambda t: length(t) > 2 AND contains({PLAIN_LOCAL}, t))) > 0 THEN 'principal' ELSE 'unknown' END AS attribution FROM v_mail WHERE email IS NOT NULL""")
+def con11(m):
+    return C.attribute_email(m.filter("email IS NOT NULL").withColumnRenamed("email", "principal_email")).select("seq", "attribution")
 
 
-@query("con13_matches_principal", "v_entity", sql="SELECT record_id, principal_email = 'jane.doe@fam.com' AS matches FROM v_entity WHERE principal_email IS NOT NULL AND principal_name IS NOT NULL")
-def con13(e):
-    n = W.name_tokens(F.col("principal_name"))
-    return e.filter("principal_email IS NOT NULL AND principal_name IS NOT NULL").select("record_id", W.matches_principal(W.local_part(F.col("principal_email")), n["first"], n["last"]).alias("matches"))
+@query("con12_name_tokens", "v_mail", sql=f"SELECT seq, names[1] AS first, names[len(names)] AS last FROM (SELECT seq, {NAME_LIST} AS names FROM v_mail)")
+def con12(m):
+    return m.select("seq", W.name_tokens(F.col("principal_name")).alias("n")).select("seq", "n.first", "n.last")
 
 
-PEERS = "CASE record_id % 4 WHEN 0 THEN 'jane.doe' WHEN 1 THEN 'j.roe' WHEN 2 THEN 'mary' ELSE 'jsmithers' END"
+@query("con13_matches_principal", "v_mail", sql=f"SELECT seq, {MINE} AS matches FROM (SELECT *, names[1] AS first, names[len(names)] AS last FROM (SELECT *, {NAME_LIST} AS names FROM v_mail)) WHERE email IS NOT NULL")
+def con13(m):
+    n = W.name_tokens(F.col("principal_name"))
+    return m.filter("email IS NOT NULL").select("seq", W.matches_principal(F.split_part("email", F.lit("@"), F.lit(1)), n["first"], n["last"]).alias("matches"))
 
 
-def peers(e):
-    return e.select((F.col("record_id") % 4).alias("firm"), F.concat(F.expr(PEERS), F.lit("@fam.com")).alias("email"))
+def firms(m):
+    return m.select("firm", "principal_name").distinct().withColumn("domain", F.lit("fam.com"))
 
 
-@query("con14_infer_pattern", "v_entity", sql="SELECT DISTINCT record_id % 4 AS firm, CASE record_id % 4 WHEN 0 THEN 'first.last' WHEN 1 THEN 'f.last' WHEN 2 THEN 'first' ELSE 'flast' END AS pattern FROM v_entity")
-def con14(e):
-    return C.infer_pattern(peers(e))
+@query("con14_infer_pattern", "v_mail", sql=f"WITH {PEERS} SELECT firm, pattern, url FROM c WHERE pattern IS NOT NULL")
+def con14(m):
+    return C.infer_pattern(m.filter("email IS NOT NULL"), firms(m))
 
 
-@query("con15_principal_email_on_site", "v_entity", sql="""
-SELECT DISTINCT record_id % 4 AS firm, CASE record_id % 4 WHEN 0 THEN 'jane.doe@fam.com' WHEN 1 THEN 'j.doe@fam.com' WHEN 2 THEN 'jane@fam.com' ELSE 'jdoe@fam.com' END AS email, CASE WHEN record_id % 4 = 0 THEN 'single_source' ELSE 'pattern_inferred' END AS status FROM v_entity""")
-def con15(e):
-    firms = e.select((F.col("record_id") % 4).alias("firm"), F.lit("DOE, Jane").alias("principal_name"), F.lit("fam.com").alias("domain")).distinct()
-    return C.principal_email_on_site(firms, peers(e))
+@query("con15_principal_email_on_site", "v_mail", sql=f"""
+WITH {PEERS}, s AS (SELECT firm, arg_min(email, seq) AS email, arg_min(url, seq) AS url FROM h WHERE {MINE} GROUP BY firm), f AS (SELECT firm, names[1] AS first, names[len(names)] AS last FROM (SELECT DISTINCT firm, {NAME_LIST} AS names FROM v_mail)),
+x AS (SELECT f.firm, s.email AS seen, s.url AS seen_url, c.url, CASE pattern WHEN 'first.last' THEN first || '.' || last WHEN 'f.last' THEN first[1] || '.' || last WHEN 'first' THEN first WHEN 'flast' THEN first[1] || last END || '@fam.com' AS built FROM f LEFT JOIN s ON s.firm = f.firm LEFT JOIN c ON c.firm = f.firm)
+SELECT firm, coalesce(seen, built) AS email, CASE WHEN seen IS NOT NULL THEN 'single_source' WHEN built IS NOT NULL THEN 'pattern_inferred' END AS status, coalesce(seen_url, url) AS url FROM x""")
+def con15(m):
+    return C.principal_email_on_site(firms(m), m.filter("email IS NOT NULL"))
 
 
-VENDOR = """SELECT record_id % 300 AS firm, principal_email AS email, record_id % 101 AS score, record_id % 7 = 0 AS smtp_valid, record_id % 11 = 0 AS error, CASE WHEN record_id % 300 % 5 = 4 THEN 'other.com' ELSE 'fam.com' END AS domain, record_id % 9 < 3 AS by_name,
- CASE record_id % 7 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Infotech Info' ELSE 'X' END AS principal_name FROM v_entity"""
+VENDOR = "SELECT seq, firm, email, CASE WHEN seq % 3 > 0 THEN seq % 101 END AS score, CASE WHEN seq % 7 = 0 THEN 'VALID' WHEN seq % 5 = 0 THEN 'unknown' END AS smtp_status, email IS NULL OR firm % 19 = 0 AS error, CASE WHEN firm % 5 = 4 THEN 'nowhere.org' ELSE 'fam.com' END AS domain, seq % 9 < 2 AS by_name, principal_name FROM v_mail WHERE firm % 23 > 0 OR seq % 8 = 1"
 
 
-@query("con16_choose_email_vendor", "v_entity", sql=f"""
-WITH r AS ({VENDOR}), m AS (SELECT *, lower(split_part(split_part(email, '@', 1), '+', 1)) AS local, lower(regexp_extract(principal_name, '([A-Za-z]+)$', 1)) AS last, email IS NOT NULL AND (split_part(lower(email), '@', 2) = domain OR ends_with(split_part(lower(email), '@', 2), '.' || domain)) AS good FROM r),
-t AS (SELECT *, CASE WHEN by_name THEN 0 WHEN length(last) > 2 AND contains(local, last) THEN 1 ELSE 2 END AS tier FROM m),
-b AS (SELECT firm, email, CASE WHEN score >= 70 OR smtp_valid THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY tier, score DESC, smtp_valid DESC, email) AS n FROM t WHERE good) WHERE n = 1),
-g AS (SELECT firm, bool_or(error) AS error, count(email) AS found FROM r GROUP BY firm)
-SELECT firm, b.email, b.confidence, CASE WHEN b.firm IS NOT NULL THEN 'found' WHEN error THEN 'outage' WHEN found > 0 THEN 'wrong_company' ELSE 'no_evidence' END AS result FROM g LEFT JOIN b USING (firm)""")
-def con16(e):
-    return C.choose_email_vendor(e.sparkSession.sql(VENDOR.replace("v_entity", "{v}"), v=e))
+@query("con16_choose_email_vendor", "v_mail", sql=f"""
+WITH r AS (SELECT *, nullif(lower(list_last(regexp_split_to_array(trim(regexp_replace(principal_name, '\\s+', ' ', 'g')), ' '))), '') AS last FROM ({VENDOR})), a AS (SELECT * FROM r WHERE NOT by_name OR last IS NOT NULL),
+t AS (SELECT *, CASE WHEN by_name THEN 0 WHEN last IS NOT NULL AND contains(lower(email), last) THEN 1 ELSE 2 END AS tier FROM a WHERE email IS NOT NULL AND ({MAIL_HOST} = domain OR ends_with({MAIL_HOST}, '.' || domain))),
+b AS (SELECT firm, email, CASE WHEN {IS_ROLE} OR trim(coalesce(principal_name, '')) = '' THEN 'firm_email' ELSE 'principal_email' END AS field, CASE tier WHEN 0 THEN CASE WHEN coalesce(score >= 70, false) OR coalesce(smtp_status = 'VALID', false) THEN 'medium' ELSE 'low' END WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM t QUALIFY row_number() OVER (PARTITION BY firm ORDER BY tier, seq) = 1),
+g AS (SELECT firm, bool_or(error) AS error, count(*) FILTER (NOT error) AS n FROM a GROUP BY firm)
+SELECT g.firm, b.email, b.field, b.confidence, CASE WHEN b.firm IS NOT NULL THEN 'found' WHEN error THEN 'outage' WHEN n > 0 THEN 'wrong_company' ELSE 'no_evidence' END AS result FROM g LEFT JOIN b ON g.firm = b.firm""")
+def con16(m):
+    return C.choose_email_vendor(m.sparkSession.sql(VENDOR.replace("v_mail", "{v}"), v=m))
 
 
 @query("con17_find_phone", "v_page", sql=f"""

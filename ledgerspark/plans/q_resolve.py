@@ -99,13 +99,14 @@ def er09(e):
     return R.name_match(e.filter("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name_raw").alias("q_name")), e)
 
 
-@query("er10_person_names_match", "v_entity", sql="""
-WITH p AS (SELECT record_id, lower(principal_name) AS a, CASE record_id % 4 WHEN 1 THEN 'jane doe' WHEN 2 THEN 'doe' ELSE 'john doe' END AS b FROM v_entity WHERE principal_name IS NOT NULL),
-t AS (SELECT record_id, list_distinct(regexp_extract_all(a, '[a-z]{2,}')) AS x, list_distinct(regexp_extract_all(b, '[a-z]{2,}')) AS y FROM p), i AS (SELECT *, len(list_intersect(x, y)) AS n FROM t)
-SELECT record_id, n > 0 AND (n = len(x) OR n = len(y)) AND (n > 1 OR len(x) = len(y)) AS same FROM i""")
-def er10(e):
-    other = F.expr("CASE record_id % 4 WHEN 1 THEN 'jane doe' WHEN 2 THEN 'doe' ELSE 'john doe' END")
-    return e.filter("principal_name IS NOT NULL").select("record_id", R.person_names_match(F.col("principal_name"), other).alias("same"))
+OTHER_NAME = "CASE seq % 6 WHEN 0 THEN 'Tullman' WHEN 1 THEN 'Glen Tullman' WHEN 2 THEN 'jane DOE' WHEN 3 THEN 'Doe, John' WHEN 4 THEN '' ELSE 'O-Neil Li' END"
+
+
+@query("er10_person_names_match", "v_mail", sql=f"""
+WITH t AS (SELECT seq, list_distinct(regexp_extract_all(lower(principal_name), '[a-z]{{2,}}')) AS x, list_distinct(regexp_extract_all(lower({OTHER_NAME}), '[a-z]{{2,}}')) AS y FROM v_mail)
+SELECT seq, coalesce(len(x) > 0 AND len(y) > 0 AND (list_has_all(x, y) OR list_has_all(y, x)), false) AS same FROM t""")
+def er10(m):
+    return m.select("seq", R.person_names_match(F.col("principal_name"), F.expr(OTHER_NAME)).alias("same"))
 
 
 @query("er11_normalize_entity_name", "v_entity", sql=f"""
