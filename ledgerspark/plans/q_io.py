@@ -180,7 +180,7 @@ def str03_sliding(ledger):
 
 
 @streaming("str03_sessions", "v_ledger", sql="""
-WITH o AS (SELECT field_name AS kind, created_at AS t, CASE WHEN created_at < lag(created_at) OVER (PARTITION BY field_name ORDER BY created_at) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM v_ledger WHERE created_at IS NOT NULL),
+WITH o AS (SELECT field_name AS kind, created_at AS t, CASE WHEN created_at <= lag(created_at) OVER (PARTITION BY field_name ORDER BY created_at) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM v_ledger WHERE created_at IS NOT NULL),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY kind ORDER BY t, opens DESC ROWS UNBOUNDED PRECEDING) AS nth FROM o)
 SELECT kind, epoch_us(min(t)) // 1000000 AS start, epoch_us(max(t)) // 1000000 + 1800 AS finish, count(*) AS signals FROM s GROUP BY kind, nth""")
 def str03_sessions(ledger):

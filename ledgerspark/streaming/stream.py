@@ -1,122 +1,167 @@
-"""Structured Streaming twins of the watch and ledger rules. Each keeps a table that batches are merged into, in versioned snapshots that a restart reads again."""
+"""Structured Streaming twins of the watch and ledger rules, on watermarks and Spark's state store.
 
-from __future__ import annotations
+A stream keeps what it has under a root folder that outlives the query: its checkpoint, and what it has given out. A restart on the same root goes on where the last run ended.
+Running values go out as changes, a folder a batch with the keys that the batch touched; `image` reads the newest value of each key. Windows go out once the
+watermark has closed them; those still open are read from the state store, so the newest windows are there as well.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.web import dedupe_key
-from ..operators.ledger import latest
-from ..operators.watch import accept_article, insert_signals
+from ..operators.watch import accept_article
 from ..sources.scratch import scratch_path
 
-def snapshots(spark: SparkSession, root: str) -> dict[int, str]:
-    """Whole snapshots below a folder by the batch that wrote them."""
+#: Change folders at the end of a run beyond which they are merged into one.
+MOST_CHANGES = 50
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path(root)):
-        return {}
-    names = [s.getPath().getName() for s in fs.listStatus(path(root))]
-    return {int(n[6:]): f"{root}/{n}" for n in names if n.startswith("epoch-") and fs.exists(path(f"{root}/{n}/_SUCCESS"))}
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
 
 
-def fold_batches(stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], root: str | None = None) -> DataFrame:
-    """Merge each batch into the latest snapshot below root, a folder that outlives the query: a restart on it goes on where the last run ended.
+def _whole(spark: SparkSession, root: str, kind: str) -> dict[int, str]:
+    """Whole folders below root named kind-number, by number."""
+    names = [n for n in _children(spark, root) if n.startswith(f"{kind}-")]
+    return {int(n.rpartition("-")[2]): f"{root}/{n}" for n in names if "_SUCCESS" in _children(spark, f"{root}/{n}")}
 
-    A batch writes its own snapshot folder, so one that is run again writes the same folder again; the two latest snapshots are kept.
-    """
-    spark: SparkSession = stream.sparkSession
-    root = root or scratch_path(spark, name)
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
+def run_changes(stream: DataFrame, root: str, mode: str = "update") -> None:
+    """Run a stream over what there is; each batch writes a folder of its own with what it gives out, so a batch that is run again writes the same folder again."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        before = {e: p for e, p in snapshots(spark, root).items() if e < epoch}
-        base = spark.read.parquet(before[max(before)]) if before else None
-        merge(base, batch).write.mode("overwrite").parquet(f"{root}/epoch-{epoch}")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        for e in sorted(before)[:-1]:
-            path(before[e]).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(before[e]), True)
+        batch.write.mode("overwrite").parquet(f"{root}/change-{epoch}")
 
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = snapshots(spark, root)
-    if not done:
-        return merge(None, spark.createDataFrame([], stream.schema))
-    return spark.read.parquet(done[max(done)])
+    stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_accept(articles: DataFrame, now: str, lookback_days: int, root: str | None = None) -> DataFrame:
-    """STR-01: articles through the gate of WAT-03 into the signals table, the first of each record and key (record_id, title, url, observed_at, phrase, n_tokens, seq)."""
+def _changes(spark: SparkSession, root: str, schema) -> DataFrame:
+    """All rows given out, with the number of their batch; those merged by compact stand under the last batch that they hold."""
+    base = _whole(spark, root, "base")
+    last = max(base, default=-1)
+    parts = [(e, p) for e, p in [*((e, p) for e, p in base.items() if e == last), *((e, p) for e, p in _whole(spark, root, "change").items() if e > last)]]
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+    number = F.regexp_extract(F.input_file_name(), r"/(?:base|change)-(\d+)/[^/]*$", 1).cast("long")
+    return spark.read.schema(schema).parquet(*[p for _, p in parts]).withColumn("batch", number)
+
+
+def image(spark: SparkSession, root: str, keys: list[str], schema) -> DataFrame:
+    """The newest row of each key."""
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    newest = _changes(spark, root, schema).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*keys, "row.*")
+
+
+def compact(spark: SparkSession, root: str, keys: list[str], schema) -> None:
+    """Merge the changes into one folder. Its number tells which changes it stands for, so it makes no difference where this is broken off."""
+    last = max([*_whole(spark, root, "change"), *_whole(spark, root, "base")], default=None)
+    if last is None:
+        return
+    old = [p for e, p in [*_whole(spark, root, "base").items(), *_whole(spark, root, "change").items()] if p != f"{root}/base-{last}"]
+    if f"{root}/base-{last}" not in _whole(spark, root, "base").values():
+        image(spark, root, keys, schema).write.mode("overwrite").parquet(f"{root}/base-{last}")
+    for p in old:
+        _drop(spark, p)
 
-    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
-        fit = accept_article(batch.withColumn("observed_at", F.col("observed_at").cast("timestamp")), now, lookback_days).filter("result = 'accepted'")
-        fresh = fit.withColumn("key", dedupe_key(F.col("url"))).select("record_id", "key", "url", "observed_at", "seq")
-        return insert_signals(fresh.limit(0) if base is None else base, fresh)
 
-    return fold_batches(articles, "accepted", merge, root)
+def running(stream: DataFrame, keys: list[str], root: str, mode: str = "update") -> DataFrame:
+    """Run a stream of keyed values and read its image."""
+    spark = stream.sparkSession
+    run_changes(stream, root, mode)
+    if len(_whole(spark, root, "change")) > MOST_CHANGES:
+        compact(spark, root, keys, stream.schema)
+    return image(spark, root, keys, stream.schema)
+
+
+def stream_accept(articles: DataFrame, now: str, lookback_days: int, root: str | None = None) -> DataFrame:
+    """STR-01: articles through the gate of WAT-03, one for each record and key (record_id, title, url, observed_at, phrase, n_tokens, seq).
+
+    The state holds the keys of the lookback. A date after now counts as now for the watermark, so no article can push the others out, and every article that
+    the gate accepts is within the watermark; of articles of one key in one batch any may stay.
+    """
+    spark = articles.sparkSession
+    root = root or scratch_path(spark, "accepted")
+    fit = accept_article(articles.withColumn("observed_at", F.col("observed_at").cast("timestamp")), now, lookback_days).filter("result = 'accepted'")
+    keyed = fit.select("record_id", dedupe_key(F.col("url")).alias("key"), "url", "observed_at", "seq", F.least("observed_at", F.to_timestamp(F.lit(now))).alias("seen_at"))
+    first = keyed.withWatermark("seen_at", f"{lookback_days} days").dropDuplicatesWithinWatermark(["record_id", "key"]).drop("seen_at")
+    run_changes(first, root, "append")
+    return _changes(spark, root, first.schema).drop("batch")
 
 
 def stream_ledger_image(claims: DataFrame, root: str | None = None) -> DataFrame:
-    """STR-02: running last write per entity and field."""
+    """STR-02: running last write per entity and field; the state holds one claim for each."""
+    keys = ["entity_id", "field_name"]
+    rest = [c for c in claims.columns if c not in keys]
+    last = claims.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("created_at", "seq")).alias("c")).select(*keys, "c.*")
+    return running(last, keys, root or scratch_path(claims.sparkSession, "ledger-image"))
+
 
-    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch if base is None else base.unionByName(batch)
-        return latest(rows, ["entity_id", "field_name"])
+def _late_counts(rows: DataFrame, span: Column, late: str, root: str) -> DataFrame:
+    """start, end, kind and stale: rows that came more than late behind the newest row of earlier batches. Each batch leaves one row for each window it met."""
+    spark = rows.sparkSession
+    schema = "start timestamp, end timestamp, kind string, stale long, newest timestamp"
 
-    return fold_batches(claims, "ledger-image", merge, root)
+    def seen(before: int | None = None) -> DataFrame:
+        parts = [p for e, p in _whole(spark, root, "late").items() if before is None or e < before]
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        newest = seen(epoch).agg(F.max("newest")).first()[0]
+        stale = F.col("at") < F.lit(newest) - F.expr(f"INTERVAL {late}") if newest else F.lit(False)
+        n = batch.groupBy(span.alias("w"), "kind").agg(F.count_if(stale).alias("stale"), F.max("at").alias("newest"))
+        n.select("w.start", "w.end", "kind", "stale", "newest").write.mode("overwrite").parquet(f"{root}/late-{epoch}")
+
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/late-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return seen().groupBy("start", "end", "kind").agg(F.sum("stale").alias("stale"))
+
+
+def _windows(counts: DataFrame, root: str, name: str) -> DataFrame:
+    """start, end, kind and signals of the windows that are closed and of those that the state store still holds."""
+    spark = counts.sparkSession
+    run_changes(counts, root, "append")
+    closed = _changes(spark, root, counts.schema).select("w.start", "w.end", "kind", "signals")
+    if not _children(spark, f"{root}/checkpoint/commits"):
+        return closed
+    state = spark.read.format("statestore").load(f"{root}/checkpoint")
+    inner = F.col(f"value.{name}") if name in state.schema["value"].dataType.names else F.col(f"key.{name}")
+    open_ = state.filter("value IS NOT NULL").select(inner["start"].alias("start"), inner["end"].alias("end"), F.col("key.kind").alias("kind"), F.col("value.count").alias("signals"))
+    return closed.unionByName(open_)
 
 
 def stream_signal_counts(signals: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "2 days", root: str | None = None) -> DataFrame:
-    """STR-03: running counts of signals per kind and window (tumbling, or sliding with slide), merged batch by batch.
+    """STR-03: signals per kind and window (tumbling, or sliding with slide) under a watermark: start, end, kind, signals, stale.
 
-    Every row counts in its window; stale counts those that came when an earlier batch had a row more than late after them.
+    stale counts the rows that came more than late behind the newest row of earlier batches; those whose window had closed are in no signals. Rows without a time count nowhere.
     """
+    root = root or scratch_path(signals.sparkSession, "signal-counts")
+    rows = signals.withColumn("at", F.col("at").cast("timestamp")).filter("at IS NOT NULL")
     span = F.window("at", window, slide) if slide else F.window("at", window)
-    keys = ["start", "end", "kind"]
-
-    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
-        # newest is the time of the newest row so far, kept on every row of the snapshot
-        rows = batch.withColumn("at", F.col("at").cast("timestamp")).filter("at IS NOT NULL")
-        if base is None:
-            rows = rows.withColumn("is_stale", F.lit(False))
-        else:
-            before = F.broadcast(base.agg(F.max("newest").alias("before")))
-            rows = rows.crossJoin(before).withColumn("is_stale", F.coalesce(F.col("at") < F.col("before") - F.expr(f"INTERVAL {late}"), F.lit(False)))
-        n = rows.groupBy(span.alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals"), F.count_if("is_stale").alias("stale"), F.max("at").alias("newest"))
-        n = n.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "signals", "stale", "newest")
-        if base is None:
-            return n
-        return base.unionByName(n).groupBy(*keys).agg(F.sum("signals").alias("signals"), F.sum("stale").alias("stale"), F.max("newest").alias("newest"))
-
-    return fold_batches(signals, "signal-counts", merge, root).drop("newest")
-
-
-def stream_sessions(signals: DataFrame, gap_minutes: int = 30, root: str | None = None) -> DataFrame:
-    """STR-03: sessions of signals per kind, merged batch by batch: late rows lengthen or join the sessions that they fall into."""
-    gap = f"{gap_minutes} minutes"
-
-    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch.withColumn("at", F.col("at").cast("timestamp")).filter("at IS NOT NULL")
-        fresh = rows.groupBy(F.session_window("at", gap).alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "signals")
-        if base is None:
-            return fresh
-        # sessions that overlap are one; there are few beside the rows that made them
-        before = Window.partitionBy("kind").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-        both = base.unionByName(fresh).withColumn("opens", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
-        both = both.withColumn("nth", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        return both.groupBy("kind", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("signals").alias("signals")).select("start", "end", "kind", "signals")
-
-    return fold_batches(signals, "signal-sessions", merge, root)
+    counts = _windows(rows.withWatermark("at", late).groupBy(span.alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals")), root, "window")
+    stale = _late_counts(rows, span, late, root)
+    own = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("start", "end", "kind")]
+    both = counts.alias("a").join(stale.alias("b"), own[0] & own[1] & own[2], "full")
+    zero = F.lit(0).cast("long")
+    return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in ("start", "end", "kind")], F.coalesce("signals", zero).alias("signals"), F.coalesce("stale", zero).alias("stale"))
 
 
-def stream_progress(calls: DataFrame, root: str | None = None) -> DataFrame:
-    """STR-04: running counters per run, merged batch by batch."""
+def stream_sessions(signals: DataFrame, gap_minutes: int = 30, late: str = "2 days", root: str | None = None) -> DataFrame:
+    """STR-03: sessions of signals per kind under a watermark: start, end, kind, signals. Rows within late lengthen or join the sessions that they fall into; later ones whose session had closed are left out."""
+    root = root or scratch_path(signals.sparkSession, "signal-sessions")
+    rows = signals.withColumn("at", F.col("at").cast("timestamp")).filter("at IS NOT NULL").withWatermark("at", late)
+    return _windows(rows.groupBy(F.session_window("at", f"{gap_minutes} minutes").alias("w"), "kind").agg(F.count(F.lit(1)).alias("signals")), root, "session_window")
 
-    def merge(base: DataFrame | None, batch: DataFrame) -> DataFrame:
-        n = batch.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("ok").alias("ok"), F.sum("duration_ms").alias("spent_ms"))
-        if base is None:
-            return n
-        return base.unionByName(n).groupBy("run_id").agg(F.sum("calls").alias("calls"), F.sum("ok").alias("ok"), F.sum("spent_ms").alias("spent_ms"))
 
-    return fold_batches(calls, "run-progress", merge, root)
+def stream_progress(calls: DataFrame, root: str | None = None) -> DataFrame:
+    """STR-04: running counters per run; the state holds one row for each."""
+    n = calls.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("ok").alias("ok"), F.sum("duration_ms").alias("spent_ms"))
+    return running(n, ["run_id"], root or scratch_path(calls.sparkSession, "run-progress"))

@@ -9,7 +9,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import cells, corpus, ground, ledger, retrieve, validate
-from ledgerspark.streaming import stream
 
 SCHEMA = "seq long, created_at timestamp, claim_id string, entity_id long, field_name string, question_id string, status string, source_class string, extraction_method string, answer string, answer_num double, source_url string, retrieved_at timestamp, confidence string"
 
@@ -100,54 +99,6 @@ def test_empty_ledger(spark):
         assert f(none).count() == 0
 
 
-def test_signal_counts_keep_every_window_and_count_stale(spark, tmp_path):
-    folder = str(tmp_path / "signals")
-    files = [["2024-01-09 10:00", "2024-01-10 12:00"], ["2024-01-10 13:00", "2024-01-07 09:00", "2024-01-09 11:00"]]
-    for days in files:
-        spark.createDataFrame([("news", d) for d in days], "kind string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(folder)
-    signals = spark.readStream.schema("kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
-    got = {str(r.start)[:10]: (r.signals, r.stale) for r in stream.stream_signal_counts(signals).collect()}
-    assert got == {"2024-01-07": (1, 1), "2024-01-09": (2, 0), "2024-01-10": (2, 0)}
-
-
-def folder_of(spark, path, batches, columns):
-    for rows in batches:
-        spark.createDataFrame(rows, columns).withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(path)
-
-
-def test_streams_go_on_after_a_restart(spark, tmp_path):
-    folder, root = str(tmp_path / "signals"), f"file://{tmp_path}/state"
-    read = lambda: spark.readStream.schema("kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
-    columns = "kind string, at string"
-    folder_of(spark, folder, [[("a", "2024-01-09 10:00"), ("a", "2024-01-09 10:40")], [("b", "2024-01-09 11:00")]], columns)
-    assert stream.stream_sessions(read(), 30, root).count() == 3
-    folder_of(spark, folder, [[("a", "2024-01-09 10:20")], [("b", "2024-01-10 11:00"), ("b", "2024-01-10 11:29")]], columns)
-    got = {(r.kind, str(r.start)[8:16], str(r.end)[8:16]): r.signals for r in stream.stream_sessions(read(), 30, root).collect()}
-    # the late row joins both sessions of a
-    assert got == {("a", "09 10:00", "09 11:10"): 3, ("b", "09 11:00", "09 11:30"): 1, ("b", "10 11:00", "10 11:59"): 2}
-    assert stream.stream_sessions(read(), 30, root).count() == 3  # nothing new: the image stands
-    assert len(stream.snapshots(spark, root)) <= 2
-
-
-def test_sliding_windows_count_each_row_in_each(spark, tmp_path):
-    folder = str(tmp_path / "signals")
-    folder_of(spark, folder, [[("a", "2024-01-09 10:00"), ("a", "2024-01-10 10:00")]], "kind string, at string")
-    signals = spark.readStream.schema("kind string, at timestamp").parquet(folder)
-    got = {str(r.start)[:10]: r.signals for r in stream.stream_signal_counts(signals, "2 days", "1 day").collect()}
-    assert got == {"2024-01-08": 1, "2024-01-09": 2, "2024-01-10": 1}
-
-
-def test_articles_pass_the_gate_once(spark, tmp_path):
-    folder, root = str(tmp_path / "articles"), f"file://{tmp_path}/state"
-    columns = "seq long, record_id long, title string, url string, at string, phrase string, n_tokens int"
-    good = ("Turtle Creek Wealth grows", "turtle creek wealth", 3)
-    row = lambda seq, url, at="2024-01-20 00:00", what=good: (seq, 1, what[0], url, at, what[1], what[2])
-    folder_of(spark, folder, [[row(1, "https://a.com/x"), row(2, "https://www.a.com/x/"), row(3, "https://sub.reddit.com/x")], [row(4, "https://a.com/x"), row(5, "https://b.com/y", "2023-01-01 00:00"), row(6, "https://b.com/z", None), row(7, "https://b.com/q"), row(8, "https://b.com/r", what=("Nothing", "absent", 3))]], columns)
-    read = spark.readStream.schema("seq long, record_id long, title string, url string, at timestamp, phrase string, n_tokens int").option("maxFilesPerTrigger", 1).parquet(folder).withColumnRenamed("at", "observed_at")
-    out = stream.stream_accept(read, "2024-01-31 00:00:00", 90, root).collect()
-    assert sorted(r.url for r in out) == ["https://a.com/x", "https://b.com/q"]
-
-
 def test_retrieval_in_blocks_is_the_same(spark, monkeypatch):
     rnd = random.Random(4)
     vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
