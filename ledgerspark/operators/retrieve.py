@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import STOP_WORDS, stem
+
 # State names in the order in which they are tried, and their codes.
 STATES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL",
@@ -103,70 +107,178 @@ def shape(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(q.rlike(COUNT), "count").when(q.rlike(ONE), "one").otherwise("many").alias("shape"), F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(25), n))).otherwise(10).alias("top_n"))
 
 
-def expand_terms(topics: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """QRY-05: a topic of at most two words and its synonyms, distinct, eight at most (topic; topic, synonym)."""
-    short = topics.filter((F.col("topic") != "") & (F.size(F.split("topic", " ")) <= 2))
-    more = synonyms.groupBy("topic").agg(F.array_sort(F.collect_set(F.trim(F.regexp_replace(F.lower("synonym"), "[^a-z0-9 ]", "")))).alias("more"))
-    terms = F.slice(F.array_distinct(F.concat(F.array("topic"), F.coalesce("more", F.array().cast("array<string>")))), 1, 8)
-    return short.join(more, "topic", "left").select("query_id", F.array_join(terms, "|").alias("terms"))
+#: Most terms of a topic.
+MOST_TERMS = 8
+
+
+def expand_terms(topics: DataFrame, replies: DataFrame) -> DataFrame:
+    """QRY-05: the search terms of each topic: itself in lower case, then the usable terms of the reply in their order, distinct, MOST_TERMS at most (query_id, topic; topic, reply).
+
+    A reply is a list with commas; of several lines the first that has one counts. A usable term has 2 to 30 signs, letters, spaces and hyphens only, and at most two words; bullets and
+    numbers before it are cut off. A topic of more than two words is not expanded, an empty one has no terms.
+    """
+    lines = F.filter(F.transform(F.split("reply", "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(",")))
+    listed = F.transform(F.split(F.coalesce(F.get(lines, F.lit(0)), F.col("reply")), ","), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^[-*\d.\s]+", ""))
+    usable = F.filter(listed, lambda t: F.length(t).between(2, 30) & t.rlike(r"^[a-z][a-z\s-]*$") & (F.size(F.split(t, r"\s+")) <= 2))
+    one = replies.filter(F.col("reply") != "").groupBy("topic").agg(F.min("reply").alias("reply"))
+    rows = topics.join(one, "topic", "left").withColumn("own", F.trim("topic")).filter("own <> ''")
+    terms = F.slice(F.array_distinct(F.concat(F.array(F.lower("own")), F.coalesce(usable, F.array().cast("array<string>")))), 1, MOST_TERMS)
+    return rows.select("query_id", F.array_join(F.when(F.size(F.split("own", r"\s+")) > 2, F.array("own")).when(F.col("reply").isNull(), F.array("own")).otherwise(terms), "|").alias("terms"))
 
 
-def core_filters(level: int = 0) -> Column:
-    """The core predicates of a spec; from level 1 on least amount, greatest amount, state and type are dropped one after another."""
+def core_filters() -> Column:
+    """The core predicates of a spec; one that it does not name is passed."""
     tests = [("aum_min", F.col("aum_usd") >= F.col("aum_min")), ("aum_max", F.col("aum_usd") <= F.col("aum_max")), ("want_state", F.col("hq_state") == F.col("want_state")), ("want_type", F.col("entity_type") == F.col("want_type"))]
-    return reduce(lambda a, b: a & b, [F.col(c).isNull() | F.coalesce(t, F.lit(False)) for c, t in tests[level:]], F.lit(True))
+    return reduce(lambda a, b: a & b, [F.col(c).isNull() | F.coalesce(t, F.lit(False)) for c, t in tests], F.lit(True))
 
 
-def sweep(records: DataFrame, specs: DataFrame, cap: int = 1000) -> DataFrame:
-    """RET-01: records of each spec in id order, the cap being the feature's page size, with the full count. Specs are a stated query set and are broadcast."""
-    hits = records.join(F.broadcast(specs), core_filters())
-    own = Window.partitionBy("query_id").orderBy("record_id")
-    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return hits.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= cap).join(F.broadcast(n), "query_id").select("query_id", "record_id", "place", "total", (F.col("total") > cap).alias("truncated"))
+#: Bins of a doubling of the amount, and the number of the last bin. Bin -1 holds what is not above 0, bin -2 records without an amount.
+BINS, LAST_BIN = 8, 8 * 64
 
 
-def exclusion_reasons(rows: DataFrame) -> DataFrame:
-    """RET-02: secondary predicates as reasons beside the row."""
-    tests = [("rejected outcome", F.col("outcome") == "reject"), ("no named principal", F.col("principal_name").isNull()), ("negative assets", F.col("aum_usd") < 0)]
-    return rows.select("record_id", F.array_join(F.array_compact(F.array(*[F.when(t, r) for r, t in tests])), "; ").alias("reasons"))
+def amount_bin(amount: Column) -> Column:
+    b = F.greatest(F.lit(0), F.least(F.lit(LAST_BIN), F.floor(F.log2(amount.cast("double")) * BINS))).cast("int")
+    return F.when(amount.isNull(), -2).when(amount <= 0, -1).otherwise(b)
 
 
-def relax(records: DataFrame, specs: DataFrame) -> DataFrame:
-    """RET-03: the first level of loosening at which a spec has rows; one pass counts all levels."""
-    rows = records.crossJoin(F.broadcast(specs))  # a stated query set against all rows
-    counts = rows.groupBy("query_id").agg(*[F.count_if(core_filters(i)).alias(f"n{i}") for i in range(5)])
-    level = F.coalesce(*[F.when(F.col(f"n{i}") > 0, i) for i in range(5)], F.lit(-1))
-    return counts.select("query_id", level.alias("dropped"), F.coalesce(*[F.when(F.col(f"n{i}") > 0, F.col(f"n{i}")) for i in range(5)], F.lit(0)).cast("long").alias("rows"))
+def _key(value: Column) -> Column:
+    return F.concat(F.lit("="), value)
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    """Each record under its bin and its state and type, and under '*' for specs that name none."""
+    any_or = lambda c: F.array_compact(F.array(F.lit("*"), _key(F.col(c))))
+    rows = records.withColumn("bin", amount_bin(F.col("aum_usd")))
+    return rows.withColumn("state_key", F.explode(any_or("hq_state"))).withColumn("type_key", F.explode(any_or("entity_type")))
+
+
+def _covered(specs: DataFrame) -> DataFrame:
+    """Each spec under every bin that its bounds reach; at_edge where records of the bin still have to be looked at."""
+    none = F.col("aum_min").isNull() & F.col("aum_max").isNull()
+    low = F.when(none, -2).when(F.col("aum_min").isNull(), -1).otherwise(amount_bin(F.col("aum_min")))
+    high = F.when(F.col("aum_max").isNull(), LAST_BIN).otherwise(amount_bin(F.col("aum_max")))
+    named = lambda c: F.coalesce(_key(F.col(c)), F.lit("*"))
+    rows = specs.withColumn("low", low).withColumn("high", high).filter("low <= high").withColumn("state_key", named("want_state")).withColumn("type_key", named("want_type"))
+    rows = rows.withColumn("bin", F.explode(F.sequence("low", "high")))
+    edge = (F.col("aum_min").isNotNull() & (F.col("bin") == F.col("low"))) | (F.col("aum_max").isNotNull() & (F.col("bin") == F.col("high")))
+    return rows.withColumn("at_edge", edge).drop("low", "high")
+
+
+BIN_KEYS = ["bin", "state_key", "type_key"]
+
+
+def _edge_hits(records: DataFrame, covered: DataFrame) -> DataFrame:
+    """Pairs of records and specs in the bins that a bound goes through."""
+    edges = covered.filter("at_edge")
+    near = records.join(F.broadcast(edges.select("bin").distinct()), amount_bin(F.col("aum_usd")) == F.col("bin"), "left_semi")  # LAST_BIN + 3 bins at most
+    return _keyed(near).join(edges, BIN_KEYS).filter(core_filters())
+
+
+def matching_counts(records: DataFrame, specs: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of records that pass the core filters of each spec that has any (keys, rows): whole bins by their counts, the two bins at the bounds record by record."""
+    covered = _covered(specs)
+    cells = _keyed(records).groupBy(*BIN_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    inner = covered.filter("NOT at_edge").join(cells, BIN_KEYS).select(*keys, "n")
+    outer = _edge_hits(records, covered).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, "n")
+    return inner.unionByName(outer).groupBy(*keys).agg(F.sum("n").alias("rows"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def sweep(records: DataFrame, specs: DataFrame, cap: int = 1000) -> DataFrame:
+    """RET-01: records of each spec in id order, the cap being the feature's page size, with the full count.
 
+    A spec's records are those of whole bins of the amount and a part of two; of a whole bin, the first `cap` by id are all that can be on the page.
+    """
+    covered = _covered(specs)
+    first = F.row_number().over(Window.partitionBy(*BIN_KEYS).orderBy("record_id"))
+    heads = _keyed(records).select(*BIN_KEYS, "record_id").withColumn("nth", first).filter(F.col("nth") <= cap).drop("nth")
+    hits = covered.filter("NOT at_edge").join(heads, BIN_KEYS).select("query_id", "record_id").unionByName(_edge_hits(records, covered).select("query_id", "record_id"))
+    own = Window.partitionBy("query_id").orderBy("record_id")
+    page = hits.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= cap)
+    total = matching_counts(records, specs, ["query_id"]).withColumnRenamed("rows", "total")
+    return page.join(total, "query_id").select("query_id", "record_id", "place", "total", (F.col("total") > cap).alias("truncated"))
 
-def unit(vector: Column) -> Column:
-    return F.transform(F.transform(F.array(vector), lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n"))), lambda x: F.transform(x["v"], lambda c: c.cast("double") / x["n"]))[0]
 
+def exclusion_reasons(rows: DataFrame) -> DataFrame:
+    """RET-02: secondary predicates as reasons beside the row."""
+    tests = [("rejected outcome", F.col("outcome") == "reject"), ("no named principal", F.col("principal_name").isNull()), ("negative assets", F.col("aum_usd") < 0)]
+    return rows.select("record_id", F.array_join(F.array_compact(F.array(*[F.when(t, r) for r, t in tests])), "; ").alias("reasons"))
 
-#: Query vectors that are broadcast at once.
-VECTOR_BLOCK = 2000
 
+#: What each level of loosening drops, one after another.
+LOOSENED = ["aum_min", "aum_max", "want_state", "want_type"]
 
-def best_evidence(chunks: DataFrame, vectors: DataFrame, facets: list[str]) -> DataFrame:
-    """RET-04: least cosine distance of a record's chunks to each query vector (query_id, vector).
 
-    Both sides are brought to length one first, so a pair costs one product. The stated queries are broadcast up to VECTOR_BLOCK; more are cut
-    into blocks of about that many, and a chunk goes to every block.
+def relax(records: DataFrame, specs: DataFrame) -> DataFrame:
+    """RET-03: the first level of loosening at which a spec has rows, and how many; -1 where there is none."""
+    types = dict(specs.dtypes)
+    level = F.explode(F.sequence(F.lit(0), F.lit(len(LOOSENED)))).alias("level")
+    loose = specs.select("query_id", *LOOSENED, level)
+    loose = loose.select("query_id", "level", *[F.when(F.col("level") > i, F.lit(None).cast(types[c])).otherwise(F.col(c)).alias(c) for i, c in enumerate(LOOSENED)])
+    found = matching_counts(records, loose, ["query_id", "level"]).groupBy("query_id").agg(F.min(F.struct("level", "rows")).alias("f"))
+    return specs.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("f.level", F.lit(-1)).alias("dropped"), F.coalesce("f.rows", F.lit(0).cast("long")).alias("rows"))
+
+
+#: Chunks and query vectors that meet in one task.
+TILE, VECTOR_BLOCK = 4000, 2000
+
+
+def _nearest(most: int):
+    """For the chunks and query vectors of a tile: of each query the `most` nearest records, with their nearest chunk."""
+    columns = ["query_id", "record_id", "distance", "chunk_id", "facet"]
+
+    def unit(vectors: pd.Series, d: int) -> tuple[np.ndarray, np.ndarray]:
+        fit = np.array([v is not None and len(v) == d for v in vectors], bool)
+        m = np.array([v for v, ok in zip(vectors, fit, strict=True) if ok], np.float64).reshape(-1, d)
+        size = np.sqrt((m * m).sum(axis=1))
+        good = np.isfinite(size) & (size > 0)
+        return np.flatnonzero(fit)[good], m[good] / size[good, None]
+
+    def near(chunks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        lengths = {len(v) for v in asked["vector"] if v is not None and len(v)}
+        for d in lengths:
+            (rows, x), (queries, q) = unit(chunks["embedding"], d), unit(asked["vector"], d)
+            if not len(rows) or not len(queries):
+                continue
+            own = chunks.iloc[rows].reset_index(drop=True)
+            order = np.lexsort([own["chunk_id"].to_numpy(), own["record_id"].to_numpy()])
+            own, x = own.iloc[order].reset_index(drop=True), x[order]
+            first = np.flatnonzero(np.append(True, (own["record_id"].to_numpy()[1:] != own["record_id"].to_numpy()[:-1])))
+            far = np.round(1 - x @ q.T, 9)  # equal vectors are equally far, whatever else is in the tile
+            least = np.minimum.reduceat(far, first, axis=0)
+            k = min(most, len(first))
+            limit = np.partition(least, k - 1, axis=0)[k - 1]
+            for j in range(len(queries)):
+                hit = np.flatnonzero(least[:, j] <= limit[j])
+                hit = hit[np.argsort(least[hit, j], kind="stable")][:k]  # ties by record, whose order the rows have
+                ends = np.append(first[1:], len(own))
+                best = [int(first[h] + np.argmin(far[first[h] : ends[h], j])) for h in hit]
+                part = own.iloc[best][["record_id", "chunk_id", "facet"]].assign(query_id=asked["query_id"].iloc[queries[j]], distance=least[hit, j])
+                out.append(part[columns])
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+
+    return near
+
+
+def best_evidence(chunks: DataFrame, vectors: DataFrame, facets: list[str], most: int = 1000) -> DataFrame:
+    """RET-04: the `most` records nearest to each query vector (query_id, vector) by cosine distance, each with its nearest chunk; ids on ties.
+
+    Chunks are dealt into tiles of about TILE by their id, queries into blocks of about VECTOR_BLOCK; a task multiplies a tile with a block and gives out no more than `most` records a query, so
+    what is shuffled by query does not grow with the records. A record among the nearest is among those of the tile that holds its nearest chunk. Vectors that are null, of
+    another length or without a direction are near nothing.
     """
-    asked = vectors.select("query_id", unit(F.col("vector")).alias("vector"))
-    rows = chunks.filter(F.col("facet").isin(facets)).select("record_id", "chunk_id", "facet", unit(F.col("embedding")).alias("embedding"))
-    blocks = -(-vectors.count() // VECTOR_BLOCK)
-    if blocks <= 1:
-        pairs = rows.join(F.broadcast(asked))
-    else:
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block")
-    near = F.min_by(F.struct("distance", "chunk_id", "facet"), F.struct("distance", "chunk_id")).alias("e")
-    return pairs.withColumn("distance", 1 - dot(F.col("embedding"), F.col("vector"))).groupBy("query_id", "record_id").agg(near).select("query_id", "record_id", "e.*")
+    rows = chunks.filter(F.col("facet").isin(facets) & F.col("embedding").isNotNull()).select("record_id", "chunk_id", "facet", "embedding")
+    asked = vectors.filter(F.col("vector").isNotNull()).select("query_id", "vector")
+    tiles, blocks = (max(1, -(-t.count() // n)) for t, n in ((rows, TILE), (asked, VECTOR_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.withColumn("tile", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles))).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("tile", every(tiles))
+    kind = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *asked.schema.fields]}
+    schema = f"query_id {kind['query_id']}, record_id {kind['record_id']}, distance double, chunk_id {kind['chunk_id']}, facet string"
+    near = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(_nearest(most), schema)
+    one = near.groupBy("query_id", "record_id").agg(F.min_by(F.struct("distance", "chunk_id", "facet"), F.struct("distance", "chunk_id")).alias("e")).select("query_id", "record_id", "e.*")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "record_id"))
+    return one.withColumn("nth", place).filter(F.col("nth") <= most).drop("nth")
 
 
 def semantic_rank(evidence: DataFrame) -> DataFrame:
@@ -178,15 +290,45 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def lexical_rank(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """RET-06: chunks that hold all words of a term; score is the number of their places over chunk length, the best chunk of a record and the best term count (query_id, term)."""
-    words = terms.select("query_id", "term", F.explode(F.array_distinct(tokens(F.col("term")))).alias("word"))
-    sizes = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("need"))
-    wanted = F.broadcast(words.select("word").distinct())  # words of the stated queries
+#: Folders over which stored postings are dealt by their stem.
+POSTING_FOLDERS = 64
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """RET-06: where each stem stands (record_id, chunk_id, n, stem, places): the places of its words among the chunk's n words. Stop words have places but no rows."""
     own = chunks.select("record_id", "chunk_id", tokens(F.col("content")).alias("t")).withColumn("n", F.size("t"))
-    held = own.select("record_id", "chunk_id", "n", F.explode("t").alias("word")).join(wanted, "word", "left_semi").groupBy("record_id", "chunk_id", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
-    hit = held.join(F.broadcast(words), "word").groupBy("query_id", "term", "record_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("tf"))
-    full = hit.join(F.broadcast(sizes), ["query_id", "term"]).filter("have = need").groupBy("query_id", "record_id").agg(F.max(F.round(F.col("tf") / F.col("n"), 9)).alias("score"))
+    words = own.select("record_id", "chunk_id", "n", F.posexplode("t").alias("place", "word")).groupBy("record_id", "chunk_id", "n", "word").agg(F.collect_list("place").alias("places"))
+    stems = words.filter(~F.col("word").isin(STOP_WORDS)).withColumn("stem", stem("word"))
+    return stems.groupBy("record_id", "chunk_id", "n", "stem").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def _folder(stem: Column) -> Column:
+    return F.pmod(F.xxhash64(stem), F.lit(POSTING_FOLDERS)).cast("int")
+
+
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """RET-06: store the postings, dealt by stem, so that a query set reads the folders of its own stems alone."""
+    postings(chunks).withColumn("folder", _folder(F.col("stem"))).repartition("folder", "chunk_id").sortWithinPartitions("stem").write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def query_stems(terms: DataFrame) -> DataFrame:
+    """query_id, term, stem: the distinct stems of each term without stop words; a term of stop words alone asks for nothing."""
+    words = terms.select("query_id", "term", F.explode(F.array_distinct(tokens(F.col("term")))).alias("word"))
+    return words.filter(~F.col("word").isin(STOP_WORDS)).select("query_id", "term", stem("word").alias("stem")).distinct()
+
+
+def lexical_rank(stored: DataFrame, terms: DataFrame) -> DataFrame:
+    """RET-06: records with a chunk that holds all stems of a term; score is the number of their places over chunk length, the best chunk of a record and the best term count.
+
+    stored: postings, built or read back; terms: query_id, term.
+    """
+    asked = query_stems(terms)
+    if "folder" in stored.columns:  # as read from write_postings: the folders are a column to prune by
+        stored = stored.join(F.broadcast(asked.select(_folder(F.col("stem")).alias("folder")).distinct()), "folder", "left_semi")  # POSTING_FOLDERS rows at most
+    sizes = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("need"))
+    held = stored.select("record_id", "chunk_id", "n", "stem", F.size("places").alias("tf")).join(asked, "stem")
+    hit = held.groupBy("query_id", "term", "record_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("tf"))
+    full = hit.join(sizes, ["query_id", "term"]).filter("have = need").groupBy("query_id", "record_id").agg(F.max(F.round(F.col("tf") / F.col("n"), 9)).alias("score"))
     return full.withColumn("lex_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id")))
 
 
@@ -265,9 +407,13 @@ def apply_keep_list(rows: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def count_matching(records: DataFrame, specs: DataFrame) -> DataFrame:
-    """AGG-01: exact count per spec, mandate overlap included."""
-    hits = records.join(F.broadcast(specs), core_filters() & (F.col("want_mandates").isNull() | F.arrays_overlap("mandates", "want_mandates")))
-    return specs.select("query_id").join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("matching"))
+    """AGG-01: exact count per spec, mandate overlap included: specs without mandates by the counts of bins, those with some by an equi-join on mandate and bin."""
+    plain = matching_counts(records, specs.filter("want_mandates IS NULL"), ["query_id"])
+    wanted = _covered(specs.filter("want_mandates IS NOT NULL")).withColumn("mandate", F.explode(F.array_distinct("want_mandates")))
+    held = _keyed(records.withColumn("mandate", F.explode(F.array_distinct("mandates"))))
+    hits = held.join(wanted, [*BIN_KEYS, "mandate"]).filter(core_filters()).select("query_id", "record_id").distinct()
+    n = plain.unionByName(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows")))
+    return specs.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("rows", F.lit(0).cast("long")).alias("matching"))
 
 
 def record_view(ids: DataFrame, records: DataFrame, hooks: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..operators import retrieve as R
+from ..sources.scratch import scratch_path
 from .registry import query
 
 LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -51,11 +53,17 @@ def qry04(q):
     return R.shape(q)
 
 
-@query("qry05_expand_terms", "v_ask", sql=f"WITH {TOPIC} SELECT query_id, array_to_string(list_distinct_in_order, '|') AS terms FROM (SELECT query_id, CASE topic WHEN 'alpha' THEN ['alpha', 'beta'] WHEN 'beta' THEN ['beta', 'alpha'] ELSE [topic, 'alpha', 'beta'] END AS list_distinct_in_order FROM topics WHERE topic <> '' AND len(string_split(topic, ' ')) <= 2)")
+REPLY = "CASE length(topic) % 6 WHEN 0 THEN 'Terms:' || chr(10) || ' - Clean Energy, 2. Solar power, x, a much too long phrase, carbon ' WHEN 1 THEN 'no list here' WHEN 2 THEN topic || ', Beta, beta , BETA, gamma-ray, c3po, delta, epsilon, zeta, eta, theta, iota' WHEN 3 THEN '' WHEN 4 THEN 'one' || chr(10) || 'two, three' || chr(10) || 'four, five' ELSE 'Energy transition, * wind, 10 percent, wealth!' END"
+
+
+@query("qry05_expand_terms", "v_ask", sql=f"""
+WITH {TOPIC}, r AS (SELECT query_id, trim(topic) AS topic, {REPLY} AS reply FROM topics WHERE trim(topic) <> ''),
+l AS (SELECT *, coalesce(list_filter(list_transform(string_split(reply, chr(10)), lambda x: trim(x)), lambda x: contains(x, ','))[1], reply) AS line FROM r),
+t AS (SELECT *, list_concat([lower(topic)], list_filter(list_transform(string_split(line, ','), lambda x: regexp_replace(lower(trim(x)), '^[-*\\d.\\s]+', '')), lambda x: length(x) BETWEEN 2 AND 30 AND regexp_matches(x, '^[a-z][a-z\\s-]*$') AND len(string_split_regex(x, '\\s+')) <= 2)) AS every FROM l)
+SELECT query_id, CASE WHEN len(string_split_regex(topic, '\\s+')) > 2 OR reply = '' THEN topic ELSE array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i)[1:8], '|') END AS terms FROM t""")
 def qry05(q):
     t = R.topical_residual(q)
-    synonyms = t.filter("topic <> ''").select("topic", F.explode(F.array(F.lit("Beta!"), F.lit("alpha"))).alias("synonym"))
-    return R.expand_terms(t, synonyms)
+    return R.expand_terms(t, t.filter("topic <> ''").select("topic").distinct().withColumn("reply", F.expr(REPLY)))
 
 
 def specs(q):
@@ -112,15 +120,33 @@ def ret05(c):
     return R.semantic_rank(evidence(c)).select("query_id", "record_id", "sem_rank")
 
 
-TERMS = [(20, "the and"), (20, "tion"), (40, "que"), (40, "de la"), (60, "und die"), (60, "zzz")]
-LEX = f"""tm(query_id, term) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in TERMS)}), w AS (SELECT query_id, term, unnest(string_split(term, ' ')) AS word FROM tm), nd AS (SELECT query_id, term, count(*) AS need FROM w GROUP BY 1, 2),
-tk AS (SELECT record_id, chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM v_chunk), ex AS (SELECT record_id, chunk_id, len(t) AS n, unnest(t) AS word FROM tk),
-tf AS (SELECT record_id, chunk_id, n, word, count(*) AS tf FROM ex GROUP BY 1, 2, 3, 4), ht AS (SELECT query_id, term, record_id, chunk_id, n, count(*) AS have, sum(tf) AS tf FROM tf JOIN w USING (word) GROUP BY 1, 2, 3, 4, 5),
+# the third word of every twentieth chunk, its second and fifth as one term, and a word with other endings
+TERM_LIST = "regexp_extract_all(lower(content), '[a-z0-9]+')"
+
+
+def stems_of(words: str) -> str:
+    """CTEs that give every word of a CTE its stem, as st(word, stem)."""
+    names = dict(w="w", p1="p1", p2="p2")
+    out = [f"st_a AS (SELECT DISTINCT word, word AS w FROM {words} WHERE word NOT IN ({LISTED(stem.STOP_WORDS)}))", f"st_b AS (SELECT word, w, {stem.R1.format(**names)} AS p1 FROM st_a)", f"st_0 AS (SELECT word, w, p1, {stem.R2.format(**names)} AS p2 FROM st_b)"]
+    out += [f"st_{k + 1} AS (SELECT word, {step.format(**names)} AS w, p1, p2 FROM st_{k})" for k, step in enumerate(stem.STEPS)]
+    return ", ".join([*out, f"st AS (SELECT word, CASE WHEN length(word) > 2 AND regexp_matches(word, '^[a-z]+$') THEN w ELSE word END AS stem FROM st_{len(stem.STEPS)})"])
+
+
+LEX = f"""tk AS (SELECT record_id, chunk_id, {TERM_LIST} AS t FROM v_chunk), tm AS (SELECT chunk_id AS query_id, unnest([t[3], t[2] || ' ' || t[5], t[4] || 'ing']) AS term FROM tk WHERE chunk_id % 20 = 0),
+ex AS (SELECT record_id, chunk_id, len(t) AS n, unnest(t) AS word FROM tk), tw AS (SELECT query_id, term, unnest(string_split(term, ' ')) AS word FROM tm WHERE term IS NOT NULL), bo AS (SELECT word FROM ex UNION SELECT word FROM tw), {stems_of('bo')},
+w AS (SELECT DISTINCT query_id, term, stem FROM tw JOIN st USING (word)), nd AS (SELECT query_id, term, count(*) AS need FROM w GROUP BY 1, 2), tf AS (SELECT record_id, chunk_id, n, stem, count(*) AS tf FROM ex JOIN st USING (word) GROUP BY 1, 2, 3, 4),
+ht AS (SELECT query_id, term, record_id, chunk_id, n, count(*) AS have, sum(tf) AS tf FROM tf JOIN w USING (stem) GROUP BY 1, 2, 3, 4, 5),
 lx AS (SELECT query_id, record_id, max(round(tf / n, 9)) AS score FROM ht JOIN nd USING (query_id, term) WHERE have = need GROUP BY 1, 2), lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS lex_rank FROM lx)"""
 
 
 def lexical(c):
-    return R.lexical_rank(c, c.sparkSession.createDataFrame(TERMS, "query_id long, term string"))
+    """Ranks over stored postings."""
+    path = scratch_path(c.sparkSession, "postings")
+    R.write_postings(c, path)
+    t = c.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.expr("regexp_extract_all(lower(content), '([a-z0-9]+)', 1)").alias("t"))
+    one = lambda i: F.get("t", F.lit(i - 1))
+    terms = t.select("query_id", F.explode(F.array(one(3), F.concat(one(2), F.lit(" "), one(5)), F.concat(one(4), F.lit("ing")))).alias("term")).filter("term IS NOT NULL")
+    return R.lexical_rank(c.sparkSession.read.parquet(path), terms)
 
 
 @query("ret06_lexical_rank", "v_chunk", sql=f"WITH {LEX} SELECT query_id, record_id, lex_rank FROM lex")

@@ -99,16 +99,6 @@ def test_empty_ledger(spark):
         assert f(none).count() == 0
 
 
-def test_retrieval_in_blocks_is_the_same(spark, monkeypatch):
-    rnd = random.Random(4)
-    vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
-    chunks = spark.createDataFrame([(i, i % 7, "mandate", vec()) for i in range(60)], "chunk_id long, record_id long, facet string, embedding array<float>")
-    asked = spark.createDataFrame([(i, vec()) for i in range(9)], "query_id long, vector array<float>")
-    one = sorted(map(str, retrieve.best_evidence(chunks, asked, ["mandate"]).collect()))
-    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 4)
-    assert one == sorted(map(str, retrieve.best_evidence(chunks, asked, ["mandate"]).collect())) and len(one) == 63
-
-
 def test_vectors_of_chunks(spark):
     texts = ["Alpha beta alpha", "", None, "Émile 12"]
     got = corpus.embed_chunks(spark.createDataFrame(list(enumerate(texts)), "id long, content string")).collect()
