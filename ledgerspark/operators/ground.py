@@ -25,42 +25,62 @@ FIRM = r"\b(LLC|L\.L\.C|Inc|Incorporated|Corp|Corporation|LP|L\.P|LLP|PLC|Trust|
 LEAD_IN = r"^[\s>]*(?:[-*•]|\d+[.)])?[ \t]*(?:(?:\*\*|__)[^*_\n]{0,40}(?:\*\*|__)[ \t]*:?[ \t]*)?"
 RECORD_ID = r"(?i)\bdisc_[0-9a-f]+\b"
 NEEDLE = 4  # letters of a value that is looked for in sentences
-TAG = r"\[[A-Za-z0-9_:, ]+\]"
+TAG = r"\[[^\]]*:[^\]]*\]"
+TAG_RUN = r"([.!?])[ \t]*((?:\[[^\]]+\][ \t]*)*\[[^\]]+\])"
+# Words whose full stop ends no sentence; longer ones before those that they begin with.
+ABBREVIATIONS = ["Inc", "Ltda", "Ltd", "Corp", "Co", "LLC", "L.P", "LP", "L.L.C", "N.A", "S.A", "plc", "Pte", "Cos", "Bros", "St", "U.S", "No", "Sr", "Jr", "Mrs", "Mr", "Ms", "Dr", "Prof"]
+# The number of a list item or heading with its full stop, and what opens a block at the start of a line (\x01 stands for a guarded full stop).
+ORDINAL = r"[ \t]*(?:#{1,6}[ \t]*)?(?:\*\*|__|\*)?\s*\d+"
+BLOCK_OPENER = r"[ \t]*(?:#{1,6}[ \t]|(?:-{3,}|\*{3,}|_{3,})[ \t]*$|\||(?:\*\*|__|\*)?\s*\d+[.)\x01]|[-*•]\s)"
 STRIP_SHARE = 0.3
 
 
 def gate1(top: Column, n: Column, out_of_scope: Column) -> Column:
     """GND-02: whether to answer at all."""
-    return F.when(out_of_scope, "out_of_scope").when(n == 0, "no_candidates").when(top < 0.01, "too_weak").otherwise("answer")
+    return F.when(out_of_scope, "decline_out_of_scope").when(n == 0, "decline_zero_results").when(top < 0.01, "decline_low_score").otherwise("proceed")
 
 
 def normalize_tags(text: Column) -> Column:
-    """GND-03: tags after the end of a sentence go before its mark."""
-    return F.regexp_replace(text, rf"([.!?])((?:\s*{TAG})+)", "$2$1")
+    """GND-03: a run of tags after the end of a sentence goes before its mark."""
+    return F.regexp_replace(text, TAG_RUN, " $2$1")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def split_sentences(answers: DataFrame) -> DataFrame:
-    """GND-04: sentences of each answer: line ends and end marks before white space divide, abbreviations and list numbers do not."""
+    """GND-04: sentences of each answer, once its tags are in place: an end mark before white space divides, and a line end before a line that opens a block.
+
+    The full stop of an abbreviation and that of a list number at the start of a line (bold or in a heading, too) end no sentence. Other line ends stay within their sentence.
+    """
     mark = "\u0001"
-    text = normalize_tags(F.col("text"))
-    guarded = F.regexp_replace(text, r"\b(Inc|Ltd|Mr|Mrs|Dr|Co|vs|e\.g|i\.e|U\.S)\.", f"$1{mark}")
-    guarded = F.regexp_replace(guarded, r"(?m)^(\s*[0-9]{1,3})\.", f"$1{mark}")
-    parts = F.split(guarded, r"\n+|(?<=[.!?])\s+")
-    clean = F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, mark, "."))), lambda p: p != "")
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    guarded = F.regexp_replace(normalize_tags(F.col("text")), rf"(?<![A-Za-z0-9_])({short})\.", f"$1{mark}")
+    guarded = F.regexp_replace(guarded, rf"(^|\n)({ORDINAL})\.(?=\s|\*)", f"$1$2{mark}")
+    parts = F.split(guarded, rf"(?m)(?<=[.!?])\s+|\n+(?={BLOCK_OPENER})")
+    whole = F.filter(F.transform(parts, lambda p: F.translate(p, mark, ".")), lambda p: p.rlike(r"\S"))
     keys = [c for c in answers.columns if c != "text"]
-    return answers.select(*keys, F.posexplode(clean).alias("place", "sentence"))
+    return answers.select(*keys, F.posexplode(whole).alias("place", "sentence"))
 
 
 def parse_tags(sentences: DataFrame, keys: list[str]) -> DataFrame:
-    """GND-05: (record, field) pairs of the tags; a bare field takes the record before it in its tag run, malformed parts are marked."""
-    tags = F.regexp_extract_all("sentence", F.lit(r"\[([A-Za-z0-9_:, ]+)\]"), F.lit(1))
-    parts = F.flatten(F.transform(tags, lambda t: F.split(t, r"\s*,\s*")))
-    rows = sentences.select(*keys, F.posexplode(parts).alias("part", "raw"))
-    named = F.contains("raw", F.lit(":"))
-    own = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("record", F.last(F.when(named, F.split_part("raw", F.lit(":"), F.lit(1))), ignorenulls=True).over(own))
-    field = F.trim(F.when(named, F.split_part("raw", F.lit(":"), F.lit(2))).otherwise(F.col("raw")))
-    return rows.select(*keys, "part", "record", field.alias("field"), (F.col("record").isNull() | (field == "") | field.rlike(r"[^A-Za-z0-9_]")).alias("malformed"))
+    """GND-05: (record, field) pairs of the tags, brackets that hold a colon; a bare field takes the record before it in its own tag, parts that give no pair are malformed."""
+
+    def pairs(tag: Column) -> Column:
+        parts = F.filter(F.transform(F.split(tag, "[,;]"), strip), lambda p: p != "")
+        named = lambda p: F.contains(p, F.lit(":"))
+
+        def pair(p: Column, i: Column) -> Column:
+            record = strip(F.split_part(F.try_element_at(F.filter(F.slice(parts, F.lit(1), i + 1), named), F.lit(-1)), F.lit(":"), F.lit(1)))
+            field = strip(F.when(named(p), F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1)).otherwise(p))
+            return F.struct(record.alias("record"), field.alias("field"), (F.coalesce(record == "", F.lit(True)) | (field == "") | named(field)).alias("malformed"))
+
+        return F.transform(parts, pair)
+
+    tags = F.regexp_extract_all("sentence", F.lit(r"\[([^\]]*:[^\]]*)\]"), F.lit(1))
+    return sentences.select(*keys, F.posexplode(F.flatten(F.transform(tags, pairs))).alias("part", "p")).select(*keys, "part", "p.*")
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -71,7 +91,7 @@ def has(text: Column, pattern: str) -> Column:
 
 def shown(sentence: Column) -> Column:
     """The sentence without its tags and the spaces that they leave."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(sentence, TAG, ""), r"\s+", " "), r"\s+([.,;:!?])", "$1"))
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(sentence, TAG, ""), r"\s+", " "), r"\s+([.,;:!?])", "$1"))
 
 
 def classify_sentences(sentences: DataFrame, facts: DataFrame, keys: list[str], answer: list[str]) -> DataFrame:
@@ -84,10 +104,10 @@ def classify_sentences(sentences: DataFrame, facts: DataFrame, keys: list[str],
     known = facts.select(*answer, "record", "field").distinct().withColumn("known", F.lit(True))
     checked = pairs.join(known, [*answer, "record", "field"], "left").groupBy(*keys).agg(F.bool_or("malformed").alias("malformed"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
     text = F.col("sentence")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    structural = lambda x: F.trim(x).rlike(STRUCTURE)
-    hedge = lambda x: has(F.trim(x), f"(?i){HEDGES}") | F.trim(x).rlike(LIST_HEADER)
-    advice = ~has(text, FIGURE) & ~has(text, RECORD_ID) & ~has(text, FIRM) & (has(text, PERSON) | has(F.regexp_replace(F.trim(text), LEAD_IN, ""), OPENER))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
+    structural = lambda x: strip(x).rlike(STRUCTURE)
+    hedge = lambda x: has(strip(x), f"(?i){HEDGES}") | strip(x).rlike(LIST_HEADER)
+    advice = ~has(text, FIGURE) & ~has(text, RECORD_ID) & ~has(text, FIRM) & (has(text, PERSON) | has(F.regexp_replace(strip(text), LEAD_IN, ""), OPENER))
     rows = sentences.withColumns({
         "display": shown(text), "tagged": text.rlike(TAG), "scaffold": ~has(text, FIGURE) & F.forall(lines, structural), "hedged": F.forall(lines, lambda x: hedge(x) | (structural(x) & ~has(x, FIGURE))), "advice": advice,
     })
@@ -110,7 +130,7 @@ def classify_sentences(sentences: DataFrame, facts: DataFrame, keys: list[str],
 def entailment(classified: DataFrame, answer: list[str]) -> DataFrame:
     """GND-07: the kept text of each answer (structure goes too), and the stripped share of the characters that claim something, which may discard it."""
     bad = F.col("kind") == "invalid"
-    stripped, claimed = F.when(bad, F.length(F.trim("sentence"))).otherwise(0), F.when(F.col("kind") == "claim", F.length("display")).otherwise(0)
+    stripped, claimed = F.when(bad, F.length(strip(F.col("sentence")))).otherwise(0), F.when(F.col("kind") == "claim", F.length("display")).otherwise(0)
     kept = F.array_sort(F.collect_list(F.when(~bad & (F.col("kind") != "structural"), F.struct("place", "sentence"))))
     out = classified.groupBy(*answer).agg(F.sum(stripped).alias("stripped_chars"), F.sum(claimed).alias("claim_chars"), kept.alias("kept"))
     share = F.coalesce(F.try_divide(F.col("stripped_chars"), F.col("stripped_chars") + F.col("claim_chars")), F.lit(0.0))
@@ -121,28 +141,48 @@ def fold_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-INNER = 7  # words of a key, from the second on
+#: Words of a gram, and grams of a window; a window's anchor is its least hash. Quotes of at most two words that meet a text at once.
+GRAM, WINDOW, SHORT_BLOCK = 4, 8, 10_000
+#: Inner words from which a quote has a whole window.
+LONG_QUOTE = GRAM + WINDOW - 1
+
+
+def _grams(words: Column, n: Column) -> Column:
+    """Hashes of all runs of n words."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _anchors(words: Column) -> Column:
+    """The least hash of each window of grams."""
+    windows = lambda h: F.when(F.size(h) >= WINDOW, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.array_min(F.slice(h, i, F.lit(WINDOW)))))).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(F.array(_grams(words, F.lit(GRAM))), windows))
 
 
 def quote_candidates(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Texts that share the inner words of a quote, the first INNER at most, so that only they are compared in full (item_id, doc_id).
+    """Texts that may hold a quote, so that only they are compared in full (item_id, doc_id).
 
-    A quote may begin and end inside a word of the text, so its first and last word are in no key. Texts have keys of every
-    length that a quote needs. Quotes of at most two words have no inner word and are searched for in every text.
+    A quote may begin and end inside a word of the text, so its first and last word are in no key. Quotes of LONG_QUOTE inner words or more are found by the anchor of their
+    first window, which every text that holds the window has among its own; shorter ones by all their inner words; those of at most two words have no inner word and are searched
+    for in every text, in blocks. A text gives a number for each anchor, and one for each of its places and length of short quotes.
     """
     words = lambda c: F.split(fold_space(c), " ")
     q = quotes.filter(fold_space(F.col("text")) != "").select("item_id", fold_space(F.col("text")).alias("quote"), words(F.col("text")).alias("w"))
-    inner = F.least(F.size("w") - 2, F.lit(INNER))
-    keyed = q.filter(F.size("w") > 2).select("item_id", inner.alias("len"), F.array_join(F.slice("w", F.lit(2), inner), " ").alias("k"))
-    short = q.filter(F.size("w") <= 2).select("item_id", "quote")
-    lengths = F.broadcast(keyed.agg(F.array_sort(F.collect_set("len")).alias("lengths")))
+    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    keyed = q.filter(F.size("w") > 2).select("item_id", inner.alias("w")).withColumn("len", F.least(F.size("w"), F.lit(LONG_QUOTE)))
+    key = F.when(F.col("len") == LONG_QUOTE, F.array_min(F.slice(_grams(F.col("w"), F.lit(GRAM)), F.lit(1), F.lit(WINDOW)))).otherwise(F.xxhash64(F.array_join("w", " ")))
+    keyed = keyed.select("item_id", "len", key.alias("k"))
+    lengths = F.broadcast(keyed.agg(F.array_sort(F.collect_set("len")).alias("lengths")))  # LONG_QUOTE numbers at most
     e = evidence.select("doc_id", fold_space(F.col("text")).alias("body"))
-    starts = e.select("doc_id", F.split("body", " ").alias("w")).crossJoin(lengths).select("doc_id", "w", F.explode("lengths").alias("len"))
-    # the word before a key and the one after it must be there too
-    starts = starts.filter(F.size("w") >= F.col("len") + 2).select("doc_id", "len", "w", F.explode(F.sequence(F.lit(2), F.size("w") - F.col("len"))).alias("i"))
-    keys = starts.select("doc_id", "len", F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("k"))
-    long_ = keys.join(F.broadcast(keyed), ["len", "k"]).select("item_id", "doc_id")
-    return long_.unionByName(e.join(F.broadcast(short), F.contains("body", F.col("quote"))).select("item_id", "doc_id")).distinct()
+    own = e.select("doc_id", F.split("body", " ").alias("w")).crossJoin(lengths).select("doc_id", "w", F.explode("lengths").alias("len")).filter(F.size("w") >= F.col("len") + 2)
+    keys = own.select("doc_id", "len", F.explode(F.when(F.col("len") == LONG_QUOTE, _anchors(F.col("w"))).otherwise(F.array_distinct(_grams(F.col("w"), F.col("len"))))).alias("k"))
+    long_ = keys.join(keyed, ["len", "k"]).select("item_id", "doc_id")
+    short = q.filter(F.size("w") <= 2).select("item_id", "quote")
+    blocks = -(-short.count() // SHORT_BLOCK)
+    if not blocks:
+        return long_.distinct()
+    short = short.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    every = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return long_.unionByName(every.join(short, "block").filter(F.contains("body", F.col("quote"))).select("item_id", "doc_id")).distinct()
 
 
 def quote_grounded(quotes: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -200,17 +240,37 @@ def mechanical_type(evidence: DataFrame) -> DataFrame:
     for side, phrases in (("sfo", SFO_PHRASES), ("mfo", MFO_PHRASES)):
         rows = rows.withColumn(f"{side}_phrase", first_phrase(F.col("text"), phrases))
         has = F.col(f"{side}_phrase").isNotNull()
-        sums += [F.sum(F.when(has, F.col("weight")).otherwise(0)).alias(side), F.max_by(F.struct("seq", sentence_of(F.col("text"), F.col(f"{side}_phrase")).alias("quote")), F.when(has, order)).alias(f"{side}_best")]
+        sums += [F.sum(F.when(has, F.col("weight")).otherwise(0)).alias(side), F.max_by(F.struct("seq", "own_site", sentence_of(F.col("text"), F.col(f"{side}_phrase")).alias("quote")), F.when(has, order)).alias(f"{side}_best")]
     n = rows.groupBy("entity_id").agg(*sums)
     winner = F.when(F.col("sfo") > F.col("mfo"), "SFO").when(F.col("mfo") > F.col("sfo"), "MFO").otherwise("unconfirmed")
     best = F.when(winner == "SFO", F.col("sfo_best")).when(winner == "MFO", F.col("mfo_best"))
-    return n.select("entity_id", "sfo", "mfo", winner.alias("mechanical"), best["quote"].alias("quote"), best["seq"].alias("quote_seq"))
+    return n.select("entity_id", "sfo", "mfo", winner.alias("mechanical"), best["quote"].alias("quote"), best["seq"].alias("quote_seq"), best["own_site"].alias("quote_own"))
 
 
 def type_verdict(judged: DataFrame, mechanical: DataFrame) -> DataFrame:
-    """GND-11: the judged type if its quote is grounded and decisive, else the mechanical one; nothing unconfirmed makes a claim (entity_id, judged, grounded, decisive)."""
-    j = judged.join(mechanical, "entity_id", "left")
-    sure = F.col("grounded") & F.col("decisive")
-    final = F.when(sure & (F.col("judged") != "unconfirmed"), F.col("judged")).otherwise(F.coalesce("mechanical", F.lit("unconfirmed")))
-    confidence = F.when(sure & (F.col("judged") == F.col("mechanical")), "high").when(sure, "medium").otherwise("low")
-    return j.select("entity_id", final.alias("type_final"), confidence.alias("confidence")).filter("type_final <> 'unconfirmed'")
+    """GND-11: the claim row of each entity with evidence whose type is told; an unconfirmed one writes none.
+
+    judged: entity_id, judged, quote, grounded (the evidence holds the quote), own_site (its page is the firm's), only_name, decisive; mechanical as from GND-10, a row for every
+    entity with evidence. A judgement stands if it is made, its quote is there, grounded, more than the name and decisive: high on the firm's own page, else medium. The
+    first gate that it fails is the reason for a recovery: the mechanical type, medium on the firm's own page, else low; without one the judged type at low confidence, unverified.
+    """
+    told = F.col("judged").isin("SFO", "MFO")
+    sure = lambda c: F.coalesce(F.col(c), F.lit(False))
+    reason = (
+        F.when(~F.coalesce(told, F.lit(False)) | F.upper(strip(F.coalesce(F.col("j.quote"), F.lit("")))).isin("", "NONE"), "llm_declined")
+        .when(~sure("grounded"), "quote_not_grounded").when(sure("only_name"), "quote_is_only_the_name").when(~sure("decisive"), "quote_not_decisive")
+    )
+    rows = mechanical.alias("m").join(judged.alias("j"), "entity_id").withColumn("reason", reason)
+    found = F.col("mechanical") != "unconfirmed"
+    stands, recovered = F.col("reason").isNull(), F.col("reason").isNotNull() & found
+    own = F.when(stands, sure("own_site")).when(recovered, sure("quote_own")).otherwise(F.lit(False))
+    out = rows.select(
+        "entity_id",
+        F.when(stands, F.col("judged")).when(found, F.col("mechanical")).when(told, F.col("judged")).alias("type_final"),
+        F.when(stands, F.when(own, "high").otherwise("medium")).when(recovered & own, "medium").otherwise("low").alias("confidence"),
+        F.when(own, "confirmed").otherwise("single_source").alias("status"),
+        F.when(own, "site_scrape").otherwise("serper_organic").alias("source_class"),
+        F.when(stands, F.col("j.quote")).when(recovered, F.col("m.quote")).alias("quote"),
+        F.concat_ws(";", "reason", F.when(stands, F.lit(None)).when(recovered, "recovered_mechanically").otherwise("llm_unverified"), F.when(stands | recovered, F.when(own, "own_site").otherwise("third_party"))).alias("basis"),
+    )
+    return out.filter("type_final IS NOT NULL")

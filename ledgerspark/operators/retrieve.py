@@ -434,7 +434,7 @@ def query_log_stats(log: DataFrame) -> DataFrame:
     log: intent, relaxed_filters, retrieved_record_ids, top_score, gate1_decision, gate2_decision, stripped_fraction, as the log row has them.
     """
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    refused = (F.col("gate1_decision") == "refuse") | (F.col("gate2_decision") == "refuse")
+    refused = (F.col("gate1_decision") != "proceed") | F.coalesce(F.col("gate2_decision") == "discard_over_threshold", F.lit(False))
     return log.groupBy("intent").agg(
         F.count(F.lit(1)).alias("queries"),
         F.count_if(some("relaxed_filters")).alias("relaxed"),

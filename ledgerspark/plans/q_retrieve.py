@@ -265,12 +265,12 @@ def agg03(answers):
 
 
 LOG = """SELECT role AS intent, CASE WHEN turn % 2 = 0 THEN {none} ELSE {one} END AS relaxed_filters, CASE WHEN length(text) % 5 = 0 THEN {none} ELSE {one} END AS retrieved_record_ids, CASE WHEN turn % 7 > 0 THEN length(text) / 1000.0 END AS top_score,
- CASE WHEN length(text) % 11 = 0 THEN 'refuse' ELSE 'answer' END AS gate1_decision, CASE WHEN turn % 5 = 4 THEN 'refuse' WHEN turn % 5 = 3 THEN NULL ELSE 'answer' END AS gate2_decision, (turn % 4) / 4.0 AS stripped_fraction FROM v_answer"""
+ CASE length(text) % 11 WHEN 0 THEN 'decline_low_score' WHEN 1 THEN 'decline_out_of_scope' WHEN 2 THEN 'decline_zero_results' ELSE 'proceed' END AS gate1_decision, CASE WHEN length(text) % 11 < 3 THEN NULL WHEN turn % 5 = 4 THEN 'discard_over_threshold' ELSE 'proceed' END AS gate2_decision, (turn % 4) / 4.0 AS stripped_fraction FROM v_answer"""
 
 
 @query("agg03_query_log_stats", "v_answer", sql=f"""
 WITH log AS ({LOG.format(none="[]", one="['x']")})
-SELECT intent, count(*) AS queries, count(*) FILTER (len(relaxed_filters) > 0) AS relaxed, count(*) FILTER (len(retrieved_record_ids) = 0) AS empty, count(*) FILTER (gate1_decision = 'refuse' OR gate2_decision = 'refuse') AS refused,
+SELECT intent, count(*) AS queries, count(*) FILTER (len(relaxed_filters) > 0) AS relaxed, count(*) FILTER (len(retrieved_record_ids) = 0) AS empty, count(*) FILTER (starts_with(gate1_decision, 'decline') OR starts_with(gate2_decision, 'discard')) AS refused,
  round(avg(CAST(top_score AS DOUBLE)), 6) AS mean_top_score, round(avg(CAST(stripped_fraction AS DOUBLE)), 6) AS mean_stripped FROM log GROUP BY intent""")
 def agg03_log(answers):
     columns = LOG.format(none="CAST(array() AS array<string>)", one="array('x')").removeprefix("SELECT ").rsplit(" FROM ", 1)[0]
