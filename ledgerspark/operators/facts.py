@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import provenance_rank
-from .ledger import status_rank
+from .ledger import status_rank, uuid5_url
 from .resolve import core_name_phrase, holdings_quarter, person_names_match
 
 SETTLED_CLASSES = ["13f_filing", "5500_filing", "adv_index", "conference_sighting", "domain_check"]
@@ -105,11 +107,16 @@ def claim(df: DataFrame, field: str, answer: Column, method: str) -> DataFrame:
 
 
 def aum_claims(sources: DataFrame) -> DataFrame:
-    """DER-01: assets from the latest 13F; from the adviser rows only for entities without one."""
+    """DER-01: assets from the latest 13F with basis and quarter; from the adviser rows, with the day they were retrieved, only for entities without one."""
     last = latest_per_class(sources)
     f13 = last.filter("source_class = '13f_filing'")
-    adv = last.filter("source_class = 'adv_name'").join(f13.select("entity_id"), "entity_id", "left_anti")
-    return claim(f13, "aum_usd", F.col("value_usd"), "derived_13f").unionByName(claim(f13, "aum_as_of", holdings_quarter(F.col("filed_year"), F.col("filed_qtr")), "derived_13f")).unionByName(claim(adv, "aum_usd", F.col("value_usd"), "adv_raum"))
+    adv = last.filter("source_class = 'adv_name' AND value_usd IS NOT NULL").join(f13.select("entity_id"), "entity_id", "left_anti")
+    held, quarter = f13.filter("value_usd IS NOT NULL"), holdings_quarter(F.col("filed_year"), F.col("filed_qtr"))
+    parts = [
+        claim(held, "aum_usd", F.col("value_usd"), "derived_13f"), claim(held, "aum_basis", F.lit("13f_floor"), "derived_13f"), claim(f13, "aum_as_of", quarter, "derived_13f").filter("answer IS NOT NULL"),
+        claim(adv, "aum_usd", F.col("value_usd"), "adv_raum"), claim(adv, "aum_basis", F.lit("adv_raum"), "adv_raum"), claim(adv.filter("retrieved_at IS NOT NULL"), "aum_as_of", F.to_date("retrieved_at"), "adv_raum"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def why_now_from_delta(sources: DataFrame) -> DataFrame:
@@ -131,10 +138,13 @@ def access_window(sources: DataFrame, today: str) -> DataFrame:
 
 
 def principal_from_people(people: DataFrame) -> DataFrame:
-    """DER-05: the first named person of a source row (seq, place, name, full_name, title)."""
-    named = people.withColumn("who", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("full_name"), F.lit("")))).filter("who IS NOT NULL")
+    """DER-05: the first named person of a source row (seq, place, name, full_name, title, occupation, role, source_class); rows of the structured classes have none."""
+    if "source_class" in people.columns:
+        people = people.filter(~F.col("source_class").isin(SETTLED_CLASSES))
+    named = people.withColumn("who", F.coalesce(F.nullif("name", F.lit("")), F.nullif("full_name", F.lit("")))).filter("who IS NOT NULL")
     own = Window.partitionBy("seq").orderBy("place")
-    return named.withColumn("n", F.row_number().over(own)).filter("n = 1").select("seq", "entity_id", F.col("who").alias("principal_name"), "title")
+    more = [c for c in ("source_class",) if c in people.columns]
+    return named.withColumn("n", F.row_number().over(own)).filter("n = 1").select("seq", "entity_id", F.col("who").alias("principal_name"), F.coalesce(*[F.nullif(c, F.lit("")) for c in ("title", "occupation", "role") if c in people.columns]).alias("title"), *more)
 
 
 def discovery_class_claims(sources: DataFrame) -> DataFrame:
@@ -168,18 +178,30 @@ def winner_order() -> list[Column]:
     return [status_rank(F.col("status")), F.desc_nulls_last("retrieved_at"), F.asc("claim_id")]
 
 
+def _given(value: Column) -> Column:
+    """The value without white space around it, null if nothing is left."""
+    return F.nullif(F.regexp_replace(value, r"^\s+|\s+$", ""), F.lit(""))
+
+
 def project_people_pair(ledger: DataFrame) -> DataFrame:
-    """DER-09: the name whose title on the same page is the most senior; a name without title still counts."""
-    fit = ledger.filter(F.col("status").isin(PROJECTABLE) & F.col("answer").isNotNull())
-    titles = fit.filter("question_id = 'G2.Q3' AND source_url IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "source_url").orderBy(*winner_order()))).filter("n = 1")
-    titles = titles.select("entity_id", "source_url", F.col("answer").alias("title"))
-    names = fit.filter("question_id = 'G2.Q1'").join(titles, ["entity_id", "source_url"], "left")
+    """DER-09: of the researched names (their distilled value) the one whose title on the same page is the most senior; a name without title still counts.
+
+    The page's title is its best projectable answer, distilled or not: entity_id, principal_name, principal_title, claim_id, title_id and title_distilled.
+    """
+    fit = ledger.filter(F.col("status").isin(PROJECTABLE)).withColumn("value", _given(F.col("subject_value")))
+    titles = fit.filter("question_id = 'G2.Q3' AND source_url <> ''").withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "source_url").orderBy(*winner_order()))).filter("n = 1")
+    titles = titles.select("entity_id", "source_url", F.coalesce("value", _given(F.col("answer"))).alias("title"), F.col("claim_id").alias("title_id"), F.col("value").isNotNull().alias("title_distilled"))
+    names = fit.filter("question_id = 'G2.Q1' AND value IS NOT NULL").join(titles, ["entity_id", "source_url"], "left")
     best = names.withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy(role_rank(F.coalesce("title", F.lit(""))), *winner_order()))).filter("n = 1")
-    return best.select("entity_id", F.col("answer").alias("principal_name"), F.col("title").alias("principal_title"), "claim_id")
+    return best.select("entity_id", F.col("subject_value").alias("principal_name"), F.col("title").alias("principal_title"), "claim_id", "title_id", "title_distilled")
 
 
 # The field that a question fills.
 PROJECTION = {"G2.Q1": "principal_name", "G2.Q3": "principal_title", "G3.Q1": "recent_investments", "G3.Q2": "important_insight"}
+PROSE = ["important_insight", "recent_investments"]
+STRUCTURED = "^derived_(13f|5500|conference)"
+PROFILE = "linkedin.com/in/"
+LONGEST_TITLE = 80
 
 
 def is_negative_answer(text: Column) -> Column:
@@ -188,27 +210,56 @@ def is_negative_answer(text: Column) -> Column:
     return plain.rlike(r"^(no|none|not|never|unable|insufficient)( |$)|^there (is|are) no( |$)")
 
 
-def project_questions(ledger: DataFrame) -> DataFrame:
-    """DER-10: best live answer of a question as a field claim, prose only if it isn't negative, and only where nothing derived settled the field."""
-    fit = ledger.filter(F.col("status").isin(PROJECTABLE) & F.col("question_id").isin(list(PROJECTION)) & F.col("answer").isNotNull())
-    best = fit.withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "question_id").orderBy(*winner_order()))).filter("n = 1")
-    field = F.coalesce(*[F.when(F.col("question_id") == q, F.lit(f)) for q, f in PROJECTION.items()])
-    best = best.withColumn("field", field).filter(~(F.col("question_id").startswith("G3") & is_negative_answer(F.col("answer"))))
-    settled = ledger.filter(F.col("extraction_method").startswith("derived_") & ~F.col("status").isin(ALIVE)).select("entity_id", F.col("field_name").alias("field")).distinct()
-    return best.join(settled, ["entity_id", "field"], "left_anti").select("entity_id", "field", "answer", "claim_id")
-
-
 def title_matches_firm(title: Column, firm: Column) -> Column:
     """DER-12: the title reads as the firm: one core phrase is or holds the other; an empty phrase is neither."""
     t, f = core_name_phrase(title), core_name_phrase(firm)
     return F.coalesce((t != "") & (f != "") & (F.contains(f, t) | F.contains(t, f)), F.lit(False))
 
 
+def is_malformed_title(title: Column) -> Column:
+    """DER-12: blank, over LONGEST_TITLE characters, or a negation."""
+    t = _given(F.coalesce(title, F.lit("")))
+    return t.isNull() | (F.length(t) > LONGEST_TITLE) | is_negative_answer(t)
+
+
 def is_plausible_title(title: Column, person: Column, firm: Column) -> Column:
-    """DER-12: not blank, at most 80 characters, no negation, neither the person nor the firm."""
-    t = F.trim(F.coalesce(title, F.lit("")))
-    mine = F.coalesce(person_names_match(t, person), F.lit(False))
-    return (t != "") & (F.length(t) <= 80) & ~is_negative_answer(t) & ~mine & ~title_matches_firm(t, firm)
+    """DER-12: well formed, and neither the person nor the firm."""
+    t = F.coalesce(_given(title), F.lit(""))
+    return ~is_malformed_title(title) & ~person_names_match(t, person) & ~title_matches_firm(t, firm)
+
+
+def structured_fields(claims: DataFrame) -> DataFrame:
+    """Fields that a live structured derivation has settled (entity_id, field)."""
+    live = F.col("field_name").isNotNull() & F.col("extraction_method").rlike(STRUCTURED) & ~F.coalesce(F.col("status").isin(ALIVE), F.lit(False))
+    return claims.filter(live).select("entity_id", F.col("field_name").alias("field")).distinct()
+
+
+def project_questions(ledger: DataFrame, firms: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """DER-10: researched answers as field claims (entity_id, field, answer, claim_id, question_id), only where nothing structured settled the field (firms: entity_id, firm).
+
+    Name and title come as the pair of DER-09. Every other question gives its winner, if that is projectable: its distilled value, a profile URL only if it is a person's; without one
+    the prose of the two prose fields, unless it is negative, or a title that stands all checks. A distilled title need only be well formed.
+    """
+    pair = project_people_pair(ledger).join(firms, "entity_id", "left")
+    title = F.col("principal_title")
+    fit = F.when(F.col("title_distilled"), ~is_malformed_title(title)).otherwise(is_plausible_title(title, F.col("principal_name"), F.col("firm")))
+    named = pair.select("entity_id", F.lit("principal_name").alias("field"), F.col("principal_name").alias("answer"), "claim_id", F.lit("G2.Q1").alias("question_id"))
+    titled = pair.filter(title.isNotNull() & fit).select("entity_id", F.lit("principal_title").alias("field"), title.alias("answer"), F.col("title_id").alias("claim_id"), F.lit("G2.Q3").alias("question_id"))
+
+    asked = ledger.filter(F.col("question_id").isin([*PROJECTION, "G2.Q2"]))
+    best = asked.withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "question_id").orderBy(*winner_order()))).filter("n = 1").filter(F.col("status").isin(PROJECTABLE))
+    said = ledger.filter((F.col("question_id") == "G2.Q1") & _given(F.col("subject_value")).isNotNull()).groupBy("entity_id").agg(F.min_by(_given(F.col("subject_value")), F.struct("created_at", "seq")).alias("person"))
+    rows = best.join(said, "entity_id", "left").join(firms, "entity_id", "left").join(pair.select("entity_id", F.lit(True).alias("paired")), "entity_id", "left")
+    value, text = _given(F.col("subject_value")), _given(F.col("answer"))
+    field = F.coalesce(*[F.when(F.col("question_id") == q, F.lit(f)) for q, f in PROJECTION.items()], F.when(F.contains(F.lower("subject_value"), F.lit(PROFILE)), F.lit("principal_linkedin")))
+    rows = rows.withColumn("field", field).filter("field IS NOT NULL AND NOT (question_id IN ('G2.Q1', 'G2.Q3') AND coalesce(paired, false))")
+    as_title = F.when(value.isNotNull(), F.when(~is_malformed_title(value), value)).otherwise(F.when(is_plausible_title(text, F.col("person"), F.col("firm")), text))
+    other = F.when(value.isNotNull(), F.col("subject_value")).otherwise(F.when(F.col("field").isin(PROSE) & ~is_negative_answer(F.coalesce(text, F.lit(""))), text))
+    rest = rows.withColumn("out", F.when(F.col("field") == "principal_title", as_title).otherwise(other)).filter("out IS NOT NULL").select("entity_id", "field", F.col("out").alias("answer"), "claim_id", "question_id")
+
+    done = structured_fields(ledger)
+    done = done if settled is None else done.unionByName(settled).distinct()
+    return named.unionByName(titled).unionByName(rest).join(done, ["entity_id", "field"], "left_anti")
 
 
 def select_principal(claims: DataFrame) -> DataFrame:
@@ -217,18 +268,57 @@ def select_principal(claims: DataFrame) -> DataFrame:
     return live.groupBy("entity_id").agg(F.min_by(F.struct("answer", "claim_id"), F.struct(provenance_rank(F.col("extraction_method")).alias("r"), "created_at", "seq")).alias("c")).select("entity_id", F.col("c.answer").alias("principal_name"), F.col("c.claim_id").alias("claim_id"))
 
 
-def reconcile_titles(claims: DataFrame) -> DataFrame:
-    """DER-13: titles that are the winning name itself, or derived titles beside a researched name, are superseded."""
-    best = select_principal(claims).select("entity_id", F.col("principal_name").alias("winner"), F.col("claim_id").alias("winner_id"))
-    rank = claims.select(F.col("claim_id").alias("winner_id"), provenance_rank(F.col("extraction_method")).alias("winner_rank"))
-    marked = claims.join(best.join(rank, "winner_id"), "entity_id", "left")
-    wrong = (F.col("field_name") == "principal_title") & ((F.lower("answer") == F.lower("winner")) | ((provenance_rank(F.col("extraction_method")) == 1) & (F.col("winner_rank") == 0)))
-    return marked.withColumn("status", F.when(F.coalesce(wrong, F.lit(False)), "superseded").otherwise(F.col("status")))
-
-
-def wave_minus_1(sources: DataFrame, today: str) -> DataFrame:
-    """DER-15: all claims that the sources alone give."""
-    delta = claim(why_now_from_delta(sources), "important_insight", F.col("trigger"), "derived_13f_qoq")
-    window = claim(access_window(sources, today), "important_insight", F.concat(F.lit("access_window "), "day"), "derived_conference")
-    flags = discovery_class_claims(sources).select("entity_id", "field_name", F.lit("true").alias("answer"), F.lit("derived_entity_sources").alias("extraction_method"))
-    return aum_claims(sources).unionByName(delta).unionByName(headcount_claim(sources)).unionByName(window).unionByName(flags)
+def reconcile_titles(claims: DataFrame, order: list[str]) -> DataFrame:
+    """DER-13: titles that are no title of the winning name are superseded, never deleted.
+
+    claims: entity_id, field_name, answer, extraction_method, status, owner (whose title a derived one is), firm, and the columns of their order. The winner is the name of the best
+    provenance, first seen on ties, whatever its status. A title goes if it is the winner's name or the firm's, or if it is derived and its owner isn't the winner; without a winner only the firm is looked at.
+    """
+    named = claims.filter((F.col("field_name") == "principal_name") & _given(F.col("answer")).isNotNull())
+    best = named.groupBy("entity_id").agg(F.min_by("answer", F.struct(provenance_rank(F.col("extraction_method")).alias("r"), *order)).alias("winner"))
+    rows = claims.join(best, "entity_id", "left")
+    derived = F.coalesce(F.col("extraction_method").startswith("derived_"), F.lit(False))
+    wrong = person_names_match(F.col("answer"), F.col("winner")) | title_matches_firm(F.coalesce("answer", F.lit("")), F.col("firm")) | (F.col("winner").isNotNull() & derived & ~person_names_match(F.col("owner"), F.col("winner")))
+    status = F.when((F.col("field_name") == "principal_title") & F.coalesce(wrong, F.lit(False)), "superseded").otherwise(F.col("status"))
+    return rows.withColumn("status", status).drop("winner")
+
+
+def wave_minus_1(sources: DataFrame, today: str, people: DataFrame, entities: DataFrame, listed: DataFrame, research: DataFrame) -> DataFrame:
+    """DER-15: all claims that sources, lists and earlier research alone give, with stable ids (entity_id, claim_id, field_name, answer, extraction_method, source_class, status).
+
+    people: as for DER-05, with source_class; entities: record_id, firm, names; listed: name; research: a ledger with subject_value. An id is drawn from entity, field, class, method and answer,
+    so the same sources give the same claims again.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    columns = ["entity_id", "field_name", "answer", "extraction_method", "source_class", "owner", "part", "at", "shown"]
+
+    def part(df: DataFrame, source_class: Column, nth: int, at: str | None = None, owner: str | None = None, shown: Column | None = None) -> DataFrame:
+        null = F.lit(None).cast("string")
+        full = df.withColumns({"source_class": source_class, "owner": F.col(owner) if owner else null, "part": F.lit(nth), "at": F.col(at).cast("long") if at else F.lit(0).cast("long"), "shown": shown if shown is not None else text("answer")})
+        return full.select(*columns)
+
+    aum = aum_claims(sources)
+    f13, adv, sighted = F.lit("13f_filing"), F.lit("adv_name"), F.lit("conference_sighting")
+    who = principal_from_people(people)
+    names = who.withColumns({"field_name": F.lit("principal_name"), "answer": F.col("principal_name"), "extraction_method": F.concat(F.lit("derived_"), "source_class")})
+    titles = who.filter(_given(F.col("title")).isNotNull()).withColumns({"field_name": F.lit("principal_title"), "answer": F.col("title"), "extraction_method": F.concat(F.lit("derived_"), "source_class")})
+    flags = sources.select("entity_id", "source_class").distinct().withColumns({"field_name": F.concat(F.lit("discovery_class_"), "source_class"), "answer": F.lit("true"), "extraction_method": F.lit("derived_entity_sources")})
+    overlap = public_list_overlap(entities, listed).select(F.col("record_id").alias("entity_id"), F.lit("public_list_overlap").alias("field_name"), F.col("overlap").alias("answer"), F.lit("derived_public_list_match").alias("extraction_method"))
+    listing = F.concat(F.lit("['"), F.replace("answer", F.lit("|"), F.lit("', '")), F.lit("']"))
+    parts = [
+        part(aum, F.when(F.col("extraction_method") == "adv_raum", adv).otherwise(f13), 0),
+        part(claim(why_now_from_delta(sources), "important_insight", F.col("trigger"), "derived_13f_qoq"), f13, 1),
+        part(headcount_claim(sources), F.lit("5500_filing"), 2),
+        part(claim(access_window(sources, today), "important_insight", F.lit("access_window"), "derived_conference"), sighted, 3),
+        part(names, F.col("source_class"), 4, "seq"), part(titles, F.col("source_class"), 4, "seq", "principal_name"),
+        part(flags, F.col("source_class"), 5, shown=F.lit("True")), part(overlap, F.lit("public_list"), 6, shown=listing),
+    ]
+    derived = reduce(DataFrame.unionByName, parts)
+    settled = structured_fields(derived.withColumn("status", F.lit("confirmed")))
+    firms = entities.select(F.col("record_id").alias("entity_id"), "firm")
+    projected = project_questions(research, firms, settled).join(research.select("claim_id", "source_class"), "claim_id")
+    projected = projected.withColumns({"field_name": F.col("field"), "extraction_method": F.concat(F.lit("projected_"), "question_id")})
+    every = derived.unionByName(part(projected, F.col("source_class"), 7)).withColumn("status", F.lit("confirmed")).join(firms, "entity_id", "left")
+    out = reconcile_titles(every, ["part", "at"])
+    minted = uuid5_url(F.concat_ws("|", text("entity_id"), text("field_name"), text("source_class"), text("extraction_method"), F.col("shown")))
+    return out.withColumn("claim_id", minted).select("entity_id", "claim_id", "field_name", "answer", "extraction_method", "source_class", "status")

@@ -174,10 +174,10 @@ SPENT = ["not enough credits", "no credits", "insufficient credit", "consumed al
 
 
 def is_exhausted(status: Column, body: Column, rule: str = "batch") -> Column:
-    """TOOL-05: whether a response says that a key is spent. 429 alone says so in the batch rule; the watch rule takes it as throttling."""
+    """TOOL-05: whether a response says that a key is spent: a client error with a phrase of a spent balance. 429 alone says so in the batch rule; the watch rule takes every 429 as throttling."""
     words = F.exists(F.array(*[F.lit(p) for p in SPENT]), lambda p: F.contains(F.lower(F.coalesce(body, F.lit(""))), p))
-    said = status.isin(400, 401, 402, 403, 429) & words
-    return (status == 429) | said if rule == "batch" else said
+    said = F.coalesce(status.isin(400, 401, 402, 403), F.lit(False)) & words
+    return F.coalesce(status == 429, F.lit(False)) | said if rule == "batch" else said
 
 
 UNFINISHED = ["running", "failed", "retry"]

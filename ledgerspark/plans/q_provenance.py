@@ -136,12 +136,15 @@ def tool04(runs):
     return P.recent_calls(runs, "r7", 25).select("seq", "tool", "duration_ms")
 
 
-@query("tool05_is_exhausted", "v_run", sql="""
-WITH x AS (SELECT seq, CASE seq % 4 WHEN 0 THEN 429 WHEN 1 THEN 400 WHEN 2 THEN 401 ELSE 500 END AS s, CASE WHEN seq % 3 = 0 THEN 'Not enough CREDITS' ELSE 'bad query' END AS b FROM v_run)
-SELECT seq, s = 429 OR (s <> 500 AND b LIKE 'Not%') AS batch_rule, s <> 500 AND b LIKE 'Not%' AS watch_rule FROM x""")
+STATUS = "CASE seq % 7 WHEN 0 THEN 429 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 402 WHEN 4 THEN 403 WHEN 5 THEN 500 END"
+BODY = "CASE seq % 11 " + " ".join(f"WHEN {k} THEN 'X {p.upper()}: ' || tool" for k, p in enumerate(P.SPENT)) + " WHEN 8 THEN 'rate limit' WHEN 9 THEN tool END"
+SPENT_SQL = " OR ".join(f"contains(lower(coalesce(b, '')), '{p}')" for p in P.SPENT)
+
+
+@query("tool05_is_exhausted", "v_run", sql=f"""
+WITH x AS (SELECT seq, {STATUS} AS s, {BODY} AS b FROM v_run), y AS (SELECT seq, coalesce(s, 0) AS s, {SPENT_SQL} AS said FROM x) SELECT seq, s = 429 OR (s BETWEEN 400 AND 403 AND said) AS batch_rule, s BETWEEN 400 AND 403 AND said AS watch_rule FROM y""")
 def tool05(runs):
-    s, b = F.expr("CASE seq % 4 WHEN 0 THEN 429 WHEN 1 THEN 400 WHEN 2 THEN 401 ELSE 500 END"), F.expr("CASE WHEN seq % 3 = 0 THEN 'Not enough CREDITS' ELSE 'bad query' END")
-    return runs.select("seq", P.is_exhausted(s, b).alias("batch_rule"), P.is_exhausted(s, b, "watch").alias("watch_rule"))
+    return runs.select("seq", P.is_exhausted(F.expr(STATUS), F.expr(BODY)).alias("batch_rule"), P.is_exhausted(F.expr(STATUS), F.expr(BODY), "watch").alias("watch_rule"))
 
 
 TIERS = {"fec_employer": 0, "adv_name": 1, "conference_sighting": 5}

@@ -6,23 +6,33 @@ from pyspark.sql import functions as F
 
 from ..functions.web import dedupe_key
 from ..operators import watch as W
-from .q_contacts import HOST, NEWS
+from .q_contacts import HOST, IS_ROLE, NEWS, PLAIN_LOCAL, WIDE
 from .registry import query
 
-KIND = "CASE field_name WHEN 'important_insight' THEN 'why_now' WHEN 'recent_news' THEN 'firm_news' END"
-BASE = f"b AS (SELECT entity_id AS record_id, {KIND} AS kind, answer AS title, CAST(retrieved_at AS DATE) AS day, source_url, seq FROM v_ledger WHERE field_name IN ('important_insight', 'recent_news') AND status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted', 'superseded') AND trim(coalesce(answer, '')) <> '')"
+KIND = "CASE field_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.KINDS.items()) + " END"
+#: Ledger rows of the signal fields with values of every kind: prose, short ones, tokens, blanks.
+FIELD = "CASE field_name WHEN 'aum_usd' THEN 'recent_investments' WHEN 'principal_title' THEN 'recent_key_hires' WHEN 'important_insight' THEN CASE WHEN seq % 2 = 0 THEN 'recent_fund_commitments' ELSE field_name END ELSE field_name END"
+VALUE = "CASE seq % 8 WHEN 0 THEN 'META_TITLE_QUOTE' WHEN 1 THEN answer WHEN 2 THEN '   short   one ' WHEN 3 THEN NULL WHEN 4 THEN '            ' ELSE '  Opened an office in year ' || coalesce(answer, '') || chr(10) END"
+PROV = f"SELECT seq, entity_id, {FIELD} AS field_name, status, {VALUE} AS answer, retrieved_at, source_url, source_class, confidence FROM v_ledger"
+SIGNAL_LIST = ", ".join(f"'{f}'" for f in W.KINDS)
+BASE = f"""pr AS ({PROV}), ok AS (SELECT *, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') AS v FROM pr WHERE field_name IN ({SIGNAL_LIST}) AND status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted')),
+b AS (SELECT entity_id AS record_id, {KIND} AS kind, v AS title, CASE WHEN field_name = 'important_insight' THEN v END AS meaning, CAST(retrieved_at AS DATE) AS day, source_url, {HOST.replace('url', 'source_url')} AS source_domain, source_class AS source_name, confidence, field_name, seq FROM ok WHERE length(v) >= 12 AND NOT regexp_matches(v, '^[A-Z_]+$'))"""
 
 
-@query("wat01_baseline_signals", "v_ledger", sql=f"WITH {BASE} SELECT record_id, kind, title, strftime(day, '%Y-%m-%d') AS day, source_url, seq FROM b")
+def prov(ledger):
+    return ledger.sparkSession.sql(PROV.replace("v_ledger", "{v}"), v=ledger)
+
+
+@query("wat01_baseline_signals", "v_ledger", sql=f"WITH {BASE} SELECT * EXCLUDE (day), strftime(day, '%Y-%m-%d') AS day FROM b")
 def wat01(ledger):
-    return W.baseline_signals(ledger).withColumn("day", F.col("day").cast("string"))
+    return W.baseline_signals(prov(ledger)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("wat02_watch_board", "v_ledger", "v_entity", sql=f"""
-WITH {BASE}, u AS (SELECT record_id, day FROM b UNION ALL SELECT record_id, day FROM b WHERE seq % 3 = 0) SELECT u.record_id, name_raw AS name, count(*) AS signals, count(day) AS dated, strftime(max(day), '%Y-%m-%d') AS newest FROM u JOIN v_entity e ON u.record_id = e.record_id GROUP BY 1, 2""")
+WITH {BASE}, u AS (SELECT record_id, day FROM b UNION ALL SELECT record_id, day FROM b WHERE kind = 'personnel') SELECT u.record_id, name_raw AS name, count(*) AS signals, count(day) AS dated, strftime(max(day), '%Y-%m-%d') AS newest FROM u JOIN v_entity e ON u.record_id = e.record_id GROUP BY 1, 2""")
 def wat02(ledger, entities):
-    b = W.baseline_signals(ledger)
-    return W.watch_board(b, b.filter("seq % 3 = 0"), entities.select("record_id", F.col("name_raw").alias("name")))
+    b = W.baseline_signals(prov(ledger))
+    return W.watch_board(b, b.filter("kind = 'personnel'"), entities.select("record_id", F.col("name_raw").alias("name")))
 
 
 NOW = "2024-06-30 00:00:00"
@@ -44,13 +54,30 @@ def wat03(p):
     return W.accept_article(articles(p), NOW, 90).select("page_id", "result")
 
 
-RAW = "CASE doc_id % 7 WHEN 0 THEN '20240610T120000Z' WHEN 1 THEN '2024-06-10T12:00:00Z' WHEN 2 THEN '3 weeks ago' WHEN 3 THEN 'Jun 10, 2024' WHEN 4 THEN '5 hours ago' WHEN 5 THEN '2 months ago' ELSE 'soon' END"
-
-
-@query("wat04_parse_article_date", "v_doc", sql="""
-SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '2024-06-10 12:00:00' WHEN 1 THEN '2024-06-10 12:00:00' WHEN 2 THEN '2024-06-09 00:00:00' WHEN 3 THEN '2024-06-10 00:00:00' WHEN 4 THEN '2024-06-29 19:00:00' WHEN 5 THEN '2024-04-30 00:00:00' END AS at FROM v_doc""")
+AT = "2024-05-31 13:05:09"
+#: Dates as sources write them, <n> a number from 1 to 28, <y> a year, <t> a time of day.
+DATED = [
+    "20240610T1<t>00Z", "2024-06-1<d>T12:00:00Z", "<n> weeks ago", "Jun <n>, <y>", "<n> hours ago", "<n> Months ago", "soon", "<y>-06-20T12:00:00.25Z", "2024-06-<m>T12:00:00+0<d>:30", "mar <n> <y>", "<n> years ago", "<y>-03-0<d>", "1 day ago", "<n> minutes ago", "", "  2024-06-<m> 10:<t>  ",
+    "Foo <n>, <y>", "2024-13-45", "20241345T000000Z", "<n> month  ago", "Feb 30, <y>",
+]
+RAW = "CASE doc_id % " + str(len(DATED)) + " " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(DATED)) + " END"
+for mark, value in (("n", "CAST(1 + doc_id % 28 AS STRING)"), ("y", "CAST(2015 + doc_id % 12 AS STRING)"), ("d", "CAST(1 + doc_id % 9 AS STRING)"), ("m", "CAST(10 + doc_id % 19 AS STRING)"), ("t", "CAST(10 + doc_id % 50 AS STRING)")):
+    RAW = f"replace({RAW}, '<{mark}>', {value})"
+ISO = "^\\d{4}-\\d{2}-\\d{2}(?:[T ]\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?)?$"
+AGO = "(?i)^(\\d+)\\s+(hour|day|week|month|year)s?\\s+ago$"
+
+
+@query("wat04_parse_article_date", "v_doc", sql=f"""
+WITH r AS (SELECT doc_id, trim({RAW}) AS s FROM v_doc), x AS (SELECT *, TRY_CAST(regexp_extract(s, '{AGO}', 1) AS INT) AS n, lower(regexp_extract(s, '{AGO}', 2)) AS unit, list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(regexp_extract(s, '^([A-Za-z]{{3}})\\s+(\\d{{1,2}}),?\\s+(\\d{{4}})$', 1))) AS mon,
+ TRY_CAST(regexp_extract(s, '^[A-Za-z]{{3}}\\s+(\\d{{1,2}}),?\\s+(\\d{{4}})$', 1) AS INT) AS dd, TRY_CAST(regexp_extract(s, '^[A-Za-z]{{3}}\\s+(\\d{{1,2}}),?\\s+(\\d{{4}})$', 2) AS INT) AS yy FROM r),
+t AS (SELECT doc_id, coalesce(CASE WHEN regexp_matches(s, '^\\d{{8}}T\\d{{6}}Z$') THEN try_strptime(s, '%Y%m%dT%H%M%SZ') END,
+ CASE WHEN regexp_matches(s, '{ISO}') THEN CASE WHEN regexp_extract(s, '{ISO}', 1) IN ('', 'Z') THEN TRY_CAST(replace(s, 'Z', '') AS TIMESTAMP) ELSE TRY_CAST(left(s, 19) AS TIMESTAMP) - (CASE WHEN s[20] = '-' THEN -1 ELSE 1 END) * (INTERVAL 1 MINUTE * (CAST(s[21:22] AS INT) * 60 + CAST(right(s, 2) AS INT))) END END,
+ TIMESTAMP '{AT}' - CASE unit WHEN 'hour' THEN INTERVAL 1 HOUR WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY END * n,
+ CASE WHEN unit IN ('month', 'year') THEN date_trunc('month', TIMESTAMP '{AT}') - INTERVAL 1 MONTH * (n * CASE unit WHEN 'year' THEN 12 ELSE 1 END) + (TIMESTAMP '{AT}' - date_trunc('month', TIMESTAMP '{AT}')) END,
+ CASE WHEN mon > 0 THEN make_timestamp(yy, mon, 1, 0, 0, 0) + INTERVAL 1 DAY * (dd - 1) END) AS ts FROM x)
+SELECT doc_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM t""")
 def wat04(d):
-    return d.select("doc_id", F.date_format(W.parse_article_date(F.expr(RAW), F.to_timestamp(F.lit(NOW))), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return d.select("doc_id", F.date_format(W.parse_article_date(F.expr(RAW), F.to_timestamp(F.lit(AT))), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 KEY = f"sha1(coalesce({HOST}, '') || lower(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')))"
@@ -96,50 +123,67 @@ def wat09(p):
 
 
 @query("wat10_research_queue", "v_ledger", "v_entity", sql=f"""
-WITH {BASE}, n AS (SELECT record_id, max(day) AS newest FROM b GROUP BY 1), st AS (SELECT record_id, record_id % 50 AS lr FROM v_entity WHERE record_id % 3 > 0)
-SELECT e.record_id, e.name_raw AS name FROM v_entity e LEFT JOIN st ON st.record_id = e.record_id LEFT JOIN n ON n.record_id = e.record_id ORDER BY lr NULLS FIRST, newest NULLS FIRST, name_raw, e.record_id LIMIT 300""")
+WITH {BASE}, st AS (SELECT record_id, record_id % 50 AS lr FROM v_entity WHERE record_id % 3 > 0), ws AS (SELECT record_id, CASE WHEN record_id % 5 > 0 THEN DATE '2024-01-20' + CAST(record_id % 9 AS INT) END AS day FROM v_entity WHERE discovery_class = 'HOUSEHOLD'),
+p AS (SELECT record_id FROM b UNION SELECT record_id FROM ws), n AS (SELECT record_id, max(day) AS newest FROM (SELECT entity_id AS record_id, CAST(retrieved_at AS DATE) AS day FROM ok UNION ALL SELECT * FROM ws) WHERE day IS NOT NULL GROUP BY 1)
+SELECT e.record_id, e.name_raw AS name FROM v_entity e JOIN p ON p.record_id = e.record_id LEFT JOIN st ON st.record_id = e.record_id LEFT JOIN n ON n.record_id = e.record_id ORDER BY lr NULLS FIRST, newest NULLS FIRST, name_raw, e.record_id LIMIT 300""")
 def wat10(ledger, entities):
     state = entities.filter("record_id % 3 > 0").select("record_id", (F.col("record_id") % 50).alias("last_researched"))
-    return W.research_queue(entities.select("record_id", F.col("name_raw").alias("name")), state, W.baseline_signals(ledger), 300)
+    stored = entities.filter("discovery_class = 'HOUSEHOLD'").select("record_id", F.when(F.col("record_id") % 5 > 0, F.date_add(F.lit("2024-01-20").cast("date"), (F.col("record_id") % 9).cast("int"))).alias("day"))
+    return W.research_queue(entities.select("record_id", F.col("name_raw").alias("name")), state, prov(ledger), stored, 300)
 
 
-@query("wat11_run_counts", "v_run", sql="""
-WITH n AS (SELECT run_id, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state = 'running') AS "left" FROM v_run GROUP BY 1),
-m AS (SELECT run_id, duration_ms, row_number() OVER (PARTITION BY run_id ORDER BY duration_ms, seq) AS p FROM v_run WHERE state = 'done')
-SELECT n.*, m.duration_ms AS median_ms, CAST(ceil("left" / 6.0) * m.duration_ms AS BIGINT) AS eta_ms FROM n LEFT JOIN m ON n.run_id = m.run_id AND done >= 3 AND p = done // 2 + 1""")
+TIMED = "SELECT seq, run_id, state, CASE WHEN seq % 7 > 0 THEN duration_ms END AS duration_ms FROM v_run"
+
+
+@query("wat11_run_counts", "v_run", sql=f"""
+WITH c AS ({TIMED}), n AS (SELECT run_id, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state = 'running') AS "left" FROM c GROUP BY 1),
+m AS (SELECT run_id, list_sort(list(duration_ms)) AS ds FROM c WHERE state IN ('done', 'failed', 'skipped') AND duration_ms IS NOT NULL GROUP BY 1), k AS (SELECT n.*, CASE WHEN done + failed + skipped >= 3 THEN ds[len(ds) // 2 + 1] END AS median_ms FROM n LEFT JOIN m USING (run_id))
+SELECT *, CAST(floor(CAST(median_ms * "left" AS DOUBLE) / 6 + 0.5) AS BIGINT) AS eta_ms FROM k""")
 def wat11(runs):
-    return W.run_counts(runs, 6)
+    return W.run_counts(runs.sparkSession.sql(TIMED.replace("v_run", "{v}"), v=runs), 6)
+
+
+@query("aud01_validator_worklist", "v_mail", sql="""
+WITH r AS (SELECT seq AS record_id, CASE WHEN seq % 3 = 0 THEN 'type_unconfirmed' WHEN seq % 3 = 1 THEN 'SFO' END AS entity_type, principal_name, CASE seq % 4 WHEN 0 THEN email WHEN 1 THEN '  ' END AS principal_email FROM v_mail), c AS (SELECT seq AS record_id, CASE WHEN seq % 2 = 0 THEN 'email' ELSE 'type' END AS mode, CASE seq % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' END AS status, seq % 6 AS attempts FROM v_mail),
+o AS (SELECT 'type' AS mode, record_id, trim(coalesce(principal_email, '')) = '' AS late FROM r WHERE entity_type = 'type_unconfirmed' UNION ALL SELECT 'email', record_id, trim(coalesce(principal_name, '')) = '' FROM r WHERE trim(coalesce(principal_email, '')) = '')
+SELECT mode, record_id FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY late, record_id) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.record_id = o.record_id AND c.mode = o.mode AND (coalesce(status = 'done', false) OR attempts >= 3))) WHERE n <= 100""")
+def aud01(m):
+    kind = F.when(F.col("seq") % 3 == 0, "type_unconfirmed").when(F.col("seq") % 3 == 1, "SFO")
+    r = m.select(F.col("seq").alias("record_id"), kind.alias("entity_type"), "principal_name", F.when(F.col("seq") % 4 == 0, F.col("email")).when(F.col("seq") % 4 == 1, "  ").alias("principal_email"))
+    status = F.when(F.col("seq") % 5 == 0, "done").when(F.col("seq") % 5 == 1, "failed").when(F.col("seq") % 5 == 2, "partial")
+    c = m.select(F.col("seq").alias("record_id"), F.when(F.col("seq") % 2 == 0, "email").otherwise("type").alias("mode"), status.alias("status"), (F.col("seq") % 6).alias("attempts"))
+    one = lambda mode: W.validator_worklist(r, c, mode, 100).select(F.lit(mode).alias("mode"), "record_id")
+    return one("type").unionByName(one("email"))
 
 
-@query("aud01_validator_worklist", "v_entity", sql="SELECT record_id FROM v_entity WHERE principal_name IS NOT NULL AND principal_email IS NULL AND record_id % 6 > 1 ORDER BY record_id % 17 DESC, record_id LIMIT 100")
-def aud01(e):
-    ck = e.filter("record_id % 6 < 3").select("record_id", F.expr("CASE record_id % 6 WHEN 0 THEN 'done' WHEN 1 THEN 'poisoned' ELSE 'partial' END").alias("status"))
-    return W.validator_worklist(e.withColumn("score", F.col("record_id") % 17), ck, 100).select("record_id")
+ATTRIBUTED = f"CASE WHEN {IS_ROLE} OR {WIDE} THEN 'role' WHEN len(list_filter(regexp_split_to_array(lower(coalesce(principal_name, '')), '[^a-z]+'), lambda t: length(t) > 2 AND contains({PLAIN_LOCAL}, t))) > 0 THEN 'principal' ELSE 'unknown' END"
+#: Each firm's addresses as its records' principal addresses.
+WRONG = f"w AS (SELECT seq AS record_id, email, {ATTRIBUTED} AS attribution FROM v_mail WHERE email IS NOT NULL), bad AS (SELECT * FROM w WHERE attribution <> 'principal')"
 
 
-@query("aud02_email_result", "v_entity", sql="""
-WITH x AS (SELECT record_id, principal_name, coalesce(principal_email, CASE WHEN record_id % 2 = 0 THEN 'jdoe@fam.com' END) AS m FROM v_entity), f AS (SELECT *, CASE WHEN m IS NULL THEN NULL WHEN principal_name IS NULL OR m IN ('_info@fam.com', 'Info+x@fam.com') THEN 'firm_email' ELSE 'principal_email' END AS field FROM x)
-SELECT record_id, m AS email, field, CASE WHEN record_id % 13 = 0 THEN NULL WHEN field = 'principal_email' THEN 'done' WHEN field = 'firm_email' THEN 'partial' ELSE 'failed' END AS checkpoint FROM f""")
-def aud02(e):
-    return W.email_result(e.select("record_id", "principal_name", F.lit("fam.com").alias("domain"), F.lit("x@elsewhere.org").alias("site"), F.col("principal_email").alias("vendor"), F.when(F.col("record_id") % 2 == 0, "jdoe@fam.com").alias("pattern"), (F.col("record_id") % 13 == 0).alias("outage")))
+def addressed(m):
+    return m.select(F.col("seq").alias("record_id"), "principal_name", F.col("email").alias("principal_email"))
 
 
-@query("aud03_audit_emails", "v_entity", sql="SELECT record_id, principal_email AS firm_email, CAST(NULL AS STRING) AS principal_email, 'misattributed: ' || CASE WHEN principal_email = 'jane.doe@fam.com' THEN 'unknown' ELSE 'role' END AS audit FROM v_entity WHERE principal_email IS NOT NULL AND (principal_email <> 'jane.doe@fam.com' OR principal_name IS NULL)")
-def aud03(e):
-    return W.audit_emails(e)
+@query("aud02_email_result", "v_mail", sql=f"""
+WITH x AS (SELECT seq AS record_id, principal_name, CASE WHEN ends_with(lower(email), '@fam.com') THEN email WHEN seq % 2 = 0 THEN 'jdoe@fam.com' END AS email, seq % 13 = 0 AS outage FROM v_mail), f AS (SELECT *, CASE WHEN email IS NULL THEN NULL WHEN trim(coalesce(principal_name, '')) = '' OR {IS_ROLE} OR {WIDE} THEN 'firm_email' ELSE 'principal_email' END AS field FROM x)
+SELECT record_id, email, field, CASE WHEN outage THEN NULL WHEN field = 'principal_email' THEN 'done' WHEN field = 'firm_email' THEN 'partial' ELSE 'failed' END AS checkpoint FROM f""")
+def aud02(m):
+    return W.email_result(m.select(F.col("seq").alias("record_id"), "principal_name", F.lit("fam.com").alias("domain"), F.lit("x@elsewhere.org").alias("site"), F.col("email").alias("vendor"), F.when(F.col("seq") % 2 == 0, "jdoe@fam.com").alias("pattern"), (F.col("seq") % 13 == 0).alias("outage")))
 
 
-WRONG = "principal_email IS NOT NULL AND (principal_email <> 'jane.doe@fam.com' OR principal_name IS NULL)"
+@query("aud03_audit_emails", "v_mail", sql=f"WITH {WRONG} SELECT record_id, email AS firm_email, CAST(NULL AS STRING) AS principal_email, 'email_attribution_' || attribution AS audit FROM bad")
+def aud03(m):
+    return W.audit_emails(addressed(m))
 
 
-@query("aud03_demote", "v_entity", sql=f"""
-SELECT record_id, 'principal_email' AS field_name, CAST(NULL AS STRING) AS answer, 'could_not_verify' AS status FROM v_entity WHERE {WRONG} UNION ALL SELECT record_id, 'firm_email', principal_email, 'single_source' FROM v_entity WHERE {WRONG}
-UNION ALL SELECT record_id, 'audit', principal_email, 'misattributed: ' || CASE WHEN principal_email = 'jane.doe@fam.com' THEN 'unknown' ELSE 'role' END FROM v_entity WHERE {WRONG}""")
-def aud03_demote(e):
-    claims, audit = W.demote(e)
+@query("aud03_demote", "v_mail", sql=f"""
+WITH {WRONG} SELECT record_id, 'principal_email' AS field_name, CAST(NULL AS STRING) AS answer, 'removed_failed_validation' AS status FROM bad UNION ALL SELECT record_id, 'firm_email', email, 'single_source' FROM bad UNION ALL SELECT record_id, 'audit', email, 'email_attribution_' || attribution FROM bad""")
+def aud03_demote(m):
+    claims, audit = W.demote(addressed(m))
     return claims.unionByName(audit.select("record_id", F.lit("audit").alias("field_name"), F.col("before").alias("answer"), F.col("audit").alias("status")))
 
 
-@query("aud04_invariants", "v_entity", sql="SELECT count(*) FILTER (principal_email = 'Info+x@fam.com') AS role_principals, count(*) FILTER (principal_email IS NOT NULL AND principal_name IS NULL) AS nameless_principals FROM v_entity")
-def aud04(e):
-    return W.invariants(e)
+@query("aud04_invariants", "v_mail", sql=f"SELECT count(*) FILTER (email IS NOT NULL AND {IS_ROLE}) AS role_principals, count(*) FILTER (email IS NOT NULL AND trim(coalesce(principal_name, '')) = '') AS nameless_principals FROM v_mail")
+def aud04(m):
+    return W.invariants(addressed(m))
