@@ -95,6 +95,22 @@ def join_salted(rows: DataFrame, groups: DataFrame, key: str, by: str, total: in
     return salted.join(copies.hint(hint) if hint else copies, [key, "salt"], how).drop("salt")
 
 
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, by: str, total: int, hint: str | None = None) -> DataFrame:
+    """Inner join of rows (total of them) to groups (one row per key), which tell by the column `size` how many rows each key has: the rows of a hot key are spread over several tasks by `by`.
+
+    As join_salted, but without counting rows that are dear to compute. Only the hot keys are broadcast, HOT_SHARE at most; size is dropped. keys must not be null.
+    """
+    if total <= SMALL_TABLE:
+        plain = groups.drop(size)
+        return rows.join(plain.hint(hint) if hint else plain, keys)
+    most = max(total // HOT_SHARE, SMALL_GROUP)
+    salts = F.ceil(F.col(size) / most)
+    hot = groups.filter(F.col(size) > most).select(*keys, salts.alias("salts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1)))).drop("salts")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)) - 1))).drop(size)
+    return salted.join(copies.hint(hint) if hint else copies, [*keys, "salt"]).drop("salt")
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has (in any case) as columns."""
     taken = {c.lower() for c in df.columns}

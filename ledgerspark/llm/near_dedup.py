@@ -214,14 +214,15 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
-    """The distinct pairs (a, b) that are links: by sizes, by registers, and on the full sets; and a bound of their number. Many pairs may share a b."""
+    """The distinct pairs (a, b) that are links: by sizes, by registers, and on the full sets; and a bound of their number. Many pairs may share an a or a b."""
     total = pairs.count()
     left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    sized = join_salted(pairs.join(left, "a"), right, "b", by="a", total=total, counted=pairs).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    ends = join_salted(pairs, left, "a", by="b", total=total)
+    sized = join_salted(ends, right, "b", by="a", total=total, counted=pairs).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     likely = materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a binary, b binary"), "near-likely")  # reads the registers of all classes, however few the pairs
     member, center = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = join_salted(likely.join(member.hint("merge"), "a"), center, "b", by="a", total=total, counted=likely, hint="merge")
+    both = join_salted(join_salted(likely, member, "a", by="b", total=total, hint="merge"), center, "b", by="a", total=total, counted=likely, hint="merge")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a binary, b binary"), "near-links"), total
 
 

@@ -9,7 +9,7 @@ check as the value it stands for. The halves of the network are residues (l mod
   phone   + and 8 to 15 digits, or ten digits as ddd-ddd-dddd or (ddd) ddd-dddd with or without a 1 before them: the digits
           after the country code; a trunk zero written (0) stays
   ssn     ddd-dd-dddd with a possible area, group and serial
-  ip      four octets
+  ip      four octets without leading zeros
   date    year, month, day or day, month, year or month, day, year set apart by - / or ., a day that exists in 1801 to 2200
           (146,097 = 189 * 773 days); where year comes last and both orders exist, / puts the month first, - and . the day
   email   has no check and no fixed format: the local part becomes a keyed hash, the domain example.invalid
@@ -46,7 +46,7 @@ DATE = (
     r"|(?<![\w./-])(?:[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}"
     r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?:(?=[Tt][0-9])|(?![\w/-]|\.[0-9]))"
 )
-IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
+IP = r"(?<![\w.])(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}(?![\w]|\.[0-9])"
 CARD = r"(?<![\w.-])[0-9]{13,19}(?![\w-])"
 KINDS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "date": DATE, "ip": IP, "card": CARD}
 ANY = "|".join(KINDS.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import secrets
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,10 @@ PII_KEY = "spark.ledgerspark.pii.key"
 
 def pii_key(spark: SparkSession) -> str:
     """The secret in PII_KEY; without one a random key, so that pseudonyms link the documents of this run alone and cannot be turned back."""
-    return spark.conf.get(PII_KEY, None) or secrets.token_hex(32)
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        warnings.warn(f"{PII_KEY} is not set: the pseudonyms of this run cannot be repeated", stacklevel=2)
+    return key or secrets.token_hex(32)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_salted, materialize, text_key
+from .common import join_salted, join_sized, materialize, text_key
 
 LEAST, GRAM = 200, 50
 #: Different segments of a group that go through one transform, about 180 KB of text.
@@ -98,13 +98,23 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         place = (least & mask).astype(np.int64)
         first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(place[1:] != place[:-1]) + 1])
         count = np.diff(np.append(first, len(place)))
-        digest = ANCHORS.hashes(sums, first, first + count + LEAST - 1) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        digest = OTHER.hashes(OTHER.sums(piece), first, first + count + LEAST - 1) ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         out.append((first + at, count, grams[place[first]], digest))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def kinds_of(anchor: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different segments by both hashes: the first place of each, the number of its places, and for every place the number of its kind."""
+    order = np.lexsort((digest, anchor))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    return order[fresh], np.bincount(kind), kind
+
+
 PACK = 7  # symbols of nine bits in the first key
 
 
@@ -204,7 +214,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, count, anchor, digest = segments((text or "").encode())
             if not len(first):
                 continue
-            _, own, times = np.unique(anchor ^ (digest << np.uint64(1)), return_index=True, return_counts=True)
+            own, times, _ = kinds_of(anchor, digest)
             parts.append((i, first[own], count[own], anchor[own], digest[own], times))
             size += len(own)
             if size > 50_000:
@@ -348,7 +358,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             opens, closes = first[own], last[own]
             if sizes[i] and times[own].max() > 1:  # segments that a text repeats itself: all their places
                 start, count, anchor, digest = segments(data)
-                _, place, number = np.unique(anchor ^ (digest << np.uint64(1)), return_inverse=True, return_counts=True)
+                _, number, place = kinds_of(anchor, digest)
                 twice = number[place] > 1
                 opens = np.concatenate([opens, start[twice]])
                 closes = np.concatenate([closes, start[twice] + count[twice] + LEAST - 1])
@@ -368,16 +378,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets, end excluded)."""
     rows = docs.select("doc_id", text_key("text").alias("text_key"), "text")
     found = rows.mapInArrow(_segments, "doc_id long, text_key long, start long, windows int, anchor long, digest long, times long")
-    anchors = materialize(found.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor"), "repeat-anchors")
-    places = materialize(found.join(anchors.hint("merge"), "anchor").select(*found.columns), "repeat-places")
+    anchors = found.groupBy("anchor").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")).filter("times > 1").select("anchor", "rows")
+    anchors = materialize(anchors, "repeat-anchors")
+    total = anchors.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    places = materialize(join_sized(found, anchors, ["anchor"], "rows", "doc_id", total, "merge").select(*found.columns), "repeat-places")
 
-    kinds = places.groupBy("anchor", "digest").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one"))
+    kinds = places.groupBy("anchor", "digest").agg(F.sum("times").alias("copies"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one"))
     kinds = materialize(kinds, "repeat-kinds")
-    copied = materialize(kinds.filter("copies > 1").select("anchor", "digest"), "repeat-copied")
-    whole = places.join(copied.hint("merge"), ["anchor", "digest"]).select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LEAST - 1).alias("last"), "times")
+    copied = materialize(kinds.filter("copies > 1").select("anchor", "digest", "rows"), "repeat-copied")
+    whole = join_sized(places, copied, ["anchor", "digest"], "rows", "doc_id", total, "merge").select("doc_id", "text_key", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LEAST - 1).alias("last"), "times")
 
-    mixed = materialize(kinds.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeat-mixed")
-    open_kinds = kinds.join(mixed.hint("merge"), "anchor").select("anchor", "digest", "copies", "one.*")
+    mixed = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "repeat-mixed")
+    open_kinds = join_sized(kinds.drop("rows"), mixed, ["anchor"], "kinds", "digest", total, "merge").select("anchor", "digest", "copies", "one.*")
     wanted = open_kinds.groupBy(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).agg(F.collect_list(F.struct("start", "windows", "anchor", "digest")).alias("wanted"))
     packed = rows.mapInArrow(_pack, "doc_id long, text_key long, packed binary")
     asked = packed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).dropDuplicates(["doc_id", "text_key"])

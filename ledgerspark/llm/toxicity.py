@@ -76,15 +76,15 @@ def screen(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray
 
 
 def told(docs: DataFrame, telling: np.ndarray) -> DataFrame:
-    """place: for every text the places of its slots among the telling ones."""
+    """place: for every text the places of its slots among the telling ones; nth: a hash of doc_id and text, which orders the rows alike in any layout."""
     shared = docs.sparkSession.sparkContext.broadcast(telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.cumsum(shared.value).astype(np.int32) - 1
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([rank[slots(t, shared.value)] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["place"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([rank[slots(t, shared.value)] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["nth", "place"])
 
-    return docs.select("text").mapInArrow(run, "place array<int>")
+    return docs.select("text", F.xxhash64("doc_id", "text").alias("nth")).mapInArrow(run, "nth long, place array<int>")
 
 
 def train(p: list[np.ndarray], u: list[np.ndarray], width: int, prior: float, seed: int = 11) -> np.ndarray:
@@ -150,15 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", positive_rows
     prior = min(max(float(prior), 0.001), 0.9)
     chosen = known.filter("known_label = 1").select("known_id").distinct().orderBy(F.xxhash64("known_id"), "known_id").limit(positive_rows)  # these ids are broadcast
     positive = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id"))
-    positive = materialize(positive.orderBy(F.xxhash64("known_id"), "known_id", "text").limit(positive_rows).select("text"), "pu-positive")
-    unlabelled = docs.filter(free).select("text")
+    positive = materialize(positive.orderBy(F.xxhash64("known_id"), "known_id", "text").limit(positive_rows).select("doc_id", "text"), "pu-positive")
+    unlabelled = docs.filter(free).select("doc_id", "text")
     (in_p, n_p), (in_u, n_u) = slot_counts(positive), slot_counts(unlabelled)
     if not n_p or not n_u:
         return None
     telling = screen(in_p, n_p, in_u, n_u)
     width = int(telling.sum())
-    p = [np.array(x, np.int32) for x in told(positive, telling).toPandas()["place"]]
-    compact = materialize(told(unlabelled, telling).withColumn("nth", F.monotonically_increasing_id()), "pu-unlabelled")
+    p = [np.array(x, np.int32) for x in told(positive, telling).toPandas().sort_values("nth", kind="stable")["place"]]
+    compact = materialize(told(unlabelled, telling), "pu-unlabelled")
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(p)
 

@@ -614,3 +614,63 @@ def test_given_labels_held_out(spark, module, column, least):
     docs, labels = (spark.read.parquet(f"{GIVEN}/{t}.parquet") for t in ("documents", "labels"))
     found = module.score(docs, module.fit(docs, labels)).join(labels, "doc_id").filter("held_out").select("predicted", column).collect()
     assert len(found) > 50 and sum(r[0] == r[1] for r in found) / len(found) >= least
+
+
+# operators whose joins spread hot keys, and layouts
+
+
+def test_join_sized_spreads_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_TABLE", 0)
+    monkeypatch.setattr(common, "SMALL_GROUP", 3)
+    rows = [(1 if i % 3 == 0 else i % 40, i % 2, None if i % 7 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, j long, by long")
+    groups = df.filter("k < 20").groupBy("k", "j").agg(F.count("*").alias("size"), F.sum("by").alias("s"))
+    got = Counter(tuple(r) for r in common.join_sized(df, groups, ["k", "j"], "size", "by", 300).select("k", "j", "by", "s").collect())
+    assert got == Counter(tuple(r) for r in df.join(groups, ["k", "j"]).select("k", "j", "by", "s").collect()) and sum(got.values()) > 100
+
+
+def test_segments_of_one_anchor_and_other_bytes_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_TABLE", 0)
+    monkeypatch.setattr(common, "SMALL_GROUP", 2)
+    rnd = random.Random(11)
+    common_part = "".join(rnd.choice("abcdefgh") for _ in range(260))  # one anchor in most rows
+    rows = [(i, "".join(rnd.choice("ijklmnop") for _ in range(rnd.randint(0, 150))) + common_part + "".join(rnd.choice("qrstuvwx") for _ in range(rnd.randint(0, 150)))) for i in range(60)] + [(None, common_part), (3, None)]
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = Counter()
+    for (i, _), t in zip(rows, texts, strict=True):
+        gone = [False] * len(t)
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = [True] * 200
+        want[i, sum(gone)] += 1
+    got = substring_dedup.remove_repeats(table(spark, rows))
+    assert rows_of(got, "doc_id", "n_removed") == want
+    anchor, digest = (substring_dedup.np.array([1, 1, 2, 1, 2], "u8"), substring_dedup.np.array([5, 6, 5, 5, 5], "u8"))
+    own, times, kind = substring_dedup.kinds_of(anchor, digest)
+    assert (own.tolist(), times.tolist(), kind.tolist()) == ([0, 1, 2], [2, 1, 2], [0, 1, 2, 0, 2])
+
+
+def test_one_end_in_most_pairs(spark, monkeypatch):
+    """The smallest id of a star is the first end of nearly all its pairs."""
+    monkeypatch.setattr(common, "SMALL_TABLE", 0)
+    monkeypatch.setattr(common, "SMALL_GROUP", 2)
+    base = [str(i) for i in range(120)]
+    rows = [(i, " ".join(base[:40] + [f"x{i}"] + base[41:])) for i in range(40)]
+    got = near_dedup.near_groups(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows)
+
+
+def test_addresses_with_leading_zeros_are_no_addresses(spark):
+    rows = [(1, "at 10.1.2.3 and 010.1.2.3 or 10.01.2.3, 0.0.0.0 and 1.2.3.00")]
+    out = pii.pseudonymise(table(spark, rows), "k" * 32).collect()[0].asDict()
+    text = next(v for k, v in out.items() if k in ("text", "pseudonymised", "clean") and v)
+    assert "010.1.2.3" in text and "10.01.2.3" in text and "1.2.3.00" in text and "10.1.2.3 and" not in text.replace("010.1.2.3", "")
+
+
+def test_toxicity_does_not_hang_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one = toxicity.fit(docs.coalesce(1), known)
+    other = toxicity.fit(docs.repartition(5, "source").sortWithinPartitions(F.desc("doc_id")), known)
+    assert (one is None and other is None) or ((one[0] == other[0]).all() and one[1] == other[1])
