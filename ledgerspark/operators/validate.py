@@ -45,18 +45,54 @@ def same_value(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Colu
     return out
 
 
+#: Letters of a gram and grams of a window in the keys of texts; texts of fewer than SHORT_TEXT letters are keys as a whole.
+GRAM, WINDOW = 4, 8
+SHORT_TEXT = GRAM + WINDOW - 1
+
+
+def _runs(text: Column, n: Column, count: Column) -> Column:
+    """Hashes of the runs of n letters at the first `count` places."""
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substring(text, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def inner_key(text: Column) -> Column:
+    """What every text that holds this one has among its outer keys: the text itself if it is short, else the least gram of its first window."""
+    short = F.length(text) < SHORT_TEXT
+    return F.struct(F.when(short, F.length(text)).otherwise(SHORT_TEXT).alias("len"), F.when(short, F.xxhash64(text)).otherwise(F.array_min(_runs(text, F.lit(GRAM), F.lit(WINDOW)))).alias("hash"))
+
+
+def outer_keys(text: Column) -> Column:
+    """Keys of all texts that this one can hold: its short runs, and the least gram of each window."""
+    n = F.length(text)
+    runs = lambda k: F.transform(F.array_distinct(_runs(text, k, n - k + 1)), lambda h: F.struct(k.alias("len"), h.alias("hash")))
+    short = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SHORT_TEXT - 1)), runs))
+    least = lambda g: F.when(F.size(g) >= WINDOW, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - WINDOW + 1), lambda i: F.array_min(F.slice(g, i, F.lit(WINDOW)))))).otherwise(F.array().cast("array<bigint>"))
+    long_ = F.transform(F.flatten(F.transform(F.array(_runs(text, F.lit(GRAM), n - GRAM + 1)), least)), lambda h: F.struct(F.lit(SHORT_TEXT).alias("len"), h.alias("hash")))
+    return F.concat(short, long_)
+
+
 def cross_class(ledger: DataFrame) -> DataFrame:
     """VAL-03: a confirmed claim is verified by the first compatible settled claim of another, confirming class; else it has a single source.
 
-    Statuses that the rule itself writes stay inside the set it accepts, so all claims can be judged at once.
+    Statuses that the rule itself writes stay inside the set it accepts, so all claims can be judged at once. Values meet by keys that compatible ones share, equal numbers or a text
+    within the other, never all values of a field.
     """
     rows = keyed(ledger)
     asking = rows.filter("status = 'confirmed'").select(*VALUE).distinct()
     first = F.min(F.struct("created_at", "seq", "source_url"))
     giving = rows.filter(F.col("status").isin("confirmed", "verified", "single_source") & is_confirming(F.col("source_class"))).groupBy(*VALUE).agg(first.alias("f"))
     other = giving.select(*[F.col(c).alias(f"o_{c}") for c in VALUE], "f")
-    match = (F.col("entity_id") == F.col("o_entity_id")) & (F.col("field_key") == F.col("o_field_key")) & ~F.col("source_class").eqNullSafe(F.col("o_source_class"))
-    found = asking.join(other, match & compatible(F.col("answer"), F.col("o_answer"), F.col("answer_num"), F.col("o_answer_num")))
+    text, o_text = normal(F.col("answer")), normal(F.col("o_answer"))
+    numbers = (F.array(F.struct(F.lit(0).alias("len"), F.xxhash64(c).alias("hash"))) for c in ("answer_num", "o_answer_num"))
+    none = F.array().cast("array<struct<len:int,hash:bigint>>")
+    inner, outer = (lambda t: F.when(t != "", F.array(inner_key(t))).otherwise(none)), (lambda t: F.when(t != "", outer_keys(t)).otherwise(none))
+    pairs = None
+    for a_keys, o_keys in ((inner(text), outer(o_text)), (outer(text), inner(o_text)), tuple(F.when(F.col(c).isNotNull(), n).otherwise(none) for c, n in zip(("answer_num", "o_answer_num"), numbers, strict=True))):
+        a = asking.withColumn("key", F.explode(a_keys))
+        o = other.withColumn("o_key", F.explode(o_keys))
+        met = a.join(o, (a["entity_id"] == o["o_entity_id"]) & (a["field_key"] == o["o_field_key"]) & (a["key"] == o["o_key"])).drop("key", "o_key")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    found = pairs.filter(~F.col("source_class").eqNullSafe(F.col("o_source_class")) & compatible(F.col("answer"), F.col("o_answer"), F.col("answer_num"), F.col("o_answer_num")))
     best = found.groupBy(*VALUE).agg(F.min(F.struct(F.col("f.created_at").alias("created_at"), F.col("f.seq").alias("seq"), F.col("f.source_url").alias("url"), F.col("o_source_class").alias("cls"))).alias("by"))
     best = best.select(*[F.col(c).alias(f"b_{c}") for c in VALUE], "by")
     joined = rows.join(best, same_value(rows, best, {c: f"b_{c}" for c in VALUE}) & (F.col("status") == "confirmed"), "left")
@@ -64,18 +100,34 @@ def cross_class(ledger: DataFrame) -> DataFrame:
     return joined.select(*[F.col(c) for c in ledger.columns if c != "status"], "field_key", status.alias("status"), F.col("by.url").alias("confirming_url"), F.col("by.cls").alias("confirming_class"))
 
 
+#: Values that are put to the others of their field, in rounds: the first, the next two, and so on; the last round has the rest.
+ROUNDS = [(1, 1), (2, 3), (4, 7), (8, 15), (16, 1 << 30)]
+
+
 def in_conflict(ledger: DataFrame) -> DataFrame:
-    """Settled, single-valued, field-bearing claims, with the first place in write order of a claim that each is incompatible with (least)."""
+    """Settled, single-valued, field-bearing claims, with the first place in write order of a claim that each is incompatible with (least).
+
+    Values that are compatible with the same ones count as one. They are put to the first values of their field in rounds, and one that has met its first
+    incompatible value takes part no more: a field of very many different values is settled by its first few.
+    """
     rows = ledger.filter(F.col("field_name").isNotNull() & ~F.col("field_name").isin(MULTI_VALUED) & ~F.col("status").isin("could_not_verify", "superseded"))
     own = Window.partitionBy("entity_id", "field_name").orderBy("created_at", "seq")
-    rows = rows.withColumn("pos", F.row_number().over(own))
-    value = ["entity_id", "field_name", "answer", "answer_num"]
+    rows = rows.withColumn("pos", F.row_number().over(own)).withColumn("text", normal(F.col("answer")))
+    value = ["entity_id", "field_name", "text", "answer_num"]
     values = rows.groupBy(*value).agg(F.min("pos").alias("first_pos"))
-    other = values.select(*[F.col(c).alias(f"o_{c}") for c in value], F.col("first_pos").alias("o_pos"))
-    clash = values.join(other, (F.col("entity_id") == F.col("o_entity_id")) & (F.col("field_name") == F.col("o_field_name")) & ~compatible(F.col("answer"), F.col("o_answer"), F.col("answer_num"), F.col("o_answer_num")))
-    # a value may be incompatible with itself (an empty text); then its own first two claims count
-    least = clash.groupBy(*value).agg(F.min("o_pos").alias("least")).select(*[F.col(c).alias(f"l_{c}") for c in value], "least")
-    return rows.join(least, same_value(rows, least, {c: f"l_{c}" for c in value}), "left").select(*rows.columns, "least")
+    values = values.withColumn("nth", F.row_number().over(Window.partitionBy("entity_id", "field_name").orderBy("first_pos")))
+    other = values.select(*[F.col(c).alias(f"o_{c}") for c in value], F.col("first_pos").alias("o_pos"), F.col("nth").alias("o_nth"))
+    left, met = values.select(*value), None
+    same = (F.col("entity_id") == F.col("o_entity_id")) & (F.col("field_name") == F.col("o_field_name"))
+    for low, high in ROUNDS:
+        clash = left.join(other.filter(F.col("o_nth").between(low, high)), same & ~compatible(F.col("text"), F.col("o_text"), F.col("answer_num"), F.col("o_answer_num")))
+        # a value may be incompatible with itself (an empty text); then its own first two claims count
+        hit = clash.groupBy(*value).agg(F.min("o_pos").alias("least"))
+        met = hit if met is None else met.unionByName(hit)
+        gone = hit.select(*[F.col(c).alias(f"g_{c}") for c in value])
+        left = left.join(gone, same_value(left, gone, {c: f"g_{c}" for c in value}), "left_anti")
+    least = met.select(*[F.col(c).alias(f"l_{c}") for c in value], "least")
+    return rows.join(least, same_value(rows, least, {c: f"l_{c}" for c in value}), "left").select(*[c for c in rows.columns if c != "text"], "least")
 
 
 def contradictions(ledger: DataFrame) -> DataFrame:
@@ -206,10 +258,14 @@ def field_status(ledger: DataFrame) -> DataFrame:
 
 
 def skip_if_unchanged(waves: DataFrame, findings: DataFrame, fresh: DataFrame) -> DataFrame:
-    """VAL-14: entities without later waves keep their old findings; the others take the fresh ones."""
+    """VAL-14: entities without later waves keep their old findings; the others take the fresh ones, and the old contradictions of claims that the fresh ones do not name."""
     rerun = waves.groupBy("entity_id").agg(F.bool_or(F.col("wave").isin("1", "2")).alias("rerun"))
-    kept = findings.join(rerun.filter("NOT rerun").select("entity_id"), "entity_id", "left_semi")
-    return kept.unionByName(fresh.join(rerun.filter("rerun").select("entity_id"), "entity_id", "left_semi"))
+    old = findings.join(rerun, "entity_id")
+    again = fresh.join(rerun.filter("rerun").select("entity_id"), "entity_id", "left_semi")
+    is_v4 = F.col("check_id") == "V4_contradiction"
+    seen = again.filter(is_v4).select(F.col("entity_id").alias("s_entity"), F.col("claim_id").alias("s_claim")).distinct()
+    carried = old.filter(F.col("rerun") & is_v4).join(seen, (F.col("entity_id") == F.col("s_entity")) & F.col("claim_id").eqNullSafe(F.col("s_claim")), "left_anti")
+    return old.filter("NOT rerun").drop("rerun").unionByName(again).unionByName(carried.drop("rerun"))
 
 
 def outcome(findings: DataFrame, entities: DataFrame) -> DataFrame:
@@ -231,10 +287,11 @@ def type_first(ledger: DataFrame, question: str = "G1.Q4") -> DataFrame:
 
 
 def type_last_settled(ledger: DataFrame, question: str = "G1.Q4") -> DataFrame:
-    """VAL-16: the last claim of the question decides; an unsettled last claim leaves the type open."""
-    last = ledger.filter(F.col("question_id") == question).groupBy("entity_id").agg(F.max(F.struct("created_at", "seq", "status", "answer")).alias("c"))
-    bad = F.col("c.status").isin("could_not_verify", "removed_failed_validation", "contradicted")
-    return last.select("entity_id", F.when(bad, "type_unconfirmed").otherwise(type_of(F.coalesce("c.answer", F.lit("None")))).alias("type_final"))
+    """VAL-16: the last settled claim of the question decides; unsettled ones are passed over, and without any settled one the type is open."""
+    bad = F.col("status").isin("could_not_verify", "removed_failed_validation", "contradicted", "superseded")
+    own = ledger.filter(F.col("question_id") == question)
+    last = own.groupBy("entity_id").agg(F.max(F.when(~bad, F.struct("created_at", "seq", "answer"))).alias("c"))
+    return last.select("entity_id", F.when(F.col("c").isNull(), "type_unconfirmed").otherwise(type_of(F.coalesce("c.answer", F.lit("None")))).alias("type_final"))
 
 
 def domain_mx_findings(entities: DataFrame, mx: DataFrame) -> DataFrame:
@@ -251,9 +308,12 @@ def registration_recheck(entities: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def rejections(findings: DataFrame, stage: str) -> DataFrame:
-    """VAL-19: wave 0 rejects on the identity check only; later stages on any fatal field."""
+    """VAL-19: wave 0 rejects an entity on the identity check and names all its fatal findings, check and field, in order; later stages reject on fatal completeness and name the fatal fields."""
     fatal = findings.filter("severity = 'fatal'")
-    if stage == "wave0":
-        fatal = fatal.filter("check_id = 'V5_firm_is_fo'")
-    code = F.concat_ws(":", "check_id", "field") if stage == "wave0" else F.col("field")
-    return fatal.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set(code)), ";").alias("reason_code")).withColumn("stage", F.lit(stage))
+    check = "V5_firm_is_fo" if stage == "wave0" else "V6_completeness"
+    own = fatal.groupBy("entity_id").agg(
+        F.bool_or(F.col("check_id") == check).alias("rejects"), F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(":", "check_id", F.coalesce("field", F.lit("None"))).alias("code")))).alias("codes"),
+        F.array_sort(F.collect_set(F.nullif("field", F.lit("")))).alias("fields"),
+    ).filter("rejects")
+    code = F.array_join(F.transform("codes", lambda c: c["code"]), ";") if stage == "wave0" else F.when(F.size("fields") > 0, F.array_join("fields", ";")).otherwise("V6_completeness")
+    return own.select("entity_id", code.alias("reason_code"), F.lit(stage).alias("stage"))
