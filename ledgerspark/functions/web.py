@@ -87,3 +87,38 @@ def page_text(html: Column) -> Column:
     """CON-23: text of a page: scripts, styles and tags out, white space folded."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+#: Elements that never hold main text, and words in the class or id of a box that mark it as none of it.
+NO_TEXT = ["script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside", "form", "button", "select", "table"]
+NO_MAIN = "ad|ads|advert|banner|breadcrumb|comment|comments|cookie|menu|newsletter|promo|related|share|sidebar|social"
+BOX = rf"""(?is)<(?:div|section)\b[^>]*\b(?:class|id)\s*=\s*["'][^"']*\b(?:{NO_MAIN})\b[^"']*["'][^>]*>.*?</(?:div|section)>"""
+BREAK = r"(?i)</?(?:p|div|section|article|main|header|h[1-6]|li|ul|ol|dl|dt|dd|br|blockquote|pre|body|html)\b[^>]*>"
+LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+#: Least words of a block where the page names no main part; most of a block that may stand in links.
+LEAST_WORDS, LINK_SHARE = 10, 1 / 3
+
+
+def without_boilerplate(html: Column) -> Column:
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    for tag in NO_TEXT:
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    return F.regexp_replace(out, BOX, " ")
+
+
+def main_text(html: Column) -> Column:
+    """CON-23: the main text of a page, a block a line: without menus, footers, forms, tables, advertisements and scripts; of the article or main part, if the page names one.
+
+    A block whose text stands for more than LINK_SHARE in links is left out, and outside a named part one of fewer than LEAST_WORDS words.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    inner = lambda page, tag: F.nullif(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
+
+    def kept(page: Column) -> Column:
+        named = F.coalesce(inner(page, "article"), inner(page, "main"))
+        blocks = F.transform(F.split(F.coalesce(named, page), BREAK), lambda b: F.struct(plain(b).alias("text"), F.aggregate(F.transform(F.regexp_extract_all(b, F.lit(LINK), F.lit(1)), lambda a: F.length(plain(a))), F.lit(0), lambda n, x: n + x).alias("linked")))
+        least = F.when(named.isNotNull(), 1).otherwise(LEAST_WORDS)
+        return F.filter(blocks, lambda b: (b["text"] != "") & (b["linked"] <= F.length(b["text"]) * LINK_SHARE) & (F.size(F.split(b["text"], " ")) >= least))
+
+    pages = F.transform(F.array(without_boilerplate(html)), kept)
+    return F.array_join(F.transform(pages[0], lambda b: b["text"]), "\n")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.web import EMAIL, email_field, email_on_domain, host, is_aggregator, is_role_address, local_part, matches_principal, name_tokens
+from ..functions.web import EMAIL, email_field, email_on_domain, host, is_aggregator, is_role_address, local_part, main_text, matches_principal, name_tokens
 from .ledger import settled
 
 
@@ -194,12 +196,10 @@ def check_citation_index(facts: DataFrame, docs: DataFrame, allowed: list[str])
     return facts.filter(F.col("field").isin(allowed)).join(docs.select("entity_id", "idx", "url"), ["entity_id", "idx"])
 
 
-def extract_text(pages: DataFrame, most: int = 5_000_000, least: int = 200) -> DataFrame:
-    """CON-23: main text of pages; pages over the size guard and texts under the least length are refused, by rule of the feature."""
-    from ..functions.web import page_text
-
-    rows = pages.withColumn("text", F.when(F.length("html") <= most, page_text(F.col("html"))))
-    return rows.select("page_id", F.when(F.length("text") >= least, F.col("text")).alias("text"), F.when(F.col("text").isNull(), "too_large").when(F.length("text") < least, "too_short").otherwise("ok").alias("result"))
+def extract_text(pages: DataFrame, most: int = 5_000_000, least: int = 200, main: Callable[[Column], Column] = main_text) -> DataFrame:
+    """CON-23: main text of pages; pages over the size guard and texts under the least length are refused, by rule of the feature. main is the seam for another extractor."""
+    rows = pages.withColumn("text", F.when(F.length("html") <= most, main(F.col("html"))))
+    return rows.select("page_id", F.when(F.length("text") >= least, F.col("text")).alias("text"), F.when(F.col("html").isNull(), "too_short").when(F.col("text").isNull(), "too_large").when(F.length("text") < least, "too_short").otherwise("ok").alias("result"))
 
 
 def pick_profile_url(serp: DataFrame, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import clean_cell, list_cell, money_cell
 from .ledger import latest
+from .validate import type_last_settled
 
 DATE_FIELDS = ["important_insight", "recent_investments", "recent_fund_commitments", "recent_key_hires", "recent_news"]
 UNSETTLED = ["could_not_verify", "removed_failed_validation", "contradicted"]
@@ -21,6 +22,7 @@ UNSETTLED = ["could_not_verify", "removed_failed_validation", "contradicted"]
 # Fields of a record that hold one value, and those that hold a list, with the claims they come from, the first settled one counts.
 SCALARS = ["aum_usd", "aum_basis", "aum_as_of", "principal_name", "principal_title", "principal_email", "firm_email", "principal_phone", "sector_focus", "stage_focus", "geography_focus", "recent_investments", "recent_news"]
 LISTS = {"mandates": ["investing_thesis", "investing_mandates"], "fit_tags": ["fit_tags"], "public_list_overlap": ["public_list_overlap"]}
+CONTACTS = ["principal_email", "firm_email", "principal_phone"]
 URGENCY = {"fresh_liquidity": "high", "concentration_pain": "high", "access_window": "medium"}
 
 
@@ -29,20 +31,34 @@ def as_list(value: Column) -> Column:
     return F.when(value.startswith("["), F.from_json(value, "array<string>")).when(F.coalesce(value, F.lit("")) != "", F.array(value)).otherwise(F.array().cast("array<string>"))
 
 
-def build_records(ledger: DataFrame) -> DataFrame:
-    """COR-01: one wide row per entity: of each field the last write, null if that one is unsettled; a thesis before mandates; lists as arrays."""
+def build_records(ledger: DataFrame, entities: DataFrame, outcomes: DataFrame, sources: DataFrame) -> DataFrame:
+    """COR-01: one wide row per entity: of each field the last write, null if that one is unsettled, and the status of the contacts' last write; a thesis before mandates; lists as arrays.
+
+    entities: entity_id, entity_name; outcomes: entity_id, outcome, seq, of which the last counts; sources as for COR-03, which gives the state.
+    """
     at = F.struct("created_at", "seq")
     names = list(dict.fromkeys([*SCALARS, *[f for fs in LISTS.values() for f in fs], "check_size_range", "important_insight"]))
-    last = [F.max_by(F.when(~F.col("status").isin(UNSETTLED), F.col("answer")), F.when(F.col("field_name") == f, at)).alias(f"last_{f}") for f in names]
+    settled = ~F.coalesce(F.col("status").isin(UNSETTLED), F.lit(False))
+    of = lambda f: F.when(F.col("field_name") == f, at)
+    last = [F.max_by(F.when(settled, F.col("answer")), of(f)).alias(f"last_{f}") for f in names]
+    states = [F.max_by(F.col("status"), of(f)).alias(f"{f}_status") for f in CONTACTS]
     kind = F.min(F.when(F.col("field_name").startswith("discovery_class_"), F.substring("field_name", 17, 200))).alias("discovery_class_primary")
-    rows = ledger.groupBy("entity_id").agg(*last, kind)
+    rows = ledger.groupBy("entity_id").agg(*last, *states, kind)
     size = parse_check_range(F.col("last_check_size_range"))
     trigger = F.col("last_important_insight")
     urgency = F.when(trigger.isNotNull(), F.coalesce(*[F.when(trigger == k, v) for k, v in URGENCY.items()], F.lit("low")))
     lists = [as_list(F.coalesce(*[F.col(f"last_{f}") for f in fields])).alias(name) for name, fields in LISTS.items()]
     active = F.when(F.coalesce("last_recent_investments", F.lit("")) != "", "active")
-    wide = rows.select("entity_id", *[F.col(f"last_{f}").alias(f) for f in SCALARS], *lists, size["low"].alias("check_size_min"), size["high"].alias("check_size_max"), urgency.alias("urgency_tier"), active.alias("activity_status"), "discovery_class_primary")
-    return wide.join(record_signals(ledger), "entity_id")
+    wide = rows.select(
+        "entity_id", *[F.col(f"last_{f}").alias(f) for f in SCALARS], *[f"{f}_status" for f in CONTACTS], *lists, size["low"].alias("check_size_min"), size["high"].alias("check_size_max"), urgency.alias("urgency_tier"),
+        active.alias("activity_status"), "discovery_class_primary", F.lit("US").alias("hq_country"),
+    )
+    latest_outcome = outcomes.groupBy("entity_id").agg(F.max_by("outcome", "seq").alias("outcome"))
+    kinds = type_last_settled(ledger).select("entity_id", F.col("type_final").alias("entity_type"))
+    out = wide.join(record_signals(ledger), "entity_id")
+    for part in (entities.select("entity_id", "entity_name"), latest_outcome, hq_state(sources), kinds):
+        out = out.join(part, "entity_id", "left")
+    return out.withColumn("entity_type", F.coalesce("entity_type", F.lit("type_unconfirmed")))
 
 
 def money(text: Column) -> Column:
@@ -65,9 +81,9 @@ def hq_state(sources: DataFrame) -> DataFrame:
 
 
 def record_signals(ledger: DataFrame) -> DataFrame:
-    """COR-04: newest signal, its urgency, and the confidence of the record."""
-    live = ~F.col("status").isin(UNSETTLED)
-    day = F.max(F.when(live & F.col("field_name").isin(DATE_FIELDS), F.to_date("retrieved_at")))
+    """COR-04: newest signal that is not refused (a contradicted one still dates the record), and the confidence of the record."""
+    standing = ~F.coalesce(F.col("status").isin("could_not_verify", "removed_failed_validation"), F.lit(False))
+    day = F.max(F.when(standing & F.col("field_name").isin(DATE_FIELDS), F.to_date("retrieved_at")))
     has = lambda *kinds: F.bool_or(F.col("field_name").isNotNull() & F.col("status").isin(*kinds))
     confidence = F.when(has("verified"), "verified_evidence_present").when(has("single_source", "confirmed", "format_only"), "single_source_only").otherwise("thin")
     return ledger.groupBy("entity_id").agg(day.cast("string").alias("latest_signal"), confidence.alias("record_confidence"))
@@ -125,9 +141,10 @@ def facet_chunks(records: DataFrame, facets: dict[str, Column] | None = None) ->
 
 
 def contact_leaks(chunks: DataFrame, records: DataFrame) -> DataFrame:
-    """COR-06: chunks that hold the record's address; must be empty before a corpus ships."""
-    own = records.filter("principal_email IS NOT NULL").select("record_id", F.lower("principal_email").alias("mail"))
-    return chunks.join(own, "record_id").filter(F.contains(F.lower("content"), F.col("mail"))).select("record_id", "facet")
+    """COR-06: chunks that hold the record's address or phone, and which of them; must be empty before a corpus ships."""
+    contact = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("principal_email", "principal_phone")])).alias("c")
+    own = records.select("record_id", contact).select("record_id", "c.*").filter(F.col("value").rlike(r"\S"))
+    return chunks.join(own, "record_id").filter(F.contains("content", F.col("value"))).select("record_id", "facet", "field")
 
 
 def assert_no_contact_leak(chunks: DataFrame, records: DataFrame) -> DataFrame:

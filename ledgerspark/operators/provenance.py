@@ -77,14 +77,30 @@ def match_tool_calls(cells: DataFrame, calls: DataFrame, tools: DataFrame, cap:
     return best.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= cap).select("entity_id", "field_name", "seq", F.when(F.col("how") == 0, "url").otherwise("method").alias("matched_by"))
 
 
-def blank_reason(status: Column, method: Column, source_class: Column, has_claim: Column, calls: Column) -> Column:
-    """PRV-05: why a cell is blank; the first rule that fits."""
-    return (
-        F.when(status == "removed_failed_validation", "removed_failed_validation")
-        .when((source_class == "tool_unavailable") | F.coalesce(method.endswith("_error"), F.lit(False)), "tool_unavailable")
-        .when(has_claim | (calls > 0), "searched_not_found")
-        .otherwise("never_attempted")
+def blank_reason(cells: DataFrame, audits: DataFrame) -> DataFrame:
+    """PRV-05: why each cell is blank; the first rule that fits, with its detail and, where the release rule took a value, that value and its reason (entity_id, field_name, code, detail, rejected_value, reason_code).
+
+    cells: entity_id, field_name; status, extraction_method, source_class and source_url of the winning claim, if there is one; has_claim, has_call (one matched to the field), calls (all of the lead's in the run).
+    audits: entity_id, field_name, rejected_value, reason_code, seq, of which the newest of a field counts.
+    """
+    newest = audits.groupBy("entity_id", "field_name").agg(F.max_by(F.struct("rejected_value", "reason_code"), "seq").alias("audit"))
+    rows = cells.join(newest, ["entity_id", "field_name"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    killed = yes(F.col("status") == "removed_failed_validation")
+    down = yes(F.col("source_class") == "tool_unavailable") | yes(F.col("extraction_method").endswith("_error"))
+    looked, worked = yes(F.col("has_claim")) | yes(F.col("has_call")), yes(F.col("calls") > 0)
+    target = F.coalesce(F.nullif("source_url", F.lit("")), F.nullif("extraction_method", F.lit("")), F.nullif("source_class", F.lit("")), F.lit(""))
+    code = F.when(killed, "removed_failed_validation").when(down, "tool_unavailable").when(looked | worked, "searched_not_found").otherwise("never_attempted")
+    said = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    detail = (
+        F.when(killed & F.col("audit").isNotNull(), F.concat(F.lit("The value '"), said("audit.rejected_value"), F.lit("' was found but blanked by the release rule ("), said("audit.reason_code"), F.lit(").")))
+        .when(killed, "The value was found but blanked by the release rule.")
+        .when(down, F.concat(F.lit("The tool that would have found this value was unavailable ("), target, F.lit(").")))
+        .when(looked, "A search or lookup ran but found no usable value for this field.")
+        .when(worked, F.concat(F.col("calls").cast("string"), F.lit(" tool call(s) ran for this lead in this run, none of them attributable to this field.")))
+        .otherwise("No claim or tool call for this field exists — it was never attempted.")
     )
+    return rows.select("entity_id", "field_name", code.alias("code"), detail.alias("detail"), F.when(killed, F.col("audit.rejected_value")).alias("rejected_value"), F.when(killed, F.col("audit.reason_code")).alias("reason_code"))
 
 
 def field_records(grid: DataFrame, cells: DataFrame, alternatives: DataFrame) -> DataFrame:
@@ -125,13 +141,18 @@ def upsert_provenance(base: DataFrame, delta: DataFrame) -> DataFrame:
     return latest(both, ["run_id", "entity_id", "field_name"], ["__d", "seq"]).drop("__d")
 
 
-def run_status_view(ids: DataFrame, checkpoints: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
-    """PRV-12: decision before rejection before checkpoint; queued by default."""
-    d = latest(decisions, ["entity_id"], ["seq"]).select("entity_id", F.col("verdict").alias("d"))
-    r = latest(rejections, ["entity_id"], ["seq"]).select("entity_id", F.lit("rejected").alias("r"))
-    c = latest(checkpoints, ["entity_id"], ["seq"]).select("entity_id", F.col("state").alias("c"))
-    joined = ids.join(c, "entity_id", "left").join(d, "entity_id", "left").join(r, "entity_id", "left")
-    return joined.select("entity_id", F.coalesce("d", "r", "c", F.lit("queued")).alias("status"))
+def run_status_view(leads: DataFrame, checkpoints: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
+    """PRV-12: state, verdict, reason and cost of every lead of a run, and the run's total cost (leads: run_id, entity_id).
+
+    The state is the checkpoint's, queued without one; a decision gives verdict and rationale, else a rejection says reject and its reason.
+    checkpoints: entity_id, state, cost_usd, seq; decisions: entity_id, verdict, rationale, seq; rejections: entity_id, reason_code, seq.
+    """
+    d = latest(decisions, ["entity_id"], ["seq"]).select("entity_id", F.struct("verdict", F.col("rationale").alias("reason")).alias("d"))
+    r = latest(rejections, ["entity_id"], ["seq"]).select("entity_id", F.struct(F.lit("reject").alias("verdict"), F.col("reason_code").alias("reason")).alias("r"))
+    c = latest(checkpoints, ["entity_id"], ["seq"]).select("entity_id", "state", "cost_usd")
+    rows = leads.join(c, "entity_id", "left").join(d, "entity_id", "left").join(r, "entity_id", "left").withColumn("v", F.coalesce("d", "r")).withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
+    total = rows.groupBy("run_id").agg(F.sum("cost_usd").alias("total_cost_usd"))
+    return rows.join(total, "run_id").select("run_id", "entity_id", F.coalesce("state", F.lit("queued")).alias("status"), "v.verdict", "v.reason", "cost_usd", "total_cost_usd")
 
 
 def redact_args(args: Column) -> Column:
@@ -221,12 +242,33 @@ def merge_checkpoints(base: DataFrame, delta: DataFrame) -> DataFrame:
     return both.groupBy("entity_id").agg(F.max_by("state", at).alias("state"), known("attempts").alias("attempts"), known("cost").alias("cost"))
 
 
-def rag_queue_image(events: DataFrame, most: int = 3) -> DataFrame:
-    """QUE-05: attempts since the last enqueue; pending while under the limit (events: entity_id, seq, kind)."""
-    reset = events.groupBy("entity_id").agg(F.max(F.when(F.col("kind") == "enqueue", F.col("seq"))).alias("since"))
-    since = events.join(reset, "entity_id").filter("since IS NOT NULL AND seq >= since")
-    image = since.groupBy("entity_id").agg(F.count_if(F.col("kind") == "attempt").alias("attempts"), F.bool_or(F.col("kind") == "done").alias("done"))
-    return image.select("entity_id", "attempts", F.when(F.col("done"), "done").when(F.col("attempts") < most, "pending").otherwise("failed").alias("state"))
+def merge_validator_checkpoints(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """QUE-04, the validator's: per record and mode the newest status and error; every row of the delta is one more attempt, whatever its status (record_id, mode, status, last_error, attempts, seq; the delta without attempts)."""
+    both = base.withColumn("__d", F.lit(0)).unionByName(delta.withColumns({"__d": F.lit(1), "attempts": F.lit(1).cast("long")}))
+    at = F.struct("__d", "seq")
+    return both.groupBy("record_id", "mode").agg(F.max_by("status", at).alias("status"), F.max_by("last_error", at).alias("last_error"), F.sum("attempts").alias("attempts"))
+
+
+MOST_ATTEMPTS = 3
+
+
+def rag_queue_image(events: DataFrame) -> DataFrame:
+    """QUE-05: each entity's row of the ingest queue: a new enqueue makes it pending without attempts; every mark (pending with an error, done, stale) is an attempt and sets the state (events: entity_id, seq, kind)."""
+    reset = events.groupBy("entity_id").agg(F.max(F.when(F.col("kind") == "enqueue", F.col("seq"))).alias("enqueued"))
+    since = events.join(reset, "entity_id").filter("enqueued IS NOT NULL AND seq >= enqueued")
+    mark = F.col("kind") != "enqueue"
+    return since.groupBy("entity_id", "enqueued").agg(F.count_if(mark).alias("attempts"), F.coalesce(F.max_by("kind", F.when(mark, F.col("seq"))), F.lit("pending")).alias("state"))
+
+
+def pending_entities(image: DataFrame, limit: int = 50) -> DataFrame:
+    """QUE-05: what the next drain takes: pending with attempts left, in the order in which it was enqueued."""
+    return image.filter((F.col("state") == "pending") & (F.col("attempts") < MOST_ATTEMPTS)).orderBy("enqueued", "entity_id").limit(limit)
+
+
+def stale_entities(pending: DataFrame, runs: DataFrame, shipped: list[str]) -> DataFrame:
+    """QUE-05: pending entities whose latest run no longer ships them, which a drain marks stale (runs: entity_id, outcome, seq)."""
+    now = runs.groupBy("entity_id").agg(F.max_by("outcome", "seq").alias("outcome"))
+    return pending.join(now, "entity_id", "left").filter(~F.coalesce(F.col("outcome").isin(shipped), F.lit(False))).select("entity_id")
 
 
 def spend_report(costs: DataFrame, cap: float, warn: float = 0.75) -> DataFrame:

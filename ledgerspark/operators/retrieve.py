@@ -362,11 +362,32 @@ def fit_score(fit_rank: Column, distance: Column, content: Column, tags_hit: Col
 UNRELIABLE = ["could_not_verify", "removed_failed_validation", "contradicted"]
 
 
+INFERRED = ["pattern_inferred", "format_only"]
+
+
+def reach(email: Column, email_status: Column, phone: Column, phone_status: Column, linkedin: Column, name: Column) -> Column:
+    """RNK-03: the ladder of contact paths as struct(score, why, gaps): the best path with its reason, and what is missing beside it."""
+    given = lambda v: F.coalesce(v != "", F.lit(False))
+    usable = lambda v, s: given(v) & ~F.coalesce(s.isin(UNRELIABLE), F.lit(False))
+    mail, call = usable(email, email_status), usable(phone, phone_status)
+    inferred = F.coalesce(email_status.isin(INFERRED), F.lit(False))
+    said = F.coalesce(email_status, F.lit("null"))
+    texts = lambda *x: F.array_compact(F.array(*[F.lit(c) if isinstance(c, str) else c for c in x])) if x else F.array().cast("array<string>")
+    lacks = lambda v, what: F.when(~given(v), what)
+    rungs = [
+        (mail & inferred, 0.85, texts(F.concat(F.lit("email address inferred, not sourced ("), said, F.lit(")"))), texts()),
+        (mail, 1.0, texts(F.concat(F.lit("reachable via email ("), said, F.lit(")"))), texts()),
+        (call, 0.75, texts("reachable via phone"), texts(lacks(email, "no email"))),
+        (given(linkedin), 0.5, texts("linkedin available"), texts(lacks(email, "no email"), lacks(phone, "no phone"))),
+        (given(name), 0.25, texts("named principal but no contact path"), texts("no email", "no phone", "no linkedin")),
+        (F.lit(True), 0.0, texts(), texts("no named principal", "no email", "no phone", "no linkedin")),
+    ]
+    return F.coalesce(*[F.when(test, F.struct(F.lit(score).alias("score"), why.alias("why"), gaps.alias("gaps"))) for test, score, why, gaps in rungs])
+
+
 def reach_score(email: Column, email_status: Column, phone: Column, phone_status: Column, linkedin: Column, name: Column) -> Column:
-    """RNK-03: the ladder of contact paths."""
-    usable = lambda v, s: v.isNotNull() & ~F.coalesce(s, F.lit("")).isin(UNRELIABLE)
-    mail = usable(email, email_status)
-    return F.when(mail & F.coalesce(email_status, F.lit("")).isin("pattern_inferred", "format_only"), 0.85).when(mail, 1.0).when(usable(phone, phone_status), 0.75).when(linkedin.isNotNull(), 0.5).when(name.isNotNull(), 0.25).otherwise(0.0)
+    """RNK-03: the score alone."""
+    return reach(email, email_status, phone, phone_status, linkedin, name)["score"]
 
 
 def recency_score(day: Column, as_of: Column) -> Column:
@@ -390,14 +411,14 @@ def effective_weights(scores: DataFrame) -> DataFrame:
     return agg.select("query_id", *[F.when(fixed, w).when(F.col(f"v_{k}"), w / F.col("total")).otherwise(0.0).alias(f"w_{k}") for k, w in WEIGHTS.items()])
 
 
-def rank(scores: DataFrame, top_n: int, topical: bool) -> DataFrame:
-    """RNK-07: by weighted score, ids on ties; a topical query admits the best top_n by fit before."""
-    rows = scores.join(F.broadcast(effective_weights(scores)), "query_id").withColumn("score", reduce(lambda a, b: a + b, [F.col(k) * F.col(f"w_{k}") for k in WEIGHTS]))
+def rank(scores: DataFrame, asked: DataFrame) -> DataFrame:
+    """RNK-07: by weighted score, ids on ties; a topical query admits its best top_n by fit before (asked: query_id, top_n, topical)."""
+    rows = scores.join(effective_weights(scores), "query_id").join(asked.select("query_id", "top_n", "topical"), "query_id")
+    rows = rows.withColumn("score", reduce(lambda a, b: a + b, [F.col(k) * F.col(f"w_{k}") for k in WEIGHTS]))
     by_fit = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fit"), "record_id"))
-    if topical:
-        rows = rows.withColumn("__f", by_fit).filter(F.col("__f") <= top_n)
+    rows = rows.withColumn("nth", by_fit).filter(~F.col("topical") | (F.col("nth") <= F.col("top_n")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "record_id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= top_n).select("query_id", "record_id", "place", F.round("score", 6).alias("score"))
+    return rows.withColumn("place", place).filter(F.col("place") <= F.col("top_n")).select("query_id", "record_id", "place", F.round("score", 6).alias("score"))
 
 
 def apply_keep_list(rows: DataFrame, replies: DataFrame) -> DataFrame:

@@ -205,11 +205,26 @@ def con22(d):
     return C.check_citation_index(facts, docs, ["aum_usd"]).drop("field")
 
 
-@query("con23_extract_text", "v_page", sql="""
-WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM v_page)
+def bare(html):
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in W.NO_TEXT:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return f"regexp_replace({out}, '{W.BOX.replace("'", "''")}', ' ', 'g')"
+
+
+# half of the pages without their article element and with a box of links
+LAID = "CASE WHEN page_id % 2 = 0 THEN html ELSE replace(replace(html, 'article>', 'span>'), '<footer>', '<div><a href=\"/x\">one two three four five</a> six seven eight nine ten eleven</div><p>too few words</p><footer>') END"
+TEXT_OF = lambda x: f"trim(regexp_replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("con23_extract_text", "v_page", sql=f"""
+WITH b AS (SELECT page_id, {bare(LAID)} AS h FROM v_page), n AS (SELECT page_id, h, nullif(regexp_extract(h, '(?is)<article\\b[^>]*>(.*)</article>', 1), '') AS part FROM b),
+k AS (SELECT page_id, part IS NOT NULL AS named, string_split_regex(coalesce(part, h), '{W.BREAK}') AS blocks FROM n),
+l AS (SELECT page_id, named, list_transform(blocks, lambda x: {{'t': {TEXT_OF('x')}, 'a': coalesce(list_sum(list_transform(regexp_extract_all(x, '{W.LINK}', 1), lambda y: length({TEXT_OF('y')}))), 0)}}) AS blocks FROM k),
+t AS (SELECT page_id, array_to_string(list_transform(list_filter(blocks, lambda x: x.t <> '' AND x.a * 3 <= length(x.t) AND len(string_split(x.t, ' ')) >= CASE WHEN named THEN 1 ELSE 10 END), lambda x: x.t), chr(10)) AS x FROM l)
 SELECT page_id, CASE WHEN length(x) >= 200 THEN md5(x) END AS digest, CASE WHEN length(x) < 200 THEN 'too_short' ELSE 'ok' END AS result FROM t""")
 def con23(p):
-    return C.extract_text(p).select("page_id", F.md5("text").alias("digest"), "result")
+    return C.extract_text(p.select("page_id", F.expr(LAID).alias("html"))).select("page_id", F.md5("text").alias("digest"), "result")
 
 
 @query("con24_pick_profile_url", "v_page", sql="SELECT page_id % 30 AS entity_id, arg_min(url, page_id) AS link FROM v_page WHERE contains(lower(url), '/en/') GROUP BY 1")

@@ -16,24 +16,35 @@ SETTLED = "status NOT IN ('could_not_verify', 'removed_failed_validation', 'cont
 LISTED = lambda v: f"CASE WHEN {v} LIKE '[%' THEN replace(replace(replace(replace({v}, '[', ''), ']', ''), '\"', ''), ',', '|') ELSE coalesce({v}, '') END"
 
 
-@query("cor01_build_records", "v_ledger", sql=f"""
-WITH k AS (SELECT entity_id, {FIELD} AS field_name, {ANSWER} AS answer, status, retrieved_at, created_at, seq FROM v_ledger),
+AMOUNT = lambda x: f"CAST(TRY_CAST(replace(regexp_extract({x}, '([0-9][0-9,.]*)', 1), ',', '') AS DOUBLE) * CASE upper(regexp_extract({x}, '[0-9]\\s*([KkMmBb])', 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END AS BIGINT)"
+PART = lambda i: AMOUNT(f"string_split_regex(check_size_range, '\\s+(?:to|-)\\s+')[{i}]")
+KINDS_SAID = "CASE WHEN question_id = 'G1.Q4' THEN CASE seq % 5 WHEN 0 THEN 'an mfo' WHEN 1 THEN 'SFO' ELSE 'unclear' END"
+SCALAR_SQL = [*C.SCALARS, "investing_thesis", "investing_mandates", "fit_tags", "public_list_overlap", "check_size_range", "important_insight"]
+
+
+@query("cor01_build_records", "v_ledger", "v_entity", "v_run", "v_source", sql=f"""
+WITH k AS (SELECT entity_id, {FIELD} AS field_name, {KINDS_SAID} ELSE {ANSWER} END AS answer, status, retrieved_at, created_at, seq, question_id FROM v_ledger),
 l AS (SELECT *, CASE WHEN {SETTLED} THEN answer END AS v, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at DESC, seq DESC) AS n FROM k),
-w AS (SELECT entity_id, {", ".join(f"max(v) FILTER (n = 1 AND field_name = '{f}') AS {f}" for f in [*C.SCALARS, "investing_thesis", "investing_mandates", "fit_tags", "public_list_overlap", "check_size_range", "important_insight"])},
+w AS (SELECT entity_id, {", ".join(f"max(v) FILTER (n = 1 AND field_name = '{f}') AS {f}" for f in SCALAR_SQL)}, {", ".join(f"max(status) FILTER (n = 1 AND field_name = '{f}') AS {f}_status" for f in C.CONTACTS)},
  min(CASE WHEN starts_with(field_name, 'discovery_class_') THEN substring(field_name, 17) END) AS discovery_class_primary,
- strftime(max(CAST(retrieved_at AS DATE)) FILTER ({SETTLED} AND field_name IN ({", ".join(f"'{f}'" for f in C.DATE_FIELDS)})), '%Y-%m-%d') AS latest_signal,
- CASE WHEN bool_or(field_name IS NOT NULL AND status = 'verified') THEN 'verified_evidence_present' WHEN bool_or(field_name IS NOT NULL AND status IN ('single_source', 'confirmed', 'format_only')) THEN 'single_source_only' ELSE 'thin' END AS record_confidence FROM l GROUP BY entity_id)
-SELECT entity_id, {", ".join(C.SCALARS)}, {LISTED("coalesce(investing_thesis, investing_mandates)")} AS mandates, {LISTED("fit_tags")} AS fit_tags, {LISTED("public_list_overlap")} AS public_list_overlap, CASE WHEN check_size_range IS NOT NULL THEN 500000 END AS check_size_min, CASE WHEN check_size_range IS NOT NULL THEN 2000000 END AS check_size_max,
- CASE important_insight WHEN 'fresh_liquidity' THEN 'high' WHEN 'access_window' THEN 'medium' ELSE CASE WHEN important_insight IS NOT NULL THEN 'low' END END AS urgency_tier, CASE WHEN recent_investments <> '' THEN 'active' END AS activity_status, discovery_class_primary, latest_signal, record_confidence FROM w""")
-def cor01(ledger):
-    out = C.build_records(ledger.withColumns({"field_name": F.expr(FIELD), "answer": F.expr(ANSWER)}))
+ strftime(max(CAST(retrieved_at AS DATE)) FILTER (status NOT IN ('could_not_verify', 'removed_failed_validation') AND field_name IN ({", ".join(f"'{f}'" for f in C.DATE_FIELDS)})), '%Y-%m-%d') AS latest_signal,
+ CASE WHEN bool_or(field_name IS NOT NULL AND status = 'verified') THEN 'verified_evidence_present' WHEN bool_or(field_name IS NOT NULL AND status IN ('single_source', 'confirmed', 'format_only')) THEN 'single_source_only' ELSE 'thin' END AS record_confidence FROM l GROUP BY entity_id),
+o AS (SELECT entity_id, arg_max(state, seq) AS outcome FROM v_run GROUP BY 1), h AS (SELECT entity_id, upper(substring(arg_max(state, (retrieved_at, seq)), 1, 2)) AS hq_state FROM v_source WHERE state IS NOT NULL GROUP BY entity_id),
+t AS (SELECT entity_id, CASE WHEN arg_max(answer, (created_at, seq)) LIKE '%mfo%' THEN 'MFO' WHEN arg_max(answer, (created_at, seq)) = 'SFO' THEN 'SFO' END AS ty FROM k WHERE question_id = 'G1.Q4' AND status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted', 'superseded') GROUP BY 1)
+SELECT w.entity_id, {", ".join(C.SCALARS)}, {", ".join(f"{f}_status" for f in C.CONTACTS)}, {LISTED("coalesce(investing_thesis, investing_mandates)")} AS mandates, {LISTED("fit_tags")} AS fit_tags, {LISTED("public_list_overlap")} AS public_list_overlap, {PART(1)} AS check_size_min, {PART(2)} AS check_size_max,
+ CASE important_insight WHEN 'fresh_liquidity' THEN 'high' WHEN 'access_window' THEN 'medium' ELSE CASE WHEN important_insight IS NOT NULL THEN 'low' END END AS urgency_tier, CASE WHEN recent_investments <> '' THEN 'active' END AS activity_status, discovery_class_primary, 'US' AS hq_country, latest_signal, record_confidence,
+ trim(e.name_raw) AS entity_name, outcome, h.hq_state, coalesce(ty, 'type_unconfirmed') AS entity_type FROM w LEFT JOIN (SELECT record_id, name_raw FROM v_entity) e ON e.record_id = w.entity_id LEFT JOIN o ON o.entity_id = w.entity_id LEFT JOIN h ON h.entity_id = w.entity_id LEFT JOIN t ON t.entity_id = w.entity_id""")
+def cor01(ledger, entities, runs, sources):
+    claims = ledger.withColumns({"field_name": F.expr(FIELD), "answer": F.expr(f"{KINDS_SAID} ELSE {ANSWER} END")})
+    named = entities.select(F.col("record_id").alias("entity_id"), F.trim("name_raw").alias("entity_name"))
+    out = C.build_records(claims, named, runs.select("entity_id", F.col("state").alias("outcome"), "seq"), sources)
     return out.withColumns({c: F.array_join(c, "|") for c in C.LISTS})
 
 
-RANGES = "CASE doc_id % 4 WHEN 0 THEN '$500K to $2M' WHEN 1 THEN '$1,250 - $3B' WHEN 2 THEN 'about ' || CAST(doc_id AS STRING) || 'M' ELSE 'open' END"
+RANGES = "CASE doc_id % 7 WHEN 0 THEN '$500K to $2M' WHEN 1 THEN '$1,250 - $3B' WHEN 2 THEN 'about ' || CAST(doc_id AS STRING) || 'M' WHEN 3 THEN '$' || CAST(doc_id AS STRING) || '.5m to ' || CAST(doc_id * 3 AS STRING) || ' M' WHEN 4 THEN CAST(doc_id AS STRING) || ',000-2M' WHEN 5 THEN NULL ELSE 'open to all' END"
 
 
-@query("cor02_parse_check_range", "v_doc", sql="SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 500000 WHEN 1 THEN 1250 WHEN 2 THEN doc_id * 1000000 END AS low, CASE doc_id % 4 WHEN 0 THEN 2000000 WHEN 1 THEN 3000000000 END AS high FROM v_doc")
+@query("cor02_parse_check_range", "v_doc", sql=f"WITH x AS (SELECT doc_id, string_split_regex({RANGES}, '\\s+(?:to|-)\\s+') AS p FROM v_doc) SELECT doc_id, {AMOUNT('p[1]')} AS low, {AMOUNT('p[2]')} AS high FROM x")
 def cor02(d):
     return d.select("doc_id", C.parse_check_range(F.expr(RANGES)).alias("r")).select("doc_id", "r.low", "r.high")
 
@@ -44,7 +55,7 @@ def cor03(s):
 
 
 DF = ", ".join(f"'{f}'" for f in C.DATE_FIELDS)
-LIVE = "status NOT IN ('could_not_verify', 'removed_failed_validation', 'contradicted')"
+LIVE = "status NOT IN ('could_not_verify', 'removed_failed_validation')"
 
 
 @query("cor04_record_signals", "v_ledger", sql=f"""
@@ -92,12 +103,18 @@ def cor05(e):
     return C.facet_chunks(record(e))
 
 
-@query("cor06_contact_leaks", "v_entity", sql="SELECT record_id, 'people' AS facet FROM v_entity WHERE principal_email IS NOT NULL AND record_id % 9 = 0")
+#: Texts with contacts of the record, of another one, and in other letters.
+LEAKY = "content || CASE record_id % 7 WHEN 0 THEN ' Write to ' || coalesce(principal_email, '') WHEN 1 THEN ' Call ' || phone || '.' WHEN 2 THEN ' Mail ' || upper(coalesce(principal_email, '')) WHEN 3 THEN ' Call 212-555-9999' WHEN 4 THEN ' ' || coalesce(principal_email, '') || phone ELSE '' END"
+PHONE_OF = "CASE WHEN record_id % 3 > 0 THEN '212-555-' || lpad(CAST(record_id % 10000 AS STRING), 4, '0') ELSE ' ' END"
+
+
+@query("cor06_contact_leaks", "v_entity", sql=f"""
+WITH {CHUNKS}, o AS (SELECT record_id, principal_email, {PHONE_OF} AS phone FROM v_entity), x AS (SELECT c.record_id, facet, principal_email, phone, {LEAKY.replace('record_id', 'c.record_id')} AS said FROM c JOIN o ON o.record_id = c.record_id)
+SELECT record_id, facet, 'principal_email' AS field FROM x WHERE contains(said, principal_email) UNION ALL SELECT record_id, facet, 'principal_phone' FROM x WHERE trim(phone) <> '' AND contains(said, phone)""")
 def cor06(e):
-    chunks = C.facet_chunks(e)
-    leaky = F.when((F.col("facet") == "people") & (F.col("record_id") % 9 == 0), F.concat("content", F.lit(" Write to "), F.coalesce(F.upper("mail"), F.lit("")))).otherwise(F.col("content"))
-    own = e.select("record_id", F.col("principal_email").alias("mail"))
-    return C.contact_leaks(chunks.join(own, "record_id").select("record_id", "facet", leaky.alias("content")), e)
+    own = e.select("record_id", "principal_email", F.expr(PHONE_OF).alias("phone"))
+    chunks = C.facet_chunks(record(e)).join(own, "record_id").select("record_id", "facet", F.expr(LEAKY).alias("content"))
+    return C.contact_leaks(chunks, own.withColumnRenamed("phone", "principal_phone"))
 
 
 @query("cor07_embed_chunks", "v_entity")
@@ -135,27 +152,32 @@ def cor08_chunks(e):
     return C.csv_chunks(imported(e))
 
 
-@query("cor09_merge_sources", "v_entity", sql="SELECT record_id, CASE WHEN record_id % 3 = 0 THEN 'pipeline' ELSE 'csv' END AS source FROM v_entity WHERE record_id % 3 = 0 OR record_id % 2 = 0")
+@query("cor09_merge_sources", "v_entity", sql="SELECT record_id, CASE WHEN discovery_class IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'pipeline' ELSE 'csv' END AS source FROM v_entity")
 def cor09(e):
-    return C.merge_sources(e.filter("record_id % 3 = 0").select("record_id", F.lit("pipeline").alias("source")), e.filter("record_id % 2 = 0").select("record_id", F.lit("csv").alias("source")))
+    return C.merge_sources(e.filter("discovery_class IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')").select("record_id", F.lit("pipeline").alias("source")), e.select("record_id", F.lit("csv").alias("source")))
+
+
+# what is stored, and a delta of every second class; the sides overlap and cover all rows
+DELTA_OF = "discovery_class IN ('BUILDING', 'AUTOMOBILE')"
+BASE_OF = "NOT (discovery_class = 'BUILDING' AND entity_type = 'SFO' AND hq_state = 'TX')"
 
 
-@query("cor10_merge_records", "v_entity", sql="""
-WITH b AS (SELECT record_id, name_raw, hq_state, aum_usd, CASE WHEN record_id % 2 = 0 THEN 'pipeline' ELSE 'csv' END AS source, 'old' AS build_hash FROM v_entity WHERE record_id % 5 < 4),
-d AS (SELECT record_id, 'new' AS name_raw, 'ZZ' AS hq_state, aum_usd + 1 AS aum_usd, 'pipeline' AS source, 'new' AS build_hash FROM v_entity WHERE record_id % 4 = 0)
+@query("cor10_merge_records", "v_entity", sql=f"""
+WITH b AS (SELECT record_id, name_raw, hq_state, aum_usd, CASE WHEN outcome = 'ship' THEN 'csv' ELSE 'pipeline' END AS source, 'old' AS build_hash FROM v_entity WHERE coalesce({BASE_OF}, true)),
+d AS (SELECT record_id, 'new' AS name_raw, 'ZZ' AS hq_state, aum_usd + 1 AS aum_usd, 'pipeline' AS source, 'new' AS build_hash FROM v_entity WHERE {DELTA_OF})
 SELECT coalesce(b.record_id, d.record_id) AS record_id, CASE WHEN b.record_id IS NOT NULL THEN b.name_raw ELSE d.name_raw END AS name_raw, CASE WHEN b.record_id IS NOT NULL THEN b.hq_state ELSE d.hq_state END AS hq_state, CASE WHEN d.record_id IS NULL THEN b.aum_usd ELSE d.aum_usd END AS aum_usd,
  coalesce(d.source, b.source) AS source, coalesce(d.build_hash, b.build_hash) AS build_hash FROM b FULL JOIN d ON b.record_id = d.record_id WHERE NOT (d.record_id IS NULL AND b.source = 'pipeline')""")
 def cor10(e):
-    base = e.filter("record_id % 5 < 4").select("record_id", "name_raw", "hq_state", "aum_usd", F.expr("CASE WHEN record_id % 2 = 0 THEN 'pipeline' ELSE 'csv' END").alias("source"), F.lit("old").alias("build_hash"))
-    delta = e.filter("record_id % 4 = 0").select("record_id", F.lit("new").alias("name_raw"), F.lit("ZZ").alias("hq_state"), (F.col("aum_usd") + 1).alias("aum_usd"), F.lit("pipeline").alias("source"), F.lit("new").alias("build_hash"))
+    base = e.filter(f"coalesce({BASE_OF}, true)").select("record_id", "name_raw", "hq_state", "aum_usd", F.expr("CASE WHEN outcome = 'ship' THEN 'csv' ELSE 'pipeline' END").alias("source"), F.lit("old").alias("build_hash"))
+    delta = e.filter(DELTA_OF).select("record_id", F.lit("new").alias("name_raw"), F.lit("ZZ").alias("hq_state"), (F.col("aum_usd") + 1).alias("aum_usd"), F.lit("pipeline").alias("source"), F.lit("new").alias("build_hash"))
     return C.merge_records(base, delta, prune=True)
 
 
 @query("cor10_merge_chunks", "v_entity", sql=f"""
-WITH {CHUNKS} SELECT record_id, facet, CASE WHEN record_id % 3 = 0 THEN content ELSE 'old ' || facet END AS content FROM c WHERE record_id % 7 > 0""")
+WITH {CHUNKS} SELECT c.record_id, facet, CASE WHEN {DELTA_OF} THEN content ELSE 'old ' || facet END AS content FROM c JOIN v_entity e ON e.record_id = c.record_id WHERE outcome <> 'reject'""")
 def cor10_chunks(e):
     old = C.facet_chunks(record(e)).withColumn("content", F.concat(F.lit("old "), "facet"))
-    return C.merge_chunks(old, e.filter("record_id % 7 > 0").select("record_id"), record(e.filter("record_id % 3 = 0")), embed=None)
+    return C.merge_chunks(old, e.filter("outcome <> 'reject'").select("record_id"), record(e.filter(DELTA_OF)), embed=None)
 
 
 @query("cor11_dataset_meta", "v_entity", sql="""

@@ -41,12 +41,13 @@ def gate03(ledger):
 
 
 @query("gate04_retry_not_reject", "v_ledger", sql="""
-WITH e AS (SELECT DISTINCT entity_id FROM v_ledger), x AS (SELECT entity_id, 'G1.Q1:unanswered;G1.Q3:' || CASE WHEN entity_id % 4 = 0 THEN 'contradicted' ELSE 'unanswered' END AS reason_code FROM e)
-SELECT entity_id, CASE WHEN entity_id % 3 <> 0 AND entity_id % 5 <> 0 AND reason_code NOT LIKE '%contradicted' THEN 'retry' ELSE 'reject' END AS decision FROM x""")
+WITH e AS (SELECT entity_id, count(*) AS n, bool_or(source_class = 'tool_unavailable' AND extraction_method = 'snov_error') AS late, bool_or(status = 'verified' AND confidence = 'high') AS has, bool_and(status <> 'contradicted') FILTER (confidence = 'low') AS open, count(*) FILTER (confidence = 'low') AS low FROM v_ledger GROUP BY 1)
+SELECT entity_id, CASE WHEN low = 0 THEN 'pass' WHEN late AND NOT has AND open THEN 'retry' ELSE 'reject' END AS decision FROM e""")
 def gate04(ledger):
-    e = ledger.select("entity_id").distinct()
-    g = e.select("entity_id", F.lit(True).alias("reject"), F.concat(F.lit("G1.Q1:unanswered;G1.Q3:"), F.when(F.col("entity_id") % 4 == 0, "contradicted").otherwise("unanswered")).alias("reason_code"))
-    return G.retry_not_reject(g, ledger.filter("entity_id % 3 <> 0"), ledger.filter("entity_id % 5 = 0"))
+    reason = F.concat_ws(":", F.coalesce("question_id", F.lit("G9")), F.when(F.col("status") == "contradicted", "contradicted").otherwise("unanswered"))
+    low = F.col("confidence") == "low"
+    g = ledger.groupBy("entity_id").agg(F.bool_or(low).alias("reject"), F.array_join(F.array_sort(F.collect_set(F.when(low, reason))), ";").alias("reason_code"))
+    return G.retry_not_reject(g, ledger.filter("source_class = 'tool_unavailable' AND extraction_method = 'snov_error'"), ledger.filter("status = 'verified' AND confidence = 'high'"))
 
 
 @query("gate05_cap_verdict", "v_ledger", sql=f"WITH {GATES} SELECT entity_id, CASE WHEN reason_code IS NOT NULL THEN 'reject' WHEN force_low THEN 'pursue_low' WHEN entity_id % 2 = 0 THEN 'pursue' ELSE 'pursue_low' END AS verdict FROM r")

@@ -8,6 +8,8 @@ from ..operators import cells as C
 from ..operators import provenance as P
 from ..vocab import HIGH_VALUE
 from .q_cells import ALTERNATIVES, CELLS
+from ..sources.scratch import scratch_path
+from ..sources.stored import merge_stored, read_stored
 from .registry import query
 
 HV = ", ".join(f"('{f}')" for f in HIGH_VALUE)
@@ -52,10 +54,20 @@ def prv04(ledger, runs):
     return P.match_tool_calls(w.select("entity_id", "field_name", "source_url", "extraction_method"), calls, tools, cap=5)
 
 
-@query("prv05_blank_reason", "v_ledger", sql="""
-SELECT claim_id, CASE WHEN status = 'removed_failed_validation' THEN 'removed_failed_validation' WHEN source_class = 'tool_unavailable' OR coalesce(extraction_method LIKE '%\\_error' ESCAPE '\\', false) THEN 'tool_unavailable' WHEN seq % 2 = 0 OR seq % 3 > 0 THEN 'searched_not_found' ELSE 'never_attempted' END AS reason FROM v_ledger WHERE answer IS NULL""")
+#: Blank cells: with and without a claim, a call of their own and calls of the lead, and what the release rule took from some of them.
+BLANKS = "SELECT entity_id, claim_id AS field_name, CASE WHEN seq % 5 > 0 THEN status END AS status, CASE WHEN seq % 5 > 0 THEN extraction_method END AS extraction_method, CASE WHEN seq % 5 > 0 THEN source_class END AS source_class, CASE WHEN seq % 4 > 0 THEN source_url ELSE '' END AS source_url, seq % 3 = 0 AS has_claim, seq % 7 = 0 AS has_call, seq % 4 AS calls FROM v_ledger WHERE answer IS NULL"
+AUDITED = "SELECT seq, entity_id, claim_id AS field_name, CASE WHEN seq % 9 > 0 THEN 'v' || CAST(seq AS STRING) END AS rejected_value, 'V' || CAST(seq % 6 AS STRING) AS reason_code FROM v_ledger WHERE seq % 2 = 0 UNION ALL SELECT seq - 1, entity_id, claim_id, 'older', 'V0' FROM v_ledger WHERE seq % 6 = 0"
+
+
+@query("prv05_blank_reason", "v_ledger", sql=f"""
+WITH b AS ({BLANKS}), a AS (SELECT * FROM ({AUDITED}) QUALIFY row_number() OVER (PARTITION BY entity_id, field_name ORDER BY seq DESC) = 1),
+x AS (SELECT b.*, a.rejected_value AS rv, a.reason_code AS rc, a.entity_id IS NOT NULL AS audited, CASE WHEN status = 'removed_failed_validation' THEN 1 WHEN source_class = 'tool_unavailable' OR coalesce(ends_with(extraction_method, '_error'), false) THEN 2 WHEN has_claim OR has_call THEN 3 WHEN calls > 0 THEN 4 ELSE 5 END AS rule FROM b LEFT JOIN a ON a.entity_id = b.entity_id AND a.field_name = b.field_name)
+SELECT entity_id, field_name, CASE rule WHEN 1 THEN 'removed_failed_validation' WHEN 2 THEN 'tool_unavailable' WHEN 5 THEN 'never_attempted' ELSE 'searched_not_found' END AS code,
+ CASE rule WHEN 1 THEN CASE WHEN audited THEN 'The value ' || chr(39) || coalesce(rv, 'None') || chr(39) || ' was found but blanked by the release rule (' || rc || ').' ELSE 'The value was found but blanked by the release rule.' END WHEN 2 THEN 'The tool that would have found this value was unavailable (' || coalesce(nullif(source_url, ''), nullif(extraction_method, ''), source_class, '') || ').'
+ WHEN 3 THEN 'A search or lookup ran but found no usable value for this field.' WHEN 4 THEN CAST(calls AS STRING) || ' tool call(s) ran for this lead in this run, none of them attributable to this field.' ELSE 'No claim or tool call for this field exists — it was never attempted.' END AS detail, CASE WHEN rule = 1 THEN rv END AS rejected_value, CASE WHEN rule = 1 THEN rc END AS reason_code FROM x""")
 def prv05(ledger):
-    return ledger.filter("answer IS NULL").select("claim_id", P.blank_reason(F.col("status"), F.col("extraction_method"), F.col("source_class"), F.col("seq") % 2 == 0, F.col("seq") % 3).alias("reason"))
+    of = lambda text: ledger.sparkSession.sql(text.replace("v_ledger", "{v}"), v=ledger)
+    return P.blank_reason(of(BLANKS), of(AUDITED))
 
 
 @query("prv06_field_records", "v_ledger", sql=f"""
@@ -97,14 +109,21 @@ WITH x AS (SELECT seq, 'r' || CAST(seq % 5 AS STRING) AS run_id, entity_id, fiel
 SELECT run_id, entity_id, field_name, answer, seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id, entity_id, field_name ORDER BY d DESC, seq DESC) AS n FROM x) WHERE n = 1""")
 def prv11(ledger):
     x = ledger.select("seq", F.concat(F.lit("r"), (F.col("seq") % 5).cast("string")).alias("run_id"), "entity_id", "field_name", "answer")
-    return P.upsert_provenance(x.filter("seq % 4 <> 0"), x.filter("seq % 4 = 0"))
+    path = scratch_path(ledger.sparkSession, "provenance")
+    for part in (x.filter("seq % 4 <> 0"), x.filter("seq % 4 = 0")):
+        merge_stored(path, part.filter("field_name IS NOT NULL"), ["run_id", "entity_id", "field_name"], P.upsert_provenance, buckets=16)
+    return read_stored(ledger.sparkSession, path)
 
 
 @query("prv12_run_status_view", "v_run", sql="""
-WITH e AS (SELECT DISTINCT entity_id FROM v_run), c AS (SELECT entity_id, arg_max(state, seq) AS s FROM v_run WHERE entity_id % 4 > 0 GROUP BY 1), d AS (SELECT entity_id, arg_max(tool, seq) AS v FROM v_run WHERE entity_id % 5 = 0 GROUP BY 1), r AS (SELECT DISTINCT entity_id FROM v_run WHERE entity_id % 7 = 0)
-SELECT e.entity_id, coalesce(d.v, CASE WHEN r.entity_id IS NOT NULL THEN 'rejected' END, c.s, 'queued') AS status FROM e LEFT JOIN c USING (entity_id) LEFT JOIN d USING (entity_id) LEFT JOIN r ON e.entity_id = r.entity_id""")
+WITH e AS (SELECT DISTINCT run_id, entity_id FROM v_run), c AS (SELECT entity_id, arg_max(state, seq) AS s, arg_max(duration_ms, seq) / 1000.0 AS cost FROM v_run WHERE tool <> 'view' GROUP BY 1), d AS (SELECT entity_id, arg_max(tool, seq) AS v, 'r' || CAST(max(seq) AS STRING) AS why FROM v_run WHERE tool = 'purchase' AND ok GROUP BY 1), r AS (SELECT entity_id, arg_max(state, seq) AS code FROM v_run WHERE NOT ok GROUP BY 1),
+x AS (SELECT e.run_id, e.entity_id, coalesce(s, 'queued') AS status, CASE WHEN d.v IS NOT NULL THEN d.v WHEN r.code IS NOT NULL THEN 'reject' END AS verdict, CASE WHEN d.v IS NOT NULL THEN why ELSE code END AS reason, CAST(coalesce(cost, 0) AS DOUBLE) AS cost_usd FROM e LEFT JOIN c USING (entity_id) LEFT JOIN d USING (entity_id) LEFT JOIN r USING (entity_id))
+SELECT *, round(sum(cost_usd) OVER (PARTITION BY run_id), 3) AS total_cost_usd FROM x""")
 def prv12(runs):
-    return P.run_status_view(runs.select("entity_id").distinct(), runs.filter("entity_id % 4 > 0"), runs.filter("entity_id % 5 = 0").withColumn("verdict", F.col("tool")), runs.filter("entity_id % 7 = 0"))
+    checkpoints = runs.filter("tool <> 'view'").select("entity_id", "state", (F.col("duration_ms") / 1000.0).alias("cost_usd"), "seq")
+    decisions = runs.filter("tool = 'purchase' AND ok").select("entity_id", F.col("tool").alias("verdict"), F.concat(F.lit("r"), F.col("seq").cast("string")).alias("rationale"), "seq")
+    rejected = runs.filter("NOT ok").select("entity_id", F.col("state").alias("reason_code"), "seq")
+    return P.run_status_view(runs.select("run_id", "entity_id").distinct(), checkpoints, decisions, rejected).withColumn("total_cost_usd", F.round("total_cost_usd", 3))
 
 
 @query("tool01_redact_args", "v_ledger", sql="SELECT claim_id, 2 AS kept, coalesce(answer, '') AS q, length(substring(repeat('x', CAST(100 + seq % 200 AS BIGINT)), 1, 200)) AS n FROM v_ledger")
@@ -185,16 +204,37 @@ def que04(runs):
     return P.merge_checkpoints(x.filter("seq % 3 <> 0"), x.filter("seq % 3 = 0"))
 
 
-KINDS = "CASE WHEN seq % 10 = 0 THEN 'enqueue' WHEN seq % 37 = 0 THEN 'done' ELSE 'attempt' END"
+@query("que04_validator_checkpoints", "v_run", sql="""
+WITH x AS (SELECT entity_id AS record_id, CASE WHEN seq % 2 = 0 THEN 'type' ELSE 'email' END AS mode, state AS status, CASE WHEN ok THEN NULL ELSE tool END AS last_error, seq, CASE WHEN tool = 'view' THEN 1 ELSE 0 END AS d FROM v_run)
+SELECT record_id, mode, arg_max(status, (d, seq)) AS status, (list(last_error ORDER BY d DESC, seq DESC))[1] AS last_error, CAST(sum(CASE WHEN d = 1 THEN 1 ELSE seq % 4 END) AS BIGINT) AS attempts FROM x GROUP BY 1, 2""")
+def que04_validator(runs):
+    x = runs.select(F.col("entity_id").alias("record_id"), F.when(F.col("seq") % 2 == 0, "type").otherwise("email").alias("mode"), F.col("state").alias("status"), F.when(~F.col("ok"), F.col("tool")).alias("last_error"), "seq", "tool")
+    return P.merge_validator_checkpoints(x.filter("tool <> 'view'").withColumn("attempts", F.col("seq") % 4).drop("tool"), x.filter("tool = 'view'").drop("tool"))
 
 
-@query("que05_rag_queue_image", "v_run", sql=f"""
-WITH e AS (SELECT entity_id, seq, {KINDS} AS kind FROM v_run), s AS (SELECT entity_id, max(seq) AS since FROM e WHERE kind = 'enqueue' GROUP BY 1),
-i AS (SELECT entity_id, count(*) FILTER (kind = 'attempt') AS attempts, bool_or(kind = 'done') AS done FROM e JOIN s USING (entity_id) WHERE seq >= since GROUP BY 1) SELECT entity_id, attempts, CASE WHEN done THEN 'done' WHEN attempts < 3 THEN 'pending' ELSE 'failed' END AS state FROM i""")
-def que05(runs):
+KINDS = "CASE WHEN seq % 10 = 0 THEN 'enqueue' WHEN seq % 37 = 0 THEN 'done' WHEN seq % 23 = 0 THEN 'stale' ELSE 'pending' END"
+QUEUE = f"""e AS (SELECT entity_id, seq, {KINDS} AS kind FROM v_run), s AS (SELECT entity_id, max(seq) AS enqueued FROM e WHERE kind = 'enqueue' GROUP BY 1),
+i AS (SELECT entity_id, enqueued, count(*) FILTER (kind <> 'enqueue') AS attempts, coalesce(arg_max(kind, seq) FILTER (kind <> 'enqueue'), 'pending') AS state FROM e JOIN s USING (entity_id) WHERE seq >= enqueued GROUP BY 1, 2)"""
+
+
+def queue_image(runs):
     return P.rag_queue_image(runs.select("entity_id", "seq", F.expr(KINDS).alias("kind")))
 
 
+@query("que05_rag_queue_image", "v_run", sql=f"WITH {QUEUE} SELECT * FROM i")
+def que05(runs):
+    return queue_image(runs)
+
+
+@query("que05_pending", "v_run", sql=f"""
+WITH {QUEUE}, p AS (SELECT entity_id, enqueued FROM i WHERE state = 'pending' AND attempts < 3 ORDER BY enqueued, entity_id LIMIT 50), o AS (SELECT entity_id, arg_max(state, seq) AS outcome FROM v_run GROUP BY 1)
+SELECT entity_id, enqueued, outcome NOT IN ('done', 'running') AS stale FROM p JOIN o USING (entity_id)""")
+def que05_pending(runs):
+    pending = P.pending_entities(queue_image(runs))
+    stale = P.stale_entities(pending, runs.select("entity_id", F.col("state").alias("outcome"), "seq"), ["done", "running"])
+    return pending.join(stale.withColumn("stale", F.lit(True)), "entity_id", "left").select("entity_id", "enqueued", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
 @query("que06_spend_report", "v_run", sql="""
 WITH s AS (SELECT run_id, seq, sum(duration_ms) OVER (PARTITION BY run_id ORDER BY seq) AS spent FROM v_run) SELECT run_id, CAST(max(spent) AS BIGINT) AS total, min(seq) FILTER (spent >= 750000) AS warned_at, min(seq) FILTER (spent >= 1000000) AS stopped_at FROM s GROUP BY run_id""")
 def que06(runs):

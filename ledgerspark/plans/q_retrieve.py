@@ -188,11 +188,18 @@ def rnk02(c):
 STAT = "CASE record_id % 7 WHEN 0 THEN 'could_not_verify' WHEN 1 THEN 'pattern_inferred' ELSE 'verified' END"
 
 
+REACHED = f"SELECT record_id, CASE WHEN record_id % 5 = 3 THEN '' ELSE principal_email END AS m, CASE WHEN record_id % 11 > 0 THEN {STAT} END AS ms, CASE record_id % 4 WHEN 0 THEN '212' WHEN 1 THEN '' END AS ph, CASE WHEN record_id % 3 = 0 THEN 'contradicted' END AS ps, CASE WHEN record_id % 6 < 2 THEN 'l' END AS li, principal_name AS nm FROM v_entity"
+
+
 @query("rnk03_reach_score", "v_entity", sql=f"""
-SELECT record_id, CASE WHEN principal_email IS NOT NULL AND {STAT} <> 'could_not_verify' THEN CASE WHEN {STAT} = 'pattern_inferred' THEN 0.85 ELSE 1.0 END WHEN record_id % 4 = 0 AND record_id % 3 > 0 THEN 0.75 WHEN record_id % 6 = 0 THEN 0.5 WHEN principal_name IS NOT NULL THEN 0.25 ELSE 0.0 END AS reach FROM v_entity""")
+WITH r AS ({REACHED}), x AS (SELECT *, coalesce(m <> '', false) AS hm, coalesce(ph <> '', false) AS hp, coalesce(ms IN ('could_not_verify', 'removed_failed_validation', 'contradicted'), false) AS mbad, coalesce(ps IN ('could_not_verify', 'removed_failed_validation', 'contradicted'), false) AS pbad FROM r),
+y AS (SELECT *, CASE WHEN hm AND NOT mbad THEN CASE WHEN coalesce(ms IN ('pattern_inferred', 'format_only'), false) THEN 2 ELSE 1 END WHEN hp AND NOT pbad THEN 3 WHEN coalesce(li <> '', false) THEN 4 WHEN coalesce(nm <> '', false) THEN 5 ELSE 6 END AS k FROM x)
+SELECT record_id, [1.0, 0.85, 0.75, 0.5, 0.25, 0.0][k] AS reach, CASE k WHEN 1 THEN 'reachable via email (' || coalesce(ms, 'null') || ')' WHEN 2 THEN 'email address inferred, not sourced (' || ms || ')' WHEN 3 THEN 'reachable via phone' WHEN 4 THEN 'linkedin available' WHEN 5 THEN 'named principal but no contact path' ELSE '' END AS why,
+ CASE WHEN k < 3 THEN '' WHEN k = 5 THEN 'no email,no phone,no linkedin' WHEN k = 6 THEN 'no named principal,no email,no phone,no linkedin' ELSE concat_ws(',', CASE WHEN NOT hm THEN 'no email' END, CASE WHEN k = 4 AND NOT hp THEN 'no phone' END) END AS gaps FROM y""")
 def rnk03(e):
-    phone, ps = F.when(F.col("record_id") % 4 == 0, "p"), F.when(F.col("record_id") % 3 == 0, "contradicted")
-    return e.select("record_id", R.reach_score(F.col("principal_email"), F.expr(STAT), phone, ps, F.when(F.col("record_id") % 6 == 0, "l"), F.col("principal_name")).alias("reach"))
+    r = e.sparkSession.sql(REACHED.replace("v_entity", "{v}"), v=e)
+    x = r.select("record_id", R.reach(*[F.col(c) for c in ("m", "ms", "ph", "ps", "li", "nm")]).alias("r"))
+    return x.select("record_id", F.col("r.score").alias("reach"), F.array_join("r.why", ",").alias("why"), F.array_join("r.gaps", ",").alias("gaps"))
 
 
 @query("rnk04_recency_score", "v_source", sql="""
@@ -228,10 +235,11 @@ def rnk06(e):
 
 
 @query("rnk07_rank", "v_entity", sql=f"""
-WITH {SC}, x AS (SELECT sc.query_id, record_id, fit, fit * w_fit + reach * w_reach + recency * w_recency + trust * w_trust AS s, row_number() OVER (PARTITION BY sc.query_id ORDER BY fit DESC, record_id) AS f FROM sc JOIN ew USING (query_id)),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, record_id) AS place FROM x WHERE f <= 10) SELECT query_id, record_id, place, round(s, 6) AS score FROM p""")
+WITH {SC}, a AS (SELECT DISTINCT query_id, 3 + query_id % 9 AS top_n, query_id % 2 = 0 AS topical FROM sc), x AS (SELECT sc.query_id, record_id, fit, fit * w_fit + reach * w_reach + recency * w_recency + trust * w_trust AS s, row_number() OVER (PARTITION BY sc.query_id ORDER BY fit DESC, record_id) AS f FROM sc JOIN ew USING (query_id)),
+p AS (SELECT x.*, top_n, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, record_id) AS place FROM x JOIN a USING (query_id) WHERE NOT topical OR f <= top_n) SELECT query_id, record_id, place, round(s, 6) AS score FROM p WHERE place <= top_n""")
 def rnk07(e):
-    return R.rank(scores(e), 10, topical=True)
+    x = scores(e)
+    return R.rank(x, x.select("query_id").distinct().select("query_id", (3 + F.col("query_id") % 9).alias("top_n"), (F.col("query_id") % 2 == 0).alias("topical")))
 
 
 REPLIES = "CASE conv_id % 3 WHEN 0 THEN '[0, 2]' WHEN 1 THEN 'none of them' ELSE '[]' END"
