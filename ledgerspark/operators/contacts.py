@@ -154,15 +154,20 @@ def find_phone(pages: DataFrame) -> DataFrame:
 
 
 def name_from_serp_title(title: Column) -> Column:
-    """CON-18: what stands before the first dash or bar, if it is one to four words."""
-    part = F.trim(F.get(F.split(title, r" [-|–—] "), F.lit(0)))
-    return F.when(F.size(F.split(part, r"\s+")).between(1, 4) & (part != ""), part)
+    """CON-18: what stands before the first ' - ', else the first ' | ', else the first long dash, if it is one to four words; a title without any of them names nobody."""
+
+    def before(mark: str) -> Column:
+        part = F.trim(F.split_part(title, F.lit(mark), F.lit(1)))
+        return F.when(F.contains(title, F.lit(mark)) & (part != "") & (F.size(F.split(part, r"\s+")) <= 4), part)
+
+    return F.coalesce(*[before(m) for m in (" - ", " | ", " — ")])
 
 
 def title_from_serp(title: Column, name: Column) -> Column:
-    """CON-18: the second part, if the first begins with the first word of the name."""
-    parts = F.split(title, r" [-|–—] ")
-    return F.when(F.lower(F.split_part(F.get(parts, F.lit(0)), F.lit(" "), F.lit(1))) == F.lower(F.split_part(name, F.lit(" "), F.lit(1))), F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")))
+    """CON-18: the second part, if the first holds the first word of the name."""
+    parts = F.split(F.replace(title, F.lit(" | "), F.lit(" - ")), " - ")
+    first = F.lower(F.regexp_extract(name, r"^\s*(\S+)", 1))
+    return F.when((F.size(parts) >= 2) & (first != "") & F.contains(F.lower(F.get(parts, F.lit(0))), first), F.trim(F.get(parts, F.lit(1))))
 
 
 def fold(text: Column) -> Column:

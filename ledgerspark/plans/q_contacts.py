@@ -159,19 +159,27 @@ def con16(m):
     return C.choose_email_vendor(m.sparkSession.sql(VENDOR.replace("v_mail", "{v}"), v=m))
 
 
+#: Numbers in every spelling, of two offices, some too long or with an area that there is not; the page's text comes first.
+DIGITS = "lpad(CAST(page_id % 10000 AS STRING), 4, '0')"
+NUMBERED = f"html || CASE page_id % 9 WHEN 0 THEN 'Call (212) 555-' || {DIGITS} || ' now' WHEN 1 THEN 'T +1 646.555.' || {DIGITS} WHEN 2 THEN '1-212-555-' || {DIGITS} || '.' WHEN 3 THEN '212 555 ' || {DIGITS} || '7' WHEN 4 THEN '112-555-' || {DIGITS} WHEN 5 THEN 'no 9212555' || {DIGITS} || ' but (646)555' || {DIGITS} WHEN 6 THEN '2125550199,6465550199' ELSE 'none' END"
+
+
 @query("con17_find_phone", "v_page", sql=f"""
-WITH x AS (SELECT page_id, {HOST} AS domain FROM v_page WHERE page_id % 2 = 0) SELECT domain, arg_min('+1' || '212555' || lpad(CAST(page_id AS STRING), 4, '0'), page_id) AS phone, 'format_only' AS status FROM x GROUP BY domain""")
+WITH x AS (SELECT page_id, {HOST} AS domain, regexp_extract({NUMBERED}, '(?:^|[^0-9])(?:\\+?1[ .-]?)?\\(?([2-9][0-9]{{2}})\\)?[ .-]?([2-9][0-9]{{2}})[ .-]?([0-9]{{4}})(?:[^0-9]|$)', ['a', 'b', 'c']) AS n FROM v_page)
+SELECT domain, arg_min('+1' || n.a || n.b || n.c, page_id) AS phone, 'format_only' AS status FROM x WHERE n.a <> '' GROUP BY domain""")
 def con17(p):
-    n = F.lpad(F.col("page_id").cast("string"), 4, "0")
-    return C.find_phone(p.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Call (212) 555-"), n, F.lit(" now"))).otherwise("none").alias("html")))
+    return C.find_phone(p.select("page_id", "url", F.expr(NUMBERED).alias("html")))
 
 
-SERP = "CASE doc_id % 4 WHEN 0 THEN 'Jane Doe - CEO - Fam' WHEN 1 THEN 'A very long headline of news - Site' WHEN 2 THEN 'Roe | Partner' ELSE '' END"
+SERP = "CASE doc_id % 9 WHEN 0 THEN 'Jane Doe - CEO - Fam' WHEN 1 THEN 'A very long headline of news - Site' WHEN 2 THEN 'Roe | Partner - Fam' WHEN 3 THEN '' WHEN 4 THEN 'Jane Doe' WHEN 5 THEN NULL WHEN 6 THEN 'Mary-Jane ' || source || ' — Chair' WHEN 7 THEN 'one two three four five | Jane - x' ELSE substring(text, 1, 40) || ' | ' || lang END"
+ASKED_NAME = "CASE doc_id % 4 WHEN 0 THEN ' JANE Doe' WHEN 1 THEN 'Roe' WHEN 2 THEN '' ELSE 'one' END"
 
 
-@query("con18_serp_titles", "v_doc", sql="SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Jane Doe' WHEN 2 THEN 'Roe' END AS name, CASE doc_id % 4 WHEN 0 THEN 'CEO' END AS title FROM v_doc")
+@query("con18_serp_titles", "v_doc", sql=f"""
+WITH x AS (SELECT doc_id, {SERP} AS t, lower(regexp_extract({ASKED_NAME}, '^\\s*(\\S+)', 1)) AS w FROM v_doc), y AS (SELECT *, {", ".join(f"CASE WHEN contains(t, '{m}') THEN trim(split_part(t, '{m}', 1)) END AS p{k}" for k, m in enumerate((" - ", " | ", " — ")))}, string_split(replace(t, ' | ', ' - '), ' - ') AS parts FROM x)
+SELECT doc_id, coalesce({", ".join(f"CASE WHEN p{k} <> '' AND len(string_split_regex(p{k}, '\\s+')) <= 4 THEN p{k} END" for k in range(3))}) AS name, CASE WHEN len(parts) >= 2 AND w <> '' AND contains(lower(parts[1]), w) THEN trim(parts[2]) END AS title FROM y""")
 def con18(d):
-    return d.select("doc_id", C.name_from_serp_title(F.expr(SERP)).alias("name"), C.title_from_serp(F.expr(SERP), F.lit("Jane Doe")).alias("title"))
+    return d.select("doc_id", C.name_from_serp_title(F.expr(SERP)).alias("name"), C.title_from_serp(F.expr(SERP), F.expr(ASKED_NAME)).alias("title"))
 
 
 @query("con19_mentions_entity", "v_doc", sql="""
