@@ -88,16 +88,25 @@ def parse_amounts(queries: DataFrame) -> DataFrame:
 
 
 def topical_residual(queries: DataFrame) -> DataFrame:
-    """QRY-03: what is left of a query without scaffolding words, amounts, and what the state and type filters have taken."""
+    """QRY-03: what is left of a query without scaffolding words, amounts, and what the state and type filters have taken.
+
+    Each step is a variable of a one-element array, so that none is written out again where it is used twice.
+    """
     text = F.coalesce("query_text", F.lit(""))
     names = {code: r"\b(" + "|".join(n for n, c in STATES.items() if c == code) + rf"|{code.lower()})\b" for code in STATES.values()}
     taken = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    rows = queries.select("query_id", F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s%$.-]", " ").alias("q"), entity_type(text).alias("kind"), hq_state(text).alias("state"))
-    rows = rows.withColumn("q", F.when(F.col("state").isNull(), F.col("q")).otherwise(F.regexp_replace("q", F.try_element_at(taken, F.col("state")), F.lit(" "))))
-    typed = F.regexp_replace(F.regexp_replace("q", r"\b(single|multi)[\s-]?family\b", " "), r"\b(sfo|mfo)\b", " ")
-    rows = rows.withColumn("q", F.when(F.col("kind").isNull(), F.col("q")).otherwise(typed))
-    left = F.filter(F.split("q", r"\s+"), lambda t: (t != "") & ~t.rlike(AMOUNT) & ~t.isin(SCAFFOLDING))
-    return rows.select("query_id", F.array_join(left, " ").alias("topic"))
+    read = F.struct(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s%$.-]", " ").alias("q"), entity_type(text).alias("kind"), hq_state(text).alias("state"))
+
+    def placed(x: Column) -> Column:
+        return F.struct(F.when(x["state"].isNull(), x["q"]).otherwise(F.regexp_replace(x["q"], F.try_element_at(taken, x["state"]), F.lit(" "))).alias("q"), x["kind"].alias("kind"))
+
+    def typed(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x["q"], r"\b(single|multi)[\s-]?family\b", " "), r"\b(sfo|mfo)\b", " ")
+        return F.when(x["kind"].isNull(), x["q"]).otherwise(bare)
+
+    left = lambda q: F.array_join(F.filter(F.split(q, r"\s+"), lambda t: (t != "") & ~t.rlike(AMOUNT) & ~t.isin(SCAFFOLDING)), " ")
+    steps = F.transform(F.transform(F.transform(F.array(read), placed), typed), left)
+    return queries.select("query_id", F.get(steps, F.lit(0)).alias("topic"))
 
 
 def shape(queries: DataFrame) -> DataFrame:
