@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Parts kept by a worker, their greatest length, and bytes of text that are encoded and aligned at once.
-KEPT, KEPT_LENGTH, AT_ONCE = 300_000, 64, 1 << 20
+#: Parts kept by a worker in each of two generations, their greatest length, and bytes of text that are encoded and aligned at once.
+KEPT, KEPT_LENGTH, AT_ONCE = 200_000, 64, 1 << 20
+#: Marks the ids of B where those of both sides stand in one row.
+SIDE_B = 1 << 31
 PARTS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 SPACE = "▁"
 
@@ -50,6 +52,27 @@ def _digits(ids: int, last: str) -> list[bytes]:
     return [f"{i}{end}".encode() for i in range(ids) for end in (",", last)]
 
 
+class Parts(dict):
+    """Ids of parts, as bytes: those of A, then those of B with SIDE_B. When the young generation is full it becomes the old one, and parts that are met again come back from there."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.old[part]
+        return ids
+
+    def unknown(self, parts) -> list[str]:
+        return [p for p in dict.fromkeys(parts) if p not in self and p not in self.old]
+
+    def age(self, gone: list[str]) -> None:
+        for p in gone:
+            self.pop(p, None)
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
+
 class Tokenizers:
     """Both tokenizers, the bytes of their tokens and the linkable pairs. One for each worker process and pair of files."""
 
@@ -69,8 +92,7 @@ class Tokenizers:
         self.a_length, self.b_length = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         #: Whether no piece reaches over the start of a run of spaces or over a line end.
         self.in_parts = not any(re.search(rf"[^{SPACE}]{SPACE}|\n", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
+        self.known = Parts()
         self.odd: set[str] = set()
         #: What the digest has for each token of A and then of B, filled up with zero bytes.
         self.signs = np.array(_digits(len(self.a_bytes), "|") + _digits(len(self.b_bytes), ";"))
@@ -97,7 +119,7 @@ class Tokenizers:
         else:
             b = self.b.encode([p[1:] for p in parts], num_threads=1)  # parts are whole texts, with the space before them
         for part, x, y in zip(parts, a, b, strict=True):
-            self.known_a[part], self.known_b[part] = np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()
+            self.known[part] = np.array([*x, *(i | SIDE_B for i in y)], "<u4").tobytes()
             data = part.encode()
             if b"".join(map(self.a_bytes.__getitem__, x)) != data or b"".join(map(self.b_bytes.__getitem__, y)) != data:
                 self.odd.add(part)
@@ -105,23 +127,20 @@ class Tokenizers:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides of a space and each text; None where the bytes do not come back."""
         cut = [PARTS.findall(f" {t}") if self.in_parts else [f" {t}"] for t in texts]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.known_a))
+        new = self.known.unknown(p for parts in cut for p in parts)
         self.learn(new)
         out: list[tuple[np.ndarray, np.ndarray] | None] = []
         for text, parts in zip(texts, cut, strict=True):
-            a, b = (np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4").astype(np.int64) for known in (self.known_a, self.known_b))
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+            of_b = ids >= SIDE_B
+            a, b = ids[~of_b].astype(np.int64), ids[of_b].astype(np.int64) - SIDE_B
             whole = f" {text}".encode()
             if self.odd and not self.odd.isdisjoint(parts) and any(b"".join(x[i] for i in ids) != whole for x, ids in ((self.a_bytes, a), (self.b_bytes, b))):
                 out.append(None)
             else:
                 out.append((a, b))
-        if len(self.known_a) > KEPT:
-            gone = list(self.known_a)
-        else:
-            gone = [p for p in new if len(p) > KEPT_LENGTH]
-        for p in gone:
-            del self.known_a[p], self.known_b[p]
-            self.odd.discard(p)
+        self.known.age([p for p in new if len(p) > KEPT_LENGTH])
+        self.odd = {p for p in self.odd if p in self.known or p in self.known.old} if self.odd else self.odd
         return out
 
 
