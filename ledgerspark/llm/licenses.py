@@ -13,6 +13,7 @@ Templates are constants of this module, so the broadcast table has a fixed size.
 Defined results: a null text is empty and has no words; without base places first_word and last_word are null and base_labels is
 empty; score is the greatest share of any template found (0 without votes, 1 with a base phrase); rows are told apart by
 doc_id and text, so repeated rows get the same result each; an empty table gives an empty one; texts of any length are read whole.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -22,6 +22,7 @@ Defined results: null and empty texts and texts without words have no shingles a
 rows with words that share a doc_id are one document and therefore in one component, whatever their texts; rows with a null doc_id are linked with
 nothing, their component_id is null and they are kept; equal rows get equal results; an empty table gives an empty one; texts of any length
 are read whole. Sets and classes are compared by 64-bit hashes of shingles and 128-bit digests of sets.
+near_groups does not look at other columns, whatever their names, and keep_one keeps them as they are.
 """
 
 from __future__ import annotations

@@ -22,6 +22,7 @@ Round functions take SHA-256 of key, kind, round and half. Matches that fail the
 Defined results: a null text stays null with no matches; an empty text stays empty; cards in groups are read first, then
 overlapping candidates from the left, the longer kind first; four years in a row are no card; rows are independent of each other,
 so repeated rows get equal results.
+Ties between kinds are settled so in every run; an empty table gives an empty one; texts of any length are read whole; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

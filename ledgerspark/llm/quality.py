@@ -13,6 +13,7 @@ Defined results: null and empty texts get the score of the layer's bias alone; r
 scored like any other; of two labels of one doc_id the smaller counts; a null doc_id is never held out and never learned from; without two classes to learn from, the score is the
 share of good rows (0.5 without any); repeated rows get equal scores; an
 empty table gives an empty one; texts of any length are read whole.
+score does not look at other columns, whatever their names, and keep_good keeps them as they are.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ split by a hash of the text, a text with more copies than a share forms parts of
 Defined results: a null text has size 1 and CRC 0 and is a copy of the empty text; null lang or source takes level 0; copies are ordered by doc_id,
 and rows equal in both, or copies of a text with more of them than a share, take their places in any order; an empty table gives an empty result; texts
 of any length count with all their bytes.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ have equal distances and stay together. Halving goes on until groups are small;
 Defined results: a null text is empty; texts under LEAST bytes keep all bytes; rows of documents are told apart by doc_id and text,
 and equal rows repeat each other like any other texts; null doc_ids are a value like others; an empty table gives an empty one; texts of
 any length are read whole, and no more than a piece of CHUNK bytes is hashed at once. Equal segments are told by 128 bits of hashes.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ toxic rows among the labelled rows that may be learned from.
 Defined results: null and empty texts get the score of the bias alone; a null doc_id is never held out and never
 learned from; without confirmed toxic rows every score is 0; repeated rows get equal scores; an empty table gives an empty one; texts of any length
 are read whole.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
