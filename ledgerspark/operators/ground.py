@@ -167,7 +167,7 @@ def quote_candidates(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     words = lambda c: F.split(fold_space(c), " ")
     q = quotes.filter(fold_space(F.col("text")) != "").select("item_id", fold_space(F.col("text")).alias("quote"), words(F.col("text")).alias("w"))
-    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
     keyed = q.filter(F.size("w") > 2).select("item_id", inner.alias("w")).withColumn("len", F.least(F.size("w"), F.lit(LONG_QUOTE)))
     key = F.when(F.col("len") == LONG_QUOTE, F.array_min(F.slice(_grams(F.col("w"), F.lit(GRAM)), F.lit(1), F.lit(WINDOW)))).otherwise(F.xxhash64(F.array_join("w", " ")))
     keyed = keyed.select("item_id", "len", key.alias("k"))
