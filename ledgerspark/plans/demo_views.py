@@ -20,8 +20,8 @@ TOPICS = ["real estate", "tech", "biotech", "life sciences", "venture capital",
 
 
 #: Names and addresses of people, in many spellings.
-FIRST = ["Jane", "Al", "Reza", "Todd", "Mary Ann", "Li", "Shannon", "Thomas", "J", "O-Neil", "Bo", "Glen"]
-LAST = ["Doe", "Roe", "Zamani", "Compton", "Taft", "Ng", "Smithers-Jones", "Tullman", "de la Cruz", "Li", "Constantinopolis"]
+FIRST = ["Jane", "Al", "Reza", "Todd", "Mary Ann", "Li", "Shannon", "Thomas", "J", "O-Neil", "Bo", "Ivor"]
+LAST = ["Doe", "Roe", "Rahimi", "Barlow", "Hale", "Ng", "Smithers-Jones", "Hollis", "de la Cruz", "Li", "Constantinopolis"]
 SHARED = ["info", "No-Reply", "contacts+x", "_info", "Contact.Us", "adminvfo", "general", "hr", "help", "noreply+1"]
 DOMAINS = ["fam.com", "mail.fam.com", "FAM.com", "www.fam.com", "fam.com", "other.com", "notfam.com", "fam.com"]
 

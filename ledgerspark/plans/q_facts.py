@@ -131,7 +131,7 @@ def der04(s):
 
 
 #: Three people for every source row, some without a name, with titles under several keys.
-PEOPLE = """SELECT seq, entity_id, source_class, place, CASE (seq + place) % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Jane Doe' ELSE 'P' || CAST(seq % 50 AS STRING) || ' Roe' END AS name, CASE seq % 3 WHEN 0 THEN 'TULLMAN, GLEN' WHEN 1 THEN '' END AS full_name,
+PEOPLE = """SELECT seq, entity_id, source_class, place, CASE (seq + place) % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Jane Doe' ELSE 'P' || CAST(seq % 50 AS STRING) || ' Roe' END AS name, CASE seq % 3 WHEN 0 THEN 'HOLLIS, IVOR' WHEN 1 THEN '' END AS full_name,
  CASE (seq + place) % 5 WHEN 0 THEN 'CEO' WHEN 1 THEN '' WHEN 2 THEN 'Jane Doe' END AS title, CASE (seq + place) % 7 WHEN 0 THEN 'Investor' END AS occupation, CASE seq % 2 WHEN 0 THEN 'Chair' END AS role FROM v_source, (SELECT {places} AS place)"""
 FIRST_PERSON = f"""pe AS ({PEOPLE.format(places="unnest([0, 1, 2])")}), fp AS (SELECT seq, entity_id, source_class, coalesce(nullif(name, ''), nullif(full_name, '')) AS principal_name, coalesce(nullif(title, ''), nullif(occupation, ''), nullif(role, '')) AS title FROM pe WHERE coalesce(nullif(name, ''), nullif(full_name, '')) IS NOT NULL AND source_class IN ('adv_name', 'fec_employer')
  QUALIFY row_number() OVER (PARTITION BY seq ORDER BY place) = 1)"""
@@ -170,9 +170,9 @@ def der08(e):
 K = "CAST(floor(seq / 12) AS BIGINT)"
 #: The ledger as research leaves it: distilled values beside answers, with every way in which they can be missing or wrong.
 RESEARCH = f"""SELECT seq, claim_id, entity_id, field_name, question_id, status, source_class, extraction_method, retrieved_at, created_at, CASE {K} % 4 WHEN 0 THEN NULL ELSE 'https://s' || CAST({K} % 3 AS STRING) END AS source_url,
- CASE question_id WHEN 'G2.Q1' THEN CASE {K} % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Glen Tullman' ELSE ' DOE, Jane ' || CAST({K} % 7 AS STRING) END WHEN 'G2.Q2' THEN CASE {K} % 3 WHEN 0 THEN 'https://www.LinkedIn.com/in/x' || CAST(seq AS STRING) WHEN 1 THEN 'https://linkedin.com/company/y' END
-  WHEN 'G2.Q3' THEN CASE {K} % 7 WHEN 0 THEN ' CEO ' WHEN 1 THEN 'No title could be determined' WHEN 2 THEN repeat('x', 81) WHEN 3 THEN 'Glen Tullman' WHEN 4 THEN NULL WHEN 5 THEN '' ELSE 'Partner' END WHEN 'G3.Q1' THEN CASE WHEN {K} % 2 = 0 THEN 'Bought ' || CAST(seq AS STRING) END WHEN 'G3.Q2' THEN CASE {K} % 3 WHEN 0 THEN 'fresh_liquidity' WHEN 1 THEN ' ' END END AS subject_value,
- CASE question_id WHEN 'G2.Q3' THEN CASE {K} % 6 WHEN 0 THEN 'Managing Partner' WHEN 1 THEN 'Tullman' WHEN 2 THEN 'Fam' || CAST(entity_id % 200 AS STRING) || ' LLC' WHEN 3 THEN NULL WHEN 4 THEN 'Analyst' ELSE 'Never a title' END WHEN 'G3.Q1' THEN CASE {K} % 5 WHEN 0 THEN 'No recent exits' WHEN 1 THEN 'Norwegian fund' WHEN 2 THEN '  ' ELSE '  They moved ' || CAST(seq AS STRING) END
+ CASE question_id WHEN 'G2.Q1' THEN CASE {K} % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Ivor Hollis' ELSE ' DOE, Jane ' || CAST({K} % 7 AS STRING) END WHEN 'G2.Q2' THEN CASE {K} % 3 WHEN 0 THEN 'https://www.LinkedIn.com/in/x' || CAST(seq AS STRING) WHEN 1 THEN 'https://linkedin.com/company/y' END
+  WHEN 'G2.Q3' THEN CASE {K} % 7 WHEN 0 THEN ' CEO ' WHEN 1 THEN 'No title could be determined' WHEN 2 THEN repeat('x', 81) WHEN 3 THEN 'Ivor Hollis' WHEN 4 THEN NULL WHEN 5 THEN '' ELSE 'Partner' END WHEN 'G3.Q1' THEN CASE WHEN {K} % 2 = 0 THEN 'Bought ' || CAST(seq AS STRING) END WHEN 'G3.Q2' THEN CASE {K} % 3 WHEN 0 THEN 'fresh_liquidity' WHEN 1 THEN ' ' END END AS subject_value,
+ CASE question_id WHEN 'G2.Q3' THEN CASE {K} % 6 WHEN 0 THEN 'Managing Partner' WHEN 1 THEN 'Hollis' WHEN 2 THEN 'Fam' || CAST(entity_id % 200 AS STRING) || ' LLC' WHEN 3 THEN NULL WHEN 4 THEN 'Analyst' ELSE 'Never a title' END WHEN 'G3.Q1' THEN CASE {K} % 5 WHEN 0 THEN 'No recent exits' WHEN 1 THEN 'Norwegian fund' WHEN 2 THEN '  ' ELSE '  They moved ' || CAST(seq AS STRING) END
   WHEN 'G3.Q2' THEN CASE {K} % 5 WHEN 0 THEN 'There are no hires' WHEN 1 THEN 'None' ELSE 'It grew ' END ELSE answer END AS answer FROM v_ledger"""
 FIRMS = "SELECT record_id AS entity_id, name_raw AS firm FROM v_entity"
 
@@ -244,8 +244,8 @@ def der12(e):
 PRIN = f"""p AS (SELECT *, {TIER} AS tier FROM v_ledger), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY tier, created_at, seq) AS n FROM p WHERE field_name = 'principal_name' AND trim(coalesce(answer, '')) <> '' AND status NOT IN ('could_not_verify', 'removed_failed_validation', 'superseded')) WHERE n = 1)"""
 
 
-TITLED = f"""SELECT seq, claim_id, l.entity_id, field_name, extraction_method, status, created_at, firm, CASE field_name WHEN 'principal_name' THEN CASE {K} % 4 WHEN 0 THEN 'Glen Tullman' WHEN 1 THEN ' ' ELSE 'DOE, Jane' END WHEN 'principal_title' THEN CASE {K} % 5 WHEN 0 THEN 'Tullman' WHEN 1 THEN firm WHEN 2 THEN 'Jane Doe' WHEN 3 THEN NULL ELSE 'CEO' END ELSE answer END AS answer,
- CASE {K} % 3 WHEN 0 THEN 'Jane DOE' WHEN 1 THEN 'Glen Tullman' END AS owner FROM v_ledger l LEFT JOIN ({FIRMS}) f ON f.entity_id = l.entity_id"""
+TITLED = f"""SELECT seq, claim_id, l.entity_id, field_name, extraction_method, status, created_at, firm, CASE field_name WHEN 'principal_name' THEN CASE {K} % 4 WHEN 0 THEN 'Ivor Hollis' WHEN 1 THEN ' ' ELSE 'DOE, Jane' END WHEN 'principal_title' THEN CASE {K} % 5 WHEN 0 THEN 'Hollis' WHEN 1 THEN firm WHEN 2 THEN 'Jane Doe' WHEN 3 THEN NULL ELSE 'CEO' END ELSE answer END AS answer,
+ CASE {K} % 3 WHEN 0 THEN 'Jane DOE' WHEN 1 THEN 'Ivor Hollis' END AS owner FROM v_ledger l LEFT JOIN ({FIRMS}) f ON f.entity_id = l.entity_id"""
 RECONCILE = lambda order: f"""wn AS (SELECT entity_id, arg_min(answer, (CASE WHEN extraction_method LIKE 'projected%' THEN 0 WHEN extraction_method LIKE 'derived%' THEN 1 ELSE 2 END, {order})) AS winner FROM c WHERE field_name = 'principal_name' AND {TRIMMED('answer')} IS NOT NULL GROUP BY 1),
 rc AS (SELECT c.*, CASE WHEN field_name = 'principal_title' AND ({SAME_PERSON('answer', 'winner')} OR {IS_FIRM('answer', 'firm')} OR (winner IS NOT NULL AND coalesce(starts_with(extraction_method, 'derived_'), false) AND NOT {SAME_PERSON('owner', 'winner')})) THEN 'superseded' ELSE status END AS now FROM c LEFT JOIN wn ON wn.entity_id = c.entity_id)"""
 

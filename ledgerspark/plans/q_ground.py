@@ -33,10 +33,10 @@ def gnd03(a):
 
 # the tagged text of a turn, then lines of every kind; <br> is a line end
 LINES = [
-    "## Tier 1", "## Canopy - $640M AUM", "---", "- **Note:** Lead with a climate thesis.", "We suggest a call next week.", "We suggest a call to value 7.", "Overall, the firm manages $640M.", "The record does not list an address.", "These offices are known:",
-    "Nothing here is tagged.", "Reach out to Canopy Partners.", "Ask about disc_0a1b.", "[r1:f1]", "| --- | --- |", "A figure of 12% was not confirmed.", "Known [r1:f1, f2].", "Unknown [r4:f1].", "Wrong [f1].", "Consider 1,200 things.", "No office has a confirmed stake.",
-    "Alpha Advisors L.P. has $5M [r1:f1]. **1.** Beta Corp. grew<br>fast [r2:f1].", "### 2. Witter Family Office<br>is old<br>---<br>and so on", "Sr. Partner Jr. spoke! Then<br><br>1. One. [r1:f1] [r2:f2]<br>2. Two<br>  * three<br>-<br>- x", "See No. 5, St. Mary [note: r1:f1; f2] [r1:f1,;f3] or [1].<br>- a<br><br>| b | c |<br>| no information | $5 |",
-    "Turim Investimentos Ltda. and U.S. Co. [ : ] [r1: f1 ,f2].  <br> It raised $500.<br>3 offices matched. 12) twelve", "Lead with it.<br>We could not confirm it<br>- Mr. X is unknown on file",
+    "## Tier 1", "## Larkspur - $640M AUM", "---", "- **Note:** Lead with a climate thesis.", "We suggest a call next week.", "We suggest a call to value 7.", "Overall, the firm manages $640M.", "The record does not list an address.", "These offices are known:",
+    "Nothing here is tagged.", "Reach out to Larkspur Partners.", "Ask about disc_0a1b.", "[r1:f1]", "| --- | --- |", "A figure of 12% was not confirmed.", "Known [r1:f1, f2].", "Unknown [r4:f1].", "Wrong [f1].", "Consider 1,200 things.", "No office has a confirmed stake.",
+    "Alpha Advisors L.P. has $5M [r1:f1]. **1.** Beta Corp. grew<br>fast [r2:f1].", "### 2. Birch Family Office<br>is old<br>---<br>and so on", "Sr. Partner Jr. spoke! Then<br><br>1. One. [r1:f1] [r2:f2]<br>2. Two<br>  * three<br>-<br>- x", "See No. 5, St. Mary [note: r1:f1; f2] [r1:f1,;f3] or [1].<br>- a<br><br>| b | c |<br>| no information | $5 |",
+    "Marola Investimentos Ltda. and U.S. Co. [ : ] [r1: f1 ,f2].  <br> It raised $500.<br>3 offices matched. 12) twelve", "Lead with it.<br>We could not confirm it<br>- Mr. X is unknown on file",
 ]
 PICK_LINE = lambda of: f"replace(CASE ({of}) % {len(LINES)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LINES)) + " END, '<br>', chr(10))"
 SAID_LINES = f"{TAGGED} || chr(10) || {PICK_LINE('conv_id + turn')} || chr(10) || {PICK_LINE('conv_id * 7 + turn')}"

@@ -99,7 +99,7 @@ def er09(e):
     return R.name_match(e.filter("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name_raw").alias("q_name")), e)
 
 
-OTHER_NAME = "CASE seq % 6 WHEN 0 THEN 'Tullman' WHEN 1 THEN 'Glen Tullman' WHEN 2 THEN 'jane DOE' WHEN 3 THEN 'Doe, John' WHEN 4 THEN '' ELSE 'O-Neil Li' END"
+OTHER_NAME = "CASE seq % 6 WHEN 0 THEN 'Hollis' WHEN 1 THEN 'Ivor Hollis' WHEN 2 THEN 'jane DOE' WHEN 3 THEN 'Doe, John' WHEN 4 THEN '' ELSE 'O-Neil Li' END"
 
 
 @query("er10_person_names_match", "v_mail", sql=f"""
