@@ -46,7 +46,7 @@ def test_stages_take_empty_tables(spark, folder):
 
 def test_every_operator_has_one_query():
     names = list(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(oracle_sql()) <= set(names)
 
 
