@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import spoken
 from ..functions.web import EMAIL, email_field, email_on_domain, host, is_aggregator, is_role_address, local_part, main_text, matches_principal, name_tokens
 from .ledger import settled
+from .resolve import core_name_phrase
 
 
 def harvest_emails(pages: DataFrame) -> DataFrame:
@@ -175,10 +177,9 @@ def fold(text: Column) -> Column:
 
 
 def mentions_entity(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """CON-19: whether a text holds one of its entity's phrases as whole words (entity_id, text_id, text; entity_id, phrase)."""
-    folded = lambda c: F.concat(F.lit(" "), fold(c), F.lit(" "))
-    asked = phrases.select("entity_id", folded(F.col("phrase")).alias("phrase")).filter(F.trim("phrase") != "").groupBy("entity_id").agg(F.collect_set("phrase").alias("phrases"))  # an entity's few names
-    pairs = texts.select("entity_id", "text_id", folded(F.col("text")).alias("body")).join(asked, "entity_id", "left")
+    """CON-19: whether a text holds the core phrase of one of its entity's names (entity_id, text_id, text; entity_id, phrase: a name or alias). A phrase may stand within longer words."""
+    asked = phrases.select("entity_id", core_name_phrase(F.col("phrase")).alias("phrase")).filter("phrase <> ''").groupBy("entity_id").agg(F.collect_set("phrase").alias("phrases"))  # an entity's few names
+    pairs = texts.select("entity_id", "text_id", spoken(F.col("text")).alias("body")).join(asked, "entity_id", "left")
     said = F.exists("phrases", lambda p: F.contains("body", p))
     return pairs.select("entity_id", "text_id", F.coalesce(said, F.lit(False)).alias("mentioned"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, WORD, squeeze, strip
 from .cells import provenance_rank
 from .ledger import status_rank, uuid5_url
 from .resolve import core_name_phrase, holdings_quarter, person_names_match
@@ -154,7 +155,7 @@ def discovery_class_claims(sources: DataFrame) -> DataFrame:
 
 def public_list_overlap(entities: DataFrame, listed: DataFrame) -> DataFrame:
     """DER-07: names and aliases that stand on the list (record_id, names array; name)."""
-    name = lambda c: F.upper(F.trim(c))
+    name = lambda c: F.upper(strip(c))
     rows = entities.select("record_id", F.explode("names").alias("n")).select("record_id", name(F.col("n")).alias("name")).distinct()
     return rows.join(listed.select(name(F.col("name")).alias("name")).distinct(), "name", "left_semi").groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("overlap"))
 
@@ -180,7 +181,7 @@ def winner_order() -> list[Column]:
 
 def _given(value: Column) -> Column:
     """The value without white space around it, null if nothing is left."""
-    return F.nullif(F.regexp_replace(value, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(strip(value), F.lit(""))
 
 
 def project_people_pair(ledger: DataFrame) -> DataFrame:
@@ -205,8 +206,8 @@ LONGEST_TITLE = 80
 
 
 def is_negative_answer(text: Column) -> Column:
-    """DER-11: a leading token or phrase of absence."""
-    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"[^\w\s]+", " ")), r"\s+", " "))
+    """DER-11: a leading token or phrase of absence. Marks part tokens, letters of any script do not."""
+    plain = squeeze(F.lower(F.regexp_replace(text, f"[^{WORD}{SPACE}]+", " ")))
     return plain.rlike(r"^(no|none|not|never|unable|insufficient)( |$)|^there (is|are) no( |$)")
 
 

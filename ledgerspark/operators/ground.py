@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # What marks a line as a hedge, as structure, as asserting something, as naming a firm, and as advice.
 HEDGES = "|".join([
     r"\bno\s+(record|records|information|data|entry|entries|field|fields|mention|detail|details|evidence)\b",
@@ -45,11 +47,6 @@ def normalize_tags(text: Column) -> Column:
     return F.regexp_replace(text, TAG_RUN, " $2$1")
 
 
-def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def split_sentences(answers: DataFrame) -> DataFrame:
     """GND-04: sentences of each answer, once its tags are in place: an end mark before white space divides, and a line end before a line that opens a block.
 

@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Legal suffixes and words that tell no firm from another.
-SUFFIXES = "llc|inc|ltd|lp|llp|corp|co|company|plc|sa|ag|pty|bv|na"
-GENERIC = ["family", "office", "capital", "wealth", "advisors", "investors", "management", "group", "partners", "the", "bank", "llc", "inc", "ltd", "pty"]
+from ..functions.text import SPACE, WORD, spoken, squeeze
+
+# A legal suffix at the end of a name, suffixes of a news phrase (its dots and commas are spaces), and words that tell no firm from another.
+LEGAL_SUFFIX = r"L\.L\.C\.|LLC|INC\.?|LP|LLP|LTD|CORP|CO"
+PHRASE_SUFFIXES = ["inc", "llc", "lp", "ltd", "limited", "corp", "corporation", "co", "company", "pllc", "pc", "plc", "group"]
+GENERIC = [
+    "family", "office", "offices", "llc", "lp", "llp", "inc", "incorporated", "the", "capital", "management", "advisors", "advisers", "partners", "group", "co", "company", "trust", "wealth", "holdings",
+    "investments", "investment",
+]
+#: The patterns of both suffix rules; the first keeps what stands before the suffix as group 1.
+LAST_SUFFIX = rf"(?i)(^|[^{WORD}])(?:{LEGAL_SUFFIX})[{SPACE}]*$"
+SUFFIX_RUN = rf"(?:(?:^| )(?:{'|'.join(PHRASE_SUFFIXES)}))+$"
 
 
 def normalize_name(name: Column) -> Column:
-    """ER-01: trimmed, upper case, single spaces."""
-    return F.upper(F.regexp_replace(F.trim(name), r"\s+", " "))
+    """ER-01: trimmed, upper case, single spaces; white space of any kind counts."""
+    return F.upper(squeeze(name))
 
 
 def entity_id(name: Column) -> Column:
@@ -49,20 +58,14 @@ def map_source(feed: DataFrame) -> DataFrame:
     return feed.select("seq", "entity_id", kind.alias("source_class"), payload.alias("payload"), "retrieved_at")
 
 
-def plain(name: Column) -> Column:
-    """Lower case, punctuation to spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " "), r"\s+", " "))
-
-
 def core_name_phrase(name: Column) -> Column:
-    """ER-07: without trailing legal suffixes."""
-    dotless = F.regexp_replace(name, r"\.", "")
-    return F.trim(F.regexp_replace(plain(dotless), rf"( ({SUFFIXES}))+$", ""))
+    """ER-07: without the one legal suffix at the end, folded case, marks to spaces; letters of any script stay."""
+    return spoken(F.regexp_replace(name, LAST_SUFFIX, "$1"))
 
 
 def distinctive_tokens(name: Column) -> Column:
-    """ER-08: lower-case tokens without generic ones and single letters."""
-    tokens = F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"[.,&]", "")), r"\s+", " ")), " ")
+    """ER-08: lower-case tokens without dots, commas and ampersands at their ends, without generic ones and single letters."""
+    tokens = F.transform(F.split(squeeze(name), " "), lambda t: F.lower(F.regexp_replace(t, r"^[.,&]+|[.,&]+$", "")))
     return F.array_distinct(F.filter(tokens, lambda t: ~t.isin(GENERIC) & (F.length(t) > 1)))
 
 
@@ -94,12 +97,12 @@ def cross_source_key(df: DataFrame) -> DataFrame:
 
 
 def name_match(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """ER-09: candidate pairs share a distinctive token; exact if one token set holds the other, else partial (query_id, q_name; seq, name_raw)."""
+    """ER-09: candidate pairs share a distinctive token; exact if one token set holds the other, else partial (query_id, q_name; seq, name_raw). Several names of one seq: the best of them."""
     q = queries.select("query_id", distinctive_tokens(F.col("q_name")).alias("qt"))
     n = names.select("seq", distinctive_tokens(F.col("name_raw")).alias("nt"))
-    pairs = q.select("*", F.explode("qt").alias("t")).join(n.select("*", F.explode("nt").alias("t")), "t").select("query_id", "seq", "qt", "nt").dropDuplicates(["query_id", "seq"])
+    pairs = q.select("*", F.explode("qt").alias("t")).join(n.select("*", F.explode("nt").alias("t")), "t")
     exact = (F.size(F.array_except("qt", "nt")) == 0) | (F.size(F.array_except("nt", "qt")) == 0)
-    return pairs.select("query_id", "seq", F.when(exact, "exact").otherwise("partial").alias("match"))
+    return pairs.groupBy("query_id", "seq").agg(F.when(F.bool_or(exact), "exact").otherwise("partial").alias("match"))
 
 
 def person_names_match(a: Column, b: Column) -> Column:
@@ -110,9 +113,11 @@ def person_names_match(a: Column, b: Column) -> Column:
 
 
 def normalize_entity_name(name: Column) -> Column:
-    """ER-11: struct(phrase, tokens): the phrase without a trailing run of suffixes, its tokens over two letters."""
-    phrase = core_name_phrase(name)
-    return F.struct(phrase.alias("phrase"), F.array_join(F.filter(F.split(phrase, " "), lambda t, i: (F.length(t) > 2) & ~((i == 0) & (t == "the"))), " ").alias("tokens"), (phrase != plain(F.regexp_replace(name, r"\.", ""))).alias("corporate"))
+    """ER-11: struct(phrase, tokens, corporate): the phrase without its trailing run of suffixes, its tokens over two letters but for a leading article, and the run."""
+    whole = squeeze(F.regexp_replace(F.lower(name), "[.,]", " "))
+    phrase = F.regexp_replace(whole, SUFFIX_RUN, "")
+    tokens = F.filter(F.split(phrase, " "), lambda t, i: (F.length(t) > 2) & ~((i == 0) & (t == "the")))
+    return F.struct(phrase.alias("phrase"), F.array_join(tokens, " ").alias("tokens"), F.trim(F.substring(whole, F.length(phrase) + 1, F.length(whole))).alias("corporate"))
 
 
 # Reason code and name pattern of each exclusion, on the name in lower case.

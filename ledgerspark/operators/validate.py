@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, WORD, squeeze, strip
 from ..vocab import CHANNEL, CONFIRMING, DATED_SIGNAL, DECISION_MAKER, MULTI_VALUED, STALE_DAYS
 from .ledger import field_key, latest, latest_by_field
 
@@ -19,7 +20,7 @@ def is_confirming(source_class: Column) -> Column:
 
 
 def normal(answer: Column) -> Column:
-    return F.trim(F.lower(F.coalesce(answer, F.lit("None"))))
+    return strip(F.lower(F.coalesce(answer, F.lit("None"))))
 
 
 def compatible(a: Column, b: Column, a_num: Column, b_num: Column) -> Column:
@@ -162,20 +163,28 @@ def staleness(ledger: DataFrame, now: str) -> DataFrame:
 
 
 def negative_fo(answer: Column) -> Column:
-    """A settled negative answer: a leading token or phrase, or one of a few phrases anywhere."""
-    text = F.trim(F.lower(F.regexp_replace(F.coalesce(answer, F.lit("None")), r"[^\w\s]+", " ")))
-    joined = F.regexp_replace(text, r"\s+", " ")
-    return joined.rlike(r"^(no|none|not|insufficient)( |$)|^there (is|are) no( |$)|^there s no( |$)|no affirmative evidence|not a family office|no evidence that")
+    """A settled negative answer: a leading token or phrase, or one of a few phrases anywhere. Marks part tokens, letters of any script do not."""
+    joined = squeeze(F.lower(F.regexp_replace(F.coalesce(answer, F.lit("None")), f"[^{WORD}{SPACE}]+", " ")))
+    return joined.rlike(r"^(no|none|not|insufficient)( |$)|^there (is|are) no( |$)|no affirmative evidence|not a family office|no evidence that")
 
 
-def identity_gate(ledger: DataFrame) -> DataFrame:
-    """VAL-07: fatal where G1.Q3 is missing, unsettled or negative, and where G1.Q5 is confirmed and affirmative. The last claim of a question counts."""
+def identity_gate(ledger: DataFrame, polarity: DataFrame | None = None) -> DataFrame:
+    """VAL-07: fatal where G1.Q3 is missing, unsettled or negative, and where G1.Q5 is confirmed and affirmative. The last claim of a question counts.
+
+    polarity (entity_id, question_id, verdict) holds judged answers: affirmative and negative override what the words say, anything else leaves it to them; of two
+    verdicts on one answer the negative one counts.
+    """
     last = latest(ledger.filter(F.col("question_id").isin("G1.Q3", "G1.Q5")), ["entity_id", "question_id"])
     at = lambda q, c: F.max(F.when(F.col("question_id") == q, F.col(c)))
     pair = last.groupBy("entity_id").agg(at("G1.Q3", "status").alias("s3"), at("G1.Q3", "answer").alias("a3"), at("G1.Q5", "status").alias("s5"), at("G1.Q5", "answer").alias("a5"))
     grid = ledger.select("entity_id").distinct().join(pair, "entity_id", "left")
-    q3 = F.col("s3").isNull() | F.col("s3").isin("could_not_verify", "contradicted") | negative_fo(F.col("a3"))
-    q5 = (F.col("s5") == "confirmed") & normal(F.col("a5")).startswith("yes")
+    said3, said5 = negative_fo(F.col("a3")), normal(F.col("a5")).startswith("yes")
+    if polarity is not None:
+        judged = polarity.filter(F.col("verdict").isin("affirmative", "negative") & F.col("question_id").isin("G1.Q3", "G1.Q5"))
+        grid = grid.join(judged.groupBy("entity_id").agg(at("G1.Q3", "verdict").alias("v3"), at("G1.Q5", "verdict").alias("v5")), "entity_id", "left")
+        said3, said5 = F.coalesce(F.col("v3") == "negative", said3), F.coalesce(F.col("v5") == "affirmative", said5)
+    q3 = F.col("s3").isNull() | F.col("s3").isin("could_not_verify", "contradicted") | said3
+    q5 = (F.col("s5") == "confirmed") & said5
     return grid.select("entity_id", F.explode(F.array_compact(F.array(F.when(q3, "G1.Q3"), F.when(F.coalesce(q5, F.lit(False)), "G1.Q5")))).alias("field")).withColumn("check_id", F.lit("V5_firm_is_fo")).withColumn("severity", F.lit("fatal"))
 
 

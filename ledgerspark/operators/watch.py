@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.web import dedupe_key, host, is_blocked_domain, is_role_address
 from .contacts import attribute_email, fold
-from .ground import strip
 
 # Signal kind of each field.
 KINDS = {"recent_investments": "capital_deployment", "recent_fund_commitments": "capital_deployment", "recent_key_hires": "personnel", "important_insight": "mandate_shift", "recent_news": "firm_news"}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import web as W
 from ..operators import contacts as C
+from .q_resolve import CORE, SPOKEN
 from .registry import query
 
 HOST = "nullif(regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', ''), '')"
@@ -182,12 +183,16 @@ def con18(d):
     return d.select("doc_id", C.name_from_serp_title(F.expr(SERP)).alias("name"), C.title_from_serp(F.expr(SERP), F.expr(ASKED_NAME)).alias("title"))
 
 
-@query("con19_mentions_entity", "v_doc", sql="""
-WITH f AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM v_doc) SELECT doc_id AS text_id, doc_id % 100 AS entity_id, contains(t, ' of the ') OR contains(t, ' en la ') AS mentioned FROM f""")
+MENTIONED = ["Of  the, LLC", "en-la Inc.", "!", "L’été", "nivers", "The Co"]
+
+
+@query("con19_mentions_entity", "v_doc", sql=f"""
+WITH n AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in MENTIONED)}) AS v(name_raw)), p AS (SELECT {CORE} AS phrase FROM n), t AS (SELECT doc_id, {SPOKEN('text')} AS body FROM v_doc)
+SELECT doc_id AS text_id, doc_id % 100 AS entity_id, coalesce(bool_or(phrase <> '' AND contains(body, phrase)), false) AS mentioned FROM t, p WHERE phrase <> 'the' OR doc_id % 100 < 20 GROUP BY 1, 2""")
 def con19(d):
     texts = d.select((F.col("doc_id") % 100).alias("entity_id"), F.col("doc_id").alias("text_id"), "text")
-    phrases = texts.select("entity_id").distinct().select("entity_id", F.explode(F.array(F.lit("Of  the"), F.lit("en-la"), F.lit("!"))).alias("phrase"))
-    return C.mentions_entity(texts, phrases)
+    names = texts.select("entity_id").distinct().select("entity_id", F.explode(F.array(*[F.lit(t) for t in MENTIONED])).alias("phrase"))
+    return C.mentions_entity(texts, names.filter("phrase <> 'The Co' OR entity_id < 20"))
 
 
 @query("con20_pick_dated_signal", "v_doc", sql="""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, WORD
 from ..operators import facts as X
 from .q_cells import TIER
 from .q_ledger import RANK_SQL
-from .q_resolve import CORE
+from .q_resolve import CORE, SQUEEZE
 from .registry import query
 
 LASTC = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source_class ORDER BY retrieved_at DESC, seq DESC) AS n FROM v_source) WHERE n = 1)"
@@ -185,7 +186,7 @@ def firms(entities):
     return entities.select(F.col("record_id").alias("entity_id"), F.col("name_raw").alias("firm"))
 
 
-NEGATIVE = lambda x: f"regexp_matches(trim(regexp_replace(regexp_replace(lower({x}), '[^\\pL\\pN_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), '^(no|none|not|never|unable|insufficient)( |$)|^there (is|are) no( |$)')"
+NEGATIVE = lambda x: f"regexp_matches({SQUEEZE(f"regexp_replace(lower({x}), '[^{WORD}{SPACE}]+', ' ', 'g')")}, '^(no|none|not|never|unable|insufficient)( |$)|^there (is|are) no( |$)')"
 MALFORMED = lambda x: f"(coalesce({x}, '') = '' OR length({x}) > 80 OR {NEGATIVE(x)})"
 NAMES_OF = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z]{{2,}}'))"
 SAME_PERSON = lambda x, y: f"coalesce(len({NAMES_OF(x)}) > 0 AND len({NAMES_OF(y)}) > 0 AND (list_has_all({NAMES_OF(x)}, {NAMES_OF(y)}) OR list_has_all({NAMES_OF(y)}, {NAMES_OF(x)})), false)"
@@ -222,12 +223,12 @@ def der10(ledger, entities):
     return X.project_questions(research(ledger), firms(entities))
 
 
-@query("der11_is_negative_answer", "v_doc", sql="""
-WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'No recent exits' WHEN 1 THEN 'Norwegian fund' WHEN 2 THEN '"None" found' WHEN 3 THEN 'There are no hires' ELSE text END AS s FROM v_doc)
-SELECT doc_id, doc_id % 5 IN (0, 2, 3) OR regexp_matches(trim(regexp_replace(regexp_replace(lower(s), '[^\\pL\\pN_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), '^(no|none|not|never|unable|insufficient)( |$)|^there (is|are) no( |$)') AS negative FROM t""")
+ABSENT = "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(["'No recent exits'", "'Norwegian fund'", "'\"None\" found'", "'There are no hires'", "'Noël & Söhne bought in'", "' \nnever: ' || text", "'There''s no news'", "''"])) + " ELSE text END"
+
+
+@query("der11_is_negative_answer", "v_doc", sql=f"SELECT doc_id, {NEGATIVE('s')} AS negative FROM (SELECT doc_id, {ABSENT} AS s FROM v_doc) AS t")
 def der11(d):
-    s = F.expr("CASE doc_id % 5 WHEN 0 THEN 'No recent exits' WHEN 1 THEN 'Norwegian fund' WHEN 2 THEN '\"None\" found' WHEN 3 THEN 'There are no hires' ELSE text END")
-    return d.select("doc_id", X.is_negative_answer(s).alias("negative"))
+    return d.select("doc_id", X.is_negative_answer(F.expr(ABSENT)).alias("negative"))
 
 
 SAID_TITLES = "CASE record_id % 9 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'no title found' WHEN 3 THEN trim(name_raw) WHEN 4 THEN repeat('x', 90) WHEN 5 THEN 'Fam' || CAST(record_id % 200 AS STRING) WHEN 6 THEN NULL WHEN 7 THEN 'Chair of ' || name_raw ELSE 'LLC' END"

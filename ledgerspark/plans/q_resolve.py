@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, WORD
 from ..operators import resolve as R
 from .registry import query
 
-NORM = "upper(regexp_replace(trim(name_raw), '\\s+', ' ', 'g'))"
-PLAIN = "trim(regexp_replace(regexp_replace(lower(replace(name_raw, '.', '')), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-CORE = f"trim(regexp_replace({PLAIN}, '( ({R.SUFFIXES}))+$', ''))"
+SQUEEZE = lambda c: f"trim(regexp_replace({c}, '[{SPACE}]+', ' ', 'g'))"
+SPOKEN = lambda c: SQUEEZE(f"regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^{WORD}{SPACE}]', ' ', 'g')")
+NORM = f"upper(replace({SQUEEZE('name_raw')}, 'ß', 'ss'))"
+CORE = SPOKEN(rf"regexp_replace(name_raw, '{R.LAST_SUFFIX}', '\1')")
 GEN = ", ".join(f"'{g}'" for g in R.GENERIC)
-TOKENS = f"list_filter(string_split(trim(regexp_replace(lower(regexp_replace(name_raw, '[.,&]', '', 'g')), '\\s+', ' ', 'g')), ' '), lambda t: t NOT IN ({GEN}) AND length(t) > 1)"
+TOKENS = f"list_sort(list_distinct(list_filter(list_transform(string_split({SQUEEZE('name_raw')}, ' '), lambda t: lower(trim(t, '.,&'))), lambda t: t NOT IN ({GEN}) AND length(t) > 1)))"
 
+# names as registers and pages spell them: other scripts and spaces, suffixes with and without dots, one or several of them
+SPELT = "CASE record_id % 13 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate([
+    "'\t ' || name_raw || '　'", "'Noël & Söhne ' || name_raw", "name_raw || ' L.L.C.'", "name_raw || ' Inc, Co'", "name_raw || ',LLC.'", "'DISCO'", "name_raw || ' Holdings Group, Limited'", "'Weißer ' || name_raw || ' CO'",
+    "'(' || name_raw || '), Corp\n'", "'The Inc'", "''", "'Company ' || name_raw || ' GROUP'",
+])) + " ELSE name_raw END"
+NAMES = f"(SELECT record_id, {SPELT} AS name_raw FROM v_entity)"
 
-@query("er01_normalize_name", "v_entity", sql=f"SELECT record_id, {NORM} AS name, 'disc_' || substring(sha1({NORM}), 1, 16) AS entity_id FROM v_entity")
+
+def spelt(e):
+    return e.select("record_id", F.expr(SPELT).alias("name_raw"))
+
+
+@query("er01_normalize_name", "v_entity", sql=f"SELECT record_id, {NORM} AS name, 'disc_' || substring(sha1({NORM}), 1, 16) AS entity_id FROM {NAMES} AS s")
 def er01(e):
-    return e.select("record_id", R.normalize_name(F.col("name_raw")).alias("name"), R.entity_id(F.col("name_raw")).alias("entity_id"))
+    return spelt(e).select("record_id", R.normalize_name(F.col("name_raw")).alias("name"), R.entity_id(F.col("name_raw")).alias("entity_id"))
 
 
 @query("er02_build_entities", "v_entity", sql=f"""
@@ -82,18 +95,18 @@ def er06(e):
     return R.cross_source_key(x).select("cross_key", "record_id")
 
 
-@query("er07_core_name_phrase", "v_entity", sql=f"SELECT record_id, {CORE} AS phrase FROM v_entity")
+@query("er07_core_name_phrase", "v_entity", sql=f"SELECT record_id, {CORE} AS phrase FROM {NAMES} AS s")
 def er07(e):
-    return e.select("record_id", R.core_name_phrase(F.col("name_raw")).alias("phrase"))
+    return spelt(e).select("record_id", R.core_name_phrase(F.col("name_raw")).alias("phrase"))
 
 
-@query("er08_distinctive_tokens", "v_entity", sql=f"SELECT record_id, array_to_string({TOKENS}, ' ') AS tokens FROM v_entity")
+@query("er08_distinctive_tokens", "v_entity", sql=f"SELECT record_id, array_to_string({TOKENS}, ' ') AS tokens FROM {NAMES} AS s")
 def er08(e):
-    return e.select("record_id", F.array_join(R.distinctive_tokens(F.col("name_raw")), " ").alias("tokens"))
+    return spelt(e).select("record_id", F.array_join(F.array_sort(R.distinctive_tokens(F.col("name_raw"))), " ").alias("tokens"))
 
 
 @query("er09_name_match", "v_entity", sql=f"""
-WITH n AS (SELECT seq, name_raw FROM v_entity), t AS (SELECT seq, list_distinct({TOKENS}) AS x FROM n), q AS (SELECT seq AS query_id, x FROM t WHERE seq % 20 = 0)
+WITH t AS (SELECT seq, {TOKENS} AS x FROM v_entity), q AS (SELECT seq AS query_id, x FROM t WHERE seq % 20 = 0)
 SELECT query_id, seq, CASE WHEN len(list_intersect(q.x, t.x)) = len(q.x) OR len(list_intersect(q.x, t.x)) = len(t.x) THEN 'exact' ELSE 'partial' END AS match FROM q JOIN t ON len(list_intersect(q.x, t.x)) > 0""")
 def er09(e):
     return R.name_match(e.filter("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("name_raw").alias("q_name")), e)
@@ -109,11 +122,14 @@ def er10(m):
     return m.select("seq", R.person_names_match(F.col("principal_name"), F.expr(OTHER_NAME)).alias("same"))
 
 
+WHOLE_NAME = SQUEEZE("regexp_replace(lower(name_raw), '[.,]', ' ', 'g')")
+
+
 @query("er11_normalize_entity_name", "v_entity", sql=f"""
-WITH c AS (SELECT record_id, {CORE} AS phrase, {PLAIN} AS p FROM v_entity), t AS (SELECT *, string_split(phrase, ' ') AS w FROM c)
-SELECT record_id, phrase, array_to_string(list_filter(CASE WHEN w[1] = 'the' THEN w[2:] ELSE w END, lambda t: length(t) > 2), ' ') AS tokens, phrase <> p AS corporate FROM t""")
+WITH c AS (SELECT record_id, {WHOLE_NAME} AS p FROM {NAMES} AS s), r AS (SELECT record_id, p, regexp_replace(p, '{R.SUFFIX_RUN}', '') AS phrase FROM c), t AS (SELECT *, string_split(phrase, ' ') AS w FROM r)
+SELECT record_id, phrase, array_to_string(list_filter(CASE WHEN w[1] = 'the' THEN w[2:] ELSE w END, lambda t: length(t) > 2), ' ') AS tokens, trim(p[length(phrase) + 1:]) AS corporate FROM t""")
 def er11(e):
-    return e.select("record_id", R.normalize_entity_name(F.col("name_raw")).alias("n")).select("record_id", "n.*")
+    return spelt(e).select("record_id", R.normalize_entity_name(F.col("name_raw")).alias("n")).select("record_id", "n.*")
 
 
 # endings and beginnings that the patterns ask for, put to the names of the view

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, WORD
 from ..operators import validate as V
 from ..vocab import CONFIRMING
 from .q_ledger import LAST
+from .q_resolve import SQUEEZE
 from .registry import query
 
 CONF = "coalesce(source_class IN (" + ", ".join(f"'{c}'" for c in CONFIRMING) + "), false)"
@@ -70,20 +72,35 @@ def val06(ledger):
     return V.staleness(ledger, NOW)
 
 
-POLAR = "CASE seq % 4 WHEN 0 THEN 'No, there is none.' WHEN 1 THEN 'Yes, it does.' WHEN 2 THEN 'Noble family wealth' ELSE 'There is no evidence.' END"
+POLAR = "CASE seq % 11 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate([
+    "'No, there is none.'", "'Yes, it does.'", "'Noble family wealth ' || coalesce(answer, '')", "'There is no evidence.'", "'Noël & Söhne, a family office'", "'There''s no site of its own'", "'\n  none'", "' YES: ' || coalesce(answer, '')",
+    "'It stays, so far, without ' || coalesce(answer, '') || ': NO, evidence that it is'", "NULL",
+])) + " ELSE answer END"
+JUDGED = "CASE entity_id % 7 WHEN 0 THEN 'affirmative' WHEN 1 THEN 'negative' WHEN 2 THEN 'unclear' WHEN 3 THEN 'other' END"
+DENIES = lambda c: f"regexp_matches({SQUEEZE(f"regexp_replace(lower(coalesce({c}, 'None')), '[^{WORD}{SPACE}]+', ' ', 'g')")}, '^(no|none|not|insufficient)( |$)|^there (is|are) no( |$)|no affirmative evidence|not a family office|no evidence that')"
+AFFIRMS = lambda c: f"starts_with({SQUEEZE(f"lower(coalesce({c}, 'None'))")}, 'yes')"
 
 
 def polar(ledger):
     return ledger.withColumn("answer", F.expr(POLAR))
 
 
+def judged(ledger):
+    """Verdicts on both questions of an entity: the second one's is that of the next entity."""
+    ids = ledger.select("entity_id").distinct()
+    first = ids.select("entity_id", F.lit("G1.Q3").alias("question_id"), F.expr(JUDGED).alias("verdict"))
+    return first.unionByName(ids.select("entity_id", F.lit("G1.Q5").alias("question_id"), F.expr(JUDGED.replace("entity_id", "(entity_id + 1)")).alias("verdict")))
+
+
 @query("val07_identity_gate", "v_ledger", sql=f"""
 WITH l AS (SELECT *, {POLAR} AS said, {LAST.format(keys='entity_id, question_id')} AS n FROM v_ledger),
-q3 AS (SELECT * FROM l WHERE n = 1 AND question_id = 'G1.Q3'), q5 AS (SELECT * FROM l WHERE n = 1 AND question_id = 'G1.Q5'), e AS (SELECT DISTINCT entity_id FROM v_ledger)
-SELECT e.entity_id, 'G1.Q3' AS field, 'V5_firm_is_fo' AS check_id, 'fatal' AS severity FROM e LEFT JOIN q3 USING (entity_id) WHERE status IS NULL OR status IN ('could_not_verify', 'contradicted') OR said LIKE 'No,%' OR said LIKE 'There is no%'
-UNION ALL SELECT entity_id, 'G1.Q5', 'V5_firm_is_fo', 'fatal' FROM q5 WHERE status = 'confirmed' AND said LIKE 'Yes%'""")
+q3 AS (SELECT * FROM l WHERE n = 1 AND question_id = 'G1.Q3'), q5 AS (SELECT * FROM l WHERE n = 1 AND question_id = 'G1.Q5'), e AS (SELECT entity_id, {JUDGED} AS v FROM (SELECT DISTINCT entity_id FROM v_ledger) AS i)
+SELECT entity_id, 'G1.Q3' AS field, 'V5_firm_is_fo' AS check_id, 'fatal' AS severity FROM e LEFT JOIN q3 USING (entity_id)
+ WHERE status IS NULL OR status IN ('could_not_verify', 'contradicted') OR CASE v WHEN 'affirmative' THEN false WHEN 'negative' THEN true ELSE {DENIES('said')} END
+UNION ALL SELECT entity_id, 'G1.Q5', 'V5_firm_is_fo', 'fatal' FROM q5
+ WHERE status = 'confirmed' AND CASE {JUDGED.replace('entity_id', '(entity_id + 1)')} WHEN 'affirmative' THEN true WHEN 'negative' THEN false ELSE {AFFIRMS('said')} END""")
 def val07(ledger):
-    return V.identity_gate(polar(ledger))
+    return V.identity_gate(polar(ledger), judged(ledger))
 
 
 @query("val08_completeness", "v_ledger", sql="""
