@@ -51,22 +51,39 @@ def alternatives(ledger: DataFrame) -> DataFrame:
     return rows.filter(~used).select("entity_id", "field_name", "claim_id", why.alias("why_not_used"))
 
 
-def records_pivot(ledger: DataFrame, present: list[str]) -> DataFrame:
-    """CELL-04: one row per entity. The columns are given, so no job is needed to find them; high-value fields always have one, with status and class beside."""
-    ordered = [f for f in COLUMN_ORDER if f in set(present) | set(HIGH_VALUE)] + sorted(set(present) - set(COLUMN_ORDER))
+#: Columns of a record that stand before its fields; a field of such a name has no column of its own.
+LEADING = ["entity_id", "canonical_name", "type_final", "lead_origin_source_class", "outcome"]
+
+
+def records_pivot(ledger: DataFrame, present: list[str], candidates: DataFrame | None = None) -> DataFrame:
+    """CELL-04: one row per entity. The columns are given, so no job is needed to find them; high-value fields always have one, with status and class beside.
+
+    With candidates (entity_id, canonical_name, type_final, discovery_class_primary, outcome) a row for each of them, claims or not, who it is before its fields.
+    """
+    every = (set(present) | set(HIGH_VALUE)) - set(LEADING[:4])
+    ordered = [f for f in COLUMN_ORDER if f in every] + sorted(every - set(COLUMN_ORDER))
     cells = resolve_cells(ledger)
     at = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
-    columns = []
+    columns, blank = [], {}
     for f in ordered:
         columns.append(at(f, "value").alias(f))
         if f in HIGH_VALUE:
-            columns += [F.coalesce(at(f, "status"), F.lit("could_not_verify")).alias(f"{f}_status"), at(f, "source_class").alias(f"{f}_source_class")]
-    return cells.groupBy("entity_id").agg(*columns)
+            columns += [at(f, "status").alias(f"{f}_status"), at(f, "source_class").alias(f"{f}_source_class")]
+            blank[f"{f}_status"] = F.coalesce(F.col(f"{f}_status"), F.lit("could_not_verify"))
+    wide = cells.groupBy("entity_id").agg(*columns)
+    if candidates is not None:
+        head = candidates.select(*LEADING[:3], F.coalesce("discovery_class_primary", F.lit("unknown")).alias(LEADING[3]), LEADING[4])
+        wide = head.join(wide, "entity_id", "left")
+    return wide.withColumns(blank)
+
+
+PROVENANCE = ["entity_id", "field_name", "answer", "status", "source_url", "source_class", "extraction_method", "confidence", "verification_method", "confirming_url", "confirming_class", "verified_at"]
 
 
 def provenance_rows(ledger: DataFrame, selected: DataFrame) -> DataFrame:
-    """CELL-05: unpivoted claims of the selected entities."""
-    return ledger.filter("field_name IS NOT NULL").join(selected.select("entity_id"), "entity_id", "left_semi").select("entity_id", "field_name", "answer", "status", "source_url", "source_class", "extraction_method", "confidence")
+    """CELL-05: unpivoted claims of the selected entities, with what confirmed them; null where the ledger has no such column."""
+    rows = ledger.filter("field_name IS NOT NULL").join(selected.select("entity_id"), "entity_id", "left_semi")
+    return rows.select(*[F.col(c) if c in ledger.columns else F.lit(None).cast("timestamp" if c == "verified_at" else "string").alias(c) for c in PROVENANCE])
 
 
 def score_claims(ledger: DataFrame) -> DataFrame:
@@ -113,16 +130,24 @@ def reserve_draw(pool: DataFrame, gap: int) -> DataFrame:
     return pool.filter("thin_reason = 'fixable'").orderBy(F.desc("discovery_class_count"), "entity_id").limit(max(1, int(gap * 1.5)))
 
 
-def class_report(selection: DataFrame) -> DataFrame:
-    """CELL-06: selected entities and their mean score per class."""
-    chosen = selection.filter("NOT excluded")
-    return chosen.groupBy(F.coalesce("discovery_class_primary", F.lit("unknown")).alias("discovery_class")).agg(F.count(F.lit(1)).alias("entity_count"), F.round(F.avg("actionability_score"), 2).alias("avg_score"))
+def class_report(selection: DataFrame, cap: int = 15) -> DataFrame:
+    """CELL-06: selected entities and their mean score per class; below them the cap and what was selected under it (section: class, cap, selected)."""
+    chosen = selection.filter("NOT excluded").groupBy(F.coalesce("discovery_class_primary", F.lit("unknown")).alias("discovery_class")).agg(F.count(F.lit(1)).alias("entity_count"), F.round(F.avg("actionability_score"), 2).alias("avg_actionability_score"))
+    line = lambda section, name, n: (F.lit(section).alias("section"), name.alias("discovery_class"), n.alias("entity_count"))
+    kinds = F.explode(F.array(F.struct(F.lit("class").alias("section"), F.col("avg_actionability_score")), F.struct(F.lit("selected").alias("section"), F.lit(None).cast("double").alias("avg_actionability_score"))))
+    rows = chosen.select("discovery_class", "entity_count", kinds.alias("k")).select("k.section", "discovery_class", "entity_count", "k.avg_actionability_score")
+    limit = selection.sparkSession.range(1).select(*line("cap", F.lit("quota cap per class"), F.lit(cap).cast("long")), F.lit(None).cast("double").alias("avg_actionability_score"))
+    return rows.unionByName(limit)
+
+
+# Fixed value: the reason of an exclusion by quota.
+BY_QUOTA = "excluded to preserve source diversity"
 
 
 def rejected_rows(rejections: DataFrame, selection: DataFrame) -> DataFrame:
-    """CELL-07: rejections of every stage and the exclusions by quota."""
-    quota = selection.filter("excluded").select("entity_id", F.lit("quota").alias("stage"), F.lit("excluded_by_quota").alias("reason_code"))
-    return rejections.select("entity_id", "stage", "reason_code").unionByName(quota)
+    """CELL-07: rejections of every stage (entity_id, stage, reason_code, created_at) and the exclusions by quota, which have no time."""
+    quota = selection.filter("excluded").select("entity_id", F.lit("quota").alias("stage"), F.lit(BY_QUOTA).alias("reason_code"), F.lit(None).cast(rejections.schema["created_at"].dataType).alias("created_at"))
+    return rejections.select("entity_id", "stage", "reason_code", "created_at").unionByName(quota)
 
 
 def audit_rows(audits: DataFrame) -> DataFrame:
@@ -131,16 +156,29 @@ def audit_rows(audits: DataFrame) -> DataFrame:
     return audits.select("seq", "entity_id", "field", value("before"), value("after"))
 
 
+#: Fields that need a word, what they hold and when they are filled.
 DICTIONARY = [
-    ("verified", "two independent source classes agree"),
+    ("aum_usd", "assets under management in dollars, a floor", "from the total of a 13F filing; blank without one"),
+    ("aum_basis", "how aum_usd was found", "wherever aum_usd is"),
+    ("principal_name", "who decides: principal, chief investment officer or the like", "looked for before anything that costs more"),
+    ("principal_email", "address of the principal or the firm", "blanked, with status removed_failed_validation and an audit row, if a check fails"),
+    ("principal_phone", "telephone of the principal or the firm", "format_only unless a second source has it"),
+    ("important_insight", "why now: concentration_pain, fresh_liquidity or access_window", "from the change between filings or a date to come; never a guess"),
+    ("type_final", "SFO, MFO or type_unconfirmed", "from G1.Q4; type_unconfirmed where it is open or contradicted"),
+    ("lead_origin_source_class", "class of the feed that the lead came from", "unknown without a discovery class; counts for the quota"),
+]
+#: Statuses that a cell of the records can have.
+STATUS_NOTES = [
+    ("verified", "sources of two classes or more agree"),
     ("single_source", "one source class only"),
     ("pattern_inferred", "built from a known pattern"),
     ("format_only", "the format is right, nothing more"),
-    ("could_not_verify", "looked for and not found"),
-    ("contradicted", "sources disagree"),
+    ("could_not_verify", "looked for and not found, or the tool was not there"),
+    ("removed_failed_validation", "taken out by a check; the value is in the audit rows"),
 ]
 
 
 def data_dictionary(spark) -> DataFrame:
-    """CELL-08: what a status means."""
-    return spark.createDataFrame(DICTIONARY, "status string, meaning string")
+    """CELL-08: what the fields hold and when they are filled, then what a status means (section: field, status)."""
+    rows = [("field", *r) for r in DICTIONARY] + [("status", name, meaning, None) for name, meaning in STATUS_NOTES]
+    return spark.createDataFrame(rows, "section string, name string, description string, inclusion_standard string")

