@@ -360,12 +360,35 @@ def relevance_gate(fit_rank: Column, content: Column, distance: Column, structur
     return F.when(F.coalesce(fit_rank, F.lit(0.0)) == 0, "no match").when(is_non_statement(content), "no thesis").when(structural & F.coalesce(distance > MOST_DISTANCE, F.lit(False)), "too far")
 
 
-def fit_score(fit_rank: Column, distance: Column, content: Column, tags_hit: Column, tags_asked: Column) -> Column:
-    """RNK-02: rank and similarity, then the share of asked tags."""
+def _texts(*parts: Column | str) -> Column:
+    """The texts that are not null, in order."""
+    return F.array_compact(F.array(*[F.lit(c) if isinstance(c, str) else c for c in parts])) if parts else F.array().cast("array<string>")
+
+
+def _scored(score: Column, why: Column, gaps: Column) -> Column:
+    return F.struct(score.alias("score"), why.alias("why"), gaps.alias("gaps"))
+
+
+def fit(fit_rank: Column, distance: Column, content: Column, facet: Column, tags_hit: Column, tags_asked: Column) -> Column:
+    """RNK-02: rank and similarity, then the share of asked tags, as struct(score, why, gaps). Evidence that states an absence is none.
+
+    Numbers in the reasons are rounded half up by their shortest decimal digits.
+    """
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    near = clip(1 - distance / 2)
-    signal = F.when(fit_rank.isNotNull() & distance.isNotNull(), clip(fit_rank) * 0.4 + near * 0.6).when(fit_rank.isNotNull(), clip(fit_rank)).when(distance.isNotNull(), near).otherwise(0.0)
-    return F.when(is_non_statement(content), 0.0).otherwise(signal * 0.75 + F.coalesce(F.try_divide(tags_hit, tags_asked), F.lit(0.0)) * 0.25)
+    place, near = clip(fit_rank), clip(1 - distance / 2)
+    ranked, measured = fit_rank.isNotNull(), distance.isNotNull()
+    signal = F.when(ranked & measured, place * 0.4 + near * 0.6).when(ranked, place).when(measured, near).otherwise(0.0)
+    shown = F.coalesce(facet, F.lit("no facet"))
+    said = F.when(ranked & measured, F.format_string("evidence rank %.2f x similarity %.2f (%s)", place, near, shown)).when(ranked, F.format_string("fused evidence rank %.3f (%s)", place, shown)).when(measured, F.format_string("evidence distance %.3f (%s)", distance.cast("double"), shown))
+    matched = F.when(tags_hit > 0, F.concat(F.lit("matches "), tags_hit.cast("string"), F.lit(" of "), tags_asked.cast("string"), F.lit(" spec mandate tag"), F.when(tags_hit == 1, "").otherwise("s")))
+    score = signal * 0.75 + F.coalesce(F.try_divide(tags_hit, tags_asked), F.lit(0.0)) * 0.25
+    silent = _scored(F.lit(0.0), _texts(), _texts("no investing thesis on file"))
+    return F.when(is_non_statement(content), silent).otherwise(_scored(score, _texts(said, matched), _texts(F.when(~ranked & ~measured, "no evidence chunk for the thesis"))))
+
+
+def fit_score(fit_rank: Column, distance: Column, content: Column, tags_hit: Column, tags_asked: Column) -> Column:
+    """RNK-02: the score alone."""
+    return fit(fit_rank, distance, content, F.lit(None).cast("string"), tags_hit, tags_asked)["score"]
 
 
 UNRELIABLE = ["could_not_verify", "removed_failed_validation", "contradicted"]
@@ -381,17 +404,16 @@ def reach(email: Column, email_status: Column, phone: Column, phone_status: Colu
     mail, call = usable(email, email_status), usable(phone, phone_status)
     inferred = F.coalesce(email_status.isin(INFERRED), F.lit(False))
     said = F.coalesce(email_status, F.lit("null"))
-    texts = lambda *x: F.array_compact(F.array(*[F.lit(c) if isinstance(c, str) else c for c in x])) if x else F.array().cast("array<string>")
     lacks = lambda v, what: F.when(~given(v), what)
     rungs = [
-        (mail & inferred, 0.85, texts(F.concat(F.lit("email address inferred, not sourced ("), said, F.lit(")"))), texts()),
-        (mail, 1.0, texts(F.concat(F.lit("reachable via email ("), said, F.lit(")"))), texts()),
-        (call, 0.75, texts("reachable via phone"), texts(lacks(email, "no email"))),
-        (given(linkedin), 0.5, texts("linkedin available"), texts(lacks(email, "no email"), lacks(phone, "no phone"))),
-        (given(name), 0.25, texts("named principal but no contact path"), texts("no email", "no phone", "no linkedin")),
-        (F.lit(True), 0.0, texts(), texts("no named principal", "no email", "no phone", "no linkedin")),
+        (mail & inferred, 0.85, _texts(F.concat(F.lit("email address inferred, not sourced ("), said, F.lit(")"))), _texts()),
+        (mail, 1.0, _texts(F.concat(F.lit("reachable via email ("), said, F.lit(")"))), _texts()),
+        (call, 0.75, _texts("reachable via phone"), _texts(lacks(email, "no email"))),
+        (given(linkedin), 0.5, _texts("linkedin available"), _texts(lacks(email, "no email"), lacks(phone, "no phone"))),
+        (given(name), 0.25, _texts("named principal but no contact path"), _texts("no email", "no phone", "no linkedin")),
+        (F.lit(True), 0.0, _texts(), _texts("no named principal", "no email", "no phone", "no linkedin")),
     ]
-    return F.coalesce(*[F.when(test, F.struct(F.lit(score).alias("score"), why.alias("why"), gaps.alias("gaps"))) for test, score, why, gaps in rungs])
+    return F.coalesce(*[F.when(test, _scored(F.lit(score), why, gaps)) for test, score, why, gaps in rungs])
 
 
 def reach_score(email: Column, email_status: Column, phone: Column, phone_status: Column, linkedin: Column, name: Column) -> Column:
@@ -399,16 +421,31 @@ def reach_score(email: Column, email_status: Column, phone: Column, phone_status
     return reach(email, email_status, phone, phone_status, linkedin, name)["score"]
 
 
-def recency_score(day: Column, as_of: Column) -> Column:
-    """RNK-04: by age in days; a day to come counts as new, none as nothing."""
+def recency(day: Column, as_of: Column) -> Column:
+    """RNK-04: by age in days, as struct(score, why, gaps); a day to come counts as new, none as nothing."""
     age = F.datediff(as_of, day)
-    return F.when(age.isNull(), 0.0).when(age <= 90, 1.0).when(age <= 180, 0.75).when(age <= 365, 0.5).otherwise(0.25)
+    told = lambda how: _texts(F.format_string(f"most recent signal %dd old ({how})", age))
+    step = lambda score, how: _scored(F.lit(score), told(how), _texts())
+    none = _scored(F.lit(0.0), _texts(), _texts("no recent signal date"))
+    return F.when(age.isNull(), none).when(age <= 90, step(1.0, "≤90d")).when(age <= 180, step(0.75, "≤180d")).when(age <= 365, step(0.5, "≤365d")).otherwise(step(0.25, "stale"))
 
 
-def trust_score(confidence: Column, outcome: Column) -> Column:
-    """RNK-05: by confidence of the record, less with caveats."""
+def recency_score(day: Column, as_of: Column) -> Column:
+    """RNK-04: the score alone."""
+    return recency(day, as_of)["score"]
+
+
+def trust(confidence: Column, outcome: Column) -> Column:
+    """RNK-05: by confidence of the record, less with caveats, as struct(score, why, gaps)."""
     base = F.when(confidence == "verified_evidence_present", 1.0).when(confidence == "single_source_only", 0.6).otherwise(0.3)
-    return F.when(F.coalesce(outcome == "ship_with_caveats", F.lit(False)), base * 0.8).otherwise(base)
+    less = F.coalesce(outcome == "ship_with_caveats", F.lit(False))
+    why = _texts(F.concat(F.lit("record confidence: "), F.coalesce(confidence, F.lit("null"))), F.when(less, "scaled by 0.8 (outcome: ship_with_caveats)"))
+    return _scored(F.when(less, base * 0.8).otherwise(base), why, _texts())
+
+
+def trust_score(confidence: Column, outcome: Column) -> Column:
+    """RNK-05: the score alone."""
+    return trust(confidence, outcome)["score"]
 
 
 def effective_weights(scores: DataFrame) -> DataFrame:
@@ -421,13 +458,13 @@ def effective_weights(scores: DataFrame) -> DataFrame:
 
 
 def rank(scores: DataFrame, asked: DataFrame) -> DataFrame:
-    """RNK-07: by weighted score, ids on ties; a topical query admits its best top_n by fit before (asked: query_id, top_n, topical)."""
+    """RNK-07: by weighted score, ids on ties; a topical query admits its best top_n by fit before (asked: query_id, top_n, topical). Columns why and gaps of scores go along."""
     rows = scores.join(effective_weights(scores), "query_id").join(asked.select("query_id", "top_n", "topical"), "query_id")
     rows = rows.withColumn("score", reduce(lambda a, b: a + b, [F.col(k) * F.col(f"w_{k}") for k in WEIGHTS]))
     by_fit = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fit"), "record_id"))
     rows = rows.withColumn("nth", by_fit).filter(~F.col("topical") | (F.col("nth") <= F.col("top_n")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "record_id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= F.col("top_n")).select("query_id", "record_id", "place", F.round("score", 6).alias("score"))
+    return rows.withColumn("place", place).filter(F.col("place") <= F.col("top_n")).select("query_id", "record_id", "place", F.round("score", 6).alias("score"), *[c for c in ("why", "gaps") if c in scores.columns])
 
 
 def apply_keep_list(rows: DataFrame, replies: DataFrame) -> DataFrame:

@@ -171,18 +171,31 @@ def ret08(c):
     return R.rrf(R.semantic_rank(e), lexical(c)).join(e, ["query_id", "record_id"]).select("query_id", "record_id", R.relevance_gate(F.col("fit_rank"), content, F.col("distance"), F.col("query_id") % 40 == 0).alias("reason"))
 
 
-@query("rnk01_is_non_statement", "v_doc", sql="SELECT doc_id, doc_id % 3 = 0 AS non_statement FROM v_doc")
+STATED = "CASE doc_id % 6 WHEN 0 THEN text || '" + R.NON_STATEMENTS[1] + "' WHEN 1 THEN lower('" + R.NON_STATEMENTS[0] + "') WHEN 2 THEN '" + R.NON_STATEMENTS[3] + ".' WHEN 3 THEN NULL ELSE text END"
+
+
+@query("rnk01_is_non_statement", "v_doc", sql=f"SELECT doc_id, coalesce({" OR ".join(f"contains(t, '{m}')" for m in R.NON_STATEMENTS)}, false) AS non_statement FROM (SELECT doc_id, {STATED} AS t FROM v_doc) AS x")
 def rnk01(d):
-    return d.select("doc_id", R.is_non_statement(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(R.NON_STATEMENTS[1]))).otherwise(F.col("text"))).alias("non_statement"))
+    return d.select("doc_id", R.is_non_statement(F.expr(STATED)).alias("non_statement"))
+
+
+FIXED = lambda c, n: f"CAST(round(CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS DECIMAL(20, 17)), {n}) AS VARCHAR)"
+FACET = "CASE chunk_id % 3 WHEN 0 THEN 'mandate' WHEN 1 THEN 'activity' END"
 
 
 @query("rnk02_fit_score", "v_chunk", sql=f"""
-WITH {RRF} SELECT f.query_id, f.record_id, round(0.75 * (CASE WHEN f.record_id % 5 = 0 THEN greatest(0, least(1, 1 - distance / 2)) ELSE 0.4 * fit_rank + 0.6 * greatest(0, least(1, 1 - distance / 2)) END) + 0.25 * (f.record_id % 3 / 2), 5) AS fit
- FROM fused f JOIN e ON f.query_id = e.query_id AND f.record_id = e.record_id""")
+WITH {RRF}, x AS (SELECT f.query_id, f.record_id, e.chunk_id, CASE WHEN f.record_id % 5 <> 0 THEN fit_rank END AS r, CASE WHEN f.record_id % 4 <> 0 THEN distance END AS d, f.record_id % 3 AS hit FROM fused f JOIN e ON f.query_id = e.query_id AND f.record_id = e.record_id),
+y AS (SELECT *, greatest(0, least(1, r)) AS p, greatest(0, least(1, 1 - d / 2)) AS s, chunk_id % 7 = 0 AS silent, coalesce({FACET}, 'no facet') AS facet FROM x)
+SELECT query_id, record_id, round(CASE WHEN silent THEN 0 ELSE 0.75 * CASE WHEN r IS NOT NULL AND d IS NOT NULL THEN 0.4 * p + 0.6 * s WHEN r IS NOT NULL THEN p WHEN d IS NOT NULL THEN s ELSE 0 END + 0.25 * (hit / 2) END, 5) AS fit,
+ CASE WHEN silent THEN '' ELSE concat_ws('; ', CASE WHEN r IS NOT NULL AND d IS NOT NULL THEN concat('evidence rank ', {FIXED('p', 2)}, ' x similarity ', {FIXED('s', 2)}, ' (', facet, ')') WHEN r IS NOT NULL THEN concat('fused evidence rank ', {FIXED('p', 3)}, ' (', facet, ')') WHEN d IS NOT NULL THEN concat('evidence distance ', {FIXED('d', 3)}, ' (', facet, ')') END,
+ CASE hit WHEN 1 THEN 'matches 1 of 2 spec mandate tag' WHEN 2 THEN 'matches 2 of 2 spec mandate tags' END) END AS why,
+ CASE WHEN silent THEN 'no investing thesis on file' WHEN r IS NULL AND d IS NULL THEN 'no evidence chunk for the thesis' ELSE '' END AS gaps FROM y""")
 def rnk02(c):
     e = evidence(c)
-    fit = F.when(F.col("record_id") % 5 != 0, F.col("fit_rank"))
-    return R.rrf(R.semantic_rank(e), lexical(c)).join(e, ["query_id", "record_id"]).select("query_id", "record_id", F.round(R.fit_score(fit, F.col("distance"), F.lit("text"), F.col("record_id") % 3, F.lit(2)), 5).alias("fit"))
+    rank, distance = F.when(F.col("record_id") % 5 != 0, F.col("fit_rank")), F.when(F.col("record_id") % 4 != 0, F.col("distance"))
+    content = F.when(F.col("chunk_id") % 7 == 0, F.lit(R.NON_STATEMENTS[0] + " for it.")).otherwise("text")
+    x = R.rrf(R.semantic_rank(e), lexical(c)).join(e, ["query_id", "record_id"]).select("query_id", "record_id", R.fit(rank, distance, content, F.expr(FACET), F.col("record_id") % 3, F.lit(2)).alias("f"))
+    return x.select("query_id", "record_id", F.round("f.score", 5).alias("fit"), F.array_join("f.why", "; ").alias("why"), F.array_join("f.gaps", "; ").alias("gaps"))
 
 
 STAT = "CASE record_id % 7 WHEN 0 THEN 'could_not_verify' WHEN 1 THEN 'pattern_inferred' ELSE 'verified' END"
@@ -203,17 +216,23 @@ def rnk03(e):
 
 
 @query("rnk04_recency_score", "v_source", sql="""
-SELECT seq, CASE WHEN seq % 10 = 0 THEN 0.0 ELSE CASE WHEN d <= 90 THEN 1.0 WHEN d <= 180 THEN 0.75 WHEN d <= 365 THEN 0.5 ELSE 0.25 END END AS recency FROM (SELECT seq, date_diff('day', CAST(retrieved_at AS DATE), DATE '1998-01-01') AS d FROM v_source)""")
+WITH x AS (SELECT seq, date_diff('day', CAST(retrieved_at AS DATE), DATE '1998-01-01') AS d FROM v_source)
+SELECT seq, CASE WHEN seq % 10 = 0 THEN 0.0 WHEN d <= 90 THEN 1.0 WHEN d <= 180 THEN 0.75 WHEN d <= 365 THEN 0.5 ELSE 0.25 END AS recency,
+ CASE WHEN seq % 10 = 0 THEN '' ELSE 'most recent signal ' || CAST(d AS STRING) || 'd old (' || CASE WHEN d <= 90 THEN '≤90d' WHEN d <= 180 THEN '≤180d' WHEN d <= 365 THEN '≤365d' ELSE 'stale' END || ')' END AS why, CASE WHEN seq % 10 = 0 THEN 'no recent signal date' ELSE '' END AS gaps FROM x""")
 def rnk04(s):
-    return s.select("seq", R.recency_score(F.when(F.col("seq") % 10 != 0, F.to_date("retrieved_at")), F.to_date(F.lit("1998-01-01"))).alias("recency"))
+    x = s.select("seq", R.recency(F.when(F.col("seq") % 10 != 0, F.to_date("retrieved_at")), F.to_date(F.lit("1998-01-01"))).alias("r"))
+    return x.select("seq", F.col("r.score").alias("recency"), F.array_join("r.why", "; ").alias("why"), F.array_join("r.gaps", "; ").alias("gaps"))
 
 
 CONFS = "CASE record_id % 4 WHEN 0 THEN 'verified_evidence_present' WHEN 1 THEN 'single_source_only' ELSE 'thin' END"
 
 
-@query("rnk05_trust_score", "v_entity", sql=f"SELECT record_id, round(CASE {CONFS} WHEN 'verified_evidence_present' THEN 1.0 WHEN 'single_source_only' THEN 0.6 ELSE 0.3 END * CASE WHEN outcome = 'ship_with_caveats' THEN 0.8 ELSE 1 END, 6) AS trust FROM v_entity")
+@query("rnk05_trust_score", "v_entity", sql=f"""
+SELECT record_id, round(CASE {CONFS} WHEN 'verified_evidence_present' THEN 1.0 WHEN 'single_source_only' THEN 0.6 ELSE 0.3 END * CASE WHEN outcome = 'ship_with_caveats' THEN 0.8 ELSE 1 END, 6) AS trust,
+ 'record confidence: ' || {CONFS} || CASE WHEN outcome = 'ship_with_caveats' THEN '; scaled by 0.8 (outcome: ship_with_caveats)' ELSE '' END AS why FROM v_entity""")
 def rnk05(e):
-    return e.select("record_id", F.round(R.trust_score(F.expr(CONFS), F.col("outcome")), 6).alias("trust"))
+    x = e.select("record_id", R.trust(F.expr(CONFS), F.col("outcome")).alias("t"))
+    return x.select("record_id", F.round("t.score", 6).alias("trust"), F.array_join("t.why", "; ").alias("why"))
 
 
 PARTS = "CAST(record_id % 10 AS DOUBLE) / 10 AS fit, CASE WHEN record_id % 25 = 3 THEN 0.5 ELSE CAST(record_id % 4 AS DOUBLE) / 4 END AS reach, 0.25 AS recency, CAST(record_id % 3 AS DOUBLE) / 4 AS trust"
