@@ -55,8 +55,8 @@ def is_role_address(email: Column, wide: bool = False) -> Column:
     words = F.array(*[F.lit(w) for w in ROLE_LOCALS])
     if not wide:
         return F.array_contains(words, local_part(email))
-    letters = F.regexp_replace(local_part(email), "[^a-z]", "")
-    return F.exists(words, lambda w: letters.startswith(w) | letters.endswith(w))
+    letters = F.array(F.regexp_replace(local_part(email), "[^a-z]", ""))  # a variable of a lambda, so that it is not worked out again for each word
+    return F.exists(letters, lambda x: F.exists(words, lambda w: x.startswith(w) | x.endswith(w)))
 
 
 def email_field(email: Column, principal: Column) -> Column:

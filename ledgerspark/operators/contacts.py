@@ -77,7 +77,8 @@ def jsonld_person(pages: DataFrame) -> DataFrame:
 def attribute_email(df: DataFrame) -> DataFrame:
     """CON-11: role, principal or unknown (email, principal_name)."""
     names = F.filter(F.regexp_extract_all(F.lower("principal_name"), F.lit("([a-z]+)"), F.lit(1)), lambda t: F.length(t) > 2)
-    mine = F.coalesce(F.exists(names, lambda t: F.contains(local_part(F.col("principal_email")), t)), F.lit(False))
+    local = F.array(local_part(F.col("principal_email")))  # a variable of a lambda, so that it is not worked out again for each name
+    mine = F.coalesce(F.exists(local, lambda x: F.exists(names, lambda t: F.contains(x, t))), F.lit(False))
     return df.withColumn("attribution", F.when(is_role_address(F.col("principal_email"), wide=True), "role").when(mine, "principal").otherwise("unknown"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import once, spread, strip
 from ..functions.web import dedupe_key, host, is_blocked_domain, is_role_address
 from .contacts import attribute_email, fold
 
@@ -175,7 +175,8 @@ def email_result(rows: DataFrame) -> DataFrame:
 
 def audit_emails(records: DataFrame) -> DataFrame:
     """AUD-03: addresses that stand with a principal but are a role's or nobody's: what becomes of both columns."""
-    bad = attribute_email(records.filter("principal_email IS NOT NULL")).filter("attribution <> 'principal'")
+    given = once(spread(records.select("record_id", "principal_name", "principal_email"))).filter("principal_email IS NOT NULL")
+    bad = once(attribute_email(given)).filter("attribution <> 'principal'")
     return bad.select("record_id", F.col("principal_email").alias("firm_email"), F.lit(None).cast("string").alias("principal_email"), F.concat(F.lit("email_attribution_"), "attribution").alias("audit"))
 
 
