@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import spread
 from ..sources.readers import clean_cell, list_cell, money_cell
 from .ledger import latest
 from .validate import type_last_settled
@@ -156,13 +158,11 @@ VECTOR_SIZE = 64
 
 
 def _hashed_vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    slot = functools.lru_cache(50_000)(lambda t: zlib.crc32(t.encode()) % VECTOR_SIZE)
     for batch in texts:
-        out = []
-        for text in batch:
-            slots = [zlib.crc32(t.encode()) % VECTOR_SIZE for t in re.findall("[a-z0-9]+", (text or "").lower())]
-            counts = np.bincount(np.array(slots, np.int64), minlength=VECTOR_SIZE).astype(np.float64)
-            out.append((counts / max(np.sqrt((counts * counts).sum()), 1e-12)).astype(np.float32))
-        yield pd.Series(out)
+        places = [i * VECTOR_SIZE + slot(t) for i, text in enumerate(batch) for t in re.findall("[a-z0-9]+", (text or "").lower())]
+        counts = np.bincount(np.array(places, np.int64), minlength=len(batch) * VECTOR_SIZE).astype(np.float64).reshape(-1, VECTOR_SIZE)
+        yield pd.Series(list((counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)[:, None]).astype(np.float32)), dtype=object)
 
 
 def hashed_vector(text: Column) -> Column:
@@ -172,7 +172,7 @@ def hashed_vector(text: Column) -> Column:
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
     """COR-07: chunks with their vectors; embed is the seam for a model."""
-    return chunks.withColumn("embedding", embed(F.col("content")))
+    return spread(chunks).withColumn("embedding", embed(F.col("content")))
 
 
 def merge_sources(pipeline: DataFrame, csv: DataFrame, key: str = "record_id") -> DataFrame:

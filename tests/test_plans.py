@@ -48,3 +48,13 @@ def test_name_pairs_are_not_grouped(spark):
     assert len(rows) == len(want) and {(r.query_id, r.seq): r.match for r in rows} == want
     top = optimized(got).split("Join")[0]
     assert "Aggregate" not in top
+
+
+def test_one_file_is_embedded_over_all_cores(spark):
+    from ledgerspark.operators import corpus as C
+
+    chunks = spark.range(0, 3, 1, 1).select(F.col("id").alias("record_id"), F.when(F.col("id") > 0, F.repeat(F.lit("one two two "), F.col("id").cast("int"))).alias("content"))
+    rows = C.embed_chunks(chunks)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = {r.record_id: sorted(x for x in r.embedding if x) for r in rows.collect()}
+    assert got[0] == [] and got[1] == got[2] and abs(got[1][1] - 2 * got[1][0]) < 1e-6
