@@ -58,3 +58,19 @@ def test_one_file_is_embedded_over_all_cores(spark):
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     got = {r.record_id: sorted(x for x in r.embedding if x) for r in rows.collect()}
     assert got[0] == [] and got[1] == got[2] and abs(got[1][1] - 2 * got[1][0]) < 1e-6
+
+
+def test_words_are_stemmed_once_and_stem_sets_looked_for_once(spark):
+    chunks = spark.createDataFrame([(1, 10, "funds of energy and energy"), (1, 11, "energy fund"), (2, 12, "fund the moon"), (3, 13, "moons")], "record_id int, chunk_id int, content string")
+    stored = T.postings(chunks)
+    assert "Join" in optimized(stored)
+    terms = spark.createDataFrame([(1, "energy"), (2, "energies fund"), (3, "fund energy"), (3, "the"), (4, "moon fund"), (4, "moon"), (5, "sun fund")], "query_id int, term string")
+    got = {(r.query_id, r.record_id): (round(r.score, 6), r.lex_rank) for r in T.lexical_rank(stored, terms).collect()}
+    assert got == {(1, 1): (0.5, 1), (2, 1): (1.0, 1), (3, 1): (1.0, 1), (4, 3): (1.0, 1), (4, 2): (round(2 / 3, 6), 2)}
+
+
+def test_fusing_broadcasts_no_query(spark):
+    ranks = lambda c: spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 1)], f"query_id int, record_id int, {c} int")
+    got = T.rrf(ranks("sem_rank"), ranks("lex_rank"))
+    assert "strategy=broadcast" not in optimized(got) and optimized(got).count("Join") == 1
+    assert {(r.query_id, r.record_id): r.fit_rank for r in got.collect()} == {(1, 1): 1.0, (1, 2): 0.983871, (2, 1): 1.0}
