@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once, spread
 from ..functions.web import dedupe_key
 from ..operators.watch import accept_article
 from ..sources.scratch import scratch_path
@@ -91,7 +92,8 @@ def stream_accept(articles: DataFrame, now: str, lookback_days: int, root: str |
     """
     spark = articles.sparkSession
     root = root or scratch_path(spark, "accepted")
-    fit = accept_article(articles.withColumn("observed_at", F.col("observed_at").cast("timestamp")), now, lookback_days).filter("result = 'accepted'")
+    told = once(spread(articles.withColumn("observed_at", F.col("observed_at").cast("timestamp"))))
+    fit = once(accept_article(told, now, lookback_days)).filter("result = 'accepted'")
     keyed = fit.select("record_id", dedupe_key(F.col("url")).alias("key"), "url", "observed_at", "seq", F.least("observed_at", F.to_timestamp(F.lit(now))).alias("seen_at"))
     first = keyed.withWatermark("seen_at", f"{lookback_days} days").dropDuplicatesWithinWatermark(["record_id", "key"]).drop("seen_at")
     run_changes(first, root, "append")
