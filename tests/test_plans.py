@@ -74,3 +74,9 @@ def test_fusing_broadcasts_no_query(spark):
     got = T.rrf(ranks("sem_rank"), ranks("lex_rank"))
     assert "strategy=broadcast" not in optimized(got) and optimized(got).count("Join") == 1
     assert {(r.query_id, r.record_id): r.fit_rank for r in got.collect()} == {(1, 1): 1.0, (1, 2): 0.983871, (2, 1): 1.0}
+
+
+def test_chunks_of_a_record_share_a_tile(spark):
+    chunks = spark.range(900).select(F.col("id").alias("chunk_id"), F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 100).alias("record_id"))
+    tiles = {r.record_id: r.tiles for r in T._tiled(chunks, 900, 50, 100).groupBy("record_id").agg(F.count_distinct("tile").alias("tiles")).collect()}
+    assert tiles.pop(0) <= 4 and set(tiles.values()) == {1}  # a record of many chunks in slices, any other whole
