@@ -76,7 +76,36 @@ def test_fusing_broadcasts_no_query(spark):
     assert {(r.query_id, r.record_id): r.fit_rank for r in got.collect()} == {(1, 1): 1.0, (1, 2): 0.983871, (2, 1): 1.0}
 
 
+def test_evidence_of_a_fit_score_is_looked_for_once(spark):
+    from ledgerspark.plans import q_retrieve as Q
+
+    chunks = spark.createDataFrame([(i, i % 7, "mandate", "one two three four five", [1.0, float(i)]) for i in range(60)], "chunk_id long, record_id long, facet string, content string, embedding array<float>")
+    df = Q.rnk02(chunks)
+    assert optimized(df).count("FlatMapCoGroupsInPandas") == 2  # the vectors, and the sets of stems
+    assert df.count() == 3 * 7
+
+
 def test_chunks_of_a_record_share_a_tile(spark):
     chunks = spark.range(900).select(F.col("id").alias("chunk_id"), F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 100).alias("record_id"))
     tiles = {r.record_id: r.tiles for r in T._tiled(chunks, 900, 50, 100).groupBy("record_id").agg(F.count_distinct("tile").alias("tiles")).collect()}
     assert tiles.pop(0) <= 4 and set(tiles.values()) == {1}  # a record of many chunks in slices, any other whole
+
+
+def test_sets_of_stems_by_tiles(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(T, "STEM_TILE", 20)
+    monkeypatch.setattr(T, "STEM_SLICE", 5)
+    rnd = random.Random(3)
+    words = ["ab", "cd", "ef", "gh", "zz"]
+    chunks = [(i, 0 if i % 3 else i % 5, [rnd.choice(words[:4]) for _ in range(rnd.randint(1, 5))]) for i in range(60)]
+    terms = [(q, " ".join(rnd.sample(words, rnd.randint(1, 3)))) for q in range(12) for _ in range(2)]
+    want = {}
+    for q, term in terms:
+        for _, r, t in chunks:
+            asked = set(term.split())
+            if asked <= set(t):
+                want[q, r] = max(want.get((q, r), 0), round(sum(x in asked for x in t) / len(t), 9))
+    stored = T.postings(spark.createDataFrame([(c, r, " ".join(t)) for c, r, t in chunks], "chunk_id long, record_id long, content string"))
+    got = T.lexical_rank(stored, spark.createDataFrame(terms, "query_id long, term string"))
+    assert {(r.query_id, r.record_id): r.score for r in got.collect()} == want
