@@ -109,3 +109,37 @@ def test_sets_of_stems_by_tiles(spark, monkeypatch):
     stored = T.postings(spark.createDataFrame([(c, r, " ".join(t)) for c, r, t in chunks], "chunk_id long, record_id long, content string"))
     got = T.lexical_rank(stored, spark.createDataFrame(terms, "query_id long, term string"))
     assert {(r.query_id, r.record_id): r.score for r in got.collect()} == want
+
+
+def test_claims_of_a_field_of_few_values_are_not_spread_by_keys(spark, monkeypatch):
+    import random
+
+    from ledgerspark.operators import validate as V
+
+    rnd = random.Random(5)
+    pick = rnd.choice
+    rows = [
+        (i, f"c{i}", pick([1, 2, None]), pick(["aum", "name", None]), "G1.Q1", pick(["confirmed", "verified", "single_source", "contradicted", None]), pick([*sorted(V.CONFIRMING)[:3], "other", None]), pick([None, "Acme", " acme ", "Acme Rowe Family", "Rowe", "", "7"]), pick([None, None, 1.0, 2.0]), f"u{i}", i % 50)
+        for i in range(400)
+    ]
+    ledger = spark.createDataFrame(rows, "seq long, claim_id string, entity_id long, field_name string, question_id string, status string, source_class string, answer string, answer_num double, source_url string, created_at long")
+    text = lambda a: ("None" if a is None else a).lower().strip()
+
+    def fits(a, b):
+        if a[8] is not None and b[8] is not None:
+            return a[8] == b[8]
+        x, y = text(a[7]), text(b[7])
+        return x != "" and y != "" and (x in y or y in x)
+
+    want = {}
+    for a in rows:
+        by = None
+        if a[5] == "confirmed" and a[2] is not None:
+            by = min(((b[10], b[0], b[9], b[6]) for b in rows if b[2] == a[2] and (b[3] or b[4]) == (a[3] or a[4]) and b[5] in ("confirmed", "verified", "single_source") and b[6] in V.CONFIRMING and b[6] != a[6] and fits(a, b)), default=None)
+        want[a[1]] = ("verified" if by else "single_source") if a[5] in ("confirmed", None) else a[5], by and by[2], by and by[3]
+    for most in (64, 25, 3):  # all fields, some and none
+        monkeypatch.setattr(V, "FEW", most)
+        df = V.cross_class(ledger)
+        assert {r.claim_id: (r.status, r.confirming_url, r.confirming_class) for r in df.collect()} == want
+        if most == 64:
+            assert "xxhash64" not in optimized(df) and optimized(df).count("Join") == 1
