@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, WORD, squeeze, strip
+from ..functions.text import SPACE, WORD, once, squeeze, strip
 from .cells import provenance_rank
 from .ledger import status_rank, uuid5_url
 from .resolve import core_name_phrase, holdings_quarter, person_names_match
@@ -15,6 +15,7 @@ from .resolve import core_name_phrase, holdings_quarter, person_names_match
 SETTLED_CLASSES = ["13f_filing", "5500_filing", "adv_index", "conference_sighting", "domain_check"]
 REGISTRY = ["adv_index", "13f_filing", "5500_filing", "conference_sighting", "domain_check", "adv_name", "fec_employer"]
 TRIGGER_PERCENT = 25.0
+MISSING = "\u0000"  # stands for a null class in a set
 ALIVE = ["could_not_verify", "removed_failed_validation", "superseded"]
 
 
@@ -45,10 +46,12 @@ def facts_domain(sources: DataFrame) -> DataFrame:
 def facts_13f(sources: DataFrame) -> DataFrame:
     """FX-03: value, quarter and change in percent, null without a prior value."""
     last = latest_per_class(sources.filter("source_class = '13f_filing'"))
-    # halves go up; both sides of the division are whole numbers, so a tie is seen as one
-    prior = F.nullif(F.abs("prior_value_usd"), F.lit(0))
-    delta = F.floor((F.col("value_usd") - F.col("prior_value_usd")) * 10_000 / prior + 0.5) / 100
-    return last.select("entity_id", "value_usd", holdings_quarter(F.col("filed_year"), F.col("filed_qtr")).alias("quarter"), delta.alias("qoq_delta_pct"))
+    return last.select("entity_id", "value_usd", holdings_quarter(F.col("filed_year"), F.col("filed_qtr")).alias("quarter"), _delta(F.col("value_usd"), F.col("prior_value_usd")).alias("qoq_delta_pct"))
+
+
+def _delta(value: Column, prior: Column) -> Column:
+    """Change in percent; halves go up. Both sides of the division are whole numbers, so a tie is seen as one."""
+    return F.floor((value - prior) * 10_000 / F.nullif(F.abs(prior), F.lit(0)) + 0.5) / 100
 
 
 def facts_conference(sources: DataFrame) -> DataFrame:
@@ -107,24 +110,38 @@ def claim(df: DataFrame, field: str, answer: Column, method: str) -> DataFrame:
     return df.select("entity_id", F.lit(field).alias("field_name"), answer.cast("string").alias("answer"), F.lit(method).alias("extraction_method"))
 
 
+def _last(source_class: str, *columns: str) -> Column:
+    """The named columns of an entity's latest row of a class, as FX-01 has it; an aggregate, so that one pass gives it for several classes."""
+    return F.max_by(F.struct(*columns), F.when(F.col("source_class") == source_class, F.struct("retrieved_at", "seq")))
+
+
+def _told(field: str, answer: Column, method: str, where: Column) -> Column:
+    return F.when(where, F.struct(F.lit(field).alias("field_name"), answer.cast("string").alias("answer"), F.lit(method).alias("extraction_method")))
+
+
+def _aum(f13: Column, adv: Column) -> list[Column]:
+    """Claims of the latest 13F and adviser rows of an entity, null where there is none."""
+    held, quarter = f13["value_usd"].isNotNull(), holdings_quarter(f13["filed_year"], f13["filed_qtr"])
+    raum = f13.isNull() & adv["value_usd"].isNotNull()
+    return [
+        _told("aum_usd", f13["value_usd"], "derived_13f", held), _told("aum_basis", F.lit("13f_floor"), "derived_13f", held), _told("aum_as_of", quarter, "derived_13f", quarter.isNotNull()),
+        _told("aum_usd", adv["value_usd"], "adv_raum", raum), _told("aum_basis", F.lit("adv_raum"), "adv_raum", raum), _told("aum_as_of", F.to_date(adv["retrieved_at"]), "adv_raum", raum & adv["retrieved_at"].isNotNull()),
+    ]
+
+
 def aum_claims(sources: DataFrame) -> DataFrame:
     """DER-01: assets from the latest 13F with basis and quarter; from the adviser rows, with the day they were retrieved, only for entities without one."""
-    last = latest_per_class(sources)
-    f13 = last.filter("source_class = '13f_filing'")
-    adv = last.filter("source_class = 'adv_name' AND value_usd IS NOT NULL").join(f13.select("entity_id"), "entity_id", "left_anti")
-    held, quarter = f13.filter("value_usd IS NOT NULL"), holdings_quarter(F.col("filed_year"), F.col("filed_qtr"))
-    parts = [
-        claim(held, "aum_usd", F.col("value_usd"), "derived_13f"), claim(held, "aum_basis", F.lit("13f_floor"), "derived_13f"), claim(f13, "aum_as_of", quarter, "derived_13f").filter("answer IS NOT NULL"),
-        claim(adv, "aum_usd", F.col("value_usd"), "adv_raum"), claim(adv, "aum_basis", F.lit("adv_raum"), "adv_raum"), claim(adv.filter("retrieved_at IS NOT NULL"), "aum_as_of", F.to_date("retrieved_at"), "adv_raum"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = sources.filter(F.col("source_class").isin("13f_filing", "adv_name")).groupBy("entity_id").agg(_last("13f_filing", "value_usd", "filed_year", "filed_qtr").alias("f13"), _last("adv_name", "value_usd", "retrieved_at").alias("adv"))
+    return rows.select("entity_id", F.inline(F.array_compact(F.array(*_aum(F.col("f13"), F.col("adv"))))))
 
 
 def why_now_from_delta(sources: DataFrame) -> DataFrame:
     """DER-02: a fall or rise of a quarter of the value."""
-    d = facts_13f(sources)
-    kind = F.when(F.col("qoq_delta_pct") <= -TRIGGER_PERCENT, "concentration_pain").when(F.col("qoq_delta_pct") >= TRIGGER_PERCENT, "fresh_liquidity")
-    return d.withColumn("trigger", kind).filter("trigger IS NOT NULL").select("entity_id", "trigger", "qoq_delta_pct")
+    return facts_13f(sources).withColumn("trigger", _trigger(F.col("qoq_delta_pct"))).filter("trigger IS NOT NULL").select("entity_id", "trigger", "qoq_delta_pct")
+
+
+def _trigger(delta: Column) -> Column:
+    return F.when(delta <= -TRIGGER_PERCENT, "concentration_pain").when(delta >= TRIGGER_PERCENT, "fresh_liquidity")
 
 
 def headcount_claim(sources: DataFrame) -> DataFrame:
@@ -143,9 +160,10 @@ def principal_from_people(people: DataFrame) -> DataFrame:
     if "source_class" in people.columns:
         people = people.filter(~F.col("source_class").isin(SETTLED_CLASSES))
     named = people.withColumn("who", F.coalesce(F.nullif("name", F.lit("")), F.nullif("full_name", F.lit("")))).filter("who IS NOT NULL")
-    own = Window.partitionBy("seq").orderBy("place")
     more = [c for c in ("source_class",) if c in people.columns]
-    return named.withColumn("n", F.row_number().over(own)).filter("n = 1").select("seq", "entity_id", F.col("who").alias("principal_name"), F.coalesce(*[F.nullif(c, F.lit("")) for c in ("title", "occupation", "role") if c in people.columns]).alias("title"), *more)
+    title = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("title", "occupation", "role") if c in people.columns])
+    first = named.groupBy("seq").agg(F.min_by(F.struct("entity_id", F.col("who").alias("principal_name"), title.alias("title"), *more), F.struct("place")).alias("p"))
+    return first.select("seq", "p.*")
 
 
 def discovery_class_claims(sources: DataFrame) -> DataFrame:
@@ -275,9 +293,9 @@ def reconcile_titles(claims: DataFrame, order: list[str]) -> DataFrame:
     claims: entity_id, field_name, answer, extraction_method, status, owner (whose title a derived one is), firm, and the columns of their order. The winner is the name of the best
     provenance, first seen on ties, whatever its status. A title goes if it is the winner's name or the firm's, or if it is derived and its owner isn't the winner; without a winner only the firm is looked at.
     """
-    named = claims.filter((F.col("field_name") == "principal_name") & _given(F.col("answer")).isNotNull())
-    best = named.groupBy("entity_id").agg(F.min_by("answer", F.struct(provenance_rank(F.col("extraction_method")).alias("r"), *order)).alias("winner"))
-    rows = claims.join(best, "entity_id", "left")
+    named = (F.col("field_name") == "principal_name") & _given(F.col("answer")).isNotNull()
+    place = F.when(named, F.struct(provenance_rank(F.col("extraction_method")).alias("r"), *order))
+    rows = once(claims.withColumn("winner", F.min_by("answer", place).over(Window.partitionBy("entity_id"))))
     derived = F.coalesce(F.col("extraction_method").startswith("derived_"), F.lit(False))
     wrong = person_names_match(F.col("answer"), F.col("winner")) | title_matches_firm(F.coalesce("answer", F.lit("")), F.col("firm")) | (F.col("winner").isNotNull() & derived & ~person_names_match(F.col("owner"), F.col("winner")))
     status = F.when((F.col("field_name") == "principal_title") & F.coalesce(wrong, F.lit(False)), "superseded").otherwise(F.col("status"))
@@ -298,21 +316,32 @@ def wave_minus_1(sources: DataFrame, today: str, people: DataFrame, entities: Da
         full = df.withColumns({"source_class": source_class, "owner": F.col(owner) if owner else null, "part": F.lit(nth), "at": F.col(at).cast("long") if at else F.lit(0).cast("long"), "shown": shown if shown is not None else text("answer")})
         return full.select(*columns)
 
-    aum = aum_claims(sources)
-    f13, adv, sighted = F.lit("13f_filing"), F.lit("adv_name"), F.lit("conference_sighting")
+    sighted = F.lit("conference_sighting")
     who = principal_from_people(people)
-    names = who.withColumns({"field_name": F.lit("principal_name"), "answer": F.col("principal_name"), "extraction_method": F.concat(F.lit("derived_"), "source_class")})
-    titles = who.filter(_given(F.col("title")).isNotNull()).withColumns({"field_name": F.lit("principal_title"), "answer": F.col("title"), "extraction_method": F.concat(F.lit("derived_"), "source_class")})
-    flags = sources.select("entity_id", "source_class").distinct().withColumns({"field_name": F.concat(F.lit("discovery_class_"), "source_class"), "answer": F.lit("true"), "extraction_method": F.lit("derived_entity_sources")})
+    derived_from = F.concat(F.lit("derived_"), "source_class").alias("extraction_method")
+    fields = [F.struct(F.lit("principal_name").alias("field_name"), F.col("principal_name").alias("answer"), F.lit(None).cast("string").alias("of")), F.when(_given(F.col("title")).isNotNull(), F.struct(F.lit("principal_title").alias("field_name"), F.col("title").alias("answer"), F.col("principal_name").alias("of")))]
+    people_claims = who.select("entity_id", "seq", "source_class", derived_from, F.inline(F.array_compact(F.array(*fields))))
+    # one row an entity: its latest rows of three classes, and the classes that it has
+    last = sources.groupBy("entity_id").agg(
+        _last("13f_filing", "value_usd", "prior_value_usd", "filed_year", "filed_qtr").alias("f13"), _last("adv_name", "value_usd", "retrieved_at").alias("adv"), _last("5500_filing", "participant_count").alias("plan"), F.collect_set(F.coalesce("source_class", F.lit(MISSING))).alias("classes"),
+    )
+    trigger, count = _trigger(_delta(F.col("f13.value_usd"), F.col("f13.prior_value_usd"))), F.col("plan.participant_count")
+    by_class = [
+        *[(F.when(F.lit(k > 2), "adv_name").otherwise("13f_filing"), 0, c) for k, c in enumerate(_aum(F.col("f13"), F.col("adv")))],
+        (F.lit("13f_filing"), 1, _told("important_insight", trigger, "derived_13f_qoq", trigger.isNotNull())), (F.lit("5500_filing"), 2, _told("headcount", count, "derived_5500", count.isNotNull())),
+    ]
+    of = lambda cls, nth, c: F.when(c.isNotNull(), F.struct(c["field_name"].alias("field_name"), c["answer"].alias("answer"), c["extraction_method"].alias("extraction_method"), cls.alias("source_class"), F.lit(nth).alias("part"), F.coalesce(c["answer"], F.lit("None")).alias("shown")))
+    flag = lambda x: F.struct(F.concat(F.lit("discovery_class_"), x).alias("field_name"), F.lit("true").alias("answer"), F.lit("derived_entity_sources").alias("extraction_method"), x.alias("source_class"), F.lit(5).alias("part"), F.lit("True").alias("shown"))
+    flags = F.transform("classes", lambda x: flag(F.nullif(x, F.lit(MISSING))))
+    latest_claims = last.select("entity_id", F.inline(F.concat(F.array_compact(F.array(*[of(*x) for x in by_class])), flags)))
+    latest_claims = latest_claims.withColumns({"owner": F.lit(None).cast("string"), "at": F.lit(0).cast("long")}).select(*columns)
     overlap = public_list_overlap(entities, listed).select(F.col("record_id").alias("entity_id"), F.lit("public_list_overlap").alias("field_name"), F.col("overlap").alias("answer"), F.lit("derived_public_list_match").alias("extraction_method"))
     listing = F.concat(F.lit("['"), F.replace("answer", F.lit("|"), F.lit("', '")), F.lit("']"))
     parts = [
-        part(aum, F.when(F.col("extraction_method") == "adv_raum", adv).otherwise(f13), 0),
-        part(claim(why_now_from_delta(sources), "important_insight", F.col("trigger"), "derived_13f_qoq"), f13, 1),
-        part(headcount_claim(sources), F.lit("5500_filing"), 2),
+        latest_claims,
         part(claim(access_window(sources, today), "important_insight", F.lit("access_window"), "derived_conference"), sighted, 3),
-        part(names, F.col("source_class"), 4, "seq"), part(titles, F.col("source_class"), 4, "seq", "principal_name"),
-        part(flags, F.col("source_class"), 5, shown=F.lit("True")), part(overlap, F.lit("public_list"), 6, shown=listing),
+        part(people_claims, F.col("source_class"), 4, "seq", "of"),
+        part(overlap, F.lit("public_list"), 6, shown=listing),
     ]
     derived = reduce(DataFrame.unionByName, parts)
     settled = structured_fields(derived.withColumn("status", F.lit("confirmed")))

@@ -143,3 +143,22 @@ def test_claims_of_a_field_of_few_values_are_not_spread_by_keys(spark, monkeypat
         assert {r.claim_id: (r.status, r.confirming_url, r.confirming_class) for r in df.collect()} == want
         if most == 64:
             assert "xxhash64" not in optimized(df) and optimized(df).count("Join") == 1
+
+
+def test_sources_and_claims_are_read_once(spark):
+    from ledgerspark.operators import facts as X
+
+    day = F.to_timestamp(F.lit("2020-01-05"))
+    cls = F.element_at(F.array(F.lit("13f_filing"), F.lit("adv_name"), F.lit("adv_name")), (F.col("id") % 3 + 1).cast("int"))
+    sources = spark.range(6).select(F.col("id").alias("seq"), (F.col("id") % 2).alias("entity_id"), cls.alias("source_class"), F.when(F.col("id") != 5, F.col("id") * 10).alias("value_usd"), F.lit(2020).alias("filed_year"), F.lit(1).alias("filed_qtr"), day.alias("retrieved_at"))
+    sources = sources.filter("seq <> 0").withColumn("entity_id", F.when(F.col("seq") == 3, 7).otherwise(F.col("entity_id")))
+    got = X.aum_claims(sources)
+    assert optimized(got).count("Range (") == 1
+    # 1: the newest adviser row has no value; 0: rows 2 and 4; 7: a 13F
+    assert {tuple(r) for r in got.collect()} == {(0, "aum_usd", "40", "adv_raum"), (0, "aum_basis", "adv_raum", "adv_raum"), (0, "aum_as_of", "2020-01-05", "adv_raum"), (7, "aum_usd", "30", "derived_13f"), (7, "aum_basis", "13f_floor", "derived_13f"), (7, "aum_as_of", "2019Q4", "derived_13f")}
+
+    field = F.when(F.col("id") % 2 == 0, "principal_name").otherwise("principal_title")
+    claims = spark.range(4).select(F.col("id").alias("seq"), F.lit(1).alias("entity_id"), field.alias("field_name"), F.when(F.col("id") == 3, "CEO").otherwise("Jane Doe").alias("answer"), F.lit("derived_x").alias("extraction_method"), F.lit("confirmed").alias("status"), F.lit("Jane Doe").alias("owner"), F.lit("Acme LLC").alias("firm"))
+    settled = X.reconcile_titles(claims, ["seq"])
+    assert optimized(settled).count("Range (") == 1
+    assert {r.seq: r.status for r in settled.collect()} == {0: "confirmed", 1: "superseded", 2: "confirmed", 3: "confirmed"}
