@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import once, spread, strip
 
 # What marks a line as a hedge, as structure, as asserting something, as naming a firm, and as advice.
 HEDGES = "|".join([
@@ -59,11 +59,11 @@ def split_sentences(answers: DataFrame) -> DataFrame:
     parts = F.split(guarded, rf"(?m)(?<=[.!?])\s+|\n+(?={BLOCK_OPENER})")
     whole = F.filter(F.transform(parts, lambda p: F.translate(p, mark, ".")), lambda p: p.rlike(r"\S"))
     keys = [c for c in answers.columns if c != "text"]
-    return answers.select(*keys, F.posexplode(whole).alias("place", "sentence"))
+    return spread(answers).select(*keys, F.posexplode(whole).alias("place", "sentence"))
 
 
-def parse_tags(sentences: DataFrame, keys: list[str]) -> DataFrame:
-    """GND-05: (record, field) pairs of the tags, brackets that hold a colon; a bare field takes the record before it in its own tag, parts that give no pair are malformed."""
+def tag_pairs(sentence: Column) -> Column:
+    """The (record, field, malformed) of the tags of a sentence, in order."""
 
     def pairs(tag: Column) -> Column:
         parts = F.filter(F.transform(F.split(tag, "[,;]"), strip), lambda p: p != "")
@@ -76,8 +76,12 @@ def parse_tags(sentences: DataFrame, keys: list[str]) -> DataFrame:
 
         return F.transform(parts, pair)
 
-    tags = F.regexp_extract_all("sentence", F.lit(r"\[([^\]]*:[^\]]*)\]"), F.lit(1))
-    return sentences.select(*keys, F.posexplode(F.flatten(F.transform(tags, pairs))).alias("part", "p")).select(*keys, "part", "p.*")
+    return F.flatten(F.transform(F.regexp_extract_all(sentence, F.lit(r"\[([^\]]*:[^\]]*)\]"), F.lit(1)), pairs))
+
+
+def parse_tags(sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """GND-05: (record, field) pairs of the tags, brackets that hold a colon; a bare field takes the record before it in its own tag, parts that give no pair are malformed."""
+    return sentences.select(*keys, F.posexplode(tag_pairs(F.col("sentence"))).alias("part", "p")).select(*keys, "part", "p.*")
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -96,26 +100,28 @@ def classify_sentences(sentences: DataFrame, facts: DataFrame, keys: list[str],
 
     facts: the answer's own facts, answer columns and record, field, value. A tag's every pair must be one of them. Without a tag, structure carries no
     figure, every line of a neutral sentence is a hedge, a list header or such structure, and advice names no figure, firm, record or value of a fact.
+    A sentence is split, read and compared once: the facts of an answer, which are what a model was shown with the question, come to its sentences in one row.
     """
-    pairs = parse_tags(sentences, keys)
-    known = facts.select(*answer, "record", "field").distinct().withColumn("known", F.lit(True))
-    checked = pairs.join(known, [*answer, "record", "field"], "left").groupBy(*keys).agg(F.bool_or("malformed").alias("malformed"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
     text = F.col("sentence")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
     structural = lambda x: strip(x).rlike(STRUCTURE)
     hedge = lambda x: has(strip(x), f"(?i){HEDGES}") | strip(x).rlike(LIST_HEADER)
     advice = ~has(text, FIGURE) & ~has(text, RECORD_ID) & ~has(text, FIRM) & (has(text, PERSON) | has(F.regexp_replace(strip(text), LEAD_IN, ""), OPENER))
-    rows = sentences.withColumns({
-        "display": shown(text), "tagged": text.rlike(TAG), "scaffold": ~has(text, FIGURE) & F.forall(lines, structural), "hedged": F.forall(lines, lambda x: hedge(x) | (structural(x) & ~has(x, FIGURE))), "advice": advice,
-    })
+    bare = lambda test: F.when(text.rlike(TAG), F.lit(False)).otherwise(test)  # noqa: E731  # a tagged sentence is judged by its tags alone
+    rows = once(sentences.withColumns({
+        "display": shown(text), "tagged": text.rlike(TAG), "scaffold": bare(~has(text, FIGURE) & F.forall(lines, structural)), "hedged": bare(F.forall(lines, lambda x: hedge(x) | (structural(x) & ~has(x, FIGURE)))), "advice": bare(advice), "pairs": tag_pairs(text),
+    }))
+    needle = F.lower(F.trim("value"))
+    own = facts.groupBy(*answer).agg(F.collect_set(F.when(F.col("record").isNotNull() & F.col("field").isNotNull(), F.struct("record", "field"))).alias("known"), F.collect_set(F.when(F.length(needle) >= NEEDLE, needle)).alias("needles"))
+    rows = rows.join(own, answer, "left")
+    known = F.forall("pairs", lambda p: F.coalesce(F.array_contains("known", F.struct(p["record"].alias("record"), p["field"].alias("field"))), F.lit(False)))
     # only what would pass as advice is searched for values of its answer's facts
-    needles = facts.select(*answer, F.lower(F.trim("value")).alias("needle")).filter(F.length("needle") >= NEEDLE).distinct()
-    asked = rows.filter("NOT tagged AND advice").join(needles, answer).filter(F.contains(F.lower("sentence"), F.col("needle"))).select(*keys).distinct().withColumn("named", F.lit(True))
-    rows = rows.join(checked, keys, "left").join(asked, keys, "left")
+    named = F.col("advice") & F.coalesce(F.exists("needles", lambda n: F.contains(F.lower("sentence"), n)), F.lit(False))
+    rows = rows.withColumns({"malformed": (F.size("pairs") == 0) | F.exists("pairs", lambda p: p["malformed"]), "all_known": known, "named": named})
     reason = (
         F.when(F.col("display") == "", None)
-        .when(~F.col("tagged"), F.when(F.col("scaffold") | F.col("hedged") | (F.col("advice") & F.col("named").isNull()), None).otherwise("untagged"))
-        .when(F.coalesce("malformed", F.lit(True)), "malformed citation tag")
+        .when(~F.col("tagged"), F.when(F.col("scaffold") | F.col("hedged") | (F.col("advice") & ~F.col("named")), None).otherwise("untagged"))
+        .when(F.col("malformed"), "malformed citation tag")
         .when(~F.col("all_known"), "tag references an unconfirmed or nonexistent field")
     )
     kind = (

@@ -162,3 +162,18 @@ def test_sources_and_claims_are_read_once(spark):
     settled = X.reconcile_titles(claims, ["seq"])
     assert optimized(settled).count("Range (") == 1
     assert {r.seq: r.status for r in settled.collect()} == {0: "confirmed", 1: "superseded", 2: "confirmed", 3: "confirmed"}
+
+
+def test_a_sentence_is_split_and_read_once(spark):
+    from ledgerspark.operators import ground as G
+
+    answers = spark.range(0, 3, 1, 1).select(F.col("id").alias("conv_id"), F.lit("It grew [r1:f1]. It shrank [r9:f1]. It is [:x]. We suggest a call. We suggest to name Larkspur.").alias("text"))
+    facts = spark.createDataFrame([(0, "r1", "f1", " Larkspur "), (0, "r1", "f1", "abc"), (0, None, "f1", None), (1, "r9", "f1", "we")], "conv_id long, record string, field string, value string")
+    sentences = G.split_sentences(answers)
+    assert sentences.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    df = G.classify_sentences(sentences, facts, ["conv_id", "place"], ["conv_id"])
+    assert optimized(df).count("Range (") == 1
+    got = {(r.conv_id, r.place): (r.kind, r.reason) for r in df.collect()}
+    unknown, bad, free = ("invalid", "tag references an unconfirmed or nonexistent field"), ("invalid", "malformed citation tag"), ("authorial", None)
+    want = {0: [("claim", None), unknown, bad, free, ("invalid", "untagged")], 1: [unknown, ("claim", None), bad, free, free], 2: [unknown, unknown, bad, free, free]}
+    assert got == {(c, i): x for c, rows in want.items() for i, x in enumerate(rows)}
