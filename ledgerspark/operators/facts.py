@@ -202,17 +202,18 @@ def _given(value: Column) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
-def project_people_pair(ledger: DataFrame) -> DataFrame:
+def project_people_pair(ledger: DataFrame, keep: list[str] = ()) -> DataFrame:
     """DER-09: of the researched names (their distilled value) the one whose title on the same page is the most senior; a name without title still counts.
 
-    The page's title is its best projectable answer, distilled or not: entity_id, principal_name, principal_title, claim_id, title_id and title_distilled.
+    The page's title is its best projectable answer, distilled or not: entity_id, principal_name, principal_title, claim_id, title_id and title_distilled. Columns of the ledger that are to be kept
+    go along, those of the title's claim as title_....
     """
     fit = ledger.filter(F.col("status").isin(PROJECTABLE)).withColumn("value", _given(F.col("subject_value")))
     titles = fit.filter("question_id = 'G2.Q3' AND source_url <> ''").withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "source_url").orderBy(*winner_order()))).filter("n = 1")
-    titles = titles.select("entity_id", "source_url", F.coalesce("value", _given(F.col("answer"))).alias("title"), F.col("claim_id").alias("title_id"), F.col("value").isNotNull().alias("title_distilled"))
+    titles = titles.select("entity_id", "source_url", F.coalesce("value", _given(F.col("answer"))).alias("title"), F.col("claim_id").alias("title_id"), F.col("value").isNotNull().alias("title_distilled"), *[F.col(c).alias(f"title_{c}") for c in keep])
     names = fit.filter("question_id = 'G2.Q1' AND value IS NOT NULL").join(titles, ["entity_id", "source_url"], "left")
     best = names.withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy(role_rank(F.coalesce("title", F.lit(""))), *winner_order()))).filter("n = 1")
-    return best.select("entity_id", F.col("subject_value").alias("principal_name"), F.col("title").alias("principal_title"), "claim_id", "title_id", "title_distilled")
+    return best.select("entity_id", F.col("subject_value").alias("principal_name"), F.col("title").alias("principal_title"), "claim_id", "title_id", "title_distilled", *keep, *[f"title_{c}" for c in keep])
 
 
 # The field that a question fills.
@@ -253,17 +254,18 @@ def structured_fields(claims: DataFrame) -> DataFrame:
     return claims.filter(live).select("entity_id", F.col("field_name").alias("field")).distinct()
 
 
-def project_questions(ledger: DataFrame, firms: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+def project_questions(ledger: DataFrame, firms: DataFrame, settled: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
     """DER-10: researched answers as field claims (entity_id, field, answer, claim_id, question_id), only where nothing structured settled the field (firms: entity_id, firm).
 
     Name and title come as the pair of DER-09. Every other question gives its winner, if that is projectable: its distilled value, a profile URL only if it is a person's; without one
     the prose of the two prose fields, unless it is negative, or a title that stands all checks. A distilled title need only be well formed.
     """
-    pair = project_people_pair(ledger).join(firms, "entity_id", "left")
+    pair = project_people_pair(ledger, keep).join(firms, "entity_id", "left")
     title = F.col("principal_title")
     fit = F.when(F.col("title_distilled"), ~is_malformed_title(title)).otherwise(is_plausible_title(title, F.col("principal_name"), F.col("firm")))
-    named = pair.select("entity_id", F.lit("principal_name").alias("field"), F.col("principal_name").alias("answer"), "claim_id", F.lit("G2.Q1").alias("question_id"))
-    titled = pair.filter(title.isNotNull() & fit).select("entity_id", F.lit("principal_title").alias("field"), title.alias("answer"), F.col("title_id").alias("claim_id"), F.lit("G2.Q3").alias("question_id"))
+    told = lambda field, answer, claim, question, of: F.struct(F.lit(field).alias("field"), answer.alias("answer"), F.col(claim).alias("claim_id"), F.lit(question).alias("question_id"), *[F.col(of + c).alias(c) for c in keep])
+    both = F.array(told("principal_name", F.col("principal_name"), "claim_id", "G2.Q1", ""), F.when(title.isNotNull() & fit, told("principal_title", title, "title_id", "G2.Q3", "title_")))
+    paired = pair.select("entity_id", F.inline(F.array_compact(both)))
 
     asked = ledger.filter(F.col("question_id").isin([*PROJECTION, "G2.Q2"]))
     best = asked.withColumn("n", F.row_number().over(Window.partitionBy("entity_id", "question_id").orderBy(*winner_order()))).filter("n = 1").filter(F.col("status").isin(PROJECTABLE))
@@ -274,11 +276,11 @@ def project_questions(ledger: DataFrame, firms: DataFrame, settled: DataFrame |
     rows = rows.withColumn("field", field).filter("field IS NOT NULL AND NOT (question_id IN ('G2.Q1', 'G2.Q3') AND coalesce(paired, false))")
     as_title = F.when(value.isNotNull(), F.when(~is_malformed_title(value), value)).otherwise(F.when(is_plausible_title(text, F.col("person"), F.col("firm")), text))
     other = F.when(value.isNotNull(), F.col("subject_value")).otherwise(F.when(F.col("field").isin(PROSE) & ~is_negative_answer(F.coalesce(text, F.lit(""))), text))
-    rest = rows.withColumn("out", F.when(F.col("field") == "principal_title", as_title).otherwise(other)).filter("out IS NOT NULL").select("entity_id", "field", F.col("out").alias("answer"), "claim_id", "question_id")
+    rest = rows.withColumn("out", F.when(F.col("field") == "principal_title", as_title).otherwise(other)).filter("out IS NOT NULL").select("entity_id", "field", F.col("out").alias("answer"), "claim_id", "question_id", *keep)
 
     done = structured_fields(ledger)
     done = done if settled is None else done.unionByName(settled).distinct()
-    return named.unionByName(titled).unionByName(rest).join(done, ["entity_id", "field"], "left_anti")
+    return paired.unionByName(rest).join(done, ["entity_id", "field"], "left_anti")
 
 
 def select_principal(claims: DataFrame) -> DataFrame:
@@ -346,7 +348,7 @@ def wave_minus_1(sources: DataFrame, today: str, people: DataFrame, entities: Da
     derived = reduce(DataFrame.unionByName, parts)
     settled = structured_fields(derived.withColumn("status", F.lit("confirmed")))
     firms = entities.select(F.col("record_id").alias("entity_id"), "firm")
-    projected = project_questions(research, firms, settled).join(research.select("claim_id", "source_class"), "claim_id")
+    projected = project_questions(research, firms, settled, ["source_class"])
     projected = projected.withColumns({"field_name": F.col("field"), "extraction_method": F.concat(F.lit("projected_"), "question_id")})
     every = derived.unionByName(part(projected, F.col("source_class"), 7)).withColumn("status", F.lit("confirmed")).join(firms, "entity_id", "left")
     out = reconcile_titles(every, ["part", "at"])
