@@ -50,6 +50,18 @@ def test_name_pairs_are_not_grouped(spark):
     assert "Aggregate" not in top
 
 
+def test_name_pairs_are_written_out_last(spark):
+    n = spark.range(2300).select(F.col("id").alias("seq"), F.concat(F.lit("Rowe "), F.when(F.col("id") % 2 == 0, "Bank").otherwise("Mill")).alias("name_raw"))
+    n = n.unionByName(spark.createDataFrame([(None, "Bank"), (-1, "Zorn")], "seq long, name_raw string"))
+    q = spark.range(220).select(F.col("id").alias("query_id"), F.when(F.col("id") < 210, "Bank Rowe LLC").otherwise("Zorn").alias("q_name")).unionByName(spark.createDataFrame([(None, "Mill")], "query_id long, q_name string"))
+    got = R.name_match(q, n)
+    assert optimized(got).split("Join")[0].count("Generate explode") == 1  # the join gives a row per query and block of names
+    rows = [tuple(r) for r in got.collect()]
+    bank = {(i, s): "exact" if s is None or s % 2 == 0 else "partial" for i in range(210) for s in (None, *range(2300))}
+    want = bank | {(i, -1): "exact" for i in range(210, 220)} | {(None, s): "exact" for s in range(1, 2300, 2)}
+    assert len(rows) == len(want) and {r[:2]: r[2] for r in rows} == want
+
+
 def test_one_file_is_embedded_over_all_cores(spark):
     from ledgerspark.operators import corpus as C
 
